@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, map_text
-from .wordbpe import WordBpe
+from .wordbpe import word_bpe
 
 #: The dictionary is fitted on at most about so many documents, and has at most so many bytes.
 TRAIN_DOCS, DICTIONARY_BYTES = 2000, 64 << 10
@@ -38,7 +38,7 @@ def _encoded(path: str, end_id: int):
     """make() for ``map_text``: a slice's rows as (doc_id, bytes of the ids with the end id)."""
 
     def start():
-        bpe, end = WordBpe(path), np.array([end_id], "<u4").tobytes()
+        bpe, end = word_bpe(path), np.array([end_id], "<u4").tobytes()
 
         def rows(part: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
             ids, first = bpe.encode(part.column("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, map_text, without
-from .wordbpe import WordBpe
+from .wordbpe import word_bpe
 
 #: Pieces of one length are ranked in so many groups, so that a frequent length is no single task.
 RANK_GROUPS = 64
@@ -137,7 +137,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
     """
 
     def make():
-        bpe, end = WordBpe(path), np.array([end_id], "<u4").tobytes()
+        bpe, end = word_bpe(path), np.array([end_id], "<u4").tobytes()
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             ids, first = bpe.encode(part.column("text"))

@@ -8,13 +8,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, idstore, packing
-from .common import new_folder, table
+from . import decontam, hilbert, idstore, langid, neardup, packing, spotsigs, toxicity, transcripts, wordpiece
+from .common import id_remainder, new_folder, table
 
 #: The public vocabulary of the token operators.
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; three quarters of the labelled ones teach the profiles."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_remainder(4) == 2, F.lit(False))
+    profiles = langid.learn(docs.filter(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_distance")
+
+
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SpotSigs of every document and of its edited text, and their likeness."""
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_hmm_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of every conversation's turns from transcripts without some of the markers; three quarters of the conversations teach the model."""
+    turns = table(spark, sf_dir, "conversations")
+    model = transcripts.learn(turns.filter(F.coalesce(id_remainder(4, "conv_id") != 2, F.lit(False))))
+    return transcripts.parse(turns, model)
+
+
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents by five-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in eight runs of the Hilbert curve over language, source and size."""
     placed = hilbert.shard_documents(table(spark, sf_dir, "documents"), 8)
@@ -26,6 +52,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), 2048, 0)
 
 
+def op7_linear_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of every document."""
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op8_zstd_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' ids written to a store with a shared dictionary and read back."""
     folder = new_folder(spark, "ids")
@@ -33,9 +64,52 @@ def op8_zstd_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.read_store(spark, folder).drop("ids")
 
 
+def op9_seed_align_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of benchmark items in documents."""
+    docs = table(spark, sf_dir, "documents")
+    return decontam.copies(docs, decontam.benchmark_blocks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def op10_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; four fifths of the labelled ones teach the field."""
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), F.coalesce(id_remainder(5) == 0, F.lit(False))
+    field = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, field).select("doc_id", held_out.alias("held_out"), "score", "predicted", "spans")
+
+
+QUERIES = (
+    op1_rank_order_langid,
+    op2_spotsigs,
+    op3_hmm_transcripts,
+    op4_minhash_neardup,
+    op5_hilbert_shards,
+    op6_best_fit_packing,
+    op7_linear_longest_match,
+    op8_zstd_id_store,
+    op9_seed_align_decontam,
+    op10_crf_toxicity,
+)
+
+#: Exact Jaccard of five-word shingles by an inverted index, then reachability.
+NEARDUP_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM w
+), x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b AS id, r.c FROM r JOIN e ON r.id = e.a),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT s.doc_id, len(s.g) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept FROM s JOIN m ON s.doc_id = m.id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_hilbert_shards, op6_best_fit_packing, op8_zstd_id_store)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_minhash_neardup": NEARDUP_SQL}

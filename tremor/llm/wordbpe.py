@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,3 +100,9 @@ class WordBpe:
         rest = iter(self._whole([t for t, o in zip(texts.to_pylist(), odd) if o]))
         pieces = [np.frombuffer(next(rest), "<u4") if o else ids[a:b] for o, a, b in zip(odd, first, first[1:])]
         return np.concatenate([np.zeros(0, "<u4"), *pieces]), np.concatenate(([0], np.cumsum([len(x) for x in pieces], dtype=np.int64)))
+
+
+@lru_cache(1)
+def word_bpe(path: str) -> WordBpe:
+    """The worker process's encoder; what it has kept serves its later tasks."""
+    return WordBpe(path)
