@@ -83,13 +83,19 @@ def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
+def flat_text(texts: pa.Array) -> pa.Array:
+    """``texts`` with null as empty, in buffers of their own: some string kernels mistake the offsets of a slice."""
+    filled = pc.fill_null(texts.cast(pa.large_string()), "")
+    return filled.take(pa.array(np.arange(len(filled))))
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Chunks between blanks and line ends, empty ones left out.
 
     Returns, for each chunk, its index into the distinct chunks; these; and each
     text's first chunk with one more entry for the end. Null texts have none.
     """
-    flat = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+    flat = pc.replace_substring(flat_text(texts), "\n", " ")
     lists = pc.split_pattern(flat, " ")
     starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     codes = lists.flatten().dictionary_encode()

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, words_of
+from .common import flat_text, map_text, words_of
 from .neardup import mixed
 
 #: Words of a seed, and the largest probability of a rare one.
@@ -42,7 +42,7 @@ def core(chunk: str) -> str:
 
 
 def _chunks(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    return words_of(pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), "[\t-\r]", " "))
+    return words_of(pc.replace_substring_regex(flat_text(texts), "[\t-\r]", " "))
 
 
 def _runs(ids: np.ndarray) -> np.ndarray:

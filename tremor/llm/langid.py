@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_text, without
+from .common import bounded_sample, flat_text, map_text, without
 
 #: Longest n-gram, entries of a profile, and about the most labelled rows that profiles are learnt from.
 LONGEST, PROFILE, TRAIN_ROWS = 3, 300, 20_000
@@ -48,7 +48,7 @@ def ranked_grams(texts: pa.Array, groups: np.ndarray | None = None, longest: int
     Letters in lower case count; all else is a blank, runs of blanks are one, and words
     stand between blanks. Characters beyond U+0FFF are folded into 4,096 codes.
     """
-    plain = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\0", " ")
+    plain = pc.replace_substring(flat_text(texts), "\0", " ")
     joined = " " + " \0 ".join(plain.to_pylist()) + " "
     codes = _letter_table()[np.frombuffer(joined.lower().encode("utf-32-le", "replace"), np.uint32)]
     blank = codes == 32

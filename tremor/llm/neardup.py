@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, map_text, words_of
+from .common import cut, flat_text, map_text, words_of
 
 #: Words of a shingle; links have 100 * intersection >= ``PERCENT`` * union.
 WIDTH, PERCENT = 5, 85
@@ -54,7 +54,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     Words are runs between blanks and the controls 9 to 13, A-Z in lower case; with
     fewer words than a shingle has, the whole sequence is the one shingle.
     """
-    flat = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), "[\t-\r]", " ")
+    flat = pc.replace_substring_regex(pc.ascii_lower(flat_text(texts)), "[\t-\r]", " ")
     index, seen, first = words_of(flat)
     if not len(index):
         return [np.zeros(0, np.uint64)] * len(texts)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_text, without, words_of
+from .common import bounded_sample, flat_text, map_text, without, words_of
 
 #: At most about so many labelled rows of each class are learnt from.
 TRAIN_DOCS = 1500
@@ -50,7 +50,7 @@ def features(token: str) -> list[str]:
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """``words_of`` the lower-case texts; tokens are runs between blanks and the controls 9 to 13."""
-    flat = pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), "[\t-\r]", " ")
+    flat = pc.replace_substring_regex(flat_text(texts), "[\t-\r]", " ")
     return words_of(pc.utf8_lower(flat))
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import words_of
+from .common import flat_text, words_of
 
 #: The split pattern of the layout, and the bytes that byte-level BPE writes as themselves.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -78,7 +78,7 @@ class WordBpe:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other (null: none); first positions, one more than texts."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = flat_text(texts)
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.fast else np.ones(len(texts), bool)
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         plain = pc.utf8_lower(pc.replace_substring(plain, "\n", " "))
