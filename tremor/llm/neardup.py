@@ -8,9 +8,9 @@ key with probability 3e-7.
 
 Documents with one set of shingles are one class, so exact copies are never paired.
 A key's classes are first compared with one of them only (a star); most of a group
-joins up that way. What is left, pairs of different components under a common key, is
-compared pair by pair, so no link between components is lost; links inside a component
-need not be found again.
+joins up that way. What is left, sets of different components under a common key, is compared
+pair by pair as far as sizes and rarest shingles allow a link, so no link between
+components is lost; links inside a component need not be found again.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, flat_text, map_text, words_of
+from .common import cut, flat_text, map_text, text_slices, words_of
 
 #: Words of a shingle; links have 100 * intersection >= ``PERCENT`` * union.
 WIDTH, PERCENT = 5, 85
@@ -187,12 +187,10 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         tested, edges = tested.union(fresh), edges.union(cut(_confirmed(fresh, texts), "links"))
         comps = components(edges)
         left = cut(open_keys(comps), "open")
+    left = _linkable(left, texts)
     if not left.isEmpty():
-        a, b = left.alias("a"), left.alias("b")
-        differ = F.bit_count(F.col("a.bits1").bitwiseXOR(F.col("b.bits1"))) + F.bit_count(F.col("a.bits2").bitwiseXOR(F.col("b.bits2")))
-        near = (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n_shingles", "b.n_shingles") >= PERCENT * F.greatest("a.n_shingles", "b.n_shingles")) & (differ <= BIT_LIMIT)
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-        edges = edges.union(cut(_confirmed(cut(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), texts), "links"))
+        fresh = cut(_close_pairs(left, texts).join(tested, ["a", "b"], "left_anti"), "pairs")
+        edges = edges.union(cut(_confirmed(fresh, texts), "links"))
         comps = components(edges)
     found = base.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     found = found.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -200,6 +198,73 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _shingles_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, shingle) of the texts with these ids."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch):
+                sets = shingle_sets(part.column("text"))
+                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
+
+    return texts.join(ids.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingle long")
+
+
+def _close_pairs(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids under open keys, of different components, that sizes, bits and rarest shingles allow to link.
+
+    In the order of how many sets have a shingle, two sets that link share one of the
+    first n - o + 1 of each, where o is the least intersection that links them. With the
+    larger set's size at least the smaller's, o is 2t/(1+t) of the smaller set and t of
+    the larger at least (t: ``PERCENT`` / 100). Of two equal sizes, the set with the rarer
+    shingles counts as the smaller.
+    """
+    ids = left.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n_shingles", "bits1", "bits2", "component", "alone")])
+    each = _shingles_of(ids, texts)
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    rows = each.join(often, "shingle").join(ids, "id")
+    n = F.col("n_shingles")
+    rows = rows.withColumn("place", F.col("alone") + F.row_number().over(W.partitionBy("id").orderBy("often", "shingle")))
+    rows = rows.withColumn("long", n - F.expr(f"({PERCENT} * n_shingles + 99) div 100") + 1).filter(F.col("place") <= F.col("long"))
+    rows = rows.withColumn("short", n - F.expr(f"({2 * PERCENT} * n_shingles + {99 + PERCENT}) div {100 + PERCENT}") + 1)
+    rows = cut(rows.withColumn("weight", F.sum(F.when(F.col("place") <= F.col("short"), F.col("often"))).over(W.partitionBy("id"))).drop("often", "long"), "rarest")
+    a, b = rows.filter("place <= short").alias("a"), rows.alias("b")
+    order = lambda x: F.struct(f"{x}.n_shingles", f"{x}.weight", f"{x}.id")
+    differ = F.bit_count(F.col("a.bits1").bitwiseXOR(F.col("b.bits1"))) + F.bit_count(F.col("a.bits2").bitwiseXOR(F.col("b.bits2")))
+    # The intersection has none of the shingles that one of the sets has alone.
+    common = F.least(F.col("a.n_shingles") - F.col("a.alone"), F.col("b.n_shingles") - F.col("b.alone"))
+    near = (F.col("a.component") != F.col("b.component")) & (order("a") < order("b")) & (100 * F.col("a.n_shingles") >= PERCENT * F.col("b.n_shingles"))
+    near = near & (differ <= BIT_LIMIT) & (100 * common >= PERCENT * (F.col("a.n_shingles") + F.col("b.n_shingles") - common))
+    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & near)
+    return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+
+def _linkable(left: DataFrame, texts: DataFrame, rounds: int = 3) -> DataFrame:
+    """Rows of ``left`` whose sets can still link with another one in it, with ``alone``, the shingles that no other has.
+
+    A link leaves less than 15 % of a set outside the other. Shingles that no other set of
+    ``left`` has are outside all of them, so a set with more of these links with none. As
+    sets go, more shingles become single, hence the rounds. Each counts shingles once,
+    in proportion to the sets, while pairs would grow with their square.
+    """
+    for _ in range(rounds):
+        if left.isEmpty():
+            return left
+        ids = left.select("id", "n_shingles").distinct()
+        each = _shingles_of(ids, texts)
+        # By shingle: an id, and whether there is another.
+        single = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other")
+        alone = cut(single.groupBy("id").agg(F.count(F.lit(1)).alias("alone")), "alone")
+        rest = left.drop("alone").join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+        rest = rest.filter(F.col("alone") * 100 <= (100 - PERCENT) * F.col("n_shingles"))
+        span = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
+        before, left = ids.count(), cut(rest.join(span, "key", "left_semi"), "open")
+        if left.select("id").distinct().count() == before:
+            break
+    return left
+
+
 def _open(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of ``shared`` under keys whose ids are in more than one component."""
     rows = shared.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
