@@ -1,15 +1,695 @@
-"""Registered queries of the engine and the SQL that gives the same rows."""
+"""Registered queries of the engine and the DuckDB SQL that gives the same rows.
+
+``events`` stands for a catalog (see ``sources.catalog.from_events``). Numbers are rounded
+half up at six decimals on both sides, as sums differ in their last bits.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import geo, params, rng
+from .functions import kernels as K
+from .operators import filters, pairs, stats
+from .plans import evaluation, inversion, simulation
+from .sources import catalog as cat
+
+#: Days since 1970 of the windows: auxiliary start, start, end, end of the test window.
+AUX, START, END, TEST_END = 19723.0, 19730.0, 19746.0, 19753.0
+#: A polygon around California, [lat, lon].
+CALIFORNIA = [(43.0, -125.2), (43.0, -119.0), (39.4, -119.0), (35.7, -114.0), (34.3, -113.1), (32.9, -113.5), (32.2, -113.6), (31.7, -114.5), (31.5, -117.1), (31.9, -117.9), (32.8, -118.4), (33.7, -121.0), (34.2, -121.6), (37.7, -123.8), (40.2, -125.4), (40.5, -125.4)]
+THETA = K.Theta()
+FREE_TAU = K.Theta(log10_tau=math.inf, omega=0.1)
+BETA, M_REF, DM, AREA = 2.0, 2.5, 0.1, 500000.0
+M_LOW = M_REF - DM / 2
+PAIR_MC = 3.0
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+CAT_SQL = """WITH cat AS (
+  SELECT event_id AS id, epoch_us(ts) / 86400e6 AS days, floor((2.5e0 + value / (50e0 * ln(10e0))) * 10e0 + 0.5e0) / 10e0 AS magnitude,
+    32.5e0 + (user_id % 61) * 0.13e0 + k * 0.001e0 AS latitude, -123e0 + (user_id % 53) * 0.17e0 + k * 0.001e0 AS longitude, event_type, user_id
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
+)"""
+
+
+def r6(x: Column) -> Column:
+    return F.floor(x * F.lit(1e6) + 0.5) / F.lit(1e6)
+
+
+def r6s(x: str) -> str:
+    return f"floor(({x}) * 1e6 + 0.5e0) / 1e6"
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def query(sql: str | None = None):
+    """Register a query; ``sql`` follows the catalog's common table expression unless it starts with WITH."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql if sql.lstrip().startswith("WITH") else CAT_SQL + sql
+        return f
+
+    return add
+
+
+def hav_sql(a: str, b: str) -> str:
+    """Distance in km of rows ``a`` and ``b``."""
+    h = f"pow(sin(radians({a}.latitude - {b}.latitude) / 2e0), 2e0) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({a}.longitude - {b}.longitude) / 2e0), 2e0)"
+    return f"{2 * geo.EARTH_RADIUS!r}e0 * asin(sqrt(least(1e0, {h})))"
+
+
+# --- filters
+
+
+@query(f" SELECT id, {r6s('days')} AS days, magnitude, {r6s('latitude')} AS latitude, {r6s('longitude')} AS longitude FROM cat WHERE days >= {AUX!r}e0 AND days < {END!r}e0 AND magnitude >= 3e0")
+def catalog_filter(spark, sf_dir):
+    """Training window and completeness."""
+    c = filters.complete(filters.between(events(spark, sf_dir), AUX, END), 3.0, DM)
+    return c.select("id", r6(F.col("days")).alias("days"), "magnitude", r6(F.col("latitude")).alias("latitude"), r6(F.col("longitude")).alias("longitude"))
+
+
+def _pip_sql(ring: list) -> str:
+    terms = [f"CASE WHEN ({y1!r}e0 > latitude) != ({y2!r}e0 > latitude) AND longitude < {x1!r}e0 + (latitude - {y1!r}e0) * {(x2 - x1) / (y2 - y1)!r}e0 THEN 1 ELSE 0 END" for (y1, x1), (y2, x2) in zip(ring, [*ring[1:], ring[0]]) if y1 != y2]
+    return f"(({' + '.join(terms)}) % 2 = 1)"
+
+
+def _no_double_exponent(sql: str) -> str:
+    import re
+
+    return re.sub(r"(\de-?\d+)e0", r"\1", sql)
+
+
+@query(_no_double_exponent(f" SELECT id, magnitude FROM cat WHERE {_pip_sql(CALIFORNIA)}"))
+def polygon_filter(spark, sf_dir):
+    """Events inside a ring."""
+    return filters.in_region(events(spark, sf_dir), CALIFORNIA).select("id", "magnitude")
+
+
+@query(" SELECT id, magnitude, floor((p + 0.1e0) * 10e0 + 0.5e0) / 10e0 AS mc_current FROM (SELECT *, lag(magnitude) OVER (ORDER BY days, id) AS p FROM cat) WHERE magnitude >= floor((p + 0.1e0) * 10e0 + 0.5e0) / 10e0")
+def completeness_positive(spark, sf_dir):
+    """Events larger than the one before by a bin."""
+    return filters.complete(events(spark, sf_dir), "positive", DM).select("id", "magnitude", "mc_current")
+
+
+@query(" SELECT CAST(count(*) FILTER (WHERE abs(magnitude - 3e0) < 0.05e0) AS BIGINT) AS near_mc, CAST(count(*) FILTER (WHERE magnitude = 3e0) AS BIGINT) AS at_mc FROM cat")
+def rounding_report(spark, sf_dir):
+    """Events near, and at, completeness."""
+    return filters.rounding_report(events(spark, sf_dir), 3.0, DM)
+
+
+@query(f" SELECT CASE WHEN days >= {AUX!r}e0 AND days < {START!r}e0 THEN 'train' WHEN days >= {START!r}e0 AND days < {END!r}e0 THEN 'validation' WHEN days >= {END!r}e0 AND days < 19750e0 THEN 'test' ELSE 'outside' END AS label, count(*) AS n FROM cat GROUP BY 1")
+def split_labels(spark, sf_dir):
+    """Events by half-open window."""
+    return events(spark, sf_dir).groupBy(filters.split_label(F.col("days"), AUX, START, END, 19750.0).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(" SELECT id, magnitude FROM cat WHERE magnitude >= 5e0 OR event_type IN ('click', 'signup')")
+def large_or_typed(spark, sf_dir):
+    """Disjunction with a membership test."""
+    return events(spark, sf_dir).filter((F.col("magnitude") >= 5) | F.col("event_type").isin("click", "signup")).select("id", "magnitude")
+
+
+@query(" SELECT id, i AS copy FROM (SELECT id, CAST(floor(magnitude) AS BIGINT) - 3 AS n FROM cat WHERE magnitude >= 4e0), generate_series(1, n) AS g(i) WHERE n > 0")
+def repeat_by_count(spark, sf_dir):
+    """Each large event as many times as its magnitude exceeds 3."""
+    c = events(spark, sf_dir).filter("magnitude >= 4").withColumn("n", F.floor("magnitude") - 3)
+    return filters.repeated(c, "n").select("id", "copy")
+
+
+@query(" SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) AS r FROM cat) WHERE r <= 100")
+def hash_sample(spark, sf_dir):
+    """A sampling operator: 100 events in hash order."""
+    return filters.sampled(events(spark, sf_dir), 100, "id").select("id")
+
+
+# --- pairs and expectation
+
+_PAIRS_SQL = f""", ev AS (SELECT * FROM cat WHERE days >= {AUX!r}e0 AND days < {END!r}e0 AND magnitude >= {PAIR_MC!r}e0), pr AS (
+  SELECT s.id AS source_id, t.id AS target_id, s.magnitude AS m, t.days AS target_days, t.days - s.days AS dt, {hav_sql("s", "t")} AS d
+  FROM ev s JOIN ev t ON t.days > s.days AND t.days >= {START!r}e0 AND abs(s.latitude - t.latitude) <= 1e-6 + 100e0 * pow(10e0, 0.59e0 * s.magnitude - 2.44e0) / 111e0
+), pairs AS (SELECT * FROM pr WHERE d <= 100e0 * pow(10e0, 0.59e0 * m - 2.44e0))"""
+_T = THETA
+_KERNEL_SQL = f"{_T.k0!r}e0 * exp({_T.a!r}e0 * (m - {PAIR_MC - DM / 2!r}e0)) * exp(-dt / {_T.tau!r}e0) * pow(dt + {_T.c!r}e0, {-(1 + _T.omega)!r}e0) * pow(d * d + {_T.d!r}e0 * exp({_T.gamma!r}e0 * (m - {PAIR_MC - DM / 2!r}e0)), {-(1 + _T.rho)!r}e0)"
+_E_SQL = _no_double_exponent(
+    _PAIRS_SQL + f""", g AS (SELECT *, {_KERNEL_SQL} AS g FROM pairs WHERE target_days > {START!r}e0),
+tot AS (SELECT target_id, sum(g) + {_T.mu!r}e0 AS total FROM g GROUP BY 1),
+pij AS (SELECT g.*, g / total AS p FROM g JOIN tot USING (target_id)),
+tg AS (SELECT e.id AS target_id, coalesce({_T.mu!r}e0 / total, 1e0) AS p_background, coalesce(pt, 0e0) AS p_triggered FROM ev e LEFT JOIN tot ON e.id = tot.target_id
+  LEFT JOIN (SELECT target_id, sum(p) AS pt FROM pij GROUP BY 1) q ON e.id = q.target_id WHERE e.days > {START!r}e0)"""
+)
+
+
+def _catalog(spark, sf_dir) -> DataFrame:
+    return filters.complete(filters.between(events(spark, sf_dir), AUX, END), PAIR_MC, DM)
+
+
+def _setup(**more) -> inversion.Setup:
+    return inversion.Setup(start=START, end=END, area_km2=AREA, m_ref=PAIR_MC, mc=PAIR_MC, auxiliary_start=AUX, beta=BETA, **more)
+
+
+def _prepared(spark, sf_dir, **more) -> inversion.Prepared:
+    return inversion.prepared(events(spark, sf_dir), _setup(**more))
+
+
+@query(_no_double_exponent(_PAIRS_SQL + f" SELECT source_id, target_id, {r6s('dt')} AS time_distance, {r6s('d * d')} AS spatial_distance_squared FROM pairs"))
+def pair_table(spark, sf_dir):
+    """Sources and later targets within the magnitude's range."""
+    p = pairs.pair_table(_catalog(spark, sf_dir), START)
+    return p.select("source_id", "target_id", r6(F.col("time_distance")).alias("time_distance"), r6(F.col("spatial_distance_squared")).alias("spatial_distance_squared"))
+
+
+@query("""WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)
+SELECT a.id AS source_id, b.id AS target_id FROM p a JOIN p b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.01e0""")
+def pair_table_3d(spark, sf_dir):
+    """Pairs of points within a radius in three dimensions."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    p = e.select(F.col("vec_id").alias("id"), *[F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate("xyz")])
+    return pairs.pair_table_3d(p, 0.1).select("source_id", "target_id")
+
+
+@query(_E_SQL + f" SELECT source_id, target_id, {r6s('p')} AS pij FROM pij")
+def em_expectation_pairs(spark, sf_dir):
+    """Triggering probability of every pair."""
+    e = inversion.expectation(_prepared(spark, sf_dir), THETA)
+    return e.pairs.select("source_id", "target_id", r6(F.col("p")).alias("pij"))
+
+
+@query(_E_SQL + f" SELECT target_id, {r6s('p_background')} AS p_background, {r6s('p_triggered')} AS p_triggered FROM tg")
+def em_expectation_targets(spark, sf_dir):
+    """Background and triggering probability of every target."""
+    e = inversion.expectation(_prepared(spark, sf_dir), THETA)
+    return e.targets.select("target_id", r6(F.col("p_background")).alias("p_background"), r6(F.col("p_triggered")).alias("p_triggered"))
+
+
+@query(_E_SQL + f" SELECT e.id AS source_id, {r6s('coalesce(l, 0e0)')} AS l_hat FROM ev e LEFT JOIN (SELECT source_id, sum(p) AS l FROM pij GROUP BY 1) q ON e.id = q.source_id")
+def em_expectation_sources(spark, sf_dir):
+    """Expected aftershocks of every source."""
+    e = inversion.expectation(_prepared(spark, sf_dir), THETA)
+    return e.sources.select("source_id", r6(F.col("l_hat")).alias("l_hat"))
+
+
+@query(_E_SQL + f" SELECT {r6s('sum(p_background)')} AS n_hat, count(*) AS targets FROM tg")
+def em_background_total(spark, sf_dir):
+    """Expected background events."""
+    e = inversion.expectation(_prepared(spark, sf_dir), THETA)
+    return e.targets.agg(r6(F.sum("p_background")).alias("n_hat"), F.count(F.lit(1)).alias("targets"))
+
+
+@query(_E_SQL + f", nb AS (SELECT x.target_id, sum(exp(-x.d * x.d / 2e0) / (2e0 * pi()) * b.p_background) AS s FROM pairs x JOIN tg b ON x.source_id = b.target_id GROUP BY 1) SELECT tg.target_id, {r6s('(coalesce(s, 0e0) + p_background / (2e0 * pi())) / 16e0')} AS mu FROM tg LEFT JOIN nb ON tg.target_id = nb.target_id")
+def em_free_background(spark, sf_dir):
+    """Smoothed background rate at every target."""
+    p = _prepared(spark, sf_dir)
+    e = inversion.expectation(p, THETA)
+    mu = inversion.smoothed_background(p, e.targets.select("target_id", "p_background"))
+    return mu.select("target_id", r6(F.col("mu")).alias("mu"))
+
+
+@query()
+def em_fit(spark, sf_dir):
+    """Two iterations of expectation-maximisation: parameters by name."""
+    fit = inversion.invert(_prepared(spark, sf_dir), THETA, most=2, steps=3)
+    return spark.createDataFrame([(n, None if v is None else float(v)) for n, v in zip(K.NAMES, fit.theta.values())], "name string, value double")
+
+
+# --- magnitudes
+
+
+@query(f" SELECT count(*) AS n, {r6s('ln(1e0 + 0.1e0 / avg(magnitude - 2.5e0)) / 0.1e0')} AS beta FROM cat WHERE magnitude >= 2.45e0")
+def beta_tinti(spark, sf_dir):
+    """Magnitude slope of binned magnitudes."""
+    return stats.estimate_beta(events(spark, sf_dir), 2.5, DM).select("n", r6(F.col("beta")).alias("beta"))
+
+
+@query(f" SELECT count(*) AS n, {r6s('ln(1e0 + 0.1e0 / (sum((magnitude - 2.5e0) * (1 + user_id)) / sum(1 + user_id))) / 0.1e0')} AS beta FROM cat WHERE magnitude >= 2.45e0")
+def beta_weighted(spark, sf_dir):
+    """Weighted magnitude slope."""
+    return stats.estimate_beta(events(spark, sf_dir).withColumn("w", 1 + F.col("user_id")), 2.5, DM, "w").select("n", r6(F.col("beta")).alias("beta"))
+
+
+@query(f" SELECT count(*) AS n, {r6s('ln(1e0 + 0.1e0 / avg(s - 0.1e0)) / 0.1e0')} AS beta FROM (SELECT floor((magnitude - lag(magnitude) OVER (ORDER BY days, id)) * 10e0 + 0.5e0) / 10e0 AS s FROM cat) WHERE s > 0")
+def beta_positive(spark, sf_dir):
+    """Slope from positive steps."""
+    return stats.estimate_beta_positive(events(spark, sf_dir), DM).select("n", r6(F.col("beta")).alias("beta"))
+
+
+@query(f" SELECT x, {r6s('sum(w) OVER (ORDER BY x) / sum(w) OVER ()')} AS cdf FROM (SELECT magnitude AS x, CAST(count(*) AS DOUBLE) AS w FROM cat GROUP BY 1)")
+def ecdf(spark, sf_dir):
+    """Empirical distribution of magnitudes."""
+    return stats.ecdf(events(spark, sf_dir), "magnitude").select("x", r6(F.col("cdf")).alias("cdf"))
+
+
+@query(f"WITH s AS (SELECT l_quantity AS x, sum(l_extendedprice) AS w FROM lineitem GROUP BY 1) SELECT x, {r6s('sum(w) OVER (ORDER BY x) / sum(w) OVER ()')} AS cdf FROM s")
+def ecdf_weighted(spark, sf_dir):
+    """Weighted empirical distribution."""
+    return stats.ecdf(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_quantity", F.col("l_extendedprice")).select("x", r6(F.col("cdf")).alias("cdf"))
+
+
+@query(f" SELECT {r6s('2.5e0 + k * 0.1e0')} AS x, {r6s('1e0 - exp(-b * 0.1e0 * (k + 1))')} AS fitted FROM (SELECT ln(1e0 + 0.1e0 / avg(magnitude - 2.5e0)) / 0.1e0 AS b, CAST(floor((max(magnitude) - 2.5e0) / 0.1e0 + 0.5e0) AS BIGINT) AS top FROM cat WHERE magnitude >= 2.45e0), generate_series(0, top) AS g(k)")
+def gr_cdf_fit(spark, sf_dir):
+    """Fitted discrete distribution."""
+    return stats.gr_fit(events(spark, sf_dir), 2.5, DM).select(r6(F.col("x")).alias("x"), r6(F.col("fitted")).alias("fitted"))
+
+
+@query(f""", c AS (SELECT CAST(floor((magnitude - 2.5e0) / 0.1e0 + 0.5e0) AS BIGINT) AS k, count(*) AS n FROM cat WHERE magnitude >= 2.45e0 GROUP BY 1),
+b AS (SELECT max(k) AS top, CAST(sum(n) AS BIGINT) AS tot, ln(1e0 + sum(n) / CAST(sum(n * k) AS DOUBLE)) AS rate FROM c),
+q AS (SELECT g.k, tot, rate, coalesce(n, 0) AS n FROM b, generate_series(0, top) AS g(k) LEFT JOIN c ON c.k = g.k)
+SELECT {r6s('max(d)')} AS ks_d, max(tot) AS n FROM (SELECT tot, abs(sum(n) OVER (ORDER BY k) / CAST(tot AS DOUBLE) - (1e0 - exp(-rate * (k + 1)))) AS d FROM q)""")
+def ks_distance(spark, sf_dir):
+    """KS distance of magnitudes to the fitted law."""
+    return stats.ks_gr(events(spark, sf_dir), 2.5, DM).select(r6(F.col("ks_d")).alias("ks_d"), "n")
+
+
+@query()
+def mc_scan(spark, sf_dir):
+    """Completeness candidates with KS distance and Monte-Carlo p value."""
+    return stats.estimate_mc(events(spark, sf_dir), [2.5, 2.6, 2.7], DM, samples=200)[0]
+
+
+@query(f" SELECT CASE WHEN magnitude = 7.5e0 THEN 49 ELSE CAST(floor((magnitude - 2.5e0) / 0.1e0 + 1e-9) AS INTEGER) END AS bin, CAST(count(*) AS DOUBLE) AS total FROM cat WHERE magnitude BETWEEN 2.5e0 AND 7.5e0 GROUP BY 1")
+def magnitude_histogram(spark, sf_dir):
+    """Events by magnitude bin."""
+    return stats.histogram(events(spark, sf_dir), F.col("magnitude") + 1e-10, 2.5, 0.1, 50).select("bin", "total")
+
+
+@query(f" SELECT CAST(floor((log10(dt) + 5e0) / 0.25e0) AS INTEGER) AS bin, {r6s('count(*) / (sum(count(*)) OVER () * 0.25e0)')} AS density FROM (SELECT days - lag(days) OVER (ORDER BY days, id) AS dt FROM cat) WHERE dt > 0 AND log10(dt) >= -5e0 AND log10(dt) < 0e0 GROUP BY 1")
+def log_gap_histogram(spark, sf_dir):
+    """Density of gaps in logarithmic bins."""
+    gaps = stats.interevent(events(spark, sf_dir)).filter("gap_days > 0")
+    return stats.histogram(gaps.filter("log10(gap_days) < 0"), F.log10("gap_days"), -5.0, 0.25, 20).select("bin", r6(F.col("density")).alias("density"))
+
+
+@query(" SELECT magnitude, CAST(sum(n) OVER (ORDER BY magnitude DESC) AS BIGINT) AS n_at_least FROM (SELECT magnitude, count(*) AS n FROM cat GROUP BY 1)")
+def magnitude_survival(spark, sf_dir):
+    """Events at least as large."""
+    return stats.survival(events(spark, sf_dir))
+
+
+# --- kernels and geometry
+
+
+def _untapered_sql(m: str, a: str, z: str) -> str:
+    t = FREE_TAU
+    return _no_double_exponent(f"{t.k0!r}e0 * exp({t.a!r}e0 * ({m} - {M_LOW!r}e0)) * {math.pi / t.rho!r}e0 * pow({t.d!r}e0 * exp({t.gamma!r}e0 * ({m} - {M_LOW!r}e0)), {-t.rho!r}e0) * (pow({a} + {t.c!r}e0, {-t.omega!r}e0) - pow({z} + {t.c!r}e0, {-t.omega!r}e0)) / {t.omega!r}e0")
+
+
+@query(f" SELECT id, {r6s(_untapered_sql('magnitude', f'greatest({START!r}e0 - days, 0e0)', f'({END!r}e0 - days)'))} AS expected FROM cat WHERE days < {END!r}e0")
+def expected_aftershocks(spark, sf_dir):
+    """Aftershocks expected in the window, without taper."""
+    c = events(spark, sf_dir).filter(F.col("days") < END)
+    x = K.expected_untapered(F.col("magnitude"), F.greatest(F.lit(START) - F.col("days"), F.lit(0.0)), F.lit(END) - F.col("days"), FREE_TAU, M_LOW)
+    return c.select("id", r6(x).alias("expected"))
+
+
+@query()
+def expected_tapered(spark, sf_dir):
+    """Aftershocks expected in the window, with taper."""
+    from .functions.special import time_integral
+
+    c = events(spark, sf_dir).filter(F.col("days") < END)
+    m = F.col("magnitude")
+    x = time_integral(F.greatest(F.lit(START) - F.col("days"), F.lit(0.0)), F.lit(END) - F.col("days"), THETA.c, THETA.omega, THETA.tau)
+    return c.select("id", (K.aftershock_number(m, THETA, M_LOW) * K.space_integral(m, THETA, M_LOW) * x).alias("expected"))
+
+
+@query(_no_double_exponent(f" SELECT id, {r6s(f'exp({-(THETA.a - BETA - THETA.gamma * THETA.rho)!r}e0 * dmc)')} AS xi_plus_1, {r6s(f'exp({BETA!r}e0 * dmc)')} AS zeta_plus_1 FROM (SELECT id, CASE WHEN latitude < 37e0 THEN 0e0 ELSE 0.1e0 END AS dmc FROM cat)"))
+def incompleteness_factors(spark, sf_dir):
+    """Factors of sources and targets under a completeness that varies in space."""
+    dmc = F.when(F.col("latitude") < 37, 0.0).otherwise(0.1)
+    return events(spark, sf_dir).select("id", r6(K.xi_plus_1(dmc, THETA, BETA)).alias("xi_plus_1"), r6(K.zeta_plus_1(dmc, BETA)).alias("zeta_plus_1"))
+
+
+@query(f" SELECT magnitude, {', '.join(r6s(f'pow(10e0, {a!r}e0 * magnitude + {b!r}e0)') + f' AS {f}' for f, (a, b) in zip(geo.RUPTURE_FIELDS, geo.RUPTURE['oblique']))} FROM (SELECT DISTINCT magnitude FROM cat)")
+def rupture_scaling(spark, sf_dir):
+    """Rupture dimensions by magnitude."""
+    m = F.col("magnitude")
+    return events(spark, sf_dir).select("magnitude").distinct().select("magnitude", *[r6(geo.rupture(m, f)).alias(f) for f in geo.RUPTURE_FIELDS])
+
+
+@query(f", b AS (SELECT * FROM cat WHERE magnitude >= 4e0) SELECT a.id, {r6s(f'min({hav_sql(chr(97), chr(98))})')} AS distance_km FROM b a JOIN b ON a.id <> b.id GROUP BY 1")
+def nearest_neighbour(spark, sf_dir):
+    """Distance to the nearest other large event."""
+    return pairs.nearest(events(spark, sf_dir).filter("magnitude >= 4")).select("id", r6(F.col("distance_km")).alias("distance_km"))
+
+
+@query(f" SELECT id, {r6s(f'{2 * math.pi * geo.EARTH_RADIUS / 360!r}e0')} AS km_lat, {r6s(f'{2 * geo.EARTH_RADIUS!r}e0 * asin(abs(cos(radians(latitude))) * {math.sin(math.radians(0.5))!r}e0)')} AS km_lon FROM cat")
+def km_per_degree(spark, sf_dir):
+    """Length of a degree at each event."""
+    a, b = geo.km_per_degree(F.col("latitude"))
+    return events(spark, sf_dir).select("id", r6(a).alias("km_lat"), r6(b).alias("km_lon"))
+
+
+@query(" SELECT id, CASE WHEN longitude < 0 THEN longitude + 360e0 ELSE longitude END > 240e0 AS east FROM cat")
+def wrapped_longitude(spark, sf_dir):
+    """Longitudes past the date line."""
+    return events(spark, sf_dir).select("id", (geo.wrapped(F.col("longitude")) > 240).alias("east"))
+
+
+@query(f"WITH x AS (SELECT event_id AS id, (value % 1e0) AS u FROM events) SELECT id, {r6s('0.3e0 * 2e0 * 3e0 * pow(u, 1e0) * pow(1e0 - pow(u, 2e0), 2e0) + 0.7e0 * 1.5e0 * 4e0 * pow(u, 0.5e0) * pow(1e0 - pow(u, 1.5e0), 3e0)')} AS density FROM x WHERE u > 0.01e0 AND u < 0.99e0")
+def mixture_density(spark, sf_dir):
+    """Density of a two-part Kumaraswamy mixture."""
+    x = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), (F.col("value") % 1).alias("u")).filter("u > 0.01 AND u < 0.99")
+    vector = F.array(*[F.lit(v) for v in (2.0, 1.5, 3.0, 4.0, 0.3, 0.7)])
+    return x.select("id", r6(K.mixture_density(F.col("u"), vector)).alias("density"))
+
+
+RATE = K.RateParams(mu=0.01, alpha=-1.0, m0=2.5, c=0.01, p=1.2, big_d=0.05, q=1.6)
+
+
+@query(_no_double_exponent(f""", h AS (SELECT * FROM cat WHERE days < {END!r}e0 AND magnitude >= 4e0), g AS (SELECT r * 1 + c * 8 AS cell, 32e0 + r * {9 / 7!r}e0 AS glat, -124e0 + c * {10 / 7!r}e0 AS glon FROM range(8) a(r), range(8) b(c))
+SELECT cell, {r6s(f"{RATE.mu!r}e0 + sum(exp(magnitude - 2.5e0) * {(RATE.q - 1) / math.pi!r}e0 / ({RATE.big_d**2!r}e0 * exp(magnitude - 2.5e0)) * pow(1e0 + ((glon - longitude) * (glon - longitude) + (glat - latitude) * (glat - latitude)) / ({RATE.big_d**2!r}e0 * exp(magnitude - 2.5e0)), {-RATE.q!r}e0) * {(RATE.p - 1) / RATE.c!r}e0 * pow(1e0 + ({END!r}e0 - days) / {RATE.c!r}e0, {-RATE.p!r}e0))")} AS rate FROM g, h GROUP BY 1"""))
+def rate_on_grid(spark, sf_dir):
+    """Rate of the normalised kernels on a grid."""
+    h = events(spark, sf_dir).filter("magnitude >= 4")
+    return evaluation.rate_grid(pairs.grid_of(32.0, 41.0, -124.0, -114.0, 8, 8, spark), h, RATE, END).select("cell", r6(F.col("rate")).alias("rate"))
+
+
+# --- likelihood
+
+_LIK_SQL = f", ev AS (SELECT * FROM cat WHERE magnitude >= 3.5e0 AND days <= 19750e0), pp AS (SELECT t.id, t.days, t.days - h.days AS dt, h.days AS hd, h.magnitude AS m, {hav_sql('t', 'h')} AS d FROM ev t JOIN ev h ON t.days >= {END!r}e0 AND (h.days < t.days OR (h.days = t.days AND h.id < t.id)))"
+_F = FREE_TAU
+_NUM = f"{_F.k0!r}e0 * exp({_F.a!r}e0 * (m - {3.45!r}e0))"
+_ZONE = f"{_F.d!r}e0 * exp({_F.gamma!r}e0 * (m - {3.45!r}e0))"
+_DEC = f"pow(dt + {_F.c!r}e0, {-(1 + _F.omega)!r}e0)"
+_SPC = f"{math.pi / _F.rho!r}e0 * pow({_ZONE}, {-_F.rho!r}e0)"
+_INT = lambda x: f"(pow({_F.c!r}e0, {-_F.omega!r}e0) - pow({x} + {_F.c!r}e0, {-_F.omega!r}e0)) / {_F.omega!r}e0"
+
+
+def _likelihood_events(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).filter("magnitude >= 3.5 AND days <= 19750")
+
+
+@query(_no_double_exponent(_LIK_SQL + f" SELECT id, {r6s(f'{_F.mu!r}e0 + sum({_NUM} * {_DEC} * pow(d * d + {_ZONE}, {-(1 + _F.rho)!r}e0))')} AS lam, {r6s(f'{_F.mu * AREA!r}e0 + sum({_NUM} * {_SPC} * {_DEC})')} AS lam_star FROM pp GROUP BY 1"))
+def conditional_rates(spark, sf_dir):
+    """Local and regional rate at each test event."""
+    r = evaluation.rates(_likelihood_events(spark, sf_dir), FREE_TAU, 3.45, AREA, END, 19750.0)
+    return r.select("id", r6(F.col("lam")).alias("lam"), r6(F.col("lam_star")).alias("lam_star"))
+
+
+@query(_no_double_exponent(_LIK_SQL + f", tt AS (SELECT id, days, sum({_NUM} * {_SPC} * {_INT('dt')}) + {_F.mu * AREA!r}e0 * (days - {AUX!r}e0) AS tot, sum({_NUM} * {_SPC} * {_INT(f'greatest({END!r}e0 - hd, 0e0)')}) + {_F.mu * AREA * (END - AUX)!r}e0 AS fst FROM pp GROUP BY 1, 2) SELECT id, {r6s('coalesce(tot - lag(tot) OVER (ORDER BY days, id), tot - fst)')} AS increment FROM tt"))
+def compensator_increments(spark, sf_dir):
+    """Integral of the regional rate between test events."""
+    c = evaluation.compensators(_likelihood_events(spark, sf_dir), FREE_TAU, 3.45, AREA, AUX, END, 19750.0)
+    return c.select("id", r6(F.col("increment")).alias("increment"))
+
+
+@query(_no_double_exponent(f", c AS (SELECT CAST(count(*) FILTER (WHERE days >= {AUX!r}e0 AND days <= {END!r}e0) AS DOUBLE) / {AREA * (END - AUX)!r}e0 AS rate, count(*) FILTER (WHERE days >= {END!r}e0 AND days <= {TEST_END!r}e0) AS nt FROM cat) SELECT {r6s(f'{AREA * (TEST_END - END)!r}e0 * rate / nt - ln(rate)')} AS nll, {r6s(f'ln(rate * {AREA!r}e0) - {AREA * (TEST_END - END)!r}e0 * rate / nt')} AS tll FROM c"))
+def poisson_baseline(spark, sf_dir):
+    """Scores of a constant rate."""
+    c = events(spark, sf_dir).agg(F.count_if(F.col("days").between(AUX, END)).alias("a"), F.count_if(F.col("days").between(END, TEST_END)).alias("b"))
+    s = stats.poisson_scores(F.col("a"), END - AUX, F.col("b"), TEST_END - END, AREA)
+    return c.select(r6(s["nll"]).alias("nll"), r6(s["tll"]).alias("tll"))
+
+
+@query()
+def likelihood_scores(spark, sf_dir):
+    """Negative, temporal and spatial log likelihood of test events, tapered."""
+    return evaluation.scores(_likelihood_events(spark, sf_dir), THETA, 3.45, AREA, AUX, END, 19750.0)
+
+
+# --- time, windows, sets
+
+
+@query(f" SELECT id, {r6s('gap')} AS gap_days FROM (SELECT id, days - lag(days) OVER (ORDER BY days, id) AS gap FROM cat) WHERE gap IS NOT NULL")
+def interevent(spark, sf_dir):
+    """Gaps between consecutive events."""
+    return stats.interevent(events(spark, sf_dir)).select("id", r6(F.col("gap_days")).alias("gap_days"))
+
+
+@query(f" SELECT k AS point, (SELECT count(*) FROM cat WHERE days <= {AUX!r}e0 + k * 0.5e0) AS n FROM generate_series(0, 60) AS g(k)")
+def cumulative_grid(spark, sf_dir):
+    """Events up to each point of a grid."""
+    c = stats.cumulative_on_grid(events(spark, sf_dir), AUX, TEST_END, 61)
+    return c.select(F.floor((F.col("t") - AUX) * 2 + 0.5).cast("long").alias("point"), "n")
+
+
+@query(f", c AS (SELECT event_type, CAST(floor(days) AS BIGINT) AS d, count(*) AS n FROM cat GROUP BY 1, 2) SELECT d AS day, {r6s('avg(n)')} AS mean, {r6s('stddev_samp(n)')} AS std, {r6s('quantile_cont(CAST(n AS DOUBLE), 0.25)')} AS q25, {r6s('quantile_cont(CAST(n AS DOUBLE), 0.75)')} AS q75 FROM c GROUP BY 1")
+def ensemble_band(spark, sf_dir):
+    """Spread of daily counts over event types as realisations."""
+    c = events(spark, sf_dir).groupBy("event_type", F.floor("days").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return stats.band(c, "day", "n").select("day", *[r6(F.col(x)).alias(x) for x in ("mean", "std", "q25", "q75")])
+
+
+@query(f", r AS (SELECT user_id AS seed, magnitude AS m, days - {AUX!r}e0 AS dt, CASE WHEN magnitude >= 3e0 THEN 'triggered' ELSE 'background' END AS s FROM cat) SELECT seed, count(*) AS n_events, count(*) FILTER (WHERE s = 'background') AS background, count(*) FILTER (WHERE s = 'triggered') AS triggered, {r6s('median(dt)')} AS median_dt_days, max(m) AS max_magnitude FROM r GROUP BY 1")
+def realization_metrics(spark, sf_dir):
+    """Metrics of each realisation."""
+    r = events(spark, sf_dir).select(F.col("user_id").alias("seed"), F.col("magnitude").alias("m"), (F.col("days") - AUX).alias("dt_days"), F.when(F.col("magnitude") >= 3, "triggered").otherwise("background").alias("event_source"))
+    return stats.realization_metrics(r).withColumn("median_dt_days", r6(F.col("median_dt_days"))).drop("ratio")
+
+
+@query(f", r AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS n, max(magnitude) AS top FROM cat GROUP BY 1), l AS (SELECT 'n' AS metric, n AS v FROM r UNION ALL SELECT 'top', top FROM r) SELECT metric, {r6s('avg(v)')} AS mean, {r6s('stddev_samp(v)')} AS std, {r6s('median(v)')} AS median, min(v) AS min, max(v) AS max FROM l GROUP BY 1")
+def aggregate_summary(spark, sf_dir):
+    """Summary of metrics over realisations."""
+    r = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("magnitude").alias("top"))
+    return stats.summary(r, ["n", "top"]).select("metric", *[r6(F.col(x)).alias(x) for x in ("mean", "std", "median")], "min", "max")
+
+
+@query(" SELECT CAST(d AS BIGINT) AS day, count(id) AS n FROM (SELECT unnest(generate_series(min(CAST(floor(days) AS BIGINT)), max(CAST(floor(days) AS BIGINT)))) AS d FROM cat) LEFT JOIN cat ON floor(days) = d GROUP BY 1")
+def daily_rate(spark, sf_dir):
+    """Events of every day, empty ones too."""
+    return stats.daily_counts(events(spark, sf_dir))
+
+
+@query(f", c AS (SELECT CAST(floor(days) AS BIGINT) AS day, count(*) AS n FROM cat GROUP BY 1) SELECT day, {r6s('avg(n) OVER (ORDER BY day ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)')} AS smooth FROM c")
+def moving_average(spark, sf_dir):
+    """Centred average of an even width."""
+    return stats.moving_average(stats.daily_counts(events(spark, sf_dir)), "n", "day", 4).select("day", r6(F.col("smooth")).alias("smooth"))
+
+
+@query(f" SELECT id, segment, row_number() OVER (PARTITION BY segment ORDER BY days, id) AS count FROM (SELECT *, CASE WHEN days >= {END!r}e0 THEN 2 WHEN days >= {START!r}e0 THEN 1 ELSE 0 END AS segment FROM cat)")
+def reset_counts(spark, sf_dir):
+    """Running count that starts anew at each boundary."""
+    return stats.counts_since(events(spark, sf_dir), [START, END]).select("id", "segment", "count")
+
+
+@query(f", c AS (SELECT CAST(floor(days) AS BIGINT) AS day, count(*) AS n FROM cat GROUP BY 1) SELECT {r6s('sum(s)')} AS integral FROM (SELECT (day - lag(day) OVER (ORDER BY day)) * (n + lag(n) OVER (ORDER BY day)) / 2e0 AS s FROM c)")
+def trapezoid(spark, sf_dir):
+    """Integral of the daily rate."""
+    return stats.trapezoid(stats.daily_counts(events(spark, sf_dir)), "day", "n").select(r6(F.col("integral")).alias("integral"))
+
+
+@query(" SELECT id, (SELECT count(*) FROM cat b WHERE b.magnitude >= 4e0 AND CAST(floor(b.days * 86400e6 + 0.5e0) AS BIGINT) >= CAST(floor(a.days * 86400e6 + 0.5e0) AS BIGINT) - 172800000000 AND CAST(floor(b.days * 86400e6 + 0.5e0) AS BIGINT) < CAST(floor(a.days * 86400e6 + 0.5e0) AS BIGINT)) AS past FROM cat a")
+def trailing_seismicity(spark, sf_dir):
+    """Large events of the two days before each event."""
+    return pairs.trailing_count(events(spark, sf_dir), 2, 4.0).select("id", "past")
+
+
+@query(f" SELECT id, {r6s('sum(coalesce(CASE WHEN magnitude >= 3e0 THEN magnitude - 3e0 END, 0e0)) OVER (ORDER BY days, id)')} AS gain FROM cat")
+def cumulative_gain(spark, sf_dir):
+    """Running sum in which missing values count as nothing."""
+    g = F.when(F.col("magnitude") >= 3, F.col("magnitude") - 3)
+    w = W.orderBy("days", "id").rowsBetween(W.unboundedPreceding, 0)
+    return events(spark, sf_dir).select("id", r6(F.sum(F.coalesce(g, F.lit(0.0))).over(w)).alias("gain"))
+
+
+@query(" SELECT user_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY days, id) AS r FROM cat WHERE days > 19730e0) WHERE r <= 3")
+def first_after(spark, sf_dir):
+    """First three events of each realisation after a time."""
+    w = W.partitionBy("user_id").orderBy("days", "id")
+    return events(spark, sf_dir).filter(F.col("days") > START).withColumn("r", F.row_number().over(w)).filter("r <= 3").select("user_id", "id")
+
+
+@query(f" SELECT id, {r6s('exp(magnitude) / sum(exp(magnitude)) OVER (PARTITION BY user_id)')} AS weight FROM cat")
+def group_weights(spark, sf_dir):
+    """Weights that sum to one in each group."""
+    return events(spark, sf_dir).select("id", r6(F.exp("magnitude") / F.sum(F.exp("magnitude")).over(W.partitionBy("user_id"))).alias("weight"))
+
+
+@query(" SELECT id, magnitude FROM cat ORDER BY magnitude DESC, id LIMIT 20")
+def largest_events(spark, sf_dir):
+    """A top-k report."""
+    return events(spark, sf_dir).orderBy(F.desc("magnitude"), "id").limit(20).select("id", "magnitude")
+
+
+_KEY_SQL = "concat_ws('|', CAST(floor(days * 86400e0 + 0.5e0) AS BIGINT), CAST(floor(latitude * 1e5 + 0.5e0) AS BIGINT), CAST(floor(longitude * 1e5 + 0.5e0) AS BIGINT), CAST(floor(magnitude * 1e3 + 0.5e0) AS BIGINT))"
+
+
+def _key_sets(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c = events(spark, sf_dir).withColumn("key", stats.event_key(F.col("days"), F.col("latitude"), F.col("longitude"), F.col("magnitude")))
+    return c.filter("magnitude >= 3").select("key"), c.filter("user_id % 2 = 0").select("key")
+
+
+@query(f", k AS (SELECT *, {_KEY_SQL} AS key FROM cat) SELECT key FROM k WHERE magnitude >= 3e0 INTERSECT SELECT key FROM k WHERE user_id % 2 = 0")
+def keys_in_both(spark, sf_dir):
+    """Events of both catalogs by rounded key."""
+    a, b = _key_sets(spark, sf_dir)
+    return a.intersect(b)
+
+
+@query(f", k AS (SELECT *, {_KEY_SQL} AS key FROM cat) SELECT key FROM k WHERE magnitude >= 3e0 EXCEPT ALL SELECT key FROM k WHERE user_id % 2 = 0")
+def keys_in_first_only(spark, sf_dir):
+    """Events of the first catalog alone, repeated rows kept."""
+    a, b = _key_sets(spark, sf_dir)
+    return a.exceptAll(b)
+
+
+@query(" SELECT id, magnitude, NULL::BIGINT AS user_id FROM cat WHERE magnitude >= 5e0 UNION ALL SELECT id, NULL::DOUBLE, user_id FROM cat WHERE user_id = 1")
+def stacked_schemas(spark, sf_dir):
+    """Union by name with missing columns."""
+    c = events(spark, sf_dir)
+    return filters.stacked(c.filter("magnitude >= 5").select("id", "magnitude"), c.filter("user_id = 1").select("id", "user_id"))
+
+
+@query(" SELECT u.user_id, count(DISTINCT event_type) AS kinds, count(*) AS n FROM cat u GROUP BY 1")
+def distinct_kinds(spark, sf_dir):
+    """Distinct values by group."""
+    return events(spark, sf_dir).groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f" SELECT {r6s('regr_slope(magnitude, days)')} AS slope, {r6s('corr(magnitude, latitude)')} AS r FROM cat")
+def slope_and_correlation(spark, sf_dir):
+    """Least-squares slope and correlation."""
+    return events(spark, sf_dir).agg(r6(F.regr_slope("magnitude", "days")).alias("slope"), r6(F.corr("magnitude", "latitude")).alias("r"))
+
+
+# --- random numbers and simulation
+
+_U = lambda *key: f"CAST(('0x' || substr(md5(concat_ws('|', {', '.join(key)})), 1, 13)) AS BIGINT) / 4503599627370496e0"
+
+
+@query(f" SELECT id, {r6s(f'-ln(1e0 - {_U(chr(39) + str(1905) + chr(39), chr(105) + chr(100))}) / 2e0 + 2.45e0')} AS magnitude FROM cat")
+def gr_sample(spark, sf_dir):
+    """Magnitudes from hash-keyed uniform numbers."""
+    return events(spark, sf_dir).select("id", r6(K.gr_magnitude_of(rng.uniform(1905, F.col("id")), 2.0, M_LOW)).alias("magnitude"))
+
+
+@query(_no_double_exponent(f" SELECT id, {r6s(f'sqrt({THETA.d!r}e0 * exp({THETA.gamma!r}e0 * (magnitude - {M_LOW!r}e0)) * (pow(1e0 - u, {-1 / THETA.rho!r}e0) - 1e0))')} AS radius_km FROM (SELECT *, {_U(chr(39) + str(1905) + chr(39), 'id', chr(39) + 'radius' + chr(39))} AS u FROM cat)"))
+def radius_sample(spark, sf_dir):
+    """Offspring distances by inversion."""
+    u = rng.uniform(1905, F.col("id"), "radius")
+    return events(spark, sf_dir).select("id", r6(K.radius_of(u, F.col("magnitude"), THETA, M_LOW)).alias("radius_km"))
+
+
+@query(_no_double_exponent(f" SELECT id, {r6s(f'pow(1e0 - u, {-1 / FREE_TAU.omega!r}e0) * {FREE_TAU.c!r}e0 - {FREE_TAU.c!r}e0')} AS delay FROM (SELECT *, 0.5e0 * {_U(chr(39) + str(1905) + chr(39), 'id', chr(39) + 'time' + chr(39))} AS u FROM cat)"))
+def untapered_delay(spark, sf_dir):
+    """Offspring delays by inversion, without taper."""
+    u = F.lit(0.5) * rng.uniform(1905, F.col("id"), "time")
+    return events(spark, sf_dir).select("id", r6(K.untapered_delay_of(u, FREE_TAU)).alias("delay"))
+
+
+@query()
+def one_generation(spark, sf_dir):
+    """Offspring of every event within ten days."""
+    process = simulation.Process(K.Theta(log10_k0=-2.8), 2.3, 2.5)
+    c = events(spark, sf_dir).withColumns({"catalog_id": F.lit(0).cast("long"), "root_id": F.col("id"), "generation": F.lit(0)})
+    return simulation.aftershocks(c, process, TEST_END + 10)
+
+
+@query()
+def forecast_realizations(spark, sf_dir):
+    """Four realisations of the week after the window."""
+    process = simulation.Process(K.Theta(log10_mu=-6.5, log10_k0=-3.4), 2.3, 3.0)
+    c = filters.complete(events(spark, sf_dir), 3.0, DM)
+    return simulation.forecast(c, process, CALIFORNIA, TEST_END, 7.0, AREA, 4)
+
+
+@query()
+def thinning_realizations(spark, sf_dir):
+    """Two thinning realisations of a day, from the large events."""
+    process = simulation.Process(K.Theta(log10_mu=-6.5, log10_k0=-3.4), 2.3, 4.0)
+    return simulation.thinned(events(spark, sf_dir).filter("magnitude >= 5.5"), process, CALIFORNIA, TEST_END, TEST_END + 1, 2, 200)
+
+
+@query()
+def synthetic_catalog(spark, sf_dir):
+    """A catalog from background alone, with burn-in."""
+    process = simulation.Process(K.Theta(log10_mu=-6.5, log10_k0=-3.4), 2.3, 3.0)
+    return simulation.synthetic_catalog(spark, process, CALIFORNIA, AUX, TEST_END, AREA, 5.0)
+
+
+# --- tests
+
+
+@query(f", s AS (SELECT magnitude AS x, count(*) FILTER (WHERE user_id % 2 = 0) AS a, count(*) FILTER (WHERE user_id % 2 = 1) AS b FROM cat GROUP BY 1) SELECT {r6s('max(d)')} AS ks_d, max(n1) AS n1, max(n2) AS n2 FROM (SELECT abs(sum(a) OVER w / CAST(sum(a) OVER () AS DOUBLE) - sum(b) OVER w / CAST(sum(b) OVER () AS DOUBLE)) AS d, CAST(sum(a) OVER () AS BIGINT) AS n1, CAST(sum(b) OVER () AS BIGINT) AS n2 FROM s WINDOW w AS (ORDER BY x))")
+def ks_two_sample(spark, sf_dir):
+    """Largest distance of two samples' distributions."""
+    c = events(spark, sf_dir)
+    return stats.ks_two_samples(c.filter("user_id % 2 = 0"), c.filter("user_id % 2 = 1"), "magnitude").select(r6(F.col("ks_d")).alias("ks_d"), "n1", "n2")
+
+
+_DIFF_SQL = ", p AS (SELECT user_id, CAST(count(*) FILTER (WHERE days < 19738e0) AS DOUBLE) - count(*) FILTER (WHERE days >= 19738e0) AS d FROM cat GROUP BY 1)"
+
+
+def _differences(spark, sf_dir) -> DataFrame:
+    return events(spark, sf_dir).groupBy("user_id").agg((F.count_if(F.col("days") < 19738).cast("double") - F.count_if(F.col("days") >= 19738)).alias("d"))
+
+
+@query(_DIFF_SQL + f" SELECT sum(CASE WHEN d > 0 THEN r ELSE 0e0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0e0 END) AS w_minus, count(*) AS n FROM (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2e0 AS r FROM p WHERE d <> 0)")
+def signed_rank(spark, sf_dir):
+    """Signed rank sums of paired differences."""
+    return stats.signed_rank(_differences(spark, sf_dir), "d")
+
+
+@query(_DIFF_SQL + f", f AS (SELECT draw, avg(d * CASE WHEN {_U(chr(39) + str(1905) + chr(39), 'draw', 'user_id')} < 0.5e0 THEN -1e0 ELSE 1e0 END) AS m FROM p, range(500) AS g(draw) GROUP BY 1) SELECT {r6s('max(o.mean)')} AS mean, {r6s('avg(CASE WHEN abs(m) >= abs(o.mean) - 1e-12 THEN 1e0 ELSE 0e0 END)')} AS p FROM f, (SELECT avg(d) AS mean FROM p) o")
+def permutation_test(spark, sf_dir):
+    """Sign-flip test of a mean paired difference."""
+    t = stats.sign_flips(_differences(spark, sf_dir), "user_id", "d", 500)
+    return t.select(r6(F.col("mean")).alias("mean"), r6(F.col("p")).alias("p"))
+
+
+@query(f" SELECT CAST(floor(latitude / 0.5e0) AS INTEGER) AS row, CAST(floor(longitude / 0.5e0) AS INTEGER) AS col, CAST(floor(magnitude / 0.5e0) AS INTEGER) AS mag_bin, {r6s('count(*) / 150e0')} AS rate FROM cat GROUP BY 1, 2, 3")
+def expected_rates(spark, sf_dir):
+    """Mean events of a realisation by cell and magnitude."""
+    return stats.expected_rates(events(spark, sf_dir), 150).select("row", "col", "mag_bin", r6(F.col("rate")).alias("rate"))
+
+
+@query(f", c AS (SELECT user_id, count(*) AS n FROM cat GROUP BY 1) SELECT {r6s('avg(CASE WHEN n >= 65 THEN 1e0 ELSE 0e0 END)')} AS delta1, {r6s('avg(CASE WHEN n <= 65 THEN 1e0 ELSE 0e0 END)')} AS delta2 FROM c")
+def number_test(spark, sf_dir):
+    """CSEP N test."""
+    c = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return stats.number_test(c, 65).select(r6(F.col("delta1")).alias("delta1"), r6(F.col("delta2")).alias("delta2"))
+
+
+def _realizations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c = events(spark, sf_dir).withColumn("catalog_id", F.col("user_id"))
+    return c.filter("user_id > 0"), c.filter("user_id = 0").drop("catalog_id")
+
+
+@query()
+def magnitude_test(spark, sf_dir):
+    """CSEP M test."""
+    return stats.magnitude_test(*_realizations(spark, sf_dir))
+
+
+@query()
+def spatial_test(spark, sf_dir):
+    """CSEP S test."""
+    return stats.spatial_test(*_realizations(spark, sf_dir), 149)
+
+
+@query()
+def pseudo_likelihood_test(spark, sf_dir):
+    """CSEP pseudo-likelihood test."""
+    return stats.spatial_test(*_realizations(spark, sf_dir), 149, normalized=False)
+
+
+@query()
+def magnitude_density(spark, sf_dir):
+    """Kernel density of magnitudes."""
+    return stats.density_on_grid(events(spark, sf_dir), "magnitude", 0.2, 2.5, 7.0, 46)
+
+
+@query(f" SELECT DISTINCT CAST(floor(days * 86400e0) AS BIGINT) AS time, {r6s('latitude')} AS latitude, {r6s('longitude')} AS longitude, magnitude, 10e0 AS depth FROM cat")
+def epoch_catalog(spark, sf_dir):
+    """The catalog in epoch seconds with a default depth, without duplicates."""
+    c = events(spark, sf_dir).withColumns({"latitude": r6(F.col("latitude")), "longitude": r6(F.col("longitude"))})
+    return cat.to_epoch_catalog(c)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
