@@ -534,11 +534,11 @@ def keys_in_first_only(spark, sf_dir):
     return a.exceptAll(b)
 
 
-@query(" SELECT id, magnitude, NULL::BIGINT AS user_id FROM cat WHERE magnitude >= 5e0 UNION ALL SELECT id, NULL::DOUBLE, user_id FROM cat WHERE user_id = 1")
+@query(" SELECT id, magnitude, NULL::DOUBLE AS user_id FROM cat WHERE magnitude >= 5e0 UNION ALL SELECT id, NULL::DOUBLE, CAST(user_id AS DOUBLE) FROM cat WHERE user_id = 1")
 def stacked_schemas(spark, sf_dir):
     """Union by name with missing columns."""
     c = events(spark, sf_dir)
-    return filters.stacked(c.filter("magnitude >= 5").select("id", "magnitude"), c.filter("user_id = 1").select("id", "user_id"))
+    return filters.stacked(c.filter("magnitude >= 5").select("id", "magnitude"), c.filter("user_id = 1").select("id", F.col("user_id").cast("double").alias("user_id")))
 
 
 @query(" SELECT u.user_id, count(DISTINCT event_type) AS kinds, count(*) AS n FROM cat u GROUP BY 1")
