@@ -553,6 +553,47 @@ def slope_and_correlation(spark, sf_dir):
     return events(spark, sf_dir).agg(r6(F.regr_slope("magnitude", "days")).alias("slope"), r6(F.corr("magnitude", "latitude")).alias("r"))
 
 
+# --- joins of catalogs
+
+
+@query(f", q AS (SELECT t.id, s.id AS pid, s.magnitude AS m, t.days - s.days AS dt, {hav_sql('t', 's')} AS d FROM cat t JOIN cat s ON s.days < t.days WHERE t.magnitude >= 4.5e0 AND s.magnitude >= 4e0), w AS (SELECT id, pid, exp(1.8e0 * m) / (pow(dt + 0.01e0, 1.1e0) * pow(d * d + exp(1.3e0 * (m - 2.5e0)), 1.5e0)) AS c FROM q) SELECT id, arg_max(pid, c) AS parent_id FROM w GROUP BY 1")
+def dominant_parent(spark, sf_dir):
+    """The earlier event that contributes most to each large event's rate."""
+    c = events(spark, sf_dir)
+    t = c.filter("magnitude >= 4.5").select("id", F.col("days").alias("t"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
+    s = c.filter("magnitude >= 4").select(F.col("id").alias("pid"), "days", "latitude", "longitude", F.col("magnitude").alias("m"))
+    # Time bins as wide as the span that any parent is sought in would be the whole history here, so bins share it out.
+    bins = 8
+    t = t.withColumn("bin", F.pmod("id", F.lit(bins)))
+    s = s.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    d = geo.haversine(F.col("la"), F.col("lo"), F.col("latitude"), F.col("longitude"))
+    both = t.join(s, (t.bin == s.bin) & (s.days < t.t)).withColumn("d", d)
+    share = F.exp(F.lit(1.8) * F.col("m")) / (F.pow(F.col("t") - F.col("days") + 0.01, F.lit(1.1)) * F.pow(F.col("d") * F.col("d") + F.exp(F.lit(1.3) * (F.col("m") - 2.5)), F.lit(1.5)))
+    return both.groupBy("id").agg(F.max_by("pid", share).alias("parent_id"))
+
+
+@query(" SELECT id, CAST(least(8, ceil((latitude - 32e0) / 1.25e0)) AS INTEGER) AS grid_row, CAST(least(8, ceil((longitude + 124e0) / 1.25e0)) AS INTEGER) AS grid_col FROM cat")
+def next_grid_node(spark, sf_dir):
+    """The grid node at or after each event on both axes, clipped to the grid."""
+    at = lambda x, lo: F.least(F.lit(8), F.ceil((x - lo) / F.lit(1.25))).cast("int")
+    return events(spark, sf_dir).select("id", at(F.col("latitude"), 32.0).alias("grid_row"), at(F.col("longitude"), -124.0).alias("grid_col"))
+
+
+@query(f", k AS (SELECT user_id, avg(magnitude) AS kappa FROM cat WHERE magnitude >= 4e0 GROUP BY 1) SELECT id, {r6s('coalesce(kappa, 0e0)')} AS kappa FROM cat LEFT JOIN k USING (user_id)")
+def left_join_filled(spark, sf_dir):
+    """A left join that keeps the row count, missing values as 0."""
+    c = events(spark, sf_dir)
+    k = c.filter("magnitude >= 4").groupBy("user_id").agg(F.avg("magnitude").alias("kappa"))
+    return c.join(k, "user_id", "left").select("id", r6(F.coalesce("kappa", F.lit(0.0))).alias("kappa"))
+
+
+@query(" SELECT id FROM cat WHERE user_id IN (SELECT user_id FROM cat WHERE magnitude >= 5.5e0) AND user_id NOT IN (SELECT user_id FROM cat WHERE magnitude >= 6e0)")
+def seeds_in_one_not_other(spark, sf_dir):
+    """Semi and anti joins on realisations."""
+    c = events(spark, sf_dir)
+    return c.join(c.filter("magnitude >= 5.5").select("user_id").distinct(), "user_id", "left_semi").join(c.filter("magnitude >= 6").select("user_id").distinct(), "user_id", "left_anti").select("id")
+
+
 # --- random numbers and simulation
 
 _U = lambda *key: f"CAST(('0x' || substr(md5(concat_ws('|', {', '.join(key)})), 1, 13)) AS BIGINT) / 4503599627370496e0"
