@@ -148,6 +148,25 @@ def test_roles_recovered(spark):
     assert all(r.rendered == f"<|{r.role_pred}|>\n{r.text}\n<|end|>\n" for r in both.itertuples())
 
 
+def test_pieces_change_nothing(spark):
+    """A conversation cut over many runs is parsed as in one, and counts are the same."""
+    rng = random.Random(8)
+    rows = [(c, t, ("user", "assistant")[t % 2] if rng.random() < 0.8 else None, rng.choice(["yes?", "well\nthen", "- item\nq: x", "no"]) + str(rng.random())) for c in (1, 2) for t in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    results, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "7", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            model = transcripts.learn(df)
+            results.append((model, sorted((r.conv_id, r.turn, r.marked, r.role_pred, r.starts, r.rendered) for r in transcripts.parse(df, model).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for model, got in results[1:]:
+        assert got == results[0][1] and len(got) == len(rows)
+        for name in ("start", "trans", "marks", "forms"):
+            assert np.allclose(getattr(model, name), getattr(results[0][0], name))
+
+
 def test_markers():
     for line, role in (("User: x", 1), ("### Assistant: y", 2), ("[system] z", 0), ("**Human:** q", 1), ("Q: a", 1), ("users: no", 3), ("The system: no", 3)):
         assert transcripts.marker(line)[0] == role, line

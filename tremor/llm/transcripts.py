@@ -9,6 +9,7 @@ roles, with markers taken off some of them; the most likely states come from Vit
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,11 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Roles in canonical order. Names that mark a speaker.
 ROLES = ("system", "user", "assistant")
 NAMES = {"system": ("system", "instruction", "instructions"), "user": ("user", "human", "customer", "q"), "assistant": ("assistant", "ai", "bot", "agent", "model", "a")}
 #: How many turns of training lose their marker, in eighths.
 BARE_EIGHTHS = 3
+#: Less than any difference that matters between paths.
+TIE = 1e-6
 #: A line's forms: ends as a question; starts in lower case; blank; list or code; short.
 FORMS = 5
 
@@ -52,29 +57,38 @@ class Model:
     marks: np.ndarray
     forms: np.ndarray
 
-    def line(self, text: str) -> np.ndarray:
-        """Log likelihood of a line in each state."""
+    def line(self, text: str, *place: object) -> np.ndarray:
+        """Log likelihood of a line in each state, and less than ``TIE`` by its place.
+
+        Paths that differ only in which of two like lines starts a turn are equally likely;
+        the addition chooses one of them whatever order sums are taken in.
+        """
         own = self.marks[:, marker(text)[0]].copy()
         for k, on in enumerate(forms(text)):
             own += self.forms[:, k, int(on)]
-        return own
+        digest = hashlib.blake2b("|".join(map(str, place)).encode(), digest_size=2 * len(own)).digest()
+        return own + np.frombuffer(digest, "<u2") * (TIE / (1 << 16))
 
     def viterbi(self, lines: list[str]) -> list[int]:
-        """The most likely states of a whole transcript; ties go to the first state."""
+        """The most likely states of a whole transcript."""
         walk = Walk(self)
-        return [s for line in lines for s, _ in walk.push(line, None)] + [s for s, _ in walk.finish()]
+        return [s for i, line in enumerate(lines) for s, _ in walk.push(self.line(line, i), None)] + [s for s, _ in walk.finish()]
 
 
 class Walk:
-    """Viterbi that gives states as soon as all best paths agree on them, so long transcripts need little memory."""
+    """Viterbi that gives states as soon as all best paths agree on them, so long transcripts need little memory.
+
+    A piece of a transcript starts after the known state of the line before it (``before``)
+    and, unless it is the last piece, ends in a known state (see ``finish``).
+    """
 
     def __init__(self, model: Model) -> None:
         self.model, self.best, self.back, self.held = model, None, [], []
 
-    def push(self, line: str, item) -> list[tuple[int, object]]:
-        own = self.model.line(line)
+    def push(self, own: np.ndarray, item, before: int | None = None) -> list[tuple[int, object]]:
+        """``own`` is the line's log likelihood in each state."""
         if self.best is None:
-            self.best = self.model.start + own
+            self.best = (self.model.start if before is None else self.model.trans[before]) + own
             self.back.append(np.zeros(len(own), np.int64))
         else:
             paths = self.best[:, None] + self.model.trans
@@ -101,8 +115,8 @@ class Walk:
             state = int(self.back[k][state])
         return out[::-1]
 
-    def finish(self) -> list[tuple[int, object]]:
-        out = self._trace(len(self.held) - 1, int(self.best.argmax())) if self.held else []
+    def finish(self, last: int | None = None) -> list[tuple[int, object]]:
+        out = self._trace(len(self.held) - 1, int(self.best.argmax()) if last is None else last) if self.held else []
         self.best, self.back, self.held = None, [], []
         return out
 
@@ -119,16 +133,77 @@ def turn_lines(role: str | None, text: str | None, hidden: bool) -> list[str]:
 
 
 def _dealt(turns: DataFrame) -> DataFrame:
-    """Turns by conversation, in order: turn (nulls first), then role and text. One task streams a conversation."""
+    """Turns in order of conversation and turn (nulls first), then role and text, in written runs (``part``).
+
+    Runs are ranges of that order, so a long conversation is cut into pieces in several
+    runs; see ``_pieces`` for what crosses a cut. The runs are written, so all passes see
+    the same ones.
+    """
     parts = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ["conv_id", "turn", "role", "text"]
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return cut(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "turns")
+
+
+def _by_run(dealt: DataFrame) -> DataFrame:
+    parts = max(1, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select("part", "conv_id", "turn", "role", "text", "at").repartition(parts, "part").sortWithinPartitions("part", "at")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
-            yield from zip(*(c.to_pylist() for c in batch.slice(a, 256).columns))
+            yield from zip(*(c.to_pylist() for c in batch.slice(a, 256).columns[:5]))
+
+
+def _pieces(dealt: DataFrame, model: Model, eighths: int) -> dict[tuple[int, object], tuple[int | None, int | None]]:
+    """(state before, last state) of the pieces of conversations that are in several runs.
+
+    A piece's lines take each state before it (or the start) to each last state with some
+    best value; the table of these values is all that the best path through a whole
+    conversation needs of the piece. Only a run's first and last conversation can be cut, so there are two
+    tables a run at most, whatever the number of turns.
+    """
+
+    def tables(batches):
+        now, table, first, out = None, None, True, []
+
+        def close(last: bool):
+            if table is not None and (first or last):
+                out.append((now[0], now[1], table.ravel().tolist()))
+
+        for part, conv, turn, role, text in _rows(batches):
+            if now != (part, conv):
+                new_run = now is None or now[0] != part
+                close(new_run)
+                now, table, first = (part, conv), None, new_run
+            for i, line in enumerate(turn_lines(role, text, bare(conv, turn, eighths))):
+                own = model.line(line, conv, turn, i)
+                table = np.vstack([model.trans, model.start]) + own if table is None else (table[:, :, None] + model.trans[None]).max(axis=1) + own
+        close(True)
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["part", "conv_id", "best"])
+
+    found: dict[object, list[tuple[int, np.ndarray]]] = {}
+    for r in _by_run(dealt).mapInArrow(tables, "part int, conv_id long, best array<double>").collect():
+        found.setdefault(r.conv_id, []).append((r.part, np.array(r.best).reshape(2 * len(ROLES) + 1, -1)))
+    out = {}
+    for conv, parts in found.items():
+        if len(parts) < 2:
+            continue
+        parts.sort(key=lambda x: x[0])
+        best, back = parts[0][1][-1], []
+        for _, table in parts[1:]:
+            paths = best[:, None] + table[:-1]
+            back.append(paths.argmax(axis=0))
+            best = paths.max(axis=0)
+        last, known = int(best.argmax()), None
+        for (part, _), steps in zip(parts[:0:-1], back[::-1]):
+            before = int(steps[last])
+            out[part, conv] = before, known
+            last = known = before
+        out[parts[0][0], conv] = None, known
+    return out
 
 
 def learn(turns: DataFrame, eighths: int = BARE_EIGHTHS) -> Model:
@@ -137,29 +212,45 @@ def learn(turns: DataFrame, eighths: int = BARE_EIGHTHS) -> Model:
 
     def count(batches):
         start, trans, marks, form = np.zeros(k), np.zeros((k, k)), np.zeros((k, 4)), np.zeros((k, FORMS, 2))
-        now, last = None, None
-        for conv, turn, role, text in _rows(batches):
-            if last is None or conv != now:
-                now, last = conv, None
+        edges, run, now, last, opened = [], None, None, None, False
+        for part, conv, turn, role, text in _rows(batches):
+            if part != run:
+                if run is not None:
+                    edges.append((run, 1, now, last))
+                run, now, last, opened = part, conv, None, True
+            elif conv != now:
+                now, last, opened = conv, None, False
             if role not in ROLES:
                 continue
             for i, line in enumerate(turn_lines(role, text, bare(conv, turn, eighths))):
                 state = 2 * ROLES.index(role) + (i > 0)
-                if last is None:
-                    start[state] += 1
-                else:
+                if last is not None:
                     trans[last, state] += 1
+                elif opened:
+                    edges.append((part, 0, conv, state))  # what is before it is in another run, if anywhere
+                else:
+                    start[state] += 1
                 marks[state, marker(line)[0]] += 1
                 for f, on in enumerate(forms(line)):
                     form[state, f, int(on)] += 1
                 last = state
+        if run is not None:
+            edges.append((run, 1, now, last))
         flat = np.concatenate([x.ravel() for x in (start, trans, marks, form)])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "n"])
+        rows = [(None, None, None, i, n) for i, n in enumerate(flat.tolist())] + [(p, e, c, s, None) for p, e, c, s in edges]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()))], ["part", "edge", "conv_id", "i", "n"])
 
-    got = _dealt(turns).mapInArrow(count, "i long, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()  # a row for each parameter
+    counted = cut(_by_run(_dealt(turns)).mapInArrow(count, "part int, edge int, conv_id long, i int, n double"), "counts")
     flat = np.zeros(k + k * k + k * 4 + k * FORMS * 2)
-    for r in got:
+    for r in counted.filter("edge IS NULL").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row for each parameter
         flat[r.i] = r.n
+    held: tuple[object, int | None] = (object(), None)
+    for r in counted.filter("edge IS NOT NULL").orderBy("part", "edge").collect():  # two rows a run at most
+        same = held[0] == r.conv_id and held[1] is not None
+        if r.edge == 0:
+            flat[k + held[1] * k + r.i if same else r.i] += 1
+        elif r.i is not None or held[0] != r.conv_id:
+            held = r.conv_id, r.i
     parts, at = [], 0
     for shape in ((k,), (k, k), (k, 4), (k, FORMS, 2)):
         size = int(np.prod(shape))
@@ -184,10 +275,13 @@ def parse(turns: DataFrame, model: Model, eighths: int = BARE_EIGHTHS) -> DataFr
     turns of their own; turns of a null conversation are one conversation.
     """
 
+    dealt = _dealt(turns)
+    known = _pieces(dealt, model, eighths)
+
     def run(batches):
         names = ["conv_id", "turn", "marked", "role_pred", "starts", "rendered"]
         types = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.string())
-        walk, now, out = Walk(model), object(), []
+        walk, now, out = Walk(model), (None, None), []
 
         def put(found):
             for state, item in found:
@@ -196,21 +290,21 @@ def parse(turns: DataFrame, model: Model, eighths: int = BARE_EIGHTHS) -> DataFr
                     role = ROLES[state // 2]
                     out.append((conv, turn, marked, role, state % 2 == 0, f"<|{role}|>\n{body}\n<|end|>\n"))
 
-        for conv, turn, role, text in _rows(batches):
-            if conv != now:
-                put(walk.finish())
-                now = conv
+        for part, conv, turn, role, text in _rows(batches):
+            if (part, conv) != now:
+                put(walk.finish(known.get(now, (None, None))[1]))
+                now = part, conv
             hidden = bare(conv, turn, eighths) or role not in ROLES
             for i, line in enumerate(turn_lines(role, text, hidden)):
                 body = text or ""
                 if hidden:
                     body = body[marker(body.split("\n", 1)[0])[1] :]
-                put(walk.push(line, (conv, turn, not hidden, body) if i == 0 else None))
+                put(walk.push(model.line(line, conv, turn, i), (conv, turn, not hidden, body) if i == 0 else None, known.get(now, (None, None))[0]))
             if len(out) >= 256:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
                 out.clear()
-        put(walk.finish())
+        put(walk.finish(known.get(now, (None, None))[1]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return _dealt(turns).mapInArrow(run, "conv_id long, turn long, marked boolean, role_pred string, starts boolean, rendered string")
+    return _by_run(dealt).mapInArrow(run, "conv_id long, turn long, marked boolean, role_pred string, starts boolean, rendered string")
