@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_polygon
 from ..functions.kernels import binned
-
-#: A total order of events.
-IN_TIME = ("days", "id")
+from .ordered import with_previous
 
 
 def between(df: DataFrame, start: float, end: float, closed: str = "left", column: str = "days") -> DataFrame:
@@ -46,8 +43,8 @@ def complete(df: DataFrame, mc: float | str, delta_m: float = 0.1) -> DataFrame:
     """
     df = df.withColumn("magnitude", binned(F.col("magnitude"), delta_m)) if delta_m else df
     if mc == "positive":
-        before = F.lag("magnitude").over(W.orderBy(*IN_TIME))
-        df = df.withColumn("mc_current", binned(before + delta_m, delta_m) if delta_m else before)
+        df = with_previous(df, {"mc_current": F.col("magnitude")})
+        df = df.withColumn("mc_current", binned(F.col("mc_current") + delta_m, delta_m)) if delta_m else df
     elif mc != "var":
         df = df.withColumn("mc_current", F.lit(float(mc)))
     return df.filter("magnitude >= mc_current")

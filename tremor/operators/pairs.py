@@ -11,10 +11,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS, haversine, rupture
+from .ordered import with_trailing_count
 
 KM_PER_DEGREE = 2 * math.pi * EARTH_RADIUS / 360
 #: Radii of a class differ by this factor at most; the smallest class holds all radii up to the first.
@@ -115,9 +115,7 @@ def nearest(catalog: DataFrame, start_km: float = 50.0) -> DataFrame:
 
 def trailing_count(catalog: DataFrame, days: int, least: float) -> DataFrame:
     """Events of at least ``least`` in the ``days`` before each event (the event itself and its time left out)."""
-    at = F.floor(F.col("days") * F.lit(86400e6) + 0.5).cast("long")
-    w = W.orderBy("_at").rangeBetween(-days * 86_400_000_000, -1)
-    return catalog.withColumn("_at", at).withColumn("past", F.count(F.when(F.col("magnitude") >= least, 1)).over(w)).drop("_at")
+    return with_trailing_count(catalog, F.col("magnitude") >= least, days, "past")
 
 
 def grid_of(lat_lo: float, lat_hi: float, lon_lo: float, lon_hi: float, rows: int, columns: int, spark) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import binned
 from ..functions.rng import uniform
-from .filters import IN_TIME
+from .ordered import with_previous, with_running_sum
 
 
 def beta_tinti(mean_excess: Column, delta_m: float) -> Column:
@@ -31,7 +31,7 @@ def estimate_beta(df: DataFrame, mc: float, delta_m: float = 0.1, weight: str |
 
 def increments(df: DataFrame) -> DataFrame:
     """Events with ``step``, the magnitude less that of the event before it in time."""
-    return df.withColumn("step", F.col("magnitude") - F.lag("magnitude").over(W.orderBy(*IN_TIME)))
+    return with_previous(df, {"step": F.col("magnitude")}).withColumn("step", F.col("magnitude") - F.col("step"))
 
 
 def estimate_beta_positive(df: DataFrame, delta_m: float = 0.1) -> DataFrame:
@@ -130,7 +130,7 @@ def survival(df: DataFrame, width: float = 0.1) -> DataFrame:
 
 def interevent(df: DataFrame) -> DataFrame:
     """Events with ``gap_days`` since the one before; the first has none and goes."""
-    return df.withColumn("gap_days", F.col("days") - F.lag("days").over(W.orderBy(*IN_TIME))).filter("gap_days IS NOT NULL")
+    return with_previous(df, {"gap_days": F.col("days")}).withColumn("gap_days", F.col("days") - F.col("gap_days")).filter("gap_days IS NOT NULL")
 
 
 def cumulative_on_grid(df: DataFrame, start: float, end: float, points: int, group: list[str] | None = None) -> DataFrame:
@@ -179,7 +179,7 @@ def moving_average(df: DataFrame, value: str, order: str, width: int) -> DataFra
 def counts_since(df: DataFrame, boundaries: list[float]) -> DataFrame:
     """Events with ``segment`` (boundaries up to their time) and ``count``, which starts anew at each boundary."""
     segment = F.size(F.filter(F.array(*[F.lit(float(b)) for b in boundaries]), lambda b: b <= F.col("days")))
-    return df.withColumn("segment", segment).withColumn("count", F.row_number().over(W.partitionBy("segment").orderBy(*IN_TIME)))
+    return with_running_sum(df.withColumn("segment", segment), F.lit(1), "count", ["segment"])
 
 
 def trapezoid(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import geo, params, rng
 from .functions import kernels as K
-from .operators import filters, pairs, stats
+from .operators import filters, ordered, pairs, stats
 from .plans import evaluation, inversion, simulation
 from .sources import catalog as cat
 
@@ -489,8 +489,7 @@ def trailing_seismicity(spark, sf_dir):
 def cumulative_gain(spark, sf_dir):
     """Running sum in which missing values count as nothing."""
     g = F.when(F.col("magnitude") >= 3, F.col("magnitude") - 3)
-    w = W.orderBy("days", "id").rowsBetween(W.unboundedPreceding, 0)
-    return events(spark, sf_dir).select("id", r6(F.sum(F.coalesce(g, F.lit(0.0))).over(w)).alias("gain"))
+    return ordered.with_running_sum(events(spark, sf_dir), F.coalesce(g, F.lit(0.0)), "gain").select("id", r6(F.col("gain")).alias("gain"))
 
 
 @query(" SELECT user_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY days, id) AS r FROM cat WHERE days > 19730e0) WHERE r <= 3")
