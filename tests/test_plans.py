@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tremor import queries as registry
 from tremor.functions.kernels import Theta
-from tremor.operators import filters, pairs, stats
+from tremor.operators import filters, ordered, pairs, stats
 from tremor.plans import evaluation, inversion, simulation
 from tremor.sources import catalog as cat
 from tremor.streaming import rates
@@ -195,3 +195,27 @@ def test_trailing_window_plan_and_nearest(spark):
     c = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 50.0, 50.0)], "id long, latitude double, longitude double")
     got = {r.id: r.nearest_id for r in pairs.nearest(c, 10.0).collect()}
     assert got == {1: 2, 2: 1, 3: 2}
+
+
+def test_ordered_windows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(d), float(m)) for i, (d, m) in enumerate(zip(np.round(rng.uniform(0, 12, 200) ** 1.0, 1), np.round(rng.uniform(2, 6, 200), 1)))]
+    df = spark.createDataFrame(rows, "id long, days double, magnitude double")
+    ranked = sorted(rows, key=lambda r: (r[1], r[0]))
+    before = {r.id: r.p for r in ordered.with_previous(df, {"p": F.col("magnitude")}).collect()}
+    assert before == {b[0]: a[2] for a, b in zip(ranked, ranked[1:])} | {ranked[0][0]: None}
+    sums = {r.id: r.s for r in ordered.with_running_sum(df, F.lit(1), "s").collect()}
+    assert sums == {r[0]: i + 1 for i, r in enumerate(ranked)}
+    past = {r.id: r.past for r in ordered.with_trailing_count(df, F.col("magnitude") >= 4, 1.5, "past").collect()}
+    assert past == {a[0]: sum(b[2] >= 4 and a[1] - 1.5 - 1e-9 <= b[1] < a[1] - 1e-9 for b in rows) for a in rows}
+
+
+def test_stored_catalogs_and_induced(spark, tmp_path):
+    c = spark.createDataFrame([(1, 0.5, 34.0, -118.0, 3.0), (2, 1.5, 34.1, -118.0, 4.0)], "id long, days double, latitude double, longitude double, magnitude double")
+    a = cat.find_or_create(c, str(tmp_path), "c")
+    assert cat.find_or_create(c, str(tmp_path), "c") == a and cat.find_or_create(c.filter("id = 1"), str(tmp_path), "c") == f"{a}_1"
+    cat.write_predictions(c.withColumn("v", F.array(F.lit(1.0))), "v", str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).columns == ["event_index", "time", "longitude", "latitude", "magnitude", "model_prediction"]
+    assert cat.column_report(c, c.drop("id").withColumn("z", F.lit(1))) == {"both": ["days", "latitude", "longitude", "magnitude"], "first": ["id"], "second": ["z"]}
+    rows = simulation.induced(c, simulation.Process(Theta(log10_iota=1.5), 2.3, 3.0), "magnitude", 0.0, 10.0, 20).toPandas()
+    assert abs(len(rows) / 20 - 31.6) < 5 and set(rows.kind) == {"induced"}

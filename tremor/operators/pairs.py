@@ -118,6 +118,19 @@ def trailing_count(catalog: DataFrame, days: int, least: float) -> DataFrame:
     return with_trailing_count(catalog, F.col("magnitude") >= least, days, "past")
 
 
+def local_magnitudes(nodes: DataFrame, events: DataFrame, radius_km: float, delta_m: float = 0.1, least: int = 100) -> DataFrame:
+    """(cell, n, mc, beta) around each node (cell, glat, glon) with at least ``least`` events in its radius.
+
+    Local completeness is the most frequent bin (the smaller of equals); beta is of the
+    events from it on. Counts by bin come first, so a node costs as many rows as it has bins.
+    """
+    around = within_radius(nodes.select("cell", F.col("glat").alias("latitude"), F.col("glon").alias("longitude")), events.select("latitude", "longitude", "magnitude"), F.lit(radius_km))
+    bins = around.groupBy(F.col("source_cell").alias("cell"), F.floor(F.col("target_magnitude") / delta_m + 0.5).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    tops = bins.groupBy("cell").agg(F.sum("n").alias("all"), F.max_by("k", F.struct("n", -F.col("k"))).alias("top")).filter(F.col("all") >= least)
+    kept = bins.join(tops, "cell").filter("k >= top").groupBy("cell", "all", "top").agg((F.sum(F.col("n") * (F.col("k") - F.col("top"))) * F.lit(delta_m) / F.sum("n")).alias("excess"))
+    return kept.select("cell", F.col("all").alias("n"), (F.col("top") * F.lit(delta_m)).alias("mc"), F.try_divide(F.log(1 + F.try_divide(F.lit(delta_m), F.col("excess"))), F.lit(delta_m)).alias("beta"))
+
+
 def grid_of(lat_lo: float, lat_hi: float, lon_lo: float, lon_hi: float, rows: int, columns: int, spark) -> DataFrame:
     """Nodes (cell, glat, glon) of a regular grid with both ends."""
     r, c = F.shiftright("cell", 0) % rows, (F.col("cell") / rows).cast("int")

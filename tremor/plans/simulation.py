@@ -103,6 +103,23 @@ def empirical_places(n: DataFrame, events: DataFrame, probability: str, scale: f
     return drawn.join(kept, "pick").withColumns({"latitude": F.col("latitude") + scale * normal(seed, F.col("id"), "jlat"), "longitude": F.col("longitude") + scale * normal(seed, F.col("id"), "jlon")}).drop("pick", "all")
 
 
+def induced(sites: DataFrame, process: Process, weight: str, start: float, end: float, catalogs: int = 1, scale: float = 0.05, generator: Generator = gutenberg_richter) -> DataFrame:
+    """Induced events of each realisation at ``sites`` (id, latitude, longitude and a weight column).
+
+    A site has a Poisson number with mean iota times its share of the weight.
+    """
+    iota, s = process.theta.iota or 0.0, process.seed
+    share = sites.withColumn("_w", F.col(weight) / sites.agg(F.sum(weight)).head()[0])
+    rows = share.withColumn("catalog_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(catalogs - 1).cast("long"))))
+    rows = rows.withColumn("_n", poisson(F.lit(iota) * F.col("_w"), s, "induced", F.col("catalog_id"), F.col("id"))).filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    rows = rows.withColumn("_id", F.xxhash64(F.lit("induced"), "catalog_id", "id", "_k"))
+    u = lambda use: uniform(s, F.col("_id"), use)
+    return rows.select(
+        "catalog_id", F.col("_id").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.col("_id").alias("root_id"), F.lit(0).alias("generation"), F.lit("induced").alias("kind"), (F.lit(start) + (end - start) * u("time")).alias("days"),
+        (F.col("latitude") + scale * normal(s, F.col("_id"), "lat")).alias("latitude"), (F.col("longitude") + scale * normal(s, F.col("_id"), "lon")).alias("longitude"), generator(u("mag"), process).alias("magnitude"),
+    )
+
+
 def expected_offspring(m: Column, process: Process) -> Column:
     """Direct aftershocks without time limits."""
     t = process.theta

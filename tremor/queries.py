@@ -593,6 +593,20 @@ def seeds_in_one_not_other(spark, sf_dir):
     return c.join(c.filter("magnitude >= 5.5").select("user_id").distinct(), "user_id", "left_semi").join(c.filter("magnitude >= 6").select("user_id").distinct(), "user_id", "left_anti").select("id")
 
 
+@query(f", g AS (SELECT r + c * 4 AS cell, 33e0 + r * 2e0 AS latitude, -122e0 + c * 2e0 AS longitude FROM range(4) a(r), range(4) b(c)), b AS (SELECT cell, CAST(floor(magnitude / 0.1e0 + 0.5e0) AS INTEGER) AS k, count(*) AS n FROM g, cat WHERE {hav_sql('g', 'cat')} <= 150e0 GROUP BY 1, 2), t AS (SELECT cell, CAST(sum(n) AS BIGINT) AS n_all, arg_max(k, n * 100000 - k) AS top FROM b GROUP BY 1 HAVING sum(n) >= 100) SELECT cell, n_all AS n, {r6s('top * 0.1e0')} AS mc, {r6s('ln(1e0 + 0.1e0 / (sum(n * (k - top)) * 0.1e0 / sum(n))) / 0.1e0')} AS beta FROM b JOIN t USING (cell) WHERE k >= top GROUP BY cell, n_all, top")
+def local_completeness(spark, sf_dir):
+    """Completeness and slope around the nodes of a grid."""
+    out = pairs.local_magnitudes(pairs.grid_of(33.0, 39.0, -122.0, -116.0, 4, 4, spark), events(spark, sf_dir), 150.0)
+    return out.select("cell", "n", r6(F.col("mc")).alias("mc"), r6(F.col("beta")).alias("beta"))
+
+
+@query(f" SELECT event_type, count(*) AS n, {r6s('avg(magnitude)')} AS mean, {r6s('stddev_samp(magnitude)')} AS std, min(magnitude) AS min, {r6s('quantile_cont(magnitude, 0.5)')} AS median, max(magnitude) AS max FROM cat GROUP BY 1")
+def describe_catalog(spark, sf_dir):
+    """Descriptive numbers of magnitudes by type."""
+    m = F.col("magnitude")
+    return events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(m)).alias("mean"), r6(F.stddev_samp(m)).alias("std"), F.min(m).alias("min"), r6(F.percentile(m, 0.5)).alias("median"), F.max(m).alias("max"))
+
+
 # --- random numbers and simulation
 
 _U = lambda *key: f"CAST(('0x' || substr(md5(concat_ws('|', {', '.join(key)})), 1, 13)) AS BIGINT) / 4503599627370496e0"

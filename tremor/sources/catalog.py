@@ -107,6 +107,35 @@ def equivalent(a: DataFrame, b: DataFrame, key: str, tolerance: float = 1e-10) -
     return both.filter(differ).isEmpty()
 
 
+def find_or_create(catalog: DataFrame, folder: str, name: str, key: str = "id") -> str:
+    """Path of a stored catalog with the same content: ``name``, ``name_1``, ...; written if there is none."""
+    spark, k = catalog.sparkSession, 0
+    while True:
+        place = f"{folder}/{name}" + (f"_{k}" if k else "")
+        try:
+            stored = spark.read.parquet(place)
+        except Exception as error:  # noqa: BLE001  the engine's error class differs between session kinds
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            catalog.write.parquet(place)
+            return place
+        if equivalent(stored, catalog, key):
+            return place
+        k += 1
+
+
+def write_predictions(events: DataFrame, vector: str, path: str) -> None:
+    """Predictions of a magnitude model beside its events: event_index, time, place, magnitude, model_prediction."""
+    seconds = F.floor(F.col("days") * 86400).cast("long")
+    events.select(F.col("id").alias("event_index"), seconds.alias("time"), "longitude", "latitude", "magnitude", F.col(vector).cast("array<double>").alias("model_prediction")).write.mode("append").parquet(path)
+
+
+def column_report(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
+    """Columns of both, of the first alone, of the second alone."""
+    x, y = set(a.columns), set(b.columns)
+    return {"both": sorted(x & y), "first": sorted(x - y), "second": sorted(y - x)}
+
+
 def fingerprint(config: dict) -> str:
     """16 hex digits of the whole configuration, for cached results."""
     return hashlib.sha1(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
