@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, flat_text, map_text, without, words_of
+from .neardup import mixed
 
 #: At most about so many labelled rows of each class are learnt from.
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 800
 #: Least likelihood ratio of a feature, and of one that labels tokens; least ratio of its rates.
 FEATURE_LLR, LABEL_LLR, LABEL_RATIO = 10.8, 30.0, 8.0
 #: Steps and tokens of a sequence in training.
-STEPS, WINDOW = 80, 128
+STEPS, WINDOW = 60, 128
 PREFIXES = (4, 5)
 
 _RUN = re.compile(r"[^\W\d_]+")
@@ -138,24 +139,27 @@ def _ratio(t: float, c: float, all_t: float, all_c: float) -> float:
     return 2 * sum(x * math.log(x / (p * n)) for x, n in ((t, all_t), (c, all_c)) if x)
 
 
-def _selected(docs: list[list[str]], toxic: list[int]) -> tuple[set[str], set[str]]:
-    """Features more frequent in toxic documents, and those among them that label tokens."""
+def _selected(index: np.ndarray, first: np.ndarray, own: list[list[str]], toxic: list[int]) -> tuple[set[str], set[str]]:
+    """Features more frequent in toxic documents, and those among them that label tokens.
+
+    ``index`` is each token's place in the distinct ones, whose features are ``own``.
+    """
+    before, after = np.roll(index, 1), np.roll(index, -1)
+    starts, ends = first[:-1][np.diff(first) > 0], first[1:][np.diff(first) > 0] - 1
+    before[starts], after[ends] = -1, -1
+    triple = mixed(mixed(mixed(before.astype(np.uint64)) + index.astype(np.uint64)) + after.astype(np.uint64))
+    label = np.repeat(np.array(toxic, np.int64), np.diff(first))
     counts: tuple[dict, dict] = (defaultdict(int), defaultdict(int))
-    contexts: tuple[set, set] = (set(), set())
-    known: dict[str, list[str]] = {}
-    for words, y in zip(docs, toxic):
-        seen, count = contexts[y], counts[y]
-        for triple in zip(["", *words], words, [*words[1:], ""]):
-            key = hash(triple)
-            if key not in seen:
-                seen.add(key)
-                word = triple[1]
-                if word not in known:
-                    known[word] = features(word)
-                for f in known[word]:
-                    count[f] += 1
-    all_c, all_t = max(1, len(contexts[0])), max(1, len(contexts[1]))
-    wide, strict = set(), set()
+    totals = [1, 1]
+    for y in (0, 1):
+        mine = np.flatnonzero(label == y)
+        distinct = mine[np.unique(triple[mine], return_index=True)[1]]
+        totals[y] = max(1, len(distinct))
+        by_token = np.bincount(index[distinct], minlength=len(own))
+        for k in np.flatnonzero(by_token).tolist():
+            for f in own[k]:
+                counts[y][f] += int(by_token[k])
+    (all_c, all_t), wide, strict = totals, set(), set()
     for f, t in counts[1].items():
         c = counts[0].get(f, 0)
         if t * all_c > 2 * c * all_t and (g := _ratio(t, c, all_t, all_c)) >= FEATURE_LLR:
@@ -165,41 +169,48 @@ def _selected(docs: list[list[str]], toxic: list[int]) -> tuple[set[str], set[st
     return wide, strict
 
 
-def _fit_field(docs: list[list[str]], toxic: list[int]) -> Field:
-    wide, strict = _selected(docs, toxic)
+def _fit_field(index: np.ndarray, first: np.ndarray, tokens: list[str], toxic: list[int]) -> Field:
+    """The field of the documents ``tokens[index[first[d]:first[d + 1]]]``.
+
+    Documents are cut into windows; windows of one length without a known feature are all
+    alike and stand as one row with their number as its weight.
+    """
+    own = [features(t) for t in tokens]
+    wide, strict = _selected(index, first, own, toxic)
     names = sorted(wide)
     number = {f: i for i, f in enumerate(names)}
-    known: dict[str, tuple[list[int], bool]] = {}
-    rows, labels, owners, feats = 0, [], [], []
-    windows = []
-    for words, y in zip(docs, toxic):
-        for a in range(0, len(words), WINDOW):
-            part = words[a : a + WINDOW]
-            windows.append(len(part))
-            for k, word in enumerate(part):
-                if word not in known:
-                    own = features(word)
-                    known[word] = [number[f] for f in own if f in number], any(f in strict for f in own)
-                own, marked = known[word]
-                if own:
-                    owners += [rows * WINDOW + k] * len(own)
-                    feats += own
-                    if y and marked:
-                        labels.append(rows * WINDOW + k)
-            rows += 1
-    owner, feat = np.array(owners, np.int64), np.array(feats, np.int64)
+    lists = [[number[f] for f in fs if f in number] for fs in own]
+    marked = np.array([any(f in strict for f in fs) for fs in own], bool)
+    sizes = np.array([len(x) for x in lists], np.int64)
+    length = np.diff(first)
+    doc = np.repeat(np.arange(len(length)), length)
+    place = np.arange(len(index)) - first[doc]
+    per_doc = -(-length // WINDOW)
+    base = np.cumsum(per_doc) - per_doc
+    window = base[doc] + place // WINDOW
+    n = np.bincount(window, minlength=int(per_doc.sum()))
+    known = np.flatnonzero(sizes[index] > 0)
+    held = np.unique(window[known])
+    plain = np.bincount(np.delete(n, held), minlength=WINDOW + 1)
+    row_of = np.full(len(n), -1)
+    row_of[held] = np.arange(len(held))
+    n = np.concatenate((n[held], np.flatnonzero(plain)))
+    weight = np.concatenate((np.ones(len(held)), plain[plain > 0]))
+    rows = len(n)
+    at = row_of[window[known]] * WINDOW + place[known] % WINDOW
+    owner = np.repeat(at, sizes[index[known]])
+    feat = np.array([f for k in index[known].tolist() for f in lists[k]], np.int64)
     y = np.zeros((rows, WINDOW), np.int8)
-    y.ravel()[labels] = 1
-    n = np.array(windows, np.int64)
+    y.ravel()[at[marked[index[known]] & (np.array(toxic, np.int64)[doc[known]] == 1)]] = 1
     real = np.arange(WINDOW) < n[:, None]
-    total = max(1, int(n.sum()))
+    total = max(1.0, float((n * weight).sum()))
     pairs = np.zeros((2, 2))
     for a in range(2):
         for b in range(2):
-            pairs[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & real[:, 1:]).sum()
-    firsts = np.bincount(y[:, 0], minlength=2)[:2].astype(float)
+            pairs[a, b] = (((y[:, :-1] == a) & (y[:, 1:] == b) & real[:, 1:]) * weight[:, None]).sum()
+    firsts = np.bincount(y[:, 0], weight, 2)[:2] if rows else np.zeros(2)
     marks = float(y.sum())
-    by_feature = np.bincount(feat, y.ravel()[owner], len(names))
+    by_feature = np.bincount(feat, y.ravel()[owner], len(names)) if len(feat) else np.zeros(len(names))
     w = np.zeros(len(names) + 7)  # features, bias, start, transitions
     w[len(names)] = math.log((marks + 1) / (total - marks + 1)) / 2
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
@@ -226,14 +237,15 @@ def _fit_field(docs: list[list[str]], toxic: list[int]) -> Field:
                 inner = back.copy()
                 inner[:, 1] *= e[:, t]
                 joint = ahead[t - 1][:, :, None] * psi * inner[:, None, :]
-                expect += (joint / joint.sum(axis=(1, 2), keepdims=True) * real[:, t, None, None]).sum(axis=0)
+                expect += (joint / joint.sum(axis=(1, 2), keepdims=True) * (real[:, t] * weight)[:, None, None]).sum(axis=0)
                 new = inner @ psi.T
                 back = np.where(real[:, t, None], new / new.sum(axis=1, keepdims=True), back)
-        grad = np.empty_like(w)
-        grad[: len(names)] = by_feature - np.bincount(feat, probs.ravel()[owner], len(names)) if len(names) else 0
-        grad[len(names)] = marks - probs.sum()
-        began = probs[:, 0].sum()
-        grad[len(names) + 1 : len(names) + 3] = firsts - np.array([rows - began, began])
+        grad = np.zeros_like(w)
+        if len(feat):
+            grad[: len(names)] = by_feature - np.bincount(feat, probs.ravel()[owner], len(names))
+        grad[len(names)] = marks - float(probs.sum(axis=1) @ weight)
+        began = float(probs[:, 0] @ weight)
+        grad[len(names) + 1 : len(names) + 3] = firsts - np.array([weight.sum() - began, began])
         grad[len(names) + 3 :] = (pairs - expect).ravel()
         grad = grad / total - 1e-6 * w
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
@@ -247,9 +259,7 @@ def fit(texts: list[str], toxic: list[int], rates: tuple[float, float] = (1.0, 1
     if not texts:
         return Field({}, -5.0, np.zeros(2), np.zeros((2, 2)), np.array([-5.0, 0.0, 0.0, 0.0]))
     index, seen, first = tokens_of(pa.array(texts, pa.large_string()))
-    names = seen.to_pylist()
-    docs = [[names[i] for i in index[a:b]] for a, b in zip(first, first[1:])]
-    field = _fit_field(docs, toxic)
+    field = _fit_field(index.astype(np.int64), first, seen.to_pylist(), toxic)
     counts, found = field.tagged(pa.array(texts, pa.large_string()))
     x, y = _inputs(counts, np.array([sum(p for _, p in f) for f in found])), np.array(toxic, float)
     weight = np.where(y == 1, rates[1], rates[0])
