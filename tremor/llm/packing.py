@@ -143,7 +143,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
             ids, first = bpe.encode(part.column("text"))
             raw, rows = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), []
             for doc, a, b in zip(part.column("doc_id").to_pylist(), first.tolist(), first[1:].tolist()):
-                n, whole = b - a + 1, None
+                n = b - a + 1
                 for k, s in enumerate(range(0, n, capacity)):
                     m = min(capacity, n - s)
                     whole = raw[4 * (a + s) : 4 * (a + min(s + m, n - 1))]
