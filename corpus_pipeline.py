@@ -14,6 +14,10 @@ from tremor.llm.common import cut, table
 from tremor.llm.queries import VOCABULARY
 
 
+#: Near duplicates have at least so many hundredths of their five-word shingles in common.
+NEAR_PERCENT = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the conditional random field, learnt from ``labels``, does not predict toxic."""
     return toxicity.keep_clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -26,7 +30,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates."""
-    return neardup.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs, NEAR_PERCENT)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
+from tremor.llm import neardup
 from tests.conftest import MIDDLE
 
 
@@ -25,3 +32,31 @@ def test_no_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.cut(stage(spark, docs, MIDDLE), name)
         assert docs.count() == 0
+
+
+def test_near_duplicate_stage_links_from_four_fifths(spark):
+    """The stage against all pairs: one document of each group linked at 0.80, where 0.85 would leave more."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(60, 160))]
+        for edits in (0, 1, 2, 3, 4):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = word()
+            texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = neardup.shingle_sets(pa.array(texts))
+
+    def groups(percent):
+        root = list(range(len(texts)))
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+        return set(root)
+
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert kept == groups(80) and len(groups(80)) < len(groups(85))

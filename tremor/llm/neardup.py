@@ -1,10 +1,11 @@
 """Near duplicates: MinHash signatures, a multi-index Hamming join, exact confirmation, components.
 
-A signature has ``CHUNKS`` x ``SLOTS`` values of ``VALUE_BITS`` bits. If two signatures
-differ in fewer than ``CHUNKS * (ERRORS + 1)`` values, some chunk differs in at most
-``ERRORS`` (pigeonhole); each chunk is indexed once for every way to leave that many
-values out, so such pairs always share a key. Two sets with similarity 0.85 miss every
-key with probability 3e-7.
+A signature has chunks of slots, values of ``VALUE_BITS`` bits each, as many as the
+threshold needs (``Layout``). If two signatures differ in fewer than
+``chunks * (ERRORS + 1)`` values, some chunk differs in at most ``ERRORS`` (pigeonhole);
+each chunk is indexed once for every way to leave that many values out, so such pairs
+always share a key. Two sets with the threshold's similarity miss every key with
+probability ``MISS`` at most.
 
 Documents with one set of shingles are one class, so exact copies are never paired.
 A key's classes are first compared with one of them only (a star); most of a group
@@ -16,6 +17,9 @@ components is lost; links inside a component need not be found again.
 from __future__ import annotations
 
 import hashlib
+import math
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +31,63 @@ from pyspark.sql import functions as F
 
 from .common import cut, flat_text, map_text, text_slices, words_of
 
-#: Words of a shingle; links have 100 * intersection >= ``PERCENT`` * union.
+#: Words of a shingle; links have 100 * intersection >= percent * union, with this percent where none is given.
 WIDTH, PERCENT = 5, 85
-#: The signature and its index.
-CHUNKS, SLOTS, ERRORS, VALUE_BITS = 12, 7, 1, 16
+#: Values that may differ in a chunk, bits of a value, and most keys of a signature.
+ERRORS, VALUE_BITS, MOST_KEYS = 1, 16, 96
+#: Most probability that two sets that link share no key, or that their lowest bits differ in more than the limit.
+MISS, BIT_MISS = 3e-7, 1e-10
 #: Stars around different members before pairs are compared one by one.
 STARS = 2
-#: Lowest bits in which signatures may differ: sets that link exceed it with probability under 1e-9.
-BIT_LIMIT = 26
 
-_random = np.random.default_rng(20240229)
-_odd = lambda n: _random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BY_PLACE, _SCALE, _SHIFT, _BY_SLOT, _TAG = _odd(WIDTH), _odd(CHUNKS * SLOTS), _odd(CHUNKS * SLOTS), _odd(CHUNKS * SLOTS), _odd(CHUNKS * SLOTS)
+
+@dataclass(frozen=True)
+class Layout:
+    """The signature and its index for one threshold; ``bit_limit``: lowest bits in which signatures may differ."""
+
+    percent: int
+    chunks: int
+    slots: int
+    bit_limit: int
+
+    @property
+    def size(self) -> int:
+        return self.chunks * self.slots
+
+
+@lru_cache
+def layout(percent: int = PERCENT) -> Layout:
+    """The longest chunks that keep to ``MISS`` with at most ``MOST_KEYS`` keys."""
+    if not 60 <= percent <= 100:
+        raise ValueError(f"a threshold of {percent} % is not between 60 and 100")
+    t, found = percent / 100, (0, 0)
+    for slots in range(2, 13):
+        miss = 1 - t**slots - slots * t ** (slots - 1) * (1 - t)
+        chunks = max(1, math.ceil(math.log(MISS) / math.log(miss))) if miss > 0 else 1
+        if chunks * slots <= MOST_KEYS:
+            found = chunks, slots
+    n, p = found[0] * found[1], (1 - t) / 2
+    tail, limit = 1.0, -1
+    while tail >= BIT_MISS:
+        limit += 1
+        tail = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(limit + 1, n + 1))
+    return Layout(percent, *found, limit)
+
+
+def _odd(random: np.random.Generator, n: int) -> np.ndarray:
+    return random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache
+def _factors(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Random factors by place in a shingle, and scale, shift, factor and tag by value of a signature."""
+    random = np.random.default_rng(20240229)
+    return tuple(_odd(random, n) for n in (WIDTH, size, size, size, size))
+
+
+#: The default threshold's.
+CHUNKS, SLOTS = layout().chunks, layout().slots
+_BY_PLACE = _factors(CHUNKS * SLOTS)[0]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -69,37 +118,39 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of ``CHUNKS * SLOTS`` values for each set, none of which is empty."""
+def signatures(sets: list[np.ndarray], lay: Layout) -> np.ndarray:
+    """A row of ``lay.size`` values for each set, none of which is empty."""
     flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), CHUNKS * SLOTS), np.uint64)
-    for k in range(CHUNKS * SLOTS):
-        out[:, k] = np.minimum.reduceat(flat * _SCALE[k] + _SHIFT[k], starts)
+    _, scale, shift, _, _ = _factors(lay.size)
+    out = np.empty((len(sets), lay.size), np.uint64)
+    for k in range(lay.size):
+        out[:, k] = np.minimum.reduceat(flat * scale[k] + shift[k], starts)
     return mixed(out) >> np.uint64(64 - VALUE_BITS)
 
 
-def index_keys(values: np.ndarray) -> np.ndarray:
+def index_keys(values: np.ndarray, lay: Layout = layout()) -> np.ndarray:
     """For each chunk, a key for each value left out."""
-    scaled = (values * _BY_SLOT).reshape(-1, CHUNKS, SLOTS)
-    return mixed(scaled.sum(axis=2, dtype=np.uint64)[:, :, None] - scaled + _TAG.reshape(CHUNKS, SLOTS)).reshape(len(values), -1)
+    _, _, _, by_slot, tag = _factors(lay.size)
+    scaled = (values * by_slot).reshape(-1, lay.chunks, lay.slots)
+    return mixed(scaled.sum(axis=2, dtype=np.uint64)[:, :, None] - scaled + tag.reshape(lay.chunks, lay.slots)).reshape(len(values), -1)
 
 
-def _sets_and_keys(docs: DataFrame) -> DataFrame:
+def _sets_and_keys(docs: DataFrame, lay: Layout) -> DataFrame:
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(part.column("text"))
             full = [i for i, s in enumerate(sets) if len(s)]
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            keys = np.zeros((0, CHUNKS * SLOTS), np.uint64)
+            keys = np.zeros((0, lay.size), np.uint64)
             bits = np.zeros((0, 2), np.int64)
             if full:
-                values = signatures([sets[i] for i in full])
-                keys, low = index_keys(values), np.zeros((len(values), 128), np.uint8)
+                values = signatures([sets[i] for i in full], lay)
+                keys, low = index_keys(values, lay), np.zeros((len(values), 128), np.uint8)
                 low[:, : values.shape[1]] = values & np.uint64(1)
                 bits = np.packbits(low, axis=1).view(np.int64)
             counts = np.zeros(len(sets), np.int64)
             counts[full] = 1
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts * CHUNKS * SLOTS))), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts * lay.size))), pa.int32()), pa.array(keys.view(np.int64).ravel()))
             both = np.zeros((len(sets), 2), np.int64)
             both[full] = bits
             return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), lists, pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "n_shingles", "set_id", "keys", "bits1", "bits2"])
@@ -109,7 +160,7 @@ def _sets_and_keys(docs: DataFrame) -> DataFrame:
     return map_text(docs, "doc_id long, n_shingles long, set_id binary, keys array<long>, bits1 long, bits2 long", make)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets link."""
 
     def run(batches):
@@ -123,10 +174,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     s, t = sets[at[i]], sets[at[n + i]]
                     small, large = sorted((len(s), len(t)))
                     common = 0
-                    if large and 100 * small >= PERCENT * large:
+                    if large and 100 * small >= percent * large:
                         near = np.minimum(np.searchsorted(t, s), len(t) - 1)
                         common = int((t[near] == s).sum())
-                    good.append(common > 0 and 100 * common >= PERCENT * (small + large - common))
+                    good.append(common > 0 and 100 * common >= percent * (small + large - common))
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -157,24 +208,25 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
-def near_duplicates(df: DataFrame) -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept) of every row of ``df`` (doc_id, text).
 
+    Documents link whose shingles' intersection has at least ``percent`` hundredths of their union.
     A document without words is alone. Rows that share an id count as one document. A
     null id links with nothing: its component is null, and it is kept.
     """
-    docs = df.select(F.col("doc_id").cast("long"), "text")
-    base = cut(_sets_and_keys(docs), "sets")
+    lay, docs = layout(percent), df.select(F.col("doc_id").cast("long"), "text")
+    base = cut(_sets_and_keys(docs, lay), "sets")
     classes = base.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     reps = base.join(classes.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"]).dropDuplicates(["doc_id", "set_id"])
     reps = reps.select(F.col("doc_id").alias("id"), "n_shingles", "bits1", "bits2", F.explode("keys").alias("key"))
     by_key = W.partitionBy("key")
-    # A key's rows are at most one in CHUNKS * SLOTS of all, even if all classes share it.
+    # A key's rows are at most one in ``lay.size`` of all, even if all classes share it.
     shared = reps.select("id", "n_shingles", "bits1", "bits2", "key").withColumns({"first": F.min("id").over(by_key), "last": F.max("id").over(by_key)})
     shared = cut(shared.filter("first != last").drop("last"), "shared")
     texts = cut(docs.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumnRenamed("doc_id", "id"), "texts")
     tested = cut(shared.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    edges = cut(_confirmed(tested, texts), "links")
+    edges = cut(_confirmed(tested, texts, percent), "links")
     comps = components(edges)
     open_keys = lambda comps: _open(shared, comps)
     left = cut(open_keys(comps), "open")
@@ -184,13 +236,13 @@ def near_duplicates(df: DataFrame) -> DataFrame:
         middle = F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn)))
         stars = left.join(left.groupBy("key").agg(middle.alias("m")), "key").filter("m.component != component").select(F.least("m.id", "id").alias("a"), F.greatest("m.id", "id").alias("b")).distinct()
         fresh = cut(stars.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested, edges = tested.union(fresh), edges.union(cut(_confirmed(fresh, texts), "links"))
+        tested, edges = tested.union(fresh), edges.union(cut(_confirmed(fresh, texts, percent), "links"))
         comps = components(edges)
         left = cut(open_keys(comps), "open")
-    left = _linkable(left, texts)
+    left = _linkable(left, texts, percent)
     if not left.isEmpty():
-        fresh = cut(_close_pairs(left, texts).join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges = edges.union(cut(_confirmed(fresh, texts), "links"))
+        fresh = cut(_close_pairs(left, texts, lay).join(tested, ["a", "b"], "left_anti"), "pairs")
+        edges = edges.union(cut(_confirmed(fresh, texts, percent), "links"))
         comps = components(edges)
     found = base.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     found = found.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -211,39 +263,40 @@ def _shingles_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(ids.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingle long")
 
 
-def _close_pairs(left: DataFrame, texts: DataFrame) -> DataFrame:
+def _close_pairs(left: DataFrame, texts: DataFrame, lay: Layout) -> DataFrame:
     """Pairs (a, b) of ids under open keys, of different components, that sizes, bits and rarest shingles allow to link.
 
     In the order of how many sets have a shingle, two sets that link share one of the
     first n - o + 1 of each, where o is the least intersection that links them. With the
     larger set's size at least the smaller's, o is 2t/(1+t) of the smaller set and t of
-    the larger at least (t: ``PERCENT`` / 100). Of two equal sizes, the set with the rarer
+    the larger at least (t: the threshold). Of two equal sizes, the set with the rarer
     shingles counts as the smaller.
     """
+    percent = lay.percent
     ids = left.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n_shingles", "bits1", "bits2", "component", "alone")])
     each = _shingles_of(ids, texts)
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     rows = each.join(often, "shingle").join(ids, "id")
     n = F.col("n_shingles")
     rows = rows.withColumn("place", F.col("alone") + F.row_number().over(W.partitionBy("id").orderBy("often", "shingle")))
-    rows = rows.withColumn("long", n - F.expr(f"({PERCENT} * n_shingles + 99) div 100") + 1).filter(F.col("place") <= F.col("long"))
-    rows = rows.withColumn("short", n - F.expr(f"({2 * PERCENT} * n_shingles + {99 + PERCENT}) div {100 + PERCENT}") + 1)
+    rows = rows.withColumn("long", n - F.expr(f"({percent} * n_shingles + 99) div 100") + 1).filter(F.col("place") <= F.col("long"))
+    rows = rows.withColumn("short", n - F.expr(f"({2 * percent} * n_shingles + {99 + percent}) div {100 + percent}") + 1)
     rows = cut(rows.withColumn("weight", F.sum(F.when(F.col("place") <= F.col("short"), F.col("often"))).over(W.partitionBy("id"))).drop("often", "long"), "rarest")
     a, b = rows.filter("place <= short").alias("a"), rows.alias("b")
     order = lambda x: F.struct(f"{x}.n_shingles", f"{x}.weight", f"{x}.id")
     differ = F.bit_count(F.col("a.bits1").bitwiseXOR(F.col("b.bits1"))) + F.bit_count(F.col("a.bits2").bitwiseXOR(F.col("b.bits2")))
     # The intersection has none of the shingles that one of the sets has alone.
     common = F.least(F.col("a.n_shingles") - F.col("a.alone"), F.col("b.n_shingles") - F.col("b.alone"))
-    near = (F.col("a.component") != F.col("b.component")) & (order("a") < order("b")) & (100 * F.col("a.n_shingles") >= PERCENT * F.col("b.n_shingles"))
-    near = near & (differ <= BIT_LIMIT) & (100 * common >= PERCENT * (F.col("a.n_shingles") + F.col("b.n_shingles") - common))
+    near = (F.col("a.component") != F.col("b.component")) & (order("a") < order("b")) & (100 * F.col("a.n_shingles") >= percent * F.col("b.n_shingles"))
+    near = near & (differ <= lay.bit_limit) & (100 * common >= percent * (F.col("a.n_shingles") + F.col("b.n_shingles") - common))
     pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & near)
     return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
-def _linkable(left: DataFrame, texts: DataFrame, rounds: int = 3) -> DataFrame:
+def _linkable(left: DataFrame, texts: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
     """Rows of ``left`` whose sets can still link with another one in it, with ``alone``, the shingles that no other has.
 
-    A link leaves less than 15 % of a set outside the other. Shingles that no other set of
+    A link leaves at most 100 - ``percent`` hundredths of a set outside the other. Shingles that no other set of
     ``left`` has are outside all of them, so a set with more of these links with none. As
     sets go, more shingles become single, hence the rounds. Each counts shingles once,
     in proportion to the sets, while pairs would grow with their square.
@@ -257,7 +310,7 @@ def _linkable(left: DataFrame, texts: DataFrame, rounds: int = 3) -> DataFrame:
         single = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).filter("id = other")
         alone = cut(single.groupBy("id").agg(F.count(F.lit(1)).alias("alone")), "alone")
         rest = left.drop("alone").join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-        rest = rest.filter(F.col("alone") * 100 <= (100 - PERCENT) * F.col("n_shingles"))
+        rest = rest.filter(F.col("alone") * 100 <= (100 - percent) * F.col("n_shingles"))
         span = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
         before, left = ids.count(), cut(rest.join(span, "key", "left_semi"), "open")
         if left.select("id").distinct().count() == before:
@@ -272,9 +325,9 @@ def _open(shared: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(span, "key", "left_semi").drop("first")
 
 
-def drop_near_duplicates(df: DataFrame) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each group of near duplicates: the one with the smallest id (of repeated rows, one)."""
-    kept = near_duplicates(df).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_duplicates(df, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     rows = df.join(kept, "doc_id", "left_semi")
     order = W.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in df.columns if c == "text"] or [F.col("doc_id")])
     rows = rows.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")

@@ -38,7 +38,7 @@ def op3_hmm_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents by five-word shingles."""
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
