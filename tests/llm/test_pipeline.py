@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from tremor.llm import neardup
+from tremor.llm import langid, neardup
 from tests.conftest import MIDDLE
 
 
@@ -60,3 +60,21 @@ def test_near_duplicate_stage_links_from_four_fifths(spark):
 
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
     assert kept == groups(80) and len(groups(80)) < len(groups(85))
+
+
+def test_language_stage_rejects_other_latin_text(spark):
+    """Gibberish, base64 and languages that were not learnt go; labelled documents of all lengths stay."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    foreign = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 10))) for _ in range(n)) for n in (5, 10, 30, 300, 3000)]
+    foreign.append("".join(rng.choice(letters + letters.upper() + "0123456789+/") for _ in range(2000)))
+    foreign.append("Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem")
+    foreign.append("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto")
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    profiles = langid.learn(docs)
+    rows = [(-1 - i, t, "en", "web", len(t)) for i, t in enumerate(foreign)]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.keep_languages(spark, more, MIDDLE).select("doc_id").collect()}
+    assert not {d for d in kept if d < 0}
+    assert kept == {r.doc_id for r in docs.filter("text RLIKE '[a-zA-Z]'").select("doc_id").collect()}
+    assert kept == {r.doc_id for r in langid.keep_known_languages(more, profiles).collect()}

@@ -21,8 +21,10 @@ from .common import bounded_sample, flat_text, map_text, without
 
 #: Longest n-gram, entries of a profile, and about the most labelled rows that profiles are learnt from.
 LONGEST, PROFILE, TRAIN_ROWS = 3, 300, 20_000
-#: Sharpness of the score, and the share of the largest possible distance beyond which a text is like no language.
+#: Sharpness of the score, and the most that a reject distance can be, as a share of the largest possible distance.
 SHARPNESS, FOREIGN = 25.0, 0.93
+#: The reject distance is this quantile of the labelled rows' distances from profiles learnt without them, and a margin.
+QUANTILE, MARGIN = 0.99, 0.2
 #: Of a text without letters.
 UNKNOWN = "und"
 
@@ -75,13 +77,17 @@ def ranked_grams(texts: pa.Array, groups: np.ndarray | None = None, longest: int
 
 @dataclass
 class Profiles:
-    """Ranks of n-grams (rows, ascending) in languages (columns); ``entries`` where a profile lacks one."""
+    """Ranks of n-grams (rows, ascending) in languages (columns); ``entries`` where a profile lacks one.
+
+    A text farther than ``foreign`` from all is in none of the languages.
+    """
 
     languages: list[str]
     grams: np.ndarray
     ranks: np.ndarray
     entries: int = PROFILE
     longest: int = LONGEST
+    foreign: float = FOREIGN
 
     def distances(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Shares of the largest possible distance (texts x languages), and each text's n-grams that were compared."""
@@ -115,33 +121,71 @@ class Profiles:
         return names, np.where(n > 0, score, 0.0), near
 
 
-def learn(labelled: DataFrame, rows: int = TRAIN_ROWS, entries: int = PROFILE, longest: int = LONGEST) -> Profiles:
+def learn(labelled: DataFrame, rows: int = TRAIN_ROWS, entries: int = PROFILE, longest: int = LONGEST, reject: bool = True) -> Profiles:
     """Profiles of the languages of ``labelled`` (doc_id, text, lang); rows without text or language teach nothing.
 
     At most about ``rows`` rows are read, chosen by a hash of ``doc_id``. Equal counts rank by n-gram.
+    With ``reject``, half of the rows' distances from profiles of the other half, both ways,
+    give the reject distance.
     """
-    known = labelled.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
+    half = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2)).cast("int"), F.lit(0))
+    known = labelled.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").withColumn("half", half)
     sample = bounded_sample(known, "doc_id", rows, known.select("lang").count())
 
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             codes = part.column("lang").dictionary_encode()
-            owner, gram, count = ranked_grams(part.column("text"), codes.indices.to_numpy().astype(np.int64), longest)
-            return pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(owner)), pa.array(gram), pa.array(count, pa.int64())], ["lang", "gram", "n"])
+            groups = codes.indices.to_numpy().astype(np.int64) * 2 + part.column("half").to_numpy()
+            owner, gram, count = ranked_grams(part.column("text"), groups, longest)
+            return pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(owner // 2)), pa.array(owner % 2, pa.int32()), pa.array(gram), pa.array(count, pa.int64())], ["lang", "half", "gram", "n"])
 
         return work
 
-    counts = map_text(sample.select("text", "lang"), "lang string, gram long, n long", make).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).filter(F.col("rank") < entries)
-    got = top.select("lang", "gram", "rank").collect()  # ``entries`` rows a language
-    languages = sorted({r.lang for r in got})
-    grams = np.unique(np.array([r.gram for r in got], np.int64))
+    counts = map_text(sample.select("text", "lang", "half"), "lang string, half int, gram long, n long", make)
+    by = {f"n{k}": F.sum(F.when(F.col("half") == k, F.col("n"))) for k in (0, 1)}
+    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), *[v.alias(k) for k, v in by.items()])
+    columns = ["n", "n0", "n1"] if reject else ["n"]
+    counts = counts.withColumns({f"r{c}": F.row_number().over(W.partitionBy("lang").orderBy(F.desc_nulls_last(c), "gram")) - 1 for c in columns})
+    counts = counts.withColumns({f"r{c}": F.when(F.col(c).isNotNull() & (F.col(f"r{c}") < entries), F.col(f"r{c}")) for c in columns})
+    got = counts.filter(F.coalesce(*[f"r{c}" for c in columns]).isNotNull()).collect()  # ``entries`` rows a language, three times at most
+    profiles = {c: _profiles([(r.lang, r.gram, r[f"r{c}"]) for r in got if r[f"r{c}"] is not None], entries, longest) for c in columns}
+    if reject and profiles["n"].languages:
+        profiles["n"].foreign = _reject_distance(sample, [profiles["n0"], profiles["n1"]])
+    return profiles["n"]
+
+
+def _profiles(got: list[tuple[str, int, int]], entries: int, longest: int) -> Profiles:
+    """Of (language, n-gram, rank)."""
+    languages = sorted({lang for lang, _, _ in got})
+    grams = np.unique(np.array([gram for _, gram, _ in got], np.int64))
     ranks = np.full((len(grams), len(languages)), entries, np.int64)
-    for r in got:
-        ranks[np.searchsorted(grams, r.gram), languages.index(r.lang)] = r.rank
+    for lang, gram, rank in got:
+        ranks[np.searchsorted(grams, gram), languages.index(lang)] = rank
     return Profiles(languages, grams, ranks, entries, longest)
 
 
+def _reject_distance(sample: DataFrame, halves: list[Profiles]) -> float:
+    """From rows (text, half) and the profiles of the halves; ``FOREIGN`` where no row has letters."""
+    held = sample.sparkSession.sparkContext.broadcast(halves)
+
+    def make():
+        models = held.value
+
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            half, out = part.column("half").to_numpy(), []
+            for k in (0, 1):
+                if (half == k).any():
+                    _, _, near = models[1 - k].predict(part.column("text").filter(pa.array(half == k)))
+                    out.append(near)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["d"])
+
+        return work
+
+    rows = map_text(sample.select("text", "half"), "d double", make).filter("d < 1")
+    at = rows.agg(F.percentile("d", F.lit(QUANTILE)).alias("q")).head().q
+    return FOREIGN if at is None else min(FOREIGN, at + MARGIN)
+
+
 def identify(df: DataFrame, profiles: Profiles) -> DataFrame:
     """``df`` (with ``text``) and ``lang_pred``, ``score``, ``lang_distance``; columns of these names are replaced.
 
@@ -164,6 +208,6 @@ def identify(df: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def keep_known_languages(df: DataFrame, profiles: Profiles) -> DataFrame:
-    """Rows of ``df`` in a learnt language: with letters, and nearer than ``FOREIGN`` to some profile."""
-    found = identify(df, profiles).filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_distance") <= FOREIGN))
+    """Rows of ``df`` in a learnt language: with letters, and no farther than the reject distance from the nearest profile."""
+    found = identify(df, profiles).filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_distance") <= profiles.foreign))
     return found.select(*[F.col(f"`{c}`") for c in df.columns])

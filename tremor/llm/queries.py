@@ -19,7 +19,7 @@ def op1_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; three quarters of the labelled ones teach the profiles."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(id_remainder(4) == 2, F.lit(False))
-    profiles = langid.learn(docs.filter(~held_out))
+    profiles = langid.learn(docs.filter(~held_out), reject=False)
     found = langid.identify(docs.select("doc_id", "text"), profiles)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_distance")
 
