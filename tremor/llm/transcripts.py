@@ -43,6 +43,16 @@ def marker(line: str) -> tuple[int, int]:
     return (_ROLE_OF[found[1].lower()], found.end()) if found else (len(ROLES), 0)
 
 
+def unmarked(line: str, role: int) -> str:
+    """A turn's first line without the speaker marker of the turn's role."""
+    found, n = marker(line)
+    return line[n:] if found == role else line
+
+
+def rendering(role: str, body: str) -> str:
+    return f"<|{role}|>\n{body}\n<|end|>\n"
+
+
 def forms(line: str) -> tuple[bool, ...]:
     body = line.strip()
     return body.endswith("?"), body[:1].islower(), not body, bool(_LIST.match(line)), len(body) < 40
@@ -74,6 +84,16 @@ class Model:
         walk = Walk(self)
         return [s for i, line in enumerate(lines) for s, _ in walk.push(self.line(line, i), None)] + [s for s, _ in walk.finish()]
 
+    def turns(self, text: str) -> list[tuple[int, str, str]]:
+        """(first line, role, text without its marker) of the turns found in a raw transcript."""
+        lines, out = text.split("\n"), []
+        for i, state in enumerate(self.viterbi(lines)):
+            if state % 2 == 0:
+                out.append((i, ROLES[state // 2], [unmarked(lines[i], state // 2)]))
+            else:
+                out[-1][2].append(lines[i])
+        return [(i, role, "\n".join(body)) for i, role, body in out]
+
 
 class Walk:
     """Viterbi that gives states as soon as all best paths agree on them, so long transcripts need little memory.
@@ -151,10 +171,10 @@ def _by_run(dealt: DataFrame) -> DataFrame:
     return dealt.select("part", "conv_id", "turn", "role", "text", "at").repartition(parts, "part").sortWithinPartitions("part", "at")
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _rows(batches: Iterator[pa.RecordBatch], columns: int = 5) -> Iterator[tuple]:
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
-            yield from zip(*(c.to_pylist() for c in batch.slice(a, 256).columns[:5]))
+            yield from zip(*(c.to_pylist() for c in batch.slice(a, 256).columns[:columns]))
 
 
 def _pieces(dealt: DataFrame, model: Model, eighths: int) -> dict[tuple[int, object], tuple[int | None, int | None]]:
@@ -266,45 +286,109 @@ def learn(turns: DataFrame, eighths: int = BARE_EIGHTHS) -> Model:
 
 
 def parse(turns: DataFrame, model: Model, eighths: int = BARE_EIGHTHS) -> DataFrame:
-    """Turns as transcripts, parsed: (conv_id, turn, marked, role_pred, starts, rendered), a row for each turn.
+    """Turns as transcripts, parsed: (conv_id, turn, marked, role_pred, starts, rendered, agrees, recovered), a row for each turn.
 
     The transcript of a conversation is its turns' lines in order; ``marked`` says whether
     the turn has a marker there. ``role_pred`` is the role of the turn's first line,
-    ``starts`` whether a turn was found to start there, ``rendered`` the canonical turn
+    ``starts`` whether a turn was found to start there, ``rendered`` the table's turn as
     ``<|role|>`` text ``<|end|>``. Null texts count as one empty line; repeated rows are
     turns of their own; turns of a null conversation are one conversation.
+
+    ``recovered`` holds the turns that the model found to start in the row, with the line
+    of the row, role and canonical turn: all lines up to the next start, in whatever rows
+    these are. ``agrees`` says whether a turn was found to start at the row's first line
+    and nowhere else in it.
     """
 
     dealt = _dealt(turns)
     known = _pieces(dealt, model, eighths)
+    names = ["part", "at", "conv_id", "turn", "marked", "role_pred", "starts", "rendered", "before", "found"]
+    pieces = pa.list_(pa.struct([("line", pa.int32()), ("role", pa.string()), ("starts", pa.bool_()), ("text", pa.string())]))
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pieces)
+
+    def batch(rows):
+        rows = [(*r[:-1], [{"line": i, "role": role, "starts": starts, "text": "\n".join(lines)} for i, role, starts, lines in r[-1]]) for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     def run(batches):
-        names = ["conv_id", "turn", "marked", "role_pred", "starts", "rendered"]
-        types = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.string())
         walk, now, out = Walk(model), (None, None), []
+        opened = None  # the row of this run's piece in which the current turn started
 
         def put(found):
-            for state, item in found:
-                if item is not None:
-                    conv, turn, marked, body = item
-                    role = ROLES[state // 2]
-                    out.append((conv, turn, marked, role, state % 2 == 0, f"<|{role}|>\n{body}\n<|end|>\n"))
+            nonlocal opened
+            for state, (head, i, line) in found:
+                role, starts = ROLES[state // 2], state % 2 == 0
+                if i == 0:
+                    part, at, conv, turn, marked, body = head
+                    out.append((part, at, conv, turn, marked, role, starts, rendering(role, body), None if starts else opened, []))
+                pieces = out[-1][-1]
+                if starts:
+                    opened = out[-1][1]
+                    pieces.append((i, role, True, [unmarked(line, state // 2)]))
+                elif i == 0:
+                    pieces.append((0, role, False, [line]))
+                else:
+                    pieces[-1][-1].append(line)
 
-        for part, conv, turn, role, text in _rows(batches):
+        for part, conv, turn, role, text, at in _rows(batches, 6):
             if (part, conv) != now:
                 put(walk.finish(known.get(now, (None, None))[1]))
-                now = part, conv
+                now, opened = (part, conv), None
             hidden = bare(conv, turn, eighths) or role not in ROLES
             for i, line in enumerate(turn_lines(role, text, hidden)):
-                body = text or ""
-                if hidden:
-                    body = body[marker(body.split("\n", 1)[0])[1] :]
-                put(walk.push(model.line(line, conv, turn, i), (conv, turn, not hidden, body) if i == 0 else None, known.get(now, (None, None))[0]))
-            if len(out) >= 256:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-                out.clear()
+                head = None
+                if i == 0:
+                    body = text or ""
+                    if hidden:
+                        body = body[marker(body.split("\n", 1)[0])[1] :]
+                    head = part, at, conv, turn, not hidden, body
+                put(walk.push(model.line(line, conv, turn, i), (head, i, line), known.get(now, (None, None))[0]))
+            if len(out) > 256:  # the last row can still get lines
+                yield batch(out[:-1])
+                del out[:-1]
         put(walk.finish(known.get(now, (None, None))[1]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            yield batch(out)
+
+    schema = "part int, at long, conv_id long, turn long, marked boolean, role_pred string, starts boolean, rendered string, before long, found array<struct<line int, role string, starts boolean, text string>>"
+    return _recovered(cut(_by_run(dealt).mapInArrow(run, schema), "parsed"))
+
+
+def _recovered(rows: DataFrame) -> DataFrame:
+    """Rows of ``parse`` with the turns that start in them; lines in later rows are brought to the row of their turn's start.
 
-    return _by_run(dealt).mapInArrow(run, "conv_id long, turn long, marked boolean, role_pred string, starts boolean, rendered string")
+    A run's first lines can belong to a turn of an earlier run: to the last that starts
+    there, of which there is one a run.
+    """
+    starts = F.filter("found", lambda x: x.starts)
+    last, before = None, []
+    ends = rows.groupBy("part").agg(F.max(F.when(F.size(starts) > 0, F.col("at"))).alias("at")).orderBy("part").collect()  # a row a run
+    for r in ends:
+        before.append((r.part, last))
+        last = last if r.at is None else r.at
+    earlier = rows.sparkSession.createDataFrame(before, "part int, earlier long")
+    later = rows.filter("NOT starts").join(F.broadcast(earlier), "part").select(F.coalesce("before", "earlier").alias("at"), F.struct("at", F.col("found")[0]["text"].alias("text")).alias("piece"))
+    later = later.groupBy("at").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    later = later.select("at", F.concat(F.lit("\n"), F.array_join(F.col("pieces.text"), "\n")).alias("rest"))
+    rows = rows.join(later, "at", "left").withColumn("own", starts)
+    text = lambda x, i: F.concat(x.text, F.when(i == F.size("own") - 1, F.coalesce("rest", F.lit(""))).otherwise(""))
+    turn = lambda x, i: F.struct(x.line.alias("line"), x.role.alias("role"), F.concat(F.lit("<|"), x.role, F.lit("|>\n"), text(x, i), F.lit("\n<|end|>\n")).alias("rendered"))
+    agrees = F.col("starts") & (F.size("found") == 1)
+    return rows.select("conv_id", "turn", "marked", "role_pred", "starts", "rendered", agrees.alias("agrees"), F.transform("own", turn).alias("recovered"))
+
+
+def parse_text(transcripts: DataFrame, model: Model) -> DataFrame:
+    """Raw transcripts (conv_id, text), parsed: (conv_id, turn, line, role, rendered), a row for each turn found; null texts have none."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                rows = []
+                for conv, text in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns)):
+                    found = [] if text is None else model.turns(text)
+                    rows += [(conv, k, i, role, rendering(role, body)) for k, (i, role, body) in enumerate(found)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()))], ["conv_id", "turn", "line", "role", "rendered"])
+
+    rows = transcripts.select(F.col("conv_id").cast("long").alias("conv_id"), "text")
+    return rows.mapInArrow(run, "conv_id long, turn long, line int, role string, rendered string")
