@@ -92,7 +92,7 @@ def test_branching_ratio_is_the_mean_offspring():
 
 
 def test_standard_formulation_has_the_same_rate():
-    t = params.from_standard(1e-6, 0.3, 1.1, 0.01, 1.2, 0.5, 1.0, 1.5)
+    t = params.from_normalized(1e-6, 0.3, 1.1, 0.01, 1.2, 0.5, 1.0, 1.5)
     dm, dt, r2 = 1.3, 0.7, 4.0
     zone = 0.5 * math.exp(dm)
     want = 0.3 * math.exp(1.1 * dm) * 0.2 / 0.01 * (1 + dt / 0.01) ** -1.2 * 0.5 / (math.pi * zone) * (1 + r2 / zone) ** -1.5
@@ -138,3 +138,78 @@ def test_binning_never_rounds_to_even(spark):
 def test_kolmogorov_p():
     assert special.kolmogorov_p(0.0, 10) == 1.0 and special.kolmogorov_p(0.5, 100) < 1e-10
     assert special.normal_p(1.959964) == pytest.approx(0.05, abs=1e-6)
+
+
+@pytest.mark.parametrize("mean", [3.0, 59.0, 60.0, 500.0])
+def test_poisson_is_exact(spark, mean):
+    """Counts against the exact distribution: mean, variance and shares of quarters."""
+    n = 20_000
+    got = np.array([r[0] for r in spark.range(n).select(rng.poisson(F.lit(mean), "t", F.col("id"))).collect()])
+    assert abs(got.mean() - mean) < 5 * math.sqrt(mean / n) and abs(got.var() / mean - 1) < 0.06
+    k = np.arange(int(mean + 20 * math.sqrt(mean) + 30))
+    cdf = np.cumsum(np.exp(k * math.log(mean) - mean - np.array([math.lgamma(i + 1) for i in k])))
+    for q in (0.25, 0.5, 0.75):
+        at = int(np.searchsorted(cdf, q))
+        assert abs((got <= at).mean() - cdf[at]) < 5 * math.sqrt(0.25 / n)
+    assert [rng.poisson_of(mean, "t", i) for i in range(50)] == [r[0] for r in spark.range(50).select("id", rng.poisson(F.lit(mean), "t", F.col("id")).alias("n")).orderBy("id").select("n").collect()]
+
+
+def test_approximate_delays_have_their_density(spark):
+    for omega in (0.1, 0.0, -0.2):
+        t = Theta(omega=omega, log10_tau=1.0)
+        body = integral(lambda x: (x + t.c) ** -(1 + omega), 1e-9, t.tau)
+        tail = integral(lambda x: (t.tau + t.c) ** -(1 + omega) * np.exp(1 - x / t.tau), t.tau, 60 * t.tau)
+        share = body / (body + tail)
+        for u in (0.2, 0.9 * share, share + 0.3 * (1 - share), share + 0.9 * (1 - share)):
+            x = spark.range(1).select(K.approximate_delay_of(F.lit(u), t)).head()[0]
+            mass = integral(lambda y: (y + t.c) ** -(1 + omega), 1e-9, min(x, t.tau))
+            if x > t.tau:
+                mass += integral(lambda y: (t.tau + t.c) ** -(1 + omega) * np.exp(1 - y / t.tau), t.tau, x)
+            assert mass / (body + tail) == pytest.approx(u, rel=2e-3)
+
+
+@pytest.mark.parametrize("dm_max", [None, 5.0])
+def test_reference_change_keeps_the_branching_ratio(dm_max):
+    t = Theta(omega=0.1)
+    up = params.at_reference(t, 2.3, 0.5, dm_max)
+    assert params.branching_ratio(up, 2.3, None if dm_max is None else dm_max - 0.5) == pytest.approx(params.branching_ratio(t, 2.3, dm_max))
+    assert params.at_reference(up, 2.3, -0.5, None if dm_max is None else dm_max - 0.5).values()[2:] == pytest.approx(t.values()[2:])
+
+
+def test_rate_parameters_keep_productivity_and_zone():
+    t = Theta(log10_k0=-2.0, omega=0.1)
+    r, other = params.to_rate_params(t, 3.0), params.to_rate_params(Theta(log10_k0=-1.0, omega=0.1), 3.0)
+    assert math.exp(-r.alpha * (4.2 - r.m0)) == pytest.approx(t.k0 * math.exp(t.a * 1.2)) and r != other
+    assert r.big_d**2 * math.exp(-r.alpha * (3.0 - r.m0)) == pytest.approx(t.d)
+    with pytest.raises(ValueError):
+        params.to_rate_params(Theta(a=0.0), 3.0)
+
+
+def test_places_fill_a_thin_ring(spark):
+    ring = [(0.0, 0.0), (10.0, 10.0), (10.0, 10.001), (0.0, 0.001)]
+    p = spark.range(2000).select(geo.place_in_ring(ring, rng.uniform(F.col("id"), "a"), rng.uniform(F.col("id"), "b"), rng.uniform(F.col("id"), "c")).alias("p")).select("p.lat", "p.lon").toPandas()
+    assert len(p) == 2000 and p.lat.nunique() == 2000 and abs(p.lat.mean() - 5) < 0.3 and (p.lon - p.lat).between(-1e-9, 0.001 + 1e-9).all()
+    with pytest.raises(ValueError):
+        geo.triangles([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)])
+
+
+def test_utm_round_trip():
+    lat, lon = np.array([34.0, 46.5, -33.0]), np.array([-118.2, -115.0, -119.9])
+    x, y = geo.transverse_mercator(lat, lon, 32611)
+    assert (x[0], y[0]) == pytest.approx((389179.5, 3762805.0), abs=1.0)  # published tables give metres
+    back = geo.from_transverse_mercator(x, y, 32611)
+    assert back[0] == pytest.approx(lat, abs=1e-8) and back[1] == pytest.approx(lon, abs=1e-8)
+
+
+def test_scaled_ring_keeps_area_within_a_box():
+    ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]
+    out = geo.scaled_ring(ring, 2.0, (-0.1, 5.0, -5.0, 5.0))
+    assert geo._shoelace(out) == pytest.approx(2.0, rel=1e-6) and min(p[0] for p in out) >= -0.1 - 1e-9
+    assert geo._shoelace(geo.scaled_ring(ring, 2.0, (0.0, 1.1, 0.0, 1.1))) == pytest.approx(1.21, rel=1e-3)
+    assert geo.scaled_ring([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)], 2.0, (0.0, 2.0, 0.0, 2.0))[2] == (2.0, 2.0)
+
+
+def test_boundary_distance(spark):
+    d = spark.range(1).select(geo.boundary_distance(F.lit(0.5), F.lit(0.5), [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)])).head()[0]
+    assert d == pytest.approx(0.5 * 111.3, rel=1e-2)
+    assert geo.expanded_ring([(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)], 50.0)[0][0] < 0

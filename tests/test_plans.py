@@ -57,9 +57,13 @@ def test_fit_raises_the_likelihood_and_keeps_fixed(spark):
     values = lambda t: np.array([getattr(t, n) for n in inversion.FREE], float)
     e = inversion.expectation(p, registry.THETA)
     e = inversion.Expected(e.pairs.withColumn("weight", F.col("p") * F.col("zeta")), e.targets, e.sources)
-    old, _ = inversion.objective(e, values(registry.THETA), setup.m_low, [])
-    new, _ = inversion.objective(e, values(fit.theta), setup.m_low, [])
-    assert new > old and set(fit.record()["ranges"]) == set(fit.record()["final_parameters"])
+    of = inversion.Objective(e, setup.m_low)
+    (old, grad), (new, _) = of(values(registry.THETA)), of(values(fit.theta))
+    assert old == pytest.approx(inversion.Objective(e, setup.m_low, held_rows=0)(values(registry.THETA))[0], rel=1e-12)
+    for i in range(len(grad)):
+        step = 1e-5 * np.eye(len(grad))[i]
+        assert grad[i] == pytest.approx((of(values(registry.THETA) + step)[0] - of(values(registry.THETA) - step)[0]) / 2e-5, rel=1e-4, abs=1e-4)
+    assert new > old and not fit.converged and set(fit.record()["ranges"]) == set(fit.record()["final_parameters"])
 
 
 def test_simulation_does_not_depend_on_partitions(spark):
@@ -82,8 +86,9 @@ def test_thinning_caps_and_orders(spark):
     h = spark.createDataFrame([(0.0, 34.0, -119.0, 5.0)], "days double, latitude double, longitude double, magnitude double")
     ring = [(33.0, -120.0), (35.0, -120.0), (35.0, -118.0), (33.0, -118.0)]
     process = simulation.Process(Theta(-5.0, None, -2.0, 1.0, -2.0, 0.0, 3.0, -1.0, 1.0, 0.5), 2.3, 3.0)
-    rows = simulation.thinned(h, process, ring, 1.0, 400.0, 2, 3, resolution=8).toPandas()
+    rows = simulation.thinned(h.withColumn("id", F.lit(1).cast("long")), process, ring, 1.0, 400.0, 2, 3, resolution=8).toPandas()
     assert (rows.groupby("seed").size() <= 3).all() and len(rows)
+    assert (rows.groupby("seed").complete.first() == (rows.groupby("seed").size() < 3)).all()
     for _, g in rows.groupby("seed"):
         assert (g.t.diff().dropna() > 0).all() and (g.t > 1.0).all()
 
@@ -134,8 +139,9 @@ def test_sources_round_trip(spark, tmp_path):
     got, tables = cat.read_fit(str(tmp_path / "fit"), spark, "sources", "pairs")
     assert got == fit and set(tables) == {"sources"} and tables["sources"].count() == 3
     f = spark.createDataFrame([(0, 1.0), (1, 2.0)], "catalog_id long, magnitude double")
-    assert cat.append_forecast(f, str(tmp_path / "f")).count() >= 0
-    cat.append_forecast(f.union(spark.createDataFrame([(2, 3.0)], f.schema)), str(tmp_path / "f"))
+    assert cat.append_forecast(f, str(tmp_path / "f")).count() == 2
+    new = cat.append_forecast(f.union(spark.createDataFrame([(2, 3.0)], f.schema)), str(tmp_path / "f"))
+    assert [tuple(r) for r in new.collect()] == [(2, 3.0)]
     assert spark.read.parquet(str(tmp_path / "f")).count() == 3
 
 
@@ -219,3 +225,141 @@ def test_stored_catalogs_and_induced(spark, tmp_path):
     assert cat.column_report(c, c.drop("id").withColumn("z", F.lit(1))) == {"both": ["days", "latitude", "longitude", "magnitude"], "first": ["id"], "second": ["z"]}
     rows = simulation.induced(c, simulation.Process(Theta(log10_iota=1.5), 2.3, 3.0), "magnitude", 0.0, 10.0, 20).toPandas()
     assert abs(len(rows) / 20 - 31.6) < 5 and set(rows.kind) == {"induced"}
+
+
+def test_ties_of_parameters_hold_at_the_optimum(spark):
+    p = inversion.prepared(cat.from_events(spark.read.parquet(f"{SMALL}/events.parquet")), registry._setup(alpha_is_beta=True))
+    e = inversion.expectation(p, registry.THETA)
+    e = inversion.Expected(e.pairs.withColumn("weight", F.col("p") * F.col("zeta")), e.targets, e.sources)
+    t, done = inversion.maximize(e, registry.THETA, p.setup, p.beta)
+    assert done and t.a == pytest.approx(p.beta + t.rho * t.gamma)
+    best = inversion.log_likelihood(e, t, p.setup.m_low)
+    for gamma in (t.gamma - 0.05, t.gamma + 0.05):
+        near = Theta(**{**{n: getattr(t, n) for n in inversion.K.NAMES}, "gamma": gamma, "a": p.beta + t.rho * gamma})
+        assert inversion.log_likelihood(e, near, p.setup.m_low) < best
+
+
+def test_free_productivity_recovers_a_law(spark):
+    """Sources whose kappas follow a law give the law back; a step of the fit leaves sums of aftershocks right."""
+    rows = spark.createDataFrame([(i, 10**-2.0 * math.exp(1.3 * (i % 20) / 10), 3.0 + (i % 20) / 10, 0.0) for i in range(200)] + [(999, 50.0, 3.0, 4.0)], "source_id long, kappa double, source_magnitude double, to_start double")
+    a, log10_k0 = inversion.law_of_kappas(rows, 3.0)
+    assert a == pytest.approx(1.3, abs=1e-6) and log10_k0 == pytest.approx(-2.0, abs=1e-6)
+    p = inversion.prepared(cat.from_events(spark.read.parquet(f"{SMALL}/events.parquet")), registry._setup(free_productivity=True))
+    fit = inversion.invert(p, registry.THETA, most=2)
+    assert fit.kappa is not None and fit.theta.a != registry.THETA.a
+    with pytest.raises(ValueError):
+        inversion.prepared(cat.from_events(spark.read.parquet(f"{SMALL}/events.parquet")), registry._setup(free_productivity=True, fixed=("a",)))
+
+
+def test_polygon_plan_computes_a_point_once(spark):
+    df = registry.queries()["polygon_filter"](spark, SMALL)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") <= 2
+
+
+def test_trailing_plan_has_no_sliding_frame(spark):
+    plan = registry.queries()["trailing_seismicity"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "specifiedwindowframe(RangeFrame" not in plan
+
+
+def test_buckets_change_nothing(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(d), float(m)) for i, (d, m) in enumerate(zip(np.round(rng.exponential(1.0, 300), 2), np.round(rng.uniform(2, 6, 300), 1)))]
+    df = spark.createDataFrame(rows, "id long, days double, magnitude double").withColumns({n: F.lit("own") for n in ("_row", "_bucket", "_v", "_at", "_own")})
+    for rows_ in (20, 10_000):
+        for f, out in ((lambda d, r: ordered.with_previous(d, {"p": F.col("magnitude")}, rows=r), "p"), (lambda d, r: ordered.with_running_sum(d, F.lit(1), "s", rows=r), "s"), (lambda d, r: ordered.with_trailing_count(d, F.col("magnitude") >= 4, 0.2, "n", rows=r), "n")):
+            got = f(df, rows_)
+            assert got.columns == [*df.columns, out] and got.filter("_row = 'own' AND _v = 'own'").count() == 300
+            assert {r.id: r[out] for r in got.collect()} == {r.id: r[out] for r in f(df, 10_000).collect()}
+
+
+def test_total_of_thinning_is_that_of_branching(spark):
+    """Thinning and branching are two ways to one process: their mean numbers agree."""
+    ring = [(33.0, -120.0), (35.0, -120.0), (35.0, -118.0), (33.0, -118.0)]
+    h = spark.createDataFrame([(1, 0.0, 34.0, -119.0, 6.0)], "id long, days double, latitude double, longitude double, magnitude double")
+    process = simulation.Process(Theta(log10_mu=-4.0, log10_k0=-2.9, log10_d=-1.5), 2.3, 3.0)
+    area = 40000.0
+    n = 60
+    a = simulation.forecast(h, process, ring, 1.0, 5.0, simulation.geodesic_area(ring), n).count() / n
+    b = simulation.thinned(h, process, ring, 1.0, 6.0, n).count() / n
+    assert area and a > 5 and abs(a - b) < 5 * math.sqrt(2 * 3 * a / n)
+
+
+def test_forecast_parts(spark):
+    """Inflated history, induced events and earlier places all take effect, and guards raise."""
+    ring = [(33.0, -120.0), (35.0, -120.0), (35.0, -118.0), (33.0, -118.0)]
+    h = spark.createDataFrame([(i, 0.0, 34.0, -119.0, 5.5) for i in range(20)], "id long, days double, latitude double, longitude double, magnitude double")
+    process = simulation.Process(Theta(log10_mu=-4.5, log10_k0=-3.4, log10_iota=0.5), 2.3, 3.0)
+    plain = simulation.forecast(h, process, ring, 1.0, 5.0, 40000.0, 4).count()
+    more = simulation.forecast(h.withColumn("xi", F.lit(4.0)), process, ring, 1.0, 5.0, 40000.0, 4, xi="xi").count()
+    sites = simulation.induced(h.limit(3).withColumn("w", F.lit(1.0)), process, "w", 1.0, 6.0, 4, expected=10.0)
+    kinds = {r[0] for r in simulation.forecast(h, process, ring, 1.0, 5.0, 40000.0, 4, induced_events=sites).select("kind").distinct().collect()}
+    assert more > plain and "induced" in kinds
+    places = spark.createDataFrame([(1, 34.5, -118.5, 1.0)], "id long, latitude double, longitude double, probability double")
+    put = simulation.forecast(h, process, ring, 1.0, 5.0, 40000.0, 4, places=places, place_scale=0.0).filter("kind = 'background'")
+    assert {(r.latitude, r.longitude) for r in put.collect()} == {(34.5, -118.5)}
+    with pytest.raises(ValueError):
+        simulation.empirical_places(h, places.withColumn("probability", F.lit(1.5)), "probability")
+    with pytest.raises(RuntimeError):
+        simulation.cascade(simulation.background(spark, process, ring, 0.0, 5.0, 40000.0), process, 5.0, most=0)
+    with pytest.raises(ValueError):
+        simulation.prepared_history(spark.createDataFrame([(99,)], "source_id long"), h, 5.5)
+    with pytest.raises(ValueError):
+        simulation.prepared_history(h.select(F.col("id").alias("source_id")), h, 3.0)
+    assert simulation.prepared_history(h.select(F.col("id").alias("source_id")), h, 5.5).filter("xi_plus_1 = 1").count() == 20
+
+
+def test_shares_converge(spark):
+    ring = [(33.0, -120.0), (35.0, -120.0), (35.0, -118.0), (33.0, -118.0)]
+    t = Theta()
+    fine = simulation.space_share(ring, 34.9, -118.1, 5.0, t, 2.95, 400)
+    errors = [abs(simulation.space_share(ring, 34.9, -118.1, 5.0, t, 2.95, n) / fine - 1) for n in (10, 40, 160)]
+    assert errors[2] < 0.005 and errors[2] < errors[0]
+    inside = simulation.space_share(ring, 34.0, -119.0, 3.0, t, 2.95, 100)
+    assert inside == pytest.approx(t.k0 * math.exp(t.a * 0.05) * math.pi / t.rho * (t.d * math.exp(t.gamma * 0.05)) ** -t.rho, rel=0.05)
+
+
+def test_hulls_and_rings(spark):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(200, 2))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in points], "latitude double, longitude double").repartition(5)
+    ring = cat.ring_of(df)
+    assert filters.in_region(df, ring).count() == 200
+    assert cat.ring_of(df.withColumn("longitude", F.lit(1.0)))[0][1] == 1.0 and len(cat.ring_of(df.withColumn("longitude", F.lit(1.0)))) == 4
+    np.save("/tmp/tremor-ring.npy", np.array(ring))
+    assert cat.read_ring("/tmp/tremor-ring.npy") == [tuple(p) for p in ring]
+
+
+def test_differences(spark):
+    a = spark.createDataFrame([(1, 2.0), (None, 3.0), (4, float("nan"))], "id long, v double")
+    assert cat.equivalent(a, a, "id") and cat.equivalent(a, a) and not cat.equivalent(a, a.filter("id = 1"), "id")
+    assert cat.differences(a, a.withColumn("v", F.col("v") + 1), "id").count() == 2
+
+
+def test_traces(spark, tmp_path):
+    c = spark.createDataFrame([(1, 0.5, 3.0)], "id long, days double, magnitude double")
+    cat.log_parameters("here", {"a": float("nan")}, str(tmp_path / "p.jsonl"), mc=3.0)
+    cat.log_parameters("here", None, None)
+    assert (tmp_path / "p.jsonl").read_text() == '{"site": "here", "parameters": {"a": null}, "mc": 3.0}\n'
+    for _ in range(2):
+        cat.log_events("here", c, str(tmp_path / "e"))
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 2
+
+
+def test_quakeml_files(spark, tmp_path):
+    c = spark.createDataFrame([(1, 0.5, 34.0, -118.0, 3.0, 7.5), (2, 1.5, None, -118.0, 4.0, None)], "id long, days double, latitude double, longitude double, magnitude double, depth double")
+    cat.write_quakeml(c, str(tmp_path / "q"))
+    got = sorted((r.event_id, r.days, r.latitude, r.magnitude, r.depth) for r in cat.read_quakeml(spark, str(tmp_path / "q" / "part-*")).collect())
+    assert got == [("1", 0.5, 34.0, 3.0, 7.5), ("2", 1.5, None, 4.0, None)]
+
+
+def test_service_years():
+    reader = cat._TextServiceReader({"start": "1990", "end": "1991", "url": ""})
+    assert [p.value for p in reader.partitions()] == [("1990-01-01", "1991-01-01"), ("1991-01-01", "1992-01-01")]
+    reader = cat._TextServiceReader({"start": "1990-06-01", "end": "1991-02-01", "url": ""})
+    assert [p.value for p in reader.partitions()] == [("1990-06-01", "1991-01-01"), ("1991-01-01", "1991-02-01")]
+
+
+def test_service_through_spark(spark, tmp_path):
+    (tmp_path / "1990-01-01.txt").write_text("#EventID|Time|Latitude|Longitude|Depth/km|Magnitude\nb|1990-03-01T00:00:00|46.1|7.2|5.0|2.5\na|1990-02-01T00:00:00|46.1|7.2||3.5\n")
+    rows = cat.read_service(spark, url=f"file://{tmp_path}/{{start}}.txt", start="1990", end="1990").collect()
+    assert [r.event_id for r in rows] == ["a", "b"] and rows[0].days == 7336.0

@@ -40,28 +40,68 @@ def test_windows_and_formats():
         config.year_windows(dt.datetime(1981, 1, 1), dt.datetime(1990, 1, 1), 5, 10)
     assert (config.short_duration(2 * 86400), config.short_duration(30)) == ("2.00d", "30s")
     assert config.between(dt.datetime(2000, 1, 1), dt.datetime(2000, 1, 11), 0.5) == dt.datetime(2000, 1, 6)
-    assert config.methods("etas, etas_thinning,etas") == ["etas", "etas_thinning"]
+    assert runs.methods("branching, Thinning,branching") == ["branching", "thinning"]
     with pytest.raises(ValueError):
-        config.methods("other")
+        runs.methods("other")
+
+
+def test_scoped_bindings():
+    text = "include 'b.gin'\na = 1\nTarget:\n  a = %a\n  big = [1,  # one\n    2]\n\nb = 'x'\n"
+    assert config.parse_config(text) == {"includes": ["b.gin"], "bindings": {"a": 1, "Target.a": "%a", "Target.big": [1, 2], "b": "x"}}
+    new = config.update_bindings(text, {"a": 5, "Target.big": [3], "other.c": "@f()"})
+    assert config.parse_config(new)["bindings"] == {"a": 5, "Target.a": "%a", "Target.big": [3], "b": "x", "other.c": "@f()"} and "  a = %a" in new
+    for bad in ("no binding", "a = [1,\n2"):
+        with pytest.raises(ValueError):
+            config.parse_config(bad)
 
 
 def test_cached_fit(spark, tmp_path):
     c = cat.from_events(spark.read.parquet(f"{SMALL}/events.parquet"))
     a, place = runs.cached_fit(c, registry._setup(), registry.THETA, str(tmp_path), most=0)
-    b, again = runs.cached_fit(c.limit(0), registry._setup(), registry.THETA, str(tmp_path), most=0)
+    b, again = runs.cached_fit(c.repartition(3), registry._setup(), registry.THETA, str(tmp_path), most=0)
     assert a == b and place == again and runs.theta_of(a) == registry.THETA
+    other, elsewhere = runs.cached_fit(c.filter("id % 7 > 0"), registry._setup(), registry.THETA, str(tmp_path), most=0)
+    assert elsewhere != place and other["n_hat"] != a["n_hat"]
+    with pytest.raises(ValueError):
+        runs.cached_fit(c.limit(0), registry._setup(), registry.THETA, str(tmp_path), most=0)
+    fit = runs.reloaded(place, spark)
+    assert fit.theta == registry.THETA and fit.setup == registry._setup() and fit.expected.targets.count() and fit.expected.pairs is None
+
+
+HISTORY = [(1, 0.0, 34.0, -119.0, 5.0), (2, 0.5, 34.1, -119.0, 4.0)]
+PLACED = "id long, days double, latitude double, longitude double, magnitude double"
 
 
 def test_ensemble_and_report(spark, tmp_path):
-    h = spark.createDataFrame([(1, 0.0, 34.0, -119.0, 5.0), (2, 0.5, 34.1, -119.0, 4.0)], "id long, days double, latitude double, longitude double, magnitude double")
+    h = spark.createDataFrame(HISTORY, PLACED)
     process = simulation.Process(Theta(log10_mu=-4.5, log10_k0=-3.2), 2.3, 3.0)
-    rows = runs.ensemble(h, process, RING, 1.0, 3.0, 2, ["etas", "etas_thinning"], str(tmp_path), 50)
-    n = rows.count()
-    assert n and runs.ensemble(h, process, RING, 1.0, 3.0, 2, ["etas", "etas_thinning"], str(tmp_path), 50).count() == n
+    names = ["branching", "thinning"]
+    rows = runs.ensemble(h, process, RING, 1.0, 3.0, 2, names, str(tmp_path), 50)
+    key = lambda df: sorted(tuple(r) for r in df.select("method", "seed", "t", "m").collect())
+    first = key(rows)
+    assert first and key(runs.ensemble(h, process, RING, 1.0, 3.0, 2, names, str(tmp_path), 50)) == first
+    more = key(runs.ensemble(h, process, RING, 1.0, 3.0, 3, names, str(tmp_path), 50))
+    assert [r for r in more if r[1] < 2] == first
+    late = runs.ensemble(h, process, RING, 500.0, 3.0, 2, names, str(tmp_path), 50)
+    assert late.filter("t < 500").isEmpty() and not late.isEmpty()
+    other = simulation.Process(Theta(log10_mu=-4.5, log10_k0=-3.2), 2.3, 3.0, seed=7)
+    assert key(runs.ensemble(h, other, RING, 1.0, 3.0, 2, names, str(tmp_path), 50)) != first
+    meta = lambda history: runs.realization_meta(history, process, RING, 1.0, 3.0, "branching", 50, {})
+    assert meta(h) == meta(h.repartition(3)) != meta(h.filter("id = 1"))
+    with pytest.raises(ValueError):
+        runs.ensemble(h, process, RING, 1.0, 3.0, 2, ["neural"], str(tmp_path), 50)
     m = runs.metrics(rows)
-    assert m.count() <= 4 and "difference" in runs.paired(m, "etas", "etas_thinning").columns
-    page = runs.html_report("A <title>", {"n": n}, {"metrics": m})
-    assert "A &lt;title&gt;" in page and "n_events" in page
+    assert m.count() <= 4 and {tuple(r)[0] for r in runs.paired(m, "branching", "thinning").collect()} <= {0, 1}
+    page = runs.html_report("A <title>", {"n": len(first)}, {"metrics": m}, most_rows=1, images={"counts": runs.png([1, 3, 2])})
+    assert "A &lt;title&gt;" in page and "n_events" in page and f"the first 1 of {m.count()} rows" in page and "data:image/png" in page
+
+
+def test_registered_method(spark, tmp_path):
+    made = lambda history, process, ring, start, days, first, seeds, cap, how: spark.createDataFrame([(s, 3.0, 1.0, 2.0, start, 0.0, "background") for s in range(first, first + seeds)], "seed long, m double, x double, y double, t double, dt_days double, event_source string")
+    runs.register_method("constant", made)
+    process = simulation.Process(Theta(), 2.3, 3.0)
+    assert runs.ensemble(spark.createDataFrame(HISTORY, PLACED), process, RING, 1.0, 1.0, 4, "constant", str(tmp_path)).count() == 4
+    runs.METHODS.pop("constant")
 
 
 def test_operational_forecast(spark):
@@ -74,8 +114,10 @@ def test_operational_forecast(spark):
 
 
 def test_grids(spark):
-    nodes = runs.grid_in_ring(RING, 400.0)
-    assert abs(len(nodes) * 400.0 / geodesic_area(RING) - 1) < 0.06
+    for utm in (False, True):
+        nodes, facts = runs.grid_in_ring(RING, 0.0025, utm=utm)
+        assert abs(len(nodes) * 400.0 / geodesic_area(RING) - 1) < 0.06 and facts["found"] == len(nodes)
+    assert min(n[0] for n in nodes) > 1e5  # metres
     with pytest.raises(ValueError):
         runs.grid_in_ring(RING, 0.0)
     with pytest.raises(ValueError):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,24 +44,73 @@ def wrapped(lon: Column) -> Column:
     return F.when(lon < 0, lon + 360).otherwise(lon)
 
 
+def _edges(ring: list[tuple[float, float]]) -> list[tuple[float, float, float, float]]:
+    """(lat 1, lon 1, lat 2, lon 2) of the edges that are not points."""
+    return [(*p, *q) for p, q in zip(ring, [*ring[1:], ring[0]]) if tuple(p) != tuple(q)]
+
+
+def _held_edges(ring: list[tuple[float, float]]) -> Column:
+    return F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(e, ("y1", "x1", "y2", "x2"))]) for e in _edges(ring)])
+
+
+def at_point(lat: Column, lon: Column, f) -> Column:
+    """``f`` of the point's columns (y, x), which are computed once however often ``f`` refers to them."""
+    return F.get(F.transform(F.array(F.struct(lat.cast("double").alias("y"), lon.cast("double").alias("x"))), lambda p: f(p.y, p.x)), F.lit(0))
+
+
+def in_box(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column:
+    """Whether a point is in a ring's box; on stored columns, scans prune by it."""
+    lats, lons = [p[0] for p in ring], [p[1] for p in ring]
+    return lat.between(min(lats), max(lats)) & lon.between(min(lons), max(lons))
+
+
 def in_polygon(lat: Column, lon: Column, ring: list[tuple[float, float]], boundary: bool = True) -> Column:
     """Whether a point is in a ring, by crossings; points on the boundary count if ``boundary``.
 
-    The box of the ring comes first, so scans can prune by it.
+    A fold over the ring's edges, so the plan does not grow with the ring and the point is
+    computed once. Null where a coordinate is.
     """
-    edges = list(zip(ring, [*ring[1:], ring[0]]))
-    edges = [(p, q) for p, q in edges if p != q]
-    lats, lons = [p[0] for p in ring], [p[1] for p in ring]
-    box = lat.between(min(lats), max(lats)) & lon.between(min(lons), max(lons))
-    crossed, on_edge = F.lit(0), F.lit(False)
-    for (y1, x1), (y2, x2) in edges:
-        side = (lon - x1) * F.lit(y2 - y1) - (lat - y1) * F.lit(x2 - x1)
-        on_edge = on_edge | ((side == 0) & lat.between(min(y1, y2), max(y1, y2)) & lon.between(min(x1, x2), max(x1, x2)))
+
+    def inside(y: Column, x: Column) -> Column:
+        def step(s: Column, e: Column) -> Column:
+            side = (x - e.x1) * (e.y2 - e.y1) - (y - e.y1) * (e.x2 - e.x1)
+            on = (side == 0) & y.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2)) & x.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2))
+            over = ((e.y1 > y) != (e.y2 > y)) & (x < e.x1 + (y - e.y1) * ((e.x2 - e.x1) / (e.y2 - e.y1)))
+            return F.struct((s.odd != over).alias("odd"), (s.on | on).alias("on"))
+
+        start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on"))
+        found = F.aggregate(_held_edges(ring), start, step, lambda s: (s.odd | s.on) if boundary else (s.odd & ~s.on))
+        return F.when(in_box(y, x, ring), found).when(y.isNotNull() & x.isNotNull(), F.lit(False))
+
+    return at_point(lat, lon, inside)
+
+
+def boundary_distance(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column:
+    """km from a point to the nearest place on a ring's edges, in the plane of the point's degree lengths."""
+
+    def nearest(y: Column, x: Column) -> Column:
+        per_lat, per_lon = km_per_degree(y)
+
+        def step(best: Column, e: Column) -> Column:
+            ax, ay, bx, by = (e.x1 - x) * per_lon, (e.y1 - y) * per_lat, (e.x2 - x) * per_lon, (e.y2 - y) * per_lat
+            dx, dy = bx - ax, by - ay
+            share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / (dx * dx + dy * dy)))
+            px, py = ax + share * dx, ay + share * dy
+            return F.least(best, F.sqrt(px * px + py * py))
+
+        return F.aggregate(_held_edges(ring), F.lit(math.inf), step)
+
+    return at_point(lat, lon, nearest)
+
+
+def contained(ring: list[tuple[float, float]], lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """``contains`` of arrays."""
+    lat, lon = np.asarray(lat, float), np.asarray(lon, float)
+    odd = np.zeros(np.broadcast(lat, lon).shape, bool)
+    for y1, x1, y2, x2 in _edges(ring):
         if y1 != y2:
-            at = F.lit(x1) + (lat - y1) * F.lit((x2 - x1) / (y2 - y1))
-            crossed = crossed + F.when(((F.lit(y1) > lat) != (F.lit(y2) > lat)) & (lon < at), 1).otherwise(0)
-    inside = crossed % 2 == 1
-    return box & ((inside | on_edge) if boundary else (inside & ~on_edge))
+            odd ^= ((y1 > lat) != (y2 > lat)) & (lon < x1 + (lat - y1) * ((x2 - x1) / (y2 - y1)))
+    return odd
 
 
 def contains(ring: list[tuple[float, float]], lat: float, lon: float) -> bool:
@@ -130,6 +180,97 @@ def utm_zone(lat: float, lon: float) -> int:
     return (32600 if lat >= 0 else 32700) + int((lon + 180) // 6) % 60 + 1
 
 
+def utm_zone_of(lat: Column, lon: Column) -> Column:
+    """``utm_zone`` of columns."""
+    return (F.when(lat >= 0, 32600).otherwise(32700) + F.pmod(F.floor((lon + 180) / 6), F.lit(60)) + 1).cast("int")
+
+
+def transverse_mercator(lat: np.ndarray, lon: np.ndarray, zone: int) -> tuple[np.ndarray, np.ndarray]:
+    """(easting, northing) in metres in a UTM zone (EPSG code), by Krueger's series."""
+    south, middle = zone >= 32700, math.radians((zone % 100) * 6 - 183)
+    n, big_a, alpha, _ = _krueger()
+    e = math.sqrt(WGS84_F * (2 - WGS84_F))
+    phi, dl = np.radians(lat), np.radians(lon) - middle
+    t = np.sinh(np.arctanh(np.sin(phi)) - e * np.arctanh(e * np.sin(phi)))
+    xi, eta = np.arctan2(t, np.cos(dl)), np.arcsinh(np.sin(dl) / np.hypot(t, np.cos(dl)))
+    x = eta + sum(a * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, a in enumerate(alpha, 1))
+    y = xi + sum(a * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, a in enumerate(alpha, 1))
+    return 500000 + 0.9996 * big_a * x, (1e7 if south else 0.0) + 0.9996 * big_a * y
+
+
+def from_transverse_mercator(x: np.ndarray, y: np.ndarray, zone: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lat, lon) of UTM coordinates."""
+    south, middle = zone >= 32700, (zone % 100) * 6 - 183
+    n, big_a, _, beta = _krueger()
+    e2 = WGS84_F * (2 - WGS84_F)
+    e = math.sqrt(e2)
+    xi0, eta0 = (np.asarray(y, float) - (1e7 if south else 0.0)) / (0.9996 * big_a), (np.asarray(x, float) - 500000) / (0.9996 * big_a)
+    xi = xi0 - sum(b * np.sin(2 * j * xi0) * np.cosh(2 * j * eta0) for j, b in enumerate(beta, 1))
+    eta = eta0 - sum(b * np.cos(2 * j * xi0) * np.sinh(2 * j * eta0) for j, b in enumerate(beta, 1))
+    conformal = np.sin(xi) / np.hypot(np.sinh(eta), np.cos(xi))  # tangent of the conformal latitude
+    tan = conformal.copy()
+    for _ in range(6):
+        s = np.sinh(e * np.arctanh(e * tan / np.sqrt(1 + tan * tan)))
+        now = tan * np.sqrt(1 + s * s) - s * np.sqrt(1 + tan * tan)
+        tan = tan + (conformal - now) / np.sqrt(1 + now * now) * (1 + (1 - e2) * tan * tan) / ((1 - e2) * np.sqrt(1 + tan * tan))
+    return np.degrees(np.arctan(tan)), middle + np.degrees(np.arctan2(np.sinh(eta), np.cos(xi)))
+
+
+def _krueger() -> tuple[float, float, tuple[float, ...], tuple[float, ...]]:
+    """Third flattening, radius of the rectified meridian, and Krueger's coefficients forth and back (to the fourth order)."""
+    n = WGS84_F / (2 - WGS84_F)
+    big_a = WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    # Krueger's series.
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    return n, big_a, alpha, beta
+
+
+def triangles(ring: list[tuple[float, float]]) -> list[tuple[tuple[float, float], tuple[float, float], tuple[float, float]]]:
+    """A simple ring cut into triangles, ear by ear."""
+    points = [tuple(map(float, p)) for p, q in zip(ring, [*ring[1:], ring[0]]) if tuple(p) != tuple(q)]
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, [*points[1:], points[0]])) < 0:
+        points.reverse()
+    out = []
+    while len(points) > 3:
+        for i in range(len(points)):
+            a, b, c = points[i - 1], points[i], points[(i + 1) % len(points)]
+            ear = turn(a, b, c)
+            inside = lambda p: turn(a, b, p) >= 0 and turn(b, c, p) >= 0 and turn(c, a, p) >= 0  # noqa: B023, E731
+            if ear == 0 or (ear > 0 and not any(inside(p) for p in points if p not in (a, b, c))):
+                if ear:
+                    out.append((a, b, c))
+                points.pop(i)
+                break
+        else:
+            raise ValueError("the ring crosses itself")
+    if len(points) == 3 and turn(*points):
+        out.append(tuple(points))
+    if not out:
+        raise ValueError("the ring has no area")
+    return out
+
+
+def place_in_ring(ring: list[tuple[float, float]], pick: Column, u: Column, v: Column) -> Column:
+    """A place (struct lat, lon) uniform in degrees within a ring, from three uniform numbers: a triangle by area, then a point in it."""
+    cut = triangles(ring)
+    areas = [abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) for a, b, c in cut]
+    ends, so_far = [], 0.0
+    for a in areas:
+        so_far += a
+        ends.append(so_far / sum(areas))
+    held = F.array(*[F.struct(F.lit(e).alias("end"), *[F.lit(w).alias(n) for w, n in zip((*a, *b, *c), ("ay", "ax", "by", "bx", "cy", "cx"))]) for e, (a, b, c) in zip([*ends[:-1], 2.0], cut)])
+    first = lambda t: F.get(F.filter(held, lambda x: x.end > t.pick), F.lit(0))
+
+    def put(t: Column) -> Column:
+        r = F.sqrt(t.u)
+        at = lambda x, c: (1 - r) * x[f"a{c}"] + r * (1 - t.v) * x[f"b{c}"] + r * t.v * x[f"c{c}"]
+        return F.get(F.transform(F.array(first(t)), lambda x: F.struct(at(x, "y").alias("lat"), at(x, "x").alias("lon"))), F.lit(0))
+
+    return F.get(F.transform(F.array(F.struct(pick.alias("pick"), u.alias("u"), v.alias("v"))), put), F.lit(0))
+
+
 def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Monotone chain, counter-clockwise in (x, y) order of the tuples; collinear points are left out."""
     points = sorted(set(points))
@@ -147,13 +288,53 @@ def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return half(points) + half(reversed(points))
 
 
+def box_of(points: list[tuple[float, float]]) -> tuple[float, float, float, float]:
+    """(lat_lo, lat_hi, lon_lo, lon_hi)."""
+    return min(p[0] for p in points), max(p[0] for p in points), min(p[1] for p in points), max(p[1] for p in points)
+
+
+def clipped(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
+    """The part of a convex ring in a box, side by side (Sutherland and Hodgman)."""
+    for axis, bound, sign in ((0, box[0], 1), (0, box[1], -1), (1, box[2], 1), (1, box[3], -1)):
+        out = []
+        for p, q in zip(ring, [*ring[1:], *ring[:1]]):
+            a, b = sign * (p[axis] - bound), sign * (q[axis] - bound)
+            if a >= 0:
+                out.append(p)
+            if a * b < 0:
+                out.append(tuple(x + (y - x) * a / (a - b) for x, y in zip(p, q)))
+        ring = out
+    return ring
+
+
+def centroid(ring: list[tuple[float, float]]) -> tuple[float, float]:
+    """Of the area; of the vertices where there is none."""
+    crosses = [(p[0] * q[1] - q[0] * p[1], p, q) for p, q in zip(ring, [*ring[1:], ring[0]])]
+    whole = sum(c for c, _, _ in crosses)
+    if not whole:
+        return sum(p[0] for p in ring) / len(ring), sum(p[1] for p in ring) / len(ring)
+    return tuple(sum(c * (p[k] + q[k]) for c, p, q in crosses) / (3 * whole) for k in (0, 1))
+
+
 def scaled_ring(ring: list[tuple[float, float]], factor: float, box: tuple[float, float, float, float] | None = None) -> list[tuple[float, float]]:
-    """A ring with ``factor`` times the planar area about its mean vertex, held in a box (lat_lo, lat_hi, lon_lo, lon_hi)."""
-    lat, lon, s = sum(p[0] for p in ring) / len(ring), sum(p[1] for p in ring) / len(ring), math.sqrt(factor)
-    out = [(lat + s * (y - lat), lon + s * (x - lon)) for y, x in ring]
-    if box:
-        out = [(min(max(y, box[0]), box[1]), min(max(x, box[2]), box[3])) for y, x in out]
-    return out
+    """A convex ring with ``factor`` times the planar area about its centroid, as far as a box (lat_lo, lat_hi, lon_lo, lon_hi) leaves room.
+
+    What the box cuts off is made up for by scaling further, until the area is right or the
+    box is full. A ring without area becomes the box.
+    """
+    if box is not None and _shoelace(ring) <= 0:
+        return [(box[0], box[2]), (box[0], box[3]), (box[1], box[3]), (box[1], box[2])]
+    lat, lon = centroid(ring)
+    at = lambda s: [(lat + s * (y - lat), lon + s * (x - lon)) for y, x in ring]
+    if box is None:
+        return at(math.sqrt(factor))
+    wanted, lo, hi = factor * _shoelace(ring), 1.0, math.sqrt(factor)
+    while _shoelace(clipped(at(hi), box)) < wanted * 0.999 and hi < 1e6:
+        lo, hi = hi, hi * 2
+    for _ in range(60):
+        middle = (lo + hi) / 2
+        lo, hi = (lo, middle) if _shoelace(clipped(at(middle), box)) >= wanted else (middle, hi)
+    return clipped(at(hi), box)
 
 
 def expanded_ring(ring: list[tuple[float, float]], km: float) -> list[tuple[float, float]]:
@@ -167,3 +348,51 @@ def expanded_ring(ring: list[tuple[float, float]], km: float) -> list[tuple[floa
         d = math.hypot(dx, dy)
         out.append((y + km * dy / d / per_lat, x + km * dx / d / per_lon) if d else (y, x))
     return out
+
+
+def hull_facets(points: np.ndarray) -> tuple[list[tuple[list[float], float]], float]:
+    """(facets (outward normal, offset), volume) of the convex hull of points in space.
+
+    Points are added one by one: the facets that see a new point go, and the edges between
+    these and the others get facets with it.
+    """
+    points = np.unique(np.asarray(points, float), axis=0)
+    scale = float(np.abs(points - points.mean(axis=0)).max()) if len(points) else 0.0
+    eps = 1e-9 * max(scale, 1e-30)
+    first = _corner(points, eps)
+    middle = points[first].mean(axis=0)
+
+    def facet(i: int, j: int, k: int) -> tuple[tuple[int, int, int], np.ndarray, float]:
+        normal = np.cross(points[j] - points[i], points[k] - points[i])
+        normal /= np.linalg.norm(normal)
+        if normal @ (points[i] - middle) < 0:
+            return (i, k, j), -normal, float(-normal @ points[i])
+        return (i, j, k), normal, float(normal @ points[i])
+
+    a, b, c, d = first
+    facets = [facet(a, b, c), facet(a, b, d), facet(a, c, d), facet(b, c, d)]
+    for p in range(len(points)):
+        seen = [f for f in facets if f[1] @ points[p] > f[2] + eps]
+        if p in first or not seen:
+            continue
+        edges = {(f[0][x], f[0][(x + 1) % 3]) for f in seen for x in range(3)}
+        kept = [f for f in facets if not f[1] @ points[p] > f[2] + eps]
+        facets = kept + [facet(i, j, p) for i, j in edges if (j, i) not in edges]
+    volume = sum(abs(float(np.dot(points[i] - middle, np.cross(points[j] - middle, points[k] - middle)))) / 6 for (i, j, k), _, _ in facets)
+    return [(n.tolist(), o) for _, n, o in facets], volume
+
+
+def _corner(points: np.ndarray, eps: float) -> list[int]:
+    """Four points that span a volume."""
+    if len(points) >= 4:
+        a, b = int(points[:, 0].argmin()), int(points[:, 0].argmax())
+        line = points[b] - points[a]
+        if np.linalg.norm(line) > eps:
+            off = np.linalg.norm(np.cross(points - points[a], line / np.linalg.norm(line)), axis=1)
+            c = int(off.argmax())
+            if off[c] > eps:
+                normal = np.cross(line, points[c] - points[a])
+                high = np.abs((points - points[a]) @ (normal / np.linalg.norm(normal)))
+                if high.max() > eps:
+                    return [a, b, c, int(high.argmax())]
+    raise ValueError("the points span no volume")

@@ -112,8 +112,46 @@ def binned(x: Column, width: float) -> Column:
     return F.floor(x / width + 0.5) * F.lit(width)
 
 
+def time_density_cdf(days: Column, t: Theta) -> Column:
+    """Share of an event's direct offspring that have come by a delay, without taper (omega > 0)."""
+    return 1 - F.pow((days + t.c) / t.c, F.lit(-t.omega))
+
+
+def space_density(distance2: Column, m: Column, t: Theta, m_ref: float) -> Column:
+    """Density of offspring over squared distance."""
+    zone = aftershock_zone(m, t, m_ref)
+    return F.lit(t.rho) * F.pow(zone, F.lit(t.rho)) * F.pow(distance2 + zone, F.lit(-(1 + t.rho)))
+
+
+def information_gain(model: Column, benchmark: Column) -> Column:
+    """Log ratio of two densities; null where one of them is not positive."""
+    return F.when((model > 0) & (benchmark > 0), F.log(model) - F.log(benchmark))
+
+
+def _count_up_to(x: Column, knots: list[float]) -> Column:
+    """How many of the ascending ``knots`` are at most ``x``, by binary search; null counts as none."""
+    depth = max(1, len(knots).bit_length())
+    held = F.array(*[F.lit(float(k)) for k in [*knots, *[math.inf] * (2**depth - 1 - len(knots))]])
+    step = lambda at, half: at + F.when(F.get(held, at + half - 1) <= x, half).otherwise(0)
+    return F.aggregate(F.array(*[F.lit(2**s) for s in range(depth - 1, -1, -1)]), F.lit(0), step)
+
+
+def interpolated(x: Column, xs: list[float], ys: list[float]) -> Column:
+    """Linear interpolation on a curve of ascending ``xs``; outside, the curve's first or last value."""
+    if not xs:
+        raise ValueError("a curve needs a point")
+    at = F.least(F.greatest(_count_up_to(x, xs), F.lit(1)), F.lit(max(1, len(xs) - 1)))
+    of = lambda v, i: F.get(F.array(*[F.lit(float(k)) for k in v]), i)
+    if len(xs) == 1:
+        return F.when(x.isNotNull(), F.lit(float(ys[0])))
+    x0, x1, y0, y1 = of(xs, at - 1), of(xs, at), of(ys, at - 1), of(ys, at)
+    inside = y0 + (y1 - y0) * (x - x0) / (x1 - x0)
+    return F.when(x <= xs[0], F.lit(float(ys[0]))).when(x >= xs[-1], F.lit(float(ys[-1]))).when(x.isNotNull(), inside)
+
+
 def kumaraswamy(u: Column, a: Column, b: Column) -> Column:
-    return a * b * F.pow(u, a - 1) * F.pow(1 - F.pow(u, a), b - 1)
+    """Density on (0, 1); 0 elsewhere."""
+    return F.when((u > 0) & (u < 1), a * b * F.pow(u, a - 1) * F.pow(1 - F.pow(u, a), b - 1)).otherwise(0.0)
 
 
 def kumaraswamy_inverse(p: Column, a: Column, b: Column) -> Column:
@@ -129,6 +167,19 @@ def mixture_density(u: Column, vector: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda x, y: x + y) / total
 
 
+def split_vector(vector: Column) -> tuple[Column, Column, Column]:
+    """(a, b, weights that sum to one) of a mixture's vector."""
+    k = (F.size(vector) / 3).cast("int")
+    weights = F.slice(vector, 2 * k + 1, k)
+    total = F.aggregate(weights, F.lit(0.0), lambda x, y: x + y)
+    return F.slice(vector, F.lit(1), k), F.slice(vector, k + 1, k), F.transform(weights, lambda w: w / total)
+
+
+def magnitude_density(m: Column, vector: Column, shift: float, stretch: float) -> Column:
+    """Density of magnitudes of a mixture on ``shift`` to ``shift`` + ``stretch``."""
+    return mixture_density(normalized_of(m, shift, stretch), vector) / F.lit(stretch)
+
+
 def magnitude_of(normalized: Column, shift: float, stretch: float) -> Column:
     return normalized * F.lit(stretch) + F.lit(shift)
 
@@ -163,6 +214,16 @@ def rate_spread(dx: Column, dy: Column, m: Column, r: RateParams) -> Column:
     return F.lit((r.q - 1) / math.pi) / area * F.pow(1 + (dx * dx + dy * dy) / area, F.lit(-r.q))
 
 
+def rate_delay_of(u: Column, r: RateParams) -> Column:
+    """Delay from a uniform number, by the inverse of the normalised decay's distribution."""
+    return F.lit(r.c) * (F.pow(1 - u, F.lit(-1 / (r.p - 1))) - 1)
+
+
+def rate_radius_of(u: Column, m: Column, r: RateParams) -> Column:
+    """Distance from a uniform number, by the inverse of the normalised spread's distribution."""
+    return F.sqrt(F.lit(r.big_d**2) * rate_productivity(m, r) * (F.pow(1 - u, F.lit(-1 / (r.q - 1))) - 1))
+
+
 def radius_of(u: Column, m: Column, t: Theta, m_ref: float) -> Column:
     """Offspring distance from a uniform number, by the inverse of the spatial kernel's distribution."""
     return F.sqrt(aftershock_zone(m, t, m_ref) * (F.pow(1 - u, F.lit(-1 / t.rho)) - 1))
@@ -173,15 +234,23 @@ def untapered_delay_of(u: Column, t: Theta) -> Column:
 
 
 def approximate_delay_of(u: Column, t: Theta) -> Column:
-    """Delay from a kernel that is a power law up to ``tau`` and exponential beyond; exact at the joint."""
-    c, tau, om = t.c, t.tau, t.omega
-    law = -((tau + c) ** -om - c**-om) / om
-    tail = tau * (tau + c) ** -(1 + om)
-    k1 = 1 / (law + tail)
-    k2 = k1 * math.e * (tau + c) ** -(1 + om)
-    near = F.pow(F.lit(c**-om) - F.lit(om / k1) * u, F.lit(-1 / om)) - c
-    far = F.log((u - law * k1) * F.lit(-1 / (tau * k2)) + math.exp(-1)) * F.lit(-tau)
-    return F.when(u < law * k1, near).otherwise(far)
+    """Delay from a density that is (t + c)^-(1 + omega) up to ``tau`` and falls exponentially, with scale ``tau``, from there.
+
+    A uniform share of the whole mass lies before the delay: within the power law's mass
+    that is its inverse; beyond, the share of the tail that is left gives the exponent.
+    """
+    tail = t.tau * (t.tau + t.c) ** -(1 + t.omega)
+    if t.omega:
+        body = (t.c**-t.omega - (t.tau + t.c) ** -t.omega) / t.omega
+    else:
+        body = math.log((t.tau + t.c) / t.c)
+    mass = u * F.lit(body + tail)
+    if t.omega:
+        near = F.pow(F.lit(t.c**-t.omega) - mass * F.lit(t.omega), F.lit(-1 / t.omega)) - F.lit(t.c)
+    else:
+        near = F.lit(t.c) * (F.exp(mass) - 1)
+    left = (F.lit(body + tail) - mass) / F.lit(tail)
+    return F.when(mass < body, near).otherwise(F.lit(t.tau) * (1 - F.log(left)))
 
 
 def gr_magnitude_of(u: Column, beta: float, mc: float, m_max: float | None = None) -> Column:

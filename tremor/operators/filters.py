@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import in_polygon
+from ..functions.geo import in_box, in_polygon
 from ..functions.kernels import binned
-from .ordered import with_previous
+from .ordered import with_previous, with_rank
 
 
 def between(df: DataFrame, start: float, end: float, closed: str = "left", column: str = "days") -> DataFrame:
@@ -22,17 +22,67 @@ def split_label(days: Column, start: float, train_end: float, validation_end: fl
     return F.when((days >= start) & (days < train_end), "train").when((days >= train_end) & (days < validation_end), "validation").when((days >= validation_end) & (days < test_end), "test").otherwise("outside")
 
 
-def in_region(df: DataFrame, ring: list[tuple[float, float]] | None, boundary: bool = True) -> DataFrame:
-    """Rows in a ring; without one, all."""
-    return df if ring is None else df.filter(in_polygon(F.col("latitude"), F.col("longitude"), ring, boundary))
+def in_region(df: DataFrame, ring: list[tuple[float, float]] | None, boundary: bool = True, stored: bool = False) -> DataFrame:
+    """Rows in a ring; without one, all.
 
+    Where the places are ``stored`` columns, a filter by the ring's box comes first, which
+    scans prune by; on computed places it would compute them again.
+    """
+    if ring is None:
+        return df
+    lat, lon = F.col("latitude"), F.col("longitude")
+    df = df.filter(in_box(lat, lon, ring)) if stored else df
+    return df.filter(in_polygon(lat, lon, ring, boundary))
+
+
+def first_in_region(df: DataFrame, ring: list[tuple[float, float]], n: int, *key: str) -> DataFrame:
+    """``n`` of the rows in a ring, in the order of a hash of ``key``."""
+    return sampled(in_region(df, ring), n, *key)
+
+
+def in_hull(df: DataFrame, facets: list[tuple[list[float], float]], columns: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Rows of a convex body, its surface included: for each facet (normal, offset), normal . x <= offset.
+
+    ``geo.hull_facets`` gives the facets of points.
+    """
+    held = F.array(*[F.struct(*[F.lit(float(n)).alias(f"n{i}") for i, n in enumerate(normal)], F.lit(float(offset) + tolerance).alias("o")) for normal, offset in facets])
+    point = F.struct(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    dot = lambda p, f: sum((p[f"c{i}"] * f[f"n{i}"] for i in range(len(columns))), F.lit(0.0))
+    return df.filter(F.get(F.transform(F.array(point), lambda p: F.forall(held, lambda f: dot(p, f) <= f.o)), F.lit(0)))
+
+
+def offspring_window(df: DataFrame, longest: float, end: float, after: float) -> DataFrame:
+    """Offspring (``delay``, ``days``) of at most a delay, up to ``end`` and later than ``after``."""
+    return df.filter((F.col("delay") <= longest) & (F.col("days") <= end) & (F.col("days") > after))
+
+
+def forecast_rows(df: DataFrame, start: float, end: float, least: float, delta_m: float = 0.1, ring: list[tuple[float, float]] | None = None) -> DataFrame:
+    """Events of a closed window from half a bin below ``least`` on, then binned, then in the ring."""
+    kept = df.filter((F.col("days") >= start) & (F.col("days") <= end) & (F.col("magnitude") >= least - delta_m / 2))
+    return in_region(kept.withColumn("magnitude", binned(F.col("magnitude"), delta_m)), ring)
 
-def in_hull(df: DataFrame, facets: list[tuple[list[float], float]], columns: list[str]) -> DataFrame:
-    """Rows of a convex body: for each facet (normal, offset), normal . x <= offset."""
-    keep = F.lit(True)
-    for normal, offset in facets:
-        keep = keep & (sum((F.col(c) * F.lit(float(n)) for c, n in zip(columns, normal)), F.lit(0.0)) <= F.lit(float(offset)))
-    return df.filter(keep)
+
+def train_test(df: DataFrame, start: float, end: float, test_end: float) -> tuple[DataFrame, DataFrame]:
+    """Observed events of [start, end] and of (end, test_end]."""
+    return between(df, start, end, "both"), between(df, end, test_end, "right")
+
+
+def history_and_forecast(df: DataFrame, start: float) -> tuple[DataFrame, DataFrame]:
+    """Events up to ``start``, and those after it."""
+    return df.filter(F.col("days") <= start), df.filter(F.col("days") > start)
+
+
+def among(df: DataFrame, column: str, values: list | DataFrame) -> DataFrame:
+    """Rows whose ``column`` is one of ``values``: a list, or the first column of a table (semi join)."""
+    if isinstance(values, DataFrame):
+        keys = values.select(F.col(values.columns[0]).alias(column)).distinct()
+        return df.join(keys, column, "left_semi")
+    return df.filter(F.col(column).isin(values))
+
+
+def lowered_reference(df: DataFrame, m_ref: float) -> DataFrame:
+    """One row ``m_ref``: the reference magnitude, or the least ``mc_current`` where that is below it."""
+    return df.agg(F.least(F.lit(float(m_ref)), F.coalesce(F.min("mc_current"), F.lit(float(m_ref)))).alias("m_ref"))
 
 
 def complete(df: DataFrame, mc: float | str, delta_m: float = 0.1) -> DataFrame:
@@ -72,3 +122,13 @@ def stacked(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first ``n`` rows in an order: a report, not a sample."""
+    return df.orderBy(*order).limit(n)
+
+
+def at_ranks(df: DataFrame, ranks: list[int], order: tuple[str, ...] = ("days", "id")) -> DataFrame:
+    """Rows by their places in an order, from 1, with ``rank``."""
+    return with_rank(df, "rank", order).filter(F.col("rank").isin([int(r) for r in ranks]))

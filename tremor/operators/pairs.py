@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS, haversine, rupture
+from ..sources.stage import materialized
 from .ordered import with_trailing_count
 
 KM_PER_DEGREE = 2 * math.pi * EARTH_RADIUS / 360
@@ -64,55 +65,97 @@ def within_radius(sources: DataFrame, targets: DataFrame, radius_km: Column) ->
     return s.join(t, ["_kind", "_row", "_cell"]).withColumn("distance_km", distance).filter("distance_km <= _radius").drop("_kind", "_row", "_cell", "_radius")
 
 
-def pair_table(catalog: DataFrame, start: float, multiplier: float = 100.0, fault: str = "oblique") -> DataFrame:
+def pair_table(catalog: DataFrame, start: float, multiplier: float = 100.0, fault: str = "oblique", units_per_km: float | None = None) -> DataFrame:
     """Sources and later targets within the source's scaled rupture length.
 
     Every event is a source; targets are those from ``start`` on (inclusive). Columns:
     ``source_id``, ``target_id``, ``source_magnitude``, ``target_days``, ``time_distance``
     (days), ``spatial_distance_squared`` (km2), and ``target_mc`` and ``source_mc`` if the
-    catalog has ``mc_current``.
+    catalog has ``mc_current``. With ``units_per_km``, events lie in space (x, y, z in these
+    units), distances are Euclid's, and squared distances are in squared units.
     """
-    own = ["id", "days", "latitude", "longitude", "magnitude", *(["mc_current"] if "mc_current" in catalog.columns else [])]
+    places = ["latitude", "longitude"] if units_per_km is None else ["x", "y", "z"]
+    own = ["id", "days", *places, "magnitude", *(["mc_current"] if "mc_current" in catalog.columns else [])]
     events = catalog.select(*own)
-    pairs = within_radius(events, events.filter(F.col("days") >= start), F.lit(multiplier) * rupture(F.col("magnitude"), "ssrl", fault))
+    reach = F.lit(multiplier) * rupture(F.col("magnitude"), "ssrl", fault)
+    targets = events.filter(F.col("days") >= start)
+    if units_per_km is None:
+        pairs = within_radius(events, targets, reach)
+    else:
+        pairs = within_radius_3d(events, targets, reach * F.lit(units_per_km)).withColumnRenamed("distance", "distance_km")
     pairs = pairs.filter("target_days > source_days")
     extra = [F.col("source_mc_current").alias("source_mc"), F.col("target_mc_current").alias("target_mc")] if "mc_current" in own else []
     return pairs.select("source_id", "target_id", "source_magnitude", "target_days", (F.col("target_days") - F.col("source_days")).alias("time_distance"), (F.col("distance_km") * F.col("distance_km")).alias("spatial_distance_squared"), *extra)
 
 
-def pair_table_3d(points: DataFrame, radius: float) -> DataFrame:
-    """Pairs (source_id < target_id) of points (id, x, y, z) at most ``radius`` apart, by cells of that size."""
-    cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
-    a = points.select(*[F.col(c).alias(f"s_{c}") for c in ("id", "x", "y", "z")])
+#: Radii of the smallest class of ``within_radius_3d``, in units of the points, and the number of classes.
+SMALLEST_3D, CLASSES_3D = 1e-3, 40
+
+
+def within_radius_3d(sources: DataFrame, targets: DataFrame, radius: Column) -> DataFrame:
+    """Pairs of points (x, y, z) at most ``radius`` (an expression of ``sources``) apart, as ``within_radius``, with ``distance``.
+
+    Sources fall into classes by radius, each with cubes as wide as its largest radius; a
+    source meets the 27 cubes around it. Targets are dealt only to classes that have sources.
+    """
+    power = F.ceil(F.log(F.greatest(radius, F.lit(1e-300)) / SMALLEST_3D) / math.log(2.0))
+    kind = F.greatest(F.lit(0), F.least(F.lit(CLASSES_3D), power)).cast("int")
+    s = sources.select(*[F.col(c).alias(f"source_{c}") for c in sources.columns], radius.alias("_radius"), kind.alias("_kind"))
+    s = s.filter("_radius IS NOT NULL AND source_x IS NOT NULL AND source_y IS NOT NULL AND source_z IS NOT NULL")
+    used = sorted(r[0] for r in s.select("_kind").distinct().collect())  # ``CLASSES_3D`` at most
+    t = targets.select(*[F.col(c).alias(f"target_{c}") for c in targets.columns]).filter("target_x IS NOT NULL AND target_y IS NOT NULL AND target_z IS NOT NULL")
+    t = t.withColumn("_kind", F.explode(F.array(*[F.lit(k) for k in used]) if used else F.array().cast("array<int>")))
+    width = F.lit(SMALLEST_3D) * F.pow(F.lit(2.0), F.col("_kind")) * 1.0000001
+    cell = lambda x: F.floor(F.col(x) / width).cast("long")
     for c in "xyz":
-        own = F.floor(F.col(f"s_{c}") / F.lit(radius)).cast("long")
-        a = a.withColumn(f"c_{c}", F.explode(F.sequence(own - 1, own + 1)))
-    b = points.select(*[F.col(c).alias(f"t_{c}") for c in ("id", "x", "y", "z")], *[cell(c).alias(f"c_{c}") for c in "xyz"])
-    square = sum(((F.col(f"s_{c}") - F.col(f"t_{c}")) * (F.col(f"s_{c}") - F.col(f"t_{c}")) for c in "xyz"), F.lit(0.0))
-    near = a.join(b, ["c_x", "c_y", "c_z"]).withColumn("distance_squared", square)
-    return near.filter((F.col("s_id") < F.col("t_id")) & (F.col("distance_squared") <= radius * radius)).select(F.col("s_id").alias("source_id"), F.col("t_id").alias("target_id"), "distance_squared")
+        s = s.withColumn(f"_{c}", F.explode(F.sequence(cell(f"source_{c}") - 1, cell(f"source_{c}") + 1)))
+        t = t.withColumn(f"_{c}", cell(f"target_{c}"))
+    square = sum(((F.col(f"source_{c}") - F.col(f"target_{c}")) * (F.col(f"source_{c}") - F.col(f"target_{c}")) for c in "xyz"), F.lit(0.0))
+    keys = ["_kind", "_x", "_y", "_z"]
+    return s.join(t, keys).withColumn("distance", F.sqrt(square)).filter("distance <= _radius").drop(*keys, "_radius")
 
 
-def nearest(catalog: DataFrame, start_km: float = 50.0) -> DataFrame:
+def pair_table_3d(points: DataFrame, radius: float) -> DataFrame:
+    """Pairs (source_id < target_id, distance_squared) of points (id, x, y, z) at most ``radius`` apart."""
+    own = points.select("id", "x", "y", "z")
+    near = within_radius_3d(own, own, F.lit(radius)).filter("source_id < target_id")
+    return near.select("source_id", "target_id", (F.col("distance") * F.col("distance")).alias("distance_squared"))
+
+
+def nearest(catalog: DataFrame, start_km: float = 2.0) -> DataFrame:
     """(id, nearest_id, distance_km) of each event's nearest other one; ties go to the smaller id.
 
-    Radii double until every event has a neighbour within its radius, so each round joins
-    only the events that are left.
+    Events at one place are each other's nearest. Other places search within a radius that
+    grows eightfold for those that found none, so each round joins only what is left. An
+    event without a place, or alone in the catalog, has no row.
     """
-    events, left, found, radius = catalog.select("id", "latitude", "longitude"), None, None, start_km
-    left = events
+    events = catalog.select("id", "latitude", "longitude").filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+    place = ["latitude", "longitude"]
+    first = events.groupBy(*place).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    members = events.join(first, place)
+    second = members.filter("id != first").groupBy(*place).agg(F.min("id").alias("second"))
+    shared = members.join(second, place).select("id", F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("nearest_id"), F.lit(0.0).alias("distance_km"))
+    places = materialized(first.select(F.col("first").alias("id"), *place, "n"))
+    left, found, radius = places.filter("n = 1"), shared, start_km
     while True:
-        pairs = within_radius(left, events, F.lit(radius)).filter("source_id != target_id")
-        got = pairs.groupBy(F.col("source_id").alias("id")).agg(F.min_by("target_id", F.struct("distance_km", "target_id")).alias("nearest_id"), F.min("distance_km").alias("distance_km"))
-        found = got if found is None else found.unionByName(got)
-        if radius > math.pi * EARTH_RADIUS:
-            return found
-        left = left.join(got, "id", "left_anti")
-        if left.isEmpty():
+        near = within_radius(left.select("id", *place), places.select("id", *place), F.lit(radius)).filter("source_id != target_id")
+        got = near.groupBy(F.col("source_id").alias("id")).agg(F.min_by("target_id", F.struct("distance_km", "target_id")).alias("nearest_id"), F.min("distance_km").alias("distance_km"))
+        got = materialized(got)
+        found = found.unionByName(got)
+        left = materialized(left.join(got, "id", "left_anti"))
+        if radius > math.pi * EARTH_RADIUS or left.isEmpty():
             return found
         radius *= 8
 
 
+def joined_whole(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key`` that keeps each row of ``left`` once: a key that ``right`` has twice is an error."""
+    n, keys = right.agg(F.count(key), F.count_distinct(key)).head()
+    if n != keys:
+        raise ValueError(f"{key} is not unique: {n} rows have {keys} values")
+    return left.join(right, key, "left")
+
+
 def trailing_count(catalog: DataFrame, days: int, least: float) -> DataFrame:
     """Events of at least ``least`` in the ``days`` before each event (the event itself and its time left out)."""
     return with_trailing_count(catalog, F.col("magnitude") >= least, days, "past")

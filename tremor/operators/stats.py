@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import binned
 from ..functions.rng import uniform
-from .ordered import with_previous, with_running_sum
+from ..functions.special import kolmogorov_p_of
+from .ordered import fresh, with_previous, with_running_sum
 
 
 def beta_tinti(mean_excess: Column, delta_m: float) -> Column:
@@ -43,11 +45,17 @@ def estimate_beta_positive(df: DataFrame, delta_m: float = 0.1) -> DataFrame:
 def ecdf(df: DataFrame, value: str, weight: Column | None = None) -> DataFrame:
     """(x, cdf): one row for each distinct value, the weighted share of values up to it.
 
-    Sums by value come first, so the ordered pass has a row for each distinct value.
+    Sums by value come first; the running sum over values goes by buckets of them.
     """
     sums = df.groupBy(F.col(value).alias("x")).agg(F.sum(F.lit(1.0) if weight is None else weight).alias("w"))
-    running = F.sum("w").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    return sums.select("x", (running / F.sum("w").over(W.partitionBy())).alias("cdf"))
+    whole = sums.agg(F.sum("w").alias("whole"))
+    return with_running_sum(sums, F.col("w"), "up_to", order=("x",)).join(F.broadcast(whole)).select("x", (F.col("up_to") / F.col("whole")).alias("cdf"))
+
+
+def quantiles(df: DataFrame, value: str, at: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """(q, value) of the positive values, interpolated."""
+    v = F.when(F.col(value) > 0, F.col(value).cast("double"))
+    return df.agg(F.percentile(v, list(at)).alias("v")).select(F.explode(F.arrays_zip(F.array(*[F.lit(a) for a in at]).alias("q"), F.col("v").alias("value"))).alias("r")).select("r.q", "r.value")
 
 
 def gr_cdf(x: Column, beta: Column, mc: float, delta_m: float) -> Column:
@@ -62,57 +70,92 @@ def gr_fit(df: DataFrame, mc: float, delta_m: float = 0.1) -> DataFrame:
     return bins.select((F.lit(mc) + F.col("k") * F.lit(delta_m)).alias("x"), (1 - F.exp(-F.col("beta") * delta_m * (F.col("k") + 1))).alias("fitted"))
 
 
+def _bin(mc: float, delta_m: float) -> Column:
+    return F.floor((F.col("magnitude") - mc) / delta_m + 0.5).cast("int")
+
+
 def ks_gr(df: DataFrame, mc: float, delta_m: float = 0.1) -> DataFrame:
-    """One row: KS distance of binned magnitudes to the fitted law, over the bins from ``mc`` to the largest."""
+    """One row: KS distance of binned magnitudes to the fitted law, over the bins from ``mc`` to the largest.
+
+    Between bins that have events the empirical distribution is interpolated, and before
+    the first of them it is that bin's.
+    """
     events = df.filter(F.col("magnitude") >= mc - delta_m / 2)
-    counts = events.groupBy(F.floor((F.col("magnitude") - mc) / delta_m + 0.5).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    counts = events.groupBy(_bin(mc, delta_m).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     bins = counts.agg(F.max("k").alias("top"), F.sum("n").alias("all"), F.log(1 + F.sum("n") / F.sum(F.col("n") * F.col("k"))).alias("rate"))
     grid = bins.select("all", "rate", F.explode(F.sequence(F.lit(0), "top")).alias("k")).join(counts, "k", "left")
-    seen = F.sum(F.coalesce("n", F.lit(0))).over(W.orderBy("k").rowsBetween(W.unboundedPreceding, 0)) / F.col("all")
+    up_to = W.orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    grid = grid.withColumn("y", F.when(F.col("n") > 0, F.sum(F.coalesce("n", F.lit(0))).over(up_to) / F.col("all")))
+    known, ahead = F.when(F.col("y").isNotNull(), F.col("k")), W.orderBy("k").rowsBetween(0, W.unboundedFollowing)
+    grid = grid.withColumns({"k0": F.last(known, ignorenulls=True).over(up_to), "y0": F.last("y", ignorenulls=True).over(up_to), "k1": F.first(known, ignorenulls=True).over(ahead), "y1": F.first("y", ignorenulls=True).over(ahead)})
+    seen = F.when(F.col("k0").isNull(), F.col("y1")).when(F.col("k1") > F.col("k0"), F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("k") - F.col("k0")) / (F.col("k1") - F.col("k0"))).otherwise(F.col("y0"))
     return grid.select(F.abs(seen - (1 - F.exp(-F.col("rate") * (F.col("k") + 1)))).alias("d"), "all").agg(F.max("d").alias("ks_d"), F.max("all").alias("n"))
 
 
-def ks_gr_p(df: DataFrame, mc: float, delta_m: float = 0.1, samples: int = 1000, seed: int = 1905) -> DataFrame:
-    """One row: ``ks_d``, ``p`` and ``n``; p is the share of samples of the fitted law at least as far from their own fit.
+def _ks_of_counts(counts: np.ndarray, rate: float) -> float:
+    """``ks_gr`` of counts by bin."""
+    k = np.flatnonzero(counts)
+    y = np.cumsum(counts)[k] / counts.sum()
+    at = np.arange(k[-1] + 1)
+    return float(np.abs(np.interp(at, k, y) + np.expm1(-rate * (at + 1))).max())
+
 
-    Samples are drawn as counts by bin, so each costs as many steps as there are bins,
-    however large the catalog: one conditional binomial for each bin.
+def estimate_mc(df: DataFrame, mcs: list[float], delta_m: float = 0.1, p_pass: float = 0.05, samples: int = 10_000, seed: int = 1905, beta: float | None = None) -> tuple[DataFrame, float | None]:
+    """(rows (mc, ks_d, p, n, beta, chosen) of every candidate, first mc that passes).
+
+    ``p`` is the share of samples of the fitted law at least as far from it as the events are.
+    The catalog is read once, for its counts by bin; these (a few hundred numbers) serve all
+    candidates. Samples are drawn as counts by bin as well, so their cost does not depend on
+    the catalog's size. Fewer than two distinct magnitudes have distance 1 and p 0.
     """
-    spark = df.sparkSession
-    events = df.filter(F.col("magnitude") >= mc - delta_m / 2)
-    k = F.floor((F.col("magnitude") - mc) / delta_m + 0.5).cast("int")
-    base = events.agg(F.count(F.lit(1)).alias("n"), F.log(1 + F.count(F.lit(1)) / F.sum(k)).alias("rate")).join(ks_gr(df, mc, delta_m).select("ks_d"))
+    spark, low = df.sparkSession, min(mcs)
+    counts = {r.k: r.n for r in df.filter(F.col("magnitude") >= low - delta_m / 2).groupBy(_bin(low, delta_m).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = np.zeros(max(counts, default=0) + 1, np.int64)
+    for k, n in counts.items():
+        held[k] = n
+    found = []
+    for i, mc in enumerate(mcs):
+        own = held[int(math.floor((mc - low) / delta_m + 0.5)) :]
+        n = int(own.sum())
+        if np.count_nonzero(own) < 2:
+            found.append((i, float(mc), 1.0, n, None))
+            continue
+        rate = math.log1p(n / float((own * np.arange(len(own))).sum())) if beta is None else beta * delta_m
+        found.append((i, float(mc), _ks_of_counts(own, rate), n, rate / delta_m))
+    base = spark.createDataFrame(found, "i int, mc double, ks_d double, n long, beta double")
 
     def simulate(batches):
-        import numpy as np
-
-        for batch in batches:
-            out = []
-            for i, n, rate in zip(batch.i, batch.n, batch.rate):
-                if not n or not np.isfinite(rate):
-                    out.append(0.0)
+        for b in batches:
+            far = []
+            for i, draw, d, n, rate in zip(*(b[c] for c in ("i", "draw", "ks_d", "n", "beta"))):
+                if rate != rate or rate is None:
+                    far.append(0)
                     continue
-                rng, counts, left = np.random.default_rng([seed, int(i)]), [], int(n)
-                while left:
-                    got = rng.binomial(left, -math.expm1(-rate))
-                    counts.append(got)
-                    left -= got
-                c = np.array(counts)
-                cdf, bins = np.cumsum(c) / n, np.arange(1, len(c) + 1)
-                out.append(float(np.abs(cdf + np.expm1(-rate * bins)).max()))
-            yield pd.DataFrame({"ks_d": batch.ks_d, "n": batch.n, "far": [x >= d for x, d in zip(out, batch.ks_d)]})
+                rate, rng = rate * delta_m, np.random.default_rng([seed, int(i), int(draw)])
+                k = np.arange(max(1, math.ceil(40 / rate)))
+                drawn = rng.multinomial(n, -np.expm1(-rate) * np.exp(-rate * k), size=DRAWS)
+                y = np.cumsum(drawn, axis=1) / n
+                gap = np.where(drawn > 0, np.abs(y + np.expm1(-rate * (k + 1))), 0.0).max(axis=1)
+                far.append(int((gap >= d).sum()))
+            yield pd.DataFrame({"i": b.i, "far": far})
 
-    drawn = spark.range(samples).withColumnRenamed("id", "i").join(F.broadcast(base)).mapInPandas(simulate, "ks_d double, n long, far boolean")
-    return drawn.agg(F.max("ks_d").alias("ks_d"), F.avg(F.col("far").cast("double")).alias("p"), F.max("n").alias("n"))
+    draws = math.ceil(samples / DRAWS)
+    tasks = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition(max(1, min(draws * len(mcs), 4 * spark.sparkContext.defaultParallelism)))
+    far = tasks.mapInPandas(simulate, "i int, far long").groupBy("i").agg((F.sum("far") / F.lit(float(draws * DRAWS))).alias("p"))
+    rows = base.join(far, "i")
+    got = {r.i: r.p for r in rows.select("i", "p").collect()}  # a row a candidate
+    passed = [i for i in range(len(mcs)) if got[i] >= p_pass]
+    result = spark.createDataFrame([(mc, d, got[i], n, b, passed[:1] == [i]) for i, mc, d, n, b in found], "mc double, ks_d double, p double, n long, beta double, chosen boolean")
+    return result, (float(mcs[passed[0]]) if passed else None)
 
 
-def estimate_mc(df: DataFrame, mcs: list[float], delta_m: float = 0.1, p_pass: float = 0.05, samples: int = 1000) -> tuple[DataFrame, float | None]:
-    """(rows (mc, ks_d, p, n) of every candidate, first mc that passes)."""
-    parts = [ks_gr_p(df, mc, delta_m, samples).withColumn("mc", F.lit(mc)) for mc in mcs]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows, rows.filter(F.col("p") >= p_pass).agg(F.min("mc")).head()[0]
+#: Samples drawn at a time.
+DRAWS = 250
+
+
+def ks_gr_p(df: DataFrame, mc: float, delta_m: float = 0.1, samples: int = 10_000, seed: int = 1905) -> DataFrame:
+    """One row: ``ks_d``, ``p`` and ``n`` at one completeness."""
+    return estimate_mc(df, [mc], delta_m, samples=samples, seed=seed)[0].select("ks_d", "p", "n")
 
 
 def histogram(df: DataFrame, value: Column, lo: float, step: float, bins: int, weight: Column | None = None) -> DataFrame:
@@ -204,22 +247,39 @@ def event_key(days: Column, lat: Column, lon: Column, m: Column) -> Column:
 
 
 def ks_two_samples(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """One row: KS statistic and sizes of two samples, from counts by distinct value."""
+    """One row (ks_d, n1, n2, p): KS statistic, sizes and asymptotic p of two samples, from counts by distinct value."""
     both = a.select(F.col(value).alias("x"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).union(b.select(value, F.lit(0), F.lit(1)))
     sums = both.groupBy("x").agg(F.sum("in_a").alias("a"), F.sum("in_b").alias("b"))
-    w, all_ = W.orderBy("x").rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
+    whole = sums.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    ran = with_running_sum(sums.join(F.broadcast(whole)), F.col("a") / F.col("n1") - F.col("b") / F.col("n2"), "gap", order=("x",))
+    out = ran.agg(F.max(F.abs("gap")).alias("ks_d"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+    return out.withColumn("p", kolmogorov_p_of(F.col("ks_d"), F.col("n1"), F.col("n2")))
+
+
+def ks_by_seed(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, ks_d, n1, n2, p) of the two samples of each realisation that both have."""
+    both = a.select(key, F.col(value).alias("x"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).union(b.select(key, value, F.lit(0), F.lit(1)))
+    sums = both.groupBy(key, "x").agg(F.sum("in_a").alias("a"), F.sum("in_b").alias("b"))
+    w, all_ = W.partitionBy(key).orderBy("x").rowsBetween(W.unboundedPreceding, 0), W.partitionBy(key)
     d = F.abs(F.sum("a").over(w) / F.sum("a").over(all_) - F.sum("b").over(w) / F.sum("b").over(all_))
-    return sums.select(d.alias("d"), F.sum("a").over(all_).alias("n1"), F.sum("b").over(all_).alias("n2")).agg(F.max("d").alias("ks_d"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+    out = sums.select(key, d.alias("d"), F.sum("a").over(all_).alias("n1"), F.sum("b").over(all_).alias("n2")).filter("n1 > 0 AND n2 > 0")
+    out = out.groupBy(key).agg(F.max("d").alias("ks_d"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+    return out.withColumn("p", kolmogorov_p_of(F.col("ks_d"), F.col("n1"), F.col("n2")))
 
 
 def signed_rank(df: DataFrame, difference: str) -> DataFrame:
-    """One row: Wilcoxon's W+ and W- of paired differences (zeros left out, ties at their mean rank) and ``n``."""
+    """One row (w_plus, w_minus, n, z): Wilcoxon's rank sums of paired differences (zeros left out, ties at their mean rank).
+
+    ``z`` is the normal approximation's value of the smaller sum, ties accounted for; ``special.normal_p`` gives its p.
+    """
     sizes = df.filter(F.col(difference) != 0).withColumn("size", F.abs(difference))
     ties = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col(difference) > 0).alias("up"))
-    before = F.sum("k").over(W.orderBy("size").rowsBetween(W.unboundedPreceding, -1))
-    rank = F.coalesce(before, F.lit(0)) + (F.col("k") + 1) / 2
-    ranked = ties.select(rank.alias("r"), "k", "up")
-    return ranked.agg(F.sum(F.col("r") * F.col("up")).alias("w_plus"), F.sum(F.col("r") * (F.col("k") - F.col("up"))).alias("w_minus"), F.sum("k").alias("n"))
+    reach = with_running_sum(ties, F.col("k"), "reach", order=("size",))
+    ranked = reach.select((F.col("reach") - F.col("k") + (F.col("k") + 1) / 2).alias("r"), "k", "up")
+    k, n = F.col("k").cast("double"), F.col("n").cast("double")
+    sums = ranked.agg(F.sum(F.col("r") * F.col("up")).alias("w_plus"), F.sum(F.col("r") * (F.col("k") - F.col("up"))).alias("w_minus"), F.sum("k").alias("n"), F.sum(k * k * k - k).alias("tied"))
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48)
+    return sums.select("w_plus", "w_minus", "n", F.try_divide(F.least("w_plus", "w_minus") - n * (n + 1) / 4, spread).alias("z"))
 
 
 def sign_flips(df: DataFrame, key: str, difference: str, draws: int = 5000, seed: int = 1905) -> DataFrame:
@@ -266,23 +326,26 @@ def magnitude_test(simulated: DataFrame, observed: DataFrame, width: float = 0.5
 
 
 def spatial_test(simulated: DataFrame, observed: DataFrame, catalogs: int, cell_deg: float = 0.5, normalized: bool = True) -> DataFrame:
-    """CSEP's S test (mean log share of the expected rates at a catalog's events) or, not normalised, the pseudo-likelihood test."""
+    """CSEP's S test (mean log share of the expected rates at a catalog's events) or, not normalised, the pseudo-likelihood test.
+
+    An event in a cell without expected events has likelihood 0, so its catalog's statistic is -infinity.
+    """
     row, col = (F.floor(F.col(c) / cell_deg).cast("int") for c in ("latitude", "longitude"))
     rates = simulated.groupBy(row.alias("r"), col.alias("c")).agg((F.count(F.lit(1)) / F.lit(float(catalogs))).alias("rate"))
-    rates = rates.withColumn("total", F.sum("rate").over(W.partitionBy()))
-    total = rates.agg(F.max("total").alias("total"))
+    total = rates.agg(F.sum("rate").alias("total"))
 
     def statistic(df: DataFrame) -> DataFrame:
-        events = df.withColumns({"r": row, "c": col}).join(rates.select("r", "c", "rate"), ["r", "c"]).join(F.broadcast(total))
+        events = df.withColumns({"r": row, "c": col}).join(rates.select("r", "c", "rate"), ["r", "c"], "left").join(F.broadcast(total))
+        log = lambda x: F.coalesce(F.log(x), F.lit(-math.inf))
         if normalized:
-            return events.groupBy("catalog_id").agg(F.avg(F.log(F.col("rate") / F.col("total"))).alias("l"))
-        return events.groupBy("catalog_id").agg((F.sum(F.log("rate")) - F.max("total")).alias("l"))
+            return events.groupBy("catalog_id").agg(F.avg(log(F.col("rate") / F.col("total"))).alias("l"))
+        return events.groupBy("catalog_id").agg((F.sum(log(F.col("rate"))) - F.max("total")).alias("l"))
 
     return _quantile(statistic(simulated), statistic(observed.withColumn("catalog_id", F.lit(-1))), "l")
 
 
 def density_on_grid(df: DataFrame, value: str, bandwidth: float, lo: float, hi: float, points: int) -> DataFrame:
-    """Gaussian kernel density (x, density) at ``points`` places; values are first counted in tenths of the bandwidth."""
+    """Gaussian kernel density (x, density) at ``points`` places; values are first counted in tenths of the bandwidth, and reach eight bandwidths."""
     width = bandwidth / 10
     counts = df.groupBy(F.floor(F.col(value) / width + 0.5).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     near = math.ceil(8 * bandwidth / ((hi - lo) / (points - 1)))
@@ -291,4 +354,140 @@ def density_on_grid(df: DataFrame, value: str, bandwidth: float, lo: float, hi:
     spots = counts.withColumn("i", F.explode(F.sequence(F.greatest(F.lit(0), middle - near), F.least(F.lit(points - 1), middle + near + 1)))).filter(F.col("i").between(0, points - 1))
     z = (F.lit(lo) + F.col("i") * step - F.col("k") * width) / bandwidth
     mass = spots.groupBy("i").agg(F.sum(F.col("n") * F.exp(-z * z / 2)).alias("mass")).join(F.broadcast(counts.agg(F.sum("n").alias("all"))))
-    return mass.select((F.lit(lo) + F.col("i") * step).alias("x"), (F.col("mass") / F.col("all") / (bandwidth * math.sqrt(2 * math.pi))).alias("density"))
+    every = df.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))
+    density = F.col("mass") / F.col("all") / (bandwidth * math.sqrt(2 * math.pi))
+    return every.join(mass, "i", "left").select((F.lit(lo) + F.col("i") * step).alias("x"), F.coalesce(density, F.lit(0.0)).alias("density"))
+
+
+def density_2d(df: DataFrame, bandwidth: float, lat: tuple[float, float, int], lon: tuple[float, float, int]) -> DataFrame:
+    """Gaussian kernel density (row, col, density) of places at a grid's nodes ((low, high, nodes) of each axis), in degrees.
+
+    Places are first counted in tenths of the bandwidth; a count reaches the nodes within eight bandwidths.
+    """
+    width = bandwidth / 10
+    k = lambda c: F.floor(F.col(c) / width + 0.5)
+    counts = df.groupBy(k("latitude").alias("y"), k("longitude").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    spots = counts
+    for name, at, (lo, hi, nodes) in (("row", "y", lat), ("col", "x", lon)):
+        step = (hi - lo) / (nodes - 1)
+        near, middle = math.ceil(8 * bandwidth / step), F.floor((F.col(at) * width - lo) / step).cast("int")
+        spots = spots.withColumn(name, F.explode(F.sequence(F.greatest(F.lit(0), middle - near), F.greatest(F.greatest(F.lit(0), middle - near), F.least(F.lit(nodes - 1), middle + near + 1))))).filter(F.col(name).between(0, nodes - 1))
+    z = lambda name, at, axis: (F.lit(axis[0]) + F.col(name) * ((axis[1] - axis[0]) / (axis[2] - 1)) - F.col(at) * width) / bandwidth
+    zy, zx = z("row", "y", lat), z("col", "x", lon)
+    mass = spots.groupBy("row", "col").agg(F.sum(F.col("n") * F.exp(-(zy * zy + zx * zx) / 2)).alias("mass")).join(F.broadcast(counts.agg(F.sum("n").alias("all"))))
+    nodes = df.sparkSession.range(lat[2] * lon[2]).select(F.expr(f"cast(id div {lon[2]} as int)").alias("row"), (F.col("id") % lon[2]).cast("int").alias("col"))
+    density = F.col("mass") / F.col("all") / (2 * math.pi * bandwidth**2)
+    return nodes.join(mass, ["row", "col"], "left").select("row", "col", F.coalesce(density, F.lit(0.0)).alias("density"))
+
+
+def magnitude_counts(df: DataFrame, mc: float, beta: float, width: float = 0.25) -> DataFrame:
+    """(bin, n, expected): events by magnitude bin from ``mc`` to the largest, and as the magnitude law shares them out."""
+    events = df.filter(F.col("magnitude") >= mc)
+    counts = events.groupBy(F.floor((F.col("magnitude") - mc) / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n").alias("all"), F.max("bin").alias("top"))
+    bins = whole.select("all", F.explode(F.sequence(F.lit(0), "top")).alias("bin")).join(counts, "bin", "left")
+    above = lambda k: F.exp(F.lit(-beta * width) * k)
+    return bins.select("bin", F.coalesce("n", F.lit(0)).alias("n"), (F.col("all") * (above(F.col("bin")) - above(F.col("bin") + 1))).alias("expected"))
+
+
+def time_bins(df: DataFrame, start: float, end: float, bins: int) -> DataFrame:
+    """(bin, n) of equal parts of a window, empty ones with 0; the last one has its right edge."""
+    step = (end - start) / bins
+    counts = histogram(df, F.col("days"), start, step, bins).select("bin", F.col("total").cast("long").alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def median_gap(df: DataFrame) -> DataFrame:
+    """One row (n, median): the positive steps between consecutive events, in days."""
+    gaps = interevent(df).filter("gap_days > 0")
+    return gaps.agg(F.count(F.lit(1)).alias("n"), F.median("gap_days").alias("median"))
+
+
+def marginal_rates(rates: DataFrame, *by: str) -> DataFrame:
+    """``expected_rates`` summed over all but the columns ``by``."""
+    return rates.groupBy(*by).agg(F.sum("rate").alias("rate"))
+
+
+def curve_distance(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
+    """One row (l2, most, mean): root of the integrated squared difference, largest and mean absolute difference of two curves on one grid."""
+    both = a.select(x, F.col(y).alias("u")).join(b.select(x, F.col(y).alias("v")), x).select(x, (F.col("u") - F.col("v")).alias("gap"))
+    w = W.orderBy(x)
+    square = F.col("gap") * F.col("gap")
+    step = (F.col(x) - F.lag(x).over(w)) * (square + F.lag(square).over(w)) / 2
+    return both.select("gap", step.alias("step")).agg(F.sqrt(F.sum("step")).alias("l2"), F.max(F.abs("gap")).alias("most"), F.avg(F.abs("gap")).alias("mean"))
+
+
+def mean_curve(curves: DataFrame, x: str, y: str) -> DataFrame:
+    """(x, y): the mean over realisations at each point."""
+    return curves.groupBy(x).agg(F.avg(F.col(y).cast("double")).alias(y))
+
+
+def seed_pairs(metrics: DataFrame, a: str, b: str, value: str) -> DataFrame:
+    """(seed, a, b, difference) of the seeds that both methods (column ``method``) have."""
+    left = metrics.filter(F.col("method") == a).select("seed", F.col(value).alias("a"))
+    right = metrics.filter(F.col("method") == b).select("seed", F.col(value).alias("b"))
+    return left.join(right, "seed").withColumn("difference", (F.col("a") - F.col("b")).cast("double"))
+
+
+def common_keys(*frames: DataFrame) -> DataFrame:
+    """Rows that every frame has, once each."""
+    out = frames[0].distinct()
+    for f in frames[1:]:
+        out = out.intersect(f)
+    return out
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(value, n) of each distinct value."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_values(df: DataFrame, column: str, *by: str) -> DataFrame:
+    """``by``, distinct non-null values of ``column``, and rows."""
+    return df.groupBy(*by).agg(F.count_distinct(column).alias("distinct"), F.count(F.lit(1)).alias("n"))
+
+
+def trend(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row (slope, intercept, r): least squares of ``y`` on ``x``, and Pearson's correlation."""
+    return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"))
+
+
+def described(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """(n, mean, std, min, q25, median, q75, max) of a column's values by group."""
+    v = F.col(value).cast("double")
+    return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, 0.25).alias("q25"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.75).alias("q75"), F.max(v).alias("max"))
+
+
+def grid_spacing(df: DataFrame, *columns: str) -> DataFrame:
+    """One row: the least step between distinct values of each of ``columns`` (null with one value)."""
+    out = None
+    for c in columns:
+        values = df.select(F.col(c).alias("x")).filter("x IS NOT NULL").distinct()
+        step = with_previous(values, {"before": F.col("x")}, order=("x",)).agg(F.min(F.col("x") - F.col("before")).alias(c))
+        out = step if out is None else out.join(step)
+    return out
+
+
+def group_shares(df: DataFrame, weight: Column, out: str, *by: str) -> DataFrame:
+    """``df`` with ``out``, the weight's share of its group; the groups' sums are joined, so a large group is no single task."""
+    names = fresh("whole", *[f"k{i}" for i in range(len(by))])
+    whole = df.groupBy(*[F.col(b).alias(n) for b, n in zip(by, names[1:])]).agg(F.sum(weight).alias(names[0]))
+    same = F.lit(True)
+    for b, n in zip(by, names[1:]):
+        same = same & F.col(b).eqNullSafe(F.col(n))
+    return df.withColumn(out, weight).join(whole, same).withColumn(out, F.try_divide(F.col(out), F.col(names[0]))).drop(*names)
+
+
+def first_after(df: DataFrame, start: float, n: int, by: str) -> DataFrame:
+    """The first ``n`` events after ``start`` of each realisation ``by``.
+
+    Bounded heaps of the smallest (days, id) would do; a window by realisation has as many rows a task as a realisation has.
+    """
+    w = W.partitionBy(by).orderBy("days", "id")
+    return df.filter(F.col("days") > start).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
+def grid_node_at_or_after(x: Column, lo: float, step: float, nodes: int) -> Column:
+    """Index of the first node at or after a value, held in 0 to ``nodes`` - 1."""
+    return F.greatest(F.lit(0), F.least(F.lit(nodes - 1), F.ceil((x - F.lit(lo)) / F.lit(step)))).cast("int")

@@ -2,14 +2,14 @@
 
 The pair table is written once, dealt by target, and read by every step. An expectation
 step is one window over targets and two sums; a maximisation step reduces pairs and
-sources to one value and gradient per evaluation, so the driver holds nine numbers.
+sources to one value and gradient per evaluation, which has a closed form in all
+parameters but omega, so the driver holds a dozen numbers.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -22,18 +22,10 @@ from ..functions import kernels as K
 from ..functions.kernels import RANGES, Theta
 from ..functions.params import productivity_law
 from ..functions.special import gammaln, tapered_time_integral
-from ..operators.filters import complete, in_region
+from ..operators.filters import complete, in_hull, in_region, lowered_reference
 from ..operators.pairs import pair_table
 from ..operators.stats import estimate_beta, estimate_beta_positive
-
-
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` (a temporary one only where it is unset) and read back."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tremor-")
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.stage import materialized, released
 
 
 @dataclass
@@ -57,6 +49,11 @@ class Setup:
     free_productivity: bool = False
     free_background: bool = False
     bandwidth2: float = 1.0
+    #: For events in space (x, y, z): units of a km, and the region's facets (see ``geo.hull_facets``); ``area_km2`` is then its volume.
+    units_per_km: float | None = None
+    facets: tuple | None = None
+    #: Called with the parameters by name after each trial step; returns those that it replaces.
+    constraint: Callable[[dict[str, float]], dict[str, float]] | None = None
 
     @property
     def m_low(self) -> float:
@@ -77,21 +74,30 @@ class Prepared:
     setup: Setup
 
 
+def selected(catalog: DataFrame, setup: Setup) -> DataFrame:
+    """Events of the training window and region at or above completeness, with ``mc_current``."""
+    rows = catalog.filter((F.col("days") >= (setup.auxiliary_start if setup.auxiliary_start is not None else -math.inf)) & (F.col("days") < setup.end))
+    if setup.facets is not None:
+        rows = in_hull(rows, list(setup.facets), ["x", "y", "z"])
+    return complete(in_region(rows, setup.ring), setup.mc, setup.delta_m)
+
+
 def prepared(catalog: DataFrame, setup: Setup) -> Prepared:
     """Filter, pair, and split into sources and targets; the tables are written."""
-    rows = catalog.filter((F.col("days") >= (setup.auxiliary_start if setup.auxiliary_start is not None else -math.inf)) & (F.col("days") < setup.end))
-    rows = materialized(complete(in_region(rows, setup.ring), setup.mc, setup.delta_m))
+    if setup.free_productivity and setup.fixed:
+        raise ValueError("fixed parameters and free productivity do not go together")
+    rows = materialized(selected(catalog, setup))
     low = setup.m_ref
     if rows.isEmpty():
         raise ValueError("no event passes the filters")
-    least = rows.agg(F.min("mc_current")).head()[0]
+    least = lowered_reference(rows, low).head()[0]
     if least < low - 1e-9:
         low = least
         setup = replace(setup, m_ref=low)
     targets = in_region(rows, setup.inner_ring).filter(F.col("days") > setup.start).withColumn("mc_above", F.col("mc_current") - low)
     if setup.bg_term:
-        total = F.sum(setup.bg_term).over(W.partitionBy())
-        targets = targets.withColumn("bg_term", F.col(setup.bg_term) / total * F.lit(1.0))
+        whole = targets.agg(F.sum(setup.bg_term).alias("bg_whole"))
+        targets = targets.join(F.broadcast(whole)).withColumn("bg_term", F.col(setup.bg_term) / F.col("bg_whole") * F.lit(setup.days * setup.area_km2)).drop("bg_whole")
     end, start = F.lit(setup.end), F.lit(setup.start)
     sources = rows.select(F.col("id").alias("source_id"), F.col("magnitude").alias("source_magnitude"), (F.col("mc_current") - low).alias("source_mc_above"), (end - F.col("days")).alias("to_end"), F.greatest(start - F.col("days"), F.lit(0.0)).alias("to_start"))
     if isinstance(setup.beta, (int, float)):
@@ -101,7 +107,7 @@ def prepared(catalog: DataFrame, setup: Setup) -> Prepared:
     else:
         excess = targets.withColumn("magnitude", F.col("magnitude") - F.col("mc_current"))
         beta = estimate_beta(excess, 0.0, setup.delta_m).head().beta
-    pairs = pair_table(rows, setup.start, setup.multiplier)
+    pairs = pair_table(rows, setup.start, setup.multiplier, units_per_km=setup.units_per_km)
     if setup.inner_ring is not None:
         pairs = pairs.join(in_region(rows, setup.inner_ring).select(F.col("id").alias("target_id")), "target_id", "left_semi")
     pairs = pairs.withColumns({"source_mc_above": F.col("source_mc") - low, "target_mc_above": F.col("target_mc") - low})
@@ -163,95 +169,206 @@ def totals(e: Expected) -> DataFrame:
 
 
 FREE = ("log10_k0", "a", "log10_c", "omega", "log10_tau", "log10_d", "gamma", "rho")
+LN10 = math.log(10)
+#: Pairs and sources that the driver may hold for the maximisation (4 numbers each); beyond, each evaluation is a pass over the tables.
+HELD_ROWS = 2_000_000
 
 
-def source_terms(values: np.ndarray, m: np.ndarray, start: np.ndarray, end: np.ndarray, l_hat: np.ndarray, m_low: float) -> float:
-    """Sum of the Poisson terms of the sources' aftershock numbers (their constants left out)."""
-    t = Theta(0.0, None, *values.tolist())
-    g = t.k0 * np.exp(t.a * (m - m_low)) * math.pi / t.rho * (t.d * np.exp(t.gamma * (m - m_low))) ** -t.rho * tapered_time_integral(start, end, t.c, t.omega, t.tau)
-    return float((np.where(l_hat > 0, l_hat * np.where(g > 0, np.log(np.maximum(g, 1e-300)), -300.0), 0.0) - g).sum())
+def _time_parts(start: np.ndarray, end: np.ndarray | None, t: Theta) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The decay's integral between two delays and its derivatives by c, omega and tau.
+
+    With f = exp(-t/tau) (t+c)^-(1+omega), parts give dI/dc = [f] + I/tau and
+    dI/dtau = -([f (t+c)] + omega I + c I / tau) / tau; dI/domega is a central difference.
+    """
+    whole = tapered_time_integral(start, end, t.c, t.omega, t.tau)
+
+    def f(x: np.ndarray | None, power: float) -> np.ndarray | float:
+        if x is None:
+            return 0.0
+        x = np.asarray(x, float)
+        taper = 1.0 if t.tau == math.inf else np.exp(-x / t.tau)
+        return taper * (x + t.c) ** -power
 
+    by_c = f(end, 1 + t.omega) - f(start, 1 + t.omega) + (0.0 if t.tau == math.inf else whole / t.tau)
+    by_tau = np.zeros_like(whole) if t.tau == math.inf else -(f(end, t.omega) - f(start, t.omega) + t.omega * whole + t.c * whole / t.tau) / t.tau
+    h = 1e-6
+    by_omega = (tapered_time_integral(start, end, t.c, t.omega + h, t.tau) - tapered_time_integral(start, end, t.c, t.omega - h, t.tau)) / (2 * h)
+    return whole, by_c, by_omega, by_tau
 
-def pair_terms(values: np.ndarray, m: np.ndarray, dt: np.ndarray, r2: np.ndarray, weight: np.ndarray, m_low: float) -> float:
-    """Weighted sum of the log densities of the pairs' delays and distances."""
+
+def _by_time(parts: tuple, t: Theta, over: np.ndarray) -> list[np.ndarray]:
+    """Derivatives of the integral's logarithm by log10_c, omega and log10_tau."""
+    _, by_c, by_omega, by_tau = parts
+    return [by_c / over * LN10 * t.c, by_omega / over, np.zeros_like(over) if t.tau == math.inf else by_tau / over * LN10 * t.tau]
+
+
+def source_terms(values: np.ndarray, m: np.ndarray, start: np.ndarray, end: np.ndarray, l_hat: np.ndarray, m_low: float) -> np.ndarray:
+    """Sum of the Poisson log terms of the sources' aftershock numbers, and its gradient."""
     t = Theta(0.0, None, *values.tolist())
-    zone = t.d * np.exp(t.gamma * (m - m_low))
-    time = float(np.log(tapered_time_integral(np.array([0.0]), None, t.c, t.omega, t.tau))[0])
-    density = math.log(t.rho / math.pi) + t.rho * np.log(zone) - (1 + t.rho) * np.log(r2 + zone) - (1 + t.omega) * np.log(dt + t.c) - (dt / t.tau if t.tau != math.inf else 0.0) - time
-    return float((weight * density).sum())
-
-
-def objective(e: Expected, values: np.ndarray, m_low: float, free: list[int]) -> tuple[float, np.ndarray]:
-    """(log likelihood, gradient over ``free``), summed over partitions; differences are central, within one pass."""
-    points = [values]
-    for i in free:
-        h = 1e-5 * max(1.0, abs(values[i]))
-        for s in (h, -h):
-            points.append(values + s * np.eye(len(values))[i])
-
-    def on_pairs(batches):
-        sums = np.zeros(len(points))
-        for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("source_magnitude", "time_distance", "spatial_distance_squared", "weight")]
-            sums += [pair_terms(v, *cols, m_low) for v in points]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(points))), pa.array(sums)], ["i", "v"])
+    big = m - m_low
+    parts = _time_parts(start, end, t)
+    zone = t.d * np.exp(t.gamma * big)
+    g = t.k0 * np.exp(t.a * big) * math.pi / t.rho * zone**-t.rho * np.maximum(parts[0], 0.0)
+    some = g > 0
+    log_g = np.where(some, np.log(np.where(some, g, 1.0)), -300.0)
+    value = (-gammaln(l_hat + 1) - g + l_hat * log_g).sum()
+    pull = np.where(some, l_hat - g, 0.0)
+    over = np.where(parts[0] > 0, parts[0], 1.0)
+    slopes = [np.full_like(m, LN10), big, *_by_time(parts, t, over), np.full_like(m, -t.rho * LN10), -t.rho * big, -1 / t.rho - np.log(zone)]
+    return np.array([value, *[(pull * s).sum() for s in slopes]])
+
+
+def pair_terms(values: np.ndarray, m: np.ndarray, dt: np.ndarray, r2: np.ndarray, weight: np.ndarray, m_low: float) -> np.ndarray:
+    """Weighted sum of the log densities of the pairs' delays and squared distances, and its gradient."""
+    t = Theta(0.0, None, *values.tolist())
+    big = m - m_low
+    zone = t.d * np.exp(t.gamma * big)
+    near = r2 + zone
+    whole = _time_parts(np.array([0.0]), None, t)
+    log_zone, log_near, log_time = np.log(zone), np.log(near), np.log(dt + t.c)
+    density = math.log(t.rho / math.pi) + t.rho * log_zone - (1 + t.rho) * log_near - (1 + t.omega) * log_time - math.log(float(whole[0][0]))
+    if t.tau != math.inf:
+        density = density - dt / t.tau
+    by_c, by_omega, by_tau = (float(x[0]) for x in _by_time(whole, t, whole[0]))
+    pull = t.rho - (1 + t.rho) * zone / near
+    of_tau = np.zeros_like(dt) if t.tau == math.inf else LN10 * dt / t.tau - by_tau
+    slopes = [-(1 + t.omega) * LN10 * t.c / (dt + t.c) - by_c, -log_time - by_omega, of_tau, LN10 * pull, big * pull, 1 / t.rho + log_zone - log_near]
+    return np.array([(weight * density).sum(), 0.0, 0.0, *[(weight * s).sum() for s in slopes]])
 
-    def on_sources(batches):
-        sums = np.zeros(len(points))
-        for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("source_magnitude", "to_start", "to_end", "l_hat")]
-            sums += [source_terms(v, *cols, m_low) for v in points]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(points))), pa.array(sums)], ["i", "v"])
 
-    parts = e.pairs.mapInArrow(on_pairs, "i long, v double").union(e.sources.mapInArrow(on_sources, "i long, v double"))
-    got = np.zeros(len(points))
-    for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():  # one row for each evaluation point
-        got[r.i] = r.v
-    grad = np.array([(got[1 + 2 * k] - got[2 + 2 * k]) / (2e-5 * max(1.0, abs(values[i]))) for k, i in enumerate(free)])
-    return float(got[0]), grad
+PAIR_COLUMNS, SOURCE_COLUMNS = ("source_magnitude", "time_distance", "spatial_distance_squared", "weight"), ("source_magnitude", "to_start", "to_end", "l_hat")
+
+
+def _columns(df: DataFrame, names: tuple[str, ...]) -> list[np.ndarray]:
+    found = df.select(*names).toArrow()
+    return [found.column(c).to_numpy() for c in names]
+
 
+class Objective:
+    """(log likelihood, gradient over ``FREE``) of an expectation's pairs and sources at any parameters.
 
-def maximize(e: Expected, t: Theta, setup: Setup, beta: float, steps: int = 12) -> Theta:
-    """The maximisation step: projected quasi-Newton (BFGS) ascent within the parameters' bounds."""
+    With ``pairs_only`` the sources' term is left out (free productivity). Tables of at most
+    ``HELD_ROWS`` rows are held as arrays; larger ones are summed where they are.
+    """
+
+    def __init__(self, e: Expected, m_low: float, pairs_only: bool = False, held_rows: int = HELD_ROWS) -> None:
+        self.e, self.m_low, self.pairs_only = e, m_low, pairs_only
+        small = e.pairs.count() + e.sources.count() <= held_rows
+        self.held = (_columns(e.pairs, PAIR_COLUMNS), _columns(e.sources, SOURCE_COLUMNS)) if small else None
+
+    def __call__(self, values: np.ndarray) -> tuple[float, np.ndarray]:
+        with np.errstate(all="ignore"):
+            if self.held is None:
+                got = self._summed(values)
+            else:
+                got = pair_terms(values, *self.held[0], self.m_low)
+                if not self.pairs_only:
+                    got = got + source_terms(values, *self.held[1], self.m_low)
+        return float(got[0]), got[1:]
+
+    def _summed(self, values: np.ndarray) -> np.ndarray:
+        m_low, size = self.m_low, len(FREE) + 1
+
+        def over(terms, names):
+            def run(batches):
+                sums = np.zeros(size)
+                for b in batches:
+                    with np.errstate(all="ignore"):
+                        sums = sums + terms(values, *[b.column(c).to_numpy(zero_copy_only=False) for c in names], m_low)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(sums)], ["i", "v"])
+
+            return run
+
+        parts = self.e.pairs.select(*PAIR_COLUMNS).mapInArrow(over(pair_terms, PAIR_COLUMNS), "i long, v double")
+        if not self.pairs_only:
+            parts = parts.union(self.e.sources.select(*SOURCE_COLUMNS).mapInArrow(over(source_terms, SOURCE_COLUMNS), "i long, v double"))
+        got = np.zeros(size)
+        for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():  # ``size`` rows
+            got[r.i] = r.v
+        return got
+
+
+def log_likelihood(e: Expected, t: Theta, m_low: float) -> float:
+    """Of the sources' numbers and the pairs' delays and distances; ``e.pairs`` has ``weight``."""
+    return Objective(e, m_low)(np.array([getattr(t, n) for n in FREE], float))[0]
+
+
+def maximize(e: Expected, t: Theta, setup: Setup, beta: float, steps: int = 500, held_rows: int = HELD_ROWS) -> tuple[Theta, bool]:
+    """The maximisation step, and whether it got to its end: projected quasi-Newton (BFGS) ascent within the bounds.
+
+    It ends where a step no longer raises the likelihood by 1e-12 of its size; ``steps`` is a
+    guard, reported by the second value. With free productivity, six parameters are fitted
+    to the pairs' term alone.
+    """
     low, high = (np.array([r[k] for r in RANGES[2:]], float) for k in (0, 1))
-    values = np.clip(np.array([getattr(t, n) for n in FREE], float), low, high)
-    free = [i for i, n in enumerate(FREE) if n not in setup.fixed and not (setup.alpha_is_beta and n == "a") and not (n == "log10_tau" and t.tau == math.inf)]
+    values = np.array([getattr(t, n) for n in FREE], float)
+    endless = t.tau == math.inf
+    values = np.where(np.isinf(values), values, np.clip(values, low, high))
+    still = {*setup.fixed, *(("a",) if setup.alpha_is_beta else ()), *(("log10_tau",) if endless else ()), *(("log10_k0", "a") if setup.free_productivity else ())}
+    free = [i for i, n in enumerate(FREE) if n not in still]
 
     def tied(v: np.ndarray) -> np.ndarray:
-        v = np.clip(v, low, high)
+        v = np.where(np.isinf(v), v, np.clip(v, low, high))
         if setup.alpha_is_beta:
             v[1] = beta + v[7] * v[6]
+        if setup.constraint is not None:
+            for n, x in setup.constraint(dict(zip(FREE, v.tolist()))).items():
+                v[FREE.index(n)] = x
         return v
 
+    of = Objective(e, setup.m_low, setup.free_productivity, held_rows)
+
+    def at(v: np.ndarray) -> tuple[float, np.ndarray]:
+        value, grad = of(v)
+        if setup.alpha_is_beta:
+            grad = grad.copy()
+            grad[6] += grad[1] * v[7]
+            grad[7] += grad[1] * v[6]
+        out = (grad[free] >= 0) & (v[free] >= high[free]) | (grad[free] <= 0) & (v[free] <= low[free])
+        return value, np.where(out, 0.0, grad[free])
+
     values = tied(values)
-    here, grad = objective(e, values, setup.m_low, free)
-    inverse = np.eye(len(free)) * 0.05 / max(1.0, float(np.abs(grad).max()))
+    here, grad = at(values)
+    scale = np.eye(len(free)) * 0.1 / max(1.0, float(np.abs(grad).max(initial=0.0)))
+    inverse, fresh, done = scale, True, False
     for _ in range(steps):
         step, moved = inverse @ grad, None
-        for shrink in (1.0, 0.25, 0.05, 0.005):
+        if not step.any():
+            done = True
+            break
+        step = step * min(1.0, 2.0 / float(np.abs(step).max()))
+        for shrink in 0.5 ** np.arange(24):
             trial = values.copy()
-            trial[free] += shrink * np.clip(step, -1.0, 1.0)
+            trial[free] += shrink * step
             trial = tied(trial)
-            there, grad_there = objective(e, trial, setup.m_low, free)
+            there, grad_there = at(trial)
             if math.isfinite(there) and there > here:
                 moved = trial
                 break
         if moved is None:
-            break
-        s, y = (moved - values)[free], grad - grad_there
-        done = there - here < 1e-8 * max(1.0, abs(here))
+            if fresh:
+                done = True
+                break
+            inverse, fresh = np.eye(len(free)) * 0.1 / max(1.0, float(np.abs(grad).max())), True
+            continue
+        s, y, gain = (moved - values)[free], grad - grad_there, there - here
         values, here, grad = moved, there, grad_there
-        if s @ y > 1e-12:
+        if gain <= 1e-12 * max(1.0, abs(here)):
+            done = True
+            break
+        if s @ y > 1e-14:
+            if fresh:
+                inverse = np.eye(len(free)) * float(s @ y) / float(y @ y)
             r = 1 / (s @ y)
             left = np.eye(len(free)) - r * np.outer(s, y)
-            inverse = left @ inverse @ left.T + r * np.outer(s, s)
-        if done:
-            break
-    return replace(t, **dict(zip(FREE, values.tolist())))
+            inverse, fresh = left @ inverse @ left.T + r * np.outer(s, s), False
+    return replace(t, **dict(zip(FREE, values.tolist()))), done
 
 
 @dataclass
 class Fit:
+    """``converged`` tells whether the parameters had come to rest; ``kappa`` (source_id, kappa) is there with free productivity."""
+
     theta: Theta
     beta: float
     n_hat: float
@@ -260,61 +377,105 @@ class Fit:
     expected: Expected
     setup: Setup
     history: list[float] = field(default_factory=list)
+    converged: bool = True
+    kappa: DataFrame | None = None
 
     def record(self) -> dict:
         """What is stored of a fit, with the bounds by name."""
-        return {"final_parameters": dict(zip(K.NAMES, self.theta.values())), "ranges": dict(zip(K.NAMES, RANGES)), "beta": self.beta, "n_hat": self.n_hat, "i_hat": self.i_hat, "m_ref": self.setup.m_ref, "delta_m": self.setup.delta_m, "iterations": self.iterations, "area": self.setup.area_km2}
+        kept = {k: v for k, v in vars(self.setup).items() if k != "constraint"}
+        return {
+            "final_parameters": dict(zip(K.NAMES, self.theta.values())), "ranges": dict(zip(K.NAMES, RANGES)), "beta": self.beta, "n_hat": self.n_hat, "i_hat": self.i_hat,
+            "m_ref": self.setup.m_ref, "delta_m": self.setup.delta_m, "iterations": self.iterations, "converged": self.converged, "area": self.setup.area_km2, "setup": kept,
+        }
+
+    @classmethod
+    def stored(cls, record: dict, targets: DataFrame | None = None, sources: DataFrame | None = None, pairs: DataFrame | None = None) -> Fit:
+        """A fit from its record and those of its tables that were stored."""
+        setup = dict(record["setup"])
+        for ring in ("ring", "inner_ring"):
+            setup[ring] = None if setup.get(ring) is None else [tuple(p) for p in setup[ring]]
+        setup["fixed"] = tuple(setup.get("fixed") or ())
+        setup["facets"] = None if setup.get("facets") is None else tuple((list(n), o) for n, o in setup["facets"])
+        return cls(Theta.of(record["final_parameters"]), record["beta"], record["n_hat"], record["i_hat"], record["iterations"], Expected(pairs, targets, sources), Setup(**setup), [], record.get("converged", True))
 
 
 def kappas_updated(sources: DataFrame, t: Theta, m_low: float) -> DataFrame:
-    """(source_id, kappa, source_magnitude) with kappa scaled so that expected aftershocks equal ``l_hat``."""
+    """(source_id, kappa, source_magnitude, to_start) with kappa scaled so that expected aftershocks equal ``l_hat``; 0 where none were expected."""
 
     def run(batches):
         for b in batches:
             m, a, z, kappa, l_hat = (b.column(c).to_numpy(zero_copy_only=False) for c in ("source_magnitude", "to_start", "to_end", "kappa", "l_hat"))
             g = kappa * math.pi / t.rho * (t.d * np.exp(t.gamma * (m - m_low))) ** -t.rho * tapered_time_integral(a, z, t.c, t.omega, t.tau)
             new = np.where(g > 0, kappa * l_hat / np.where(g > 0, g, 1.0), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("source_id"), pa.array(new), b.column("source_magnitude")], ["source_id", "kappa", "source_magnitude"])
+            yield pa.RecordBatch.from_arrays([b.column("source_id"), pa.array(new), b.column("source_magnitude"), b.column("to_start")], ["source_id", "kappa", "source_magnitude", "to_start"])
+
+    return sources.mapInArrow(run, "source_id long, kappa double, source_magnitude double, to_start double")
+
+
+def law_of_kappas(kappas: DataFrame, m_low: float) -> tuple[float, float] | None:
+    """(a, log10 k0) of the sources of the window itself, by means of each magnitude; None where no source has aftershocks."""
+    means = kappas.filter("to_start <= 0").groupBy("source_magnitude").agg(F.avg("kappa").alias("k"), F.count(F.lit(1)).alias("n")).collect()  # one row a magnitude bin
+    if not sum(r.k * r.n for r in means):
+        return None
+    return productivity_law(np.array([r.k for r in means]), np.array([r.source_magnitude - m_low for r in means]), np.array([r.n for r in means], float))
 
-    return sources.mapInArrow(run, "source_id long, kappa double, source_magnitude double")
 
+def _held(rate: float, bounds: tuple[float, float]) -> float:
+    """Logarithm of a rate within its bounds: where all events are triggered, the background would fall for ever."""
+    return min(bounds[1], max(bounds[0], math.log10(max(rate, 1e-300))))
 
-def invert(p: Prepared, t: Theta, tolerance: float = 0.001, most: int = 50, steps: int = 12) -> Fit:
-    """Iterate until the parameters move by less than ``tolerance`` in sum, then one more expectation step."""
-    setup, kappa, mu, history = p.setup, None, None, []
+
+def invert(p: Prepared, t: Theta, tolerance: float = 0.001, most: int = 1000, steps: int = 500, held_rows: int = HELD_ROWS) -> Fit:
+    """Iterate until the parameters move by less than ``tolerance`` in sum, then one more expectation step.
+
+    ``most`` and ``steps`` guard against parameters that never come to rest; a fit that meets
+    one of them says so (``converged``). Tables of an iteration are removed after the next.
+    """
+    setup, kappa, mu, history, converged, old = p.setup, None, None, [], False, []
     if setup.free_productivity:
         kappa = materialized(p.sources.select("source_id", K.aftershock_number(F.col("source_magnitude"), t, setup.m_low).alias("kappa")))
     for k in range(most + 1):
         e = expectation(p, t, kappa, mu)
-        weighted = e.pairs.select("source_magnitude", "time_distance", "spatial_distance_squared", (F.col("p") * F.col("zeta")).alias("weight"))
+        weighted = e.pairs.select("source_id", "target_id", "source_magnitude", "time_distance", "spatial_distance_squared", "p", (F.col("p") * F.col("zeta")).alias("weight"))
         e = Expected(materialized(weighted), materialized(e.targets), materialized(e.sources))
         n_hat, i_hat = totals(e).head()
-        if k == most or (history and history[-1] < tolerance):
+        if history and history[-1] < tolerance:
+            converged = ended
+            break
+        if k == most:
             break
-        new = maximize(e, t, setup, p.beta, steps)
+        new, ended = maximize(e, t, setup, p.beta, steps, held_rows)
+        whole = setup.area_km2 * setup.days
         if "log10_mu" not in setup.fixed:
-            new = replace(new, log10_mu=math.log10(max(n_hat, 1e-300) / (setup.area_km2 * setup.days)))
+            new = replace(new, log10_mu=_held(n_hat / whole, RANGES[0]))
         if setup.bg_term and "log10_iota" not in setup.fixed:
-            new = replace(new, log10_iota=math.log10(max(i_hat, 1e-300)))
+            new = replace(new, log10_iota=_held(i_hat / whole, RANGES[1]))
+        gone = [*old, kappa, mu]
         if setup.free_productivity:
-            rows = kappas_updated(e.sources.join(kappa, "source_id"), new, setup.m_low)
-            rows = materialized(rows)
-            means = rows.groupBy("source_magnitude").agg(F.avg("kappa").alias("k"), F.count(F.lit(1)).alias("n")).collect()  # one row a magnitude bin
-            a, log10_k0 = productivity_law(np.array([r.k for r in means]), np.array([r.source_magnitude - setup.m_low for r in means]), np.array([r.n for r in means]))
-            new, kappa = replace(new, a=a, log10_k0=log10_k0), rows.select("source_id", "kappa")
+            rows = materialized(kappas_updated(e.sources.join(kappa, "source_id"), new, setup.m_low))
+            if (law := law_of_kappas(rows, setup.m_low)) is not None:
+                new = replace(new, a=law[0], log10_k0=law[1])
+            kappa = rows.select("source_id", "kappa")
         if setup.free_background:
             mu = materialized(smoothed_background(p, e.targets.select("target_id", "p_background")))
         history.append(t.distance(new))
         t = new
-    return Fit(t, p.beta, n_hat, i_hat, k, e, setup, history)
+        released(*[g for g in gone if g is not kappa and g is not mu])
+        old = [e.pairs, e.targets, e.sources]
+    released(*[f for f in old if f not in (e.pairs, e.targets, e.sources)])
+    return Fit(t, p.beta, n_hat, i_hat, k, e, setup, history, converged, kappa)
 
 
-def log_factorial_terms(l_hat: Column) -> Column:
-    """-ln Gamma(l + 1) of expected numbers, the constant of the sources' likelihood."""
-    import pandas as pd
+def poisson_term(l_hat: Column, g: Column, log_gamma: Column) -> Column:
+    """-ln Gamma(l + 1) - g + l ln g, with ln g of -300 where g is 0; ``log_gamma`` is ln Gamma(l + 1)."""
+    return -log_gamma - g + l_hat * F.when(g != 0, F.log(g)).otherwise(-300.0)
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(-gammaln(x.to_numpy(float) + 1))
 
-    return run(l_hat)
+def log_gamma_of(x: Column) -> Column:
+    """ln Gamma of positive numbers, by Stirling's series after moving up beyond 8."""
+    up = F.greatest(F.lit(0), F.ceil(F.lit(8.0) - x)).cast("int")
+    back = F.aggregate(F.sequence(F.lit(0), F.greatest(up - 1, F.lit(0))), F.lit(0.0), lambda s, i: s + F.when(i < up, F.log(x + i)).otherwise(0.0))
+    z = x + up
+    z2 = z * z
+    series = F.lit(1.0) / (12 * z) - F.lit(1.0) / (360 * z * z2) + F.lit(1.0) / (1260 * z * z2 * z2) - F.lit(1.0) / (1680 * z * z2 * z2 * z2)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - back

@@ -5,31 +5,49 @@ from __future__ import annotations
 import html
 import json
 import math
+import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.geo import geodesic_area
 from ..functions.kernels import NAMES, Theta
+from ..functions.params import to_rate_params
 from ..operators import stats
-from ..sources.catalog import append_forecast, fingerprint, read_fit, write_fit
+from ..sources.catalog import fingerprint, found, read_fit, write_fit
 from . import inversion, simulation
 
 
-def cached_fit(catalog: DataFrame, setup: inversion.Setup, start: Theta, folder: str, force: bool = False, **how) -> tuple[dict, str]:
-    """(record, folder) of a fit; a stored one is read if its whole configuration has the same fingerprint."""
+def content_hash(df: DataFrame) -> str:
+    """Of a table's columns and rows, whatever their order: count and two sums of row hashes."""
+    columns = sorted(df.columns)
+    own = [F.xxhash64(F.lit(salt), *[F.to_json(F.struct(c)) if "map" in t else F.col(c) for c, t in sorted(df.dtypes)]) for salt in (1, 2)]
+    sums = [F.sum(F.pmod(h, F.lit(1 << 62)).cast("decimal(38,0)")).cast("string").alias(f"s{i}") for i, h in enumerate(own)]
+    return fingerprint({"columns": columns, "types": sorted(map(list, df.dtypes)), "rows": [str(x) for x in df.agg(F.count(F.lit(1)).alias("n"), *sums).head()]})
+
+
+def cached_fit(catalog: DataFrame, setup: inversion.Setup, start: Theta, folder: str, force: bool = False, store_pairs: bool = False, **how) -> tuple[dict, str]:
+    """(record, folder) of a fit; a stored one is read if its catalog and whole configuration have the same fingerprint."""
     spark = catalog.sparkSession
-    key = fingerprint({"setup": {k: v for k, v in vars(setup).items()}, "start": dict(zip(NAMES, start.values())), "how": how})
-    place = f"{folder}/{key}"
-    if not force:
-        try:
-            return read_fit(place, spark)[0], place
-        except Exception as error:  # noqa: BLE001  the engine's error class differs between session kinds
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+    if setup.constraint is not None:
+        raise ValueError("a fit with a constraint function has no fingerprint; call invert")
+    config = {"catalog": content_hash(catalog), "setup": dict(vars(setup)), "start": dict(zip(NAMES, start.values())), "how": how, "pairs": store_pairs}
+    place = f"{folder}/{fingerprint(config)}"
+    if not force and found(spark, f"{place}/parameters"):
+        return read_fit(place, spark)[0], place
     fit = inversion.invert(inversion.prepared(catalog, setup), start, **how)
-    write_fit(place, spark, fit.record(), targets=fit.expected.targets, sources=fit.expected.sources)
-    return json.loads(json.dumps(fit.record())), place
+    tables = {"targets": fit.expected.targets, "sources": fit.expected.sources, **({"pairs": fit.expected.pairs} if store_pairs else {})}
+    write_fit(place, spark, fit.record(), **tables)
+    return json.loads(json.dumps(fit.record(), default=str)), place
+
+
+def reloaded(folder: str, spark: SparkSession) -> inversion.Fit:
+    """A stored fit that can be used: parameters, setup and those of its tables that were stored."""
+    record, tables = read_fit(folder, spark, "targets", "sources", "pairs")
+    return inversion.Fit.stored(record, **tables)
 
 
 def theta_of(record: dict) -> Theta:
@@ -41,39 +59,112 @@ def as_realization(events: DataFrame, start: float, key: str = "catalog_id") ->
     return events.select(F.col(key).alias("seed"), F.col("magnitude").alias("m"), F.col("longitude").alias("x"), F.col("latitude").alias("y"), F.col("days").alias("t"), (F.col("days") - start).alias("dt_days"), F.when(F.col("kind") == "background", "background").otherwise("triggered").alias("event_source"))
 
 
-def ensemble(history: DataFrame, process: simulation.Process, ring: list[tuple[float, float]], start: float, days: float, seeds: int, methods: list[str], folder: str, most_events: int | None = None) -> DataFrame:
-    """Realisations of each method, appended to ``folder``/method where they are missing; all of them with ``method``."""
-    spark, area = history.sparkSession, geodesic_area(ring)
+REALIZATION = ["seed", "m", "x", "y", "t", "dt_days", "event_source"]
+
+
+def _branching(history, process, ring, start, days, first, seeds, cap, how):
+    area = geodesic_area(ring)
+    return as_realization(simulation.forecast(history, process, ring, start, days, area, seeds, first=first, **how), start)
+
+
+def _thinning(history, process, ring, start, days, first, seeds, cap, how):
+    return simulation.thinned(history, process, ring, start, start + days, seeds, cap, first=first, **how).select(*REALIZATION)
+
+
+def _rates(history, process, ring, start, days, first, seeds, cap, how):
+    rates, area = to_rate_params(process.theta, process.m_low), geodesic_area(ring)
+    return as_realization(simulation.rate_forecast(history, process, rates, ring, start, days, area, seeds, first=first, **how), start)
+
+
+#: Continuation methods by name; a method makes realisations ``first`` to ``first + seeds - 1``.
+METHODS: dict[str, Callable[..., DataFrame]] = {"branching": _branching, "thinning": _thinning, "rates": _rates}
+
+
+def register_method(name: str, method: Callable[..., DataFrame]) -> None:
+    """Add a continuation method (history, process, ring, start, days, first, seeds, cap, how) -> realisations."""
+    METHODS[name] = method
+
+
+def methods(names: list[str] | str) -> list[str]:
+    """Known continuation methods, each once, in the given order; others are an error."""
+    wanted = [n.strip().lower() for n in (names.split(",") if isinstance(names, str) else names)]
+    if unknown := [n for n in wanted if n not in METHODS]:
+        raise ValueError(f"unknown methods: {', '.join(unknown)}; known are {', '.join(METHODS)}")
+    return list(dict.fromkeys(wanted))
+
+
+def realization_meta(history: DataFrame, process: simulation.Process, ring: list[tuple[float, float]], start: float, days: float, method: str, cap: int, how: dict) -> dict:
+    """All that a realisation depends on but its seed: history, process, window, region, method, cap, options."""
+    theta = dict(zip(NAMES, process.theta.values()))
+    process_ = {**{k: v for k, v in vars(process).items() if k != "theta"}, "theta": theta}
+    options = {k: (content_hash(v) if isinstance(v, DataFrame) else getattr(v, "__qualname__", v)) for k, v in how.items()}
+    return {"history": content_hash(history.filter(F.col("days") <= start)), "process": process_, "ring": [list(map(float, p)) for p in ring], "start": start, "days": days, "method": method, "cap": cap, "options": options}
+
+
+def ensemble(history: DataFrame, process: simulation.Process, ring: list[tuple[float, float]], start: float, days: float, seeds: int, names: list[str] | str, folder: str, most_events: int | None = None, force: bool = False, **how) -> DataFrame:
+    """Realisations 0 to ``seeds`` - 1 of each method, with ``method``; those that ``folder`` has are read, others made and stored.
+
+    Realisations are stored under the fingerprint of their meta data, with these beside
+    them; a run with any other history, process, window, region, cap or option is another
+    one, and a run whose meta data are missing or differ is made anew.
+    """
+    spark = history.sparkSession
     cap = most_events if most_events is not None else simulation.event_cap(days)
     out = None
-    for method in methods:
-        place = f"{folder}/{method}"
-        done = _seeds(spark, place)
-        if len(done) < seeds:
-            if method == "etas":
-                rows = as_realization(simulation.forecast(history, process, ring, start, days, area, seeds), start)
-            else:
-                rows = simulation.thinned(history, process, ring, start, start + days, seeds, cap)
-            append_forecast(rows.withColumn("catalog_id", F.col("seed")), place)
-        found = spark.read.parquet(place).drop("bucket", "catalog_id").withColumn("method", F.lit(method))
-        out = found if out is None else out.unionByName(found)
+    for method in methods(names):
+        meta = realization_meta(history, process, ring, start, days, method, cap, how)
+        place = f"{folder}/{method}/{fingerprint(meta)}"
+        done = set() if force else stored_seeds(spark, place, meta)
+        for first, n in _spans([s for s in range(seeds) if s not in done]):
+            rows = METHODS[method](history, process, ring, start, days, first, n, cap, how)
+            part = f"{place}/run-{first}-{uuid.uuid4().hex[:8]}"
+            rows.write.parquet(f"{part}/events")
+            # The meta row comes last: a run without one is not there.
+            record = [(json.dumps(meta, sort_keys=True, default=str), first, n, f"{part}/events")]
+            spark.createDataFrame(record, "meta string, first long, seeds long, events string").coalesce(1).write.mode("append").parquet(f"{place}/meta")
+        got = _realizations(spark, place, meta, seeds).withColumn("method", F.lit(method))
+        out = got if out is None else out.unionByName(got)
     return out
 
 
-def _seeds(spark: SparkSession, place: str) -> set[int]:
-    try:
-        return {r[0] for r in spark.read.parquet(place).select("catalog_id").distinct().collect()}  # as many as realisations were asked for
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return set()
+def _meta_rows(spark: SparkSession, place: str, meta: dict) -> list:
+    """Runs stored under exactly this meta data, the newest of each first seed last."""
+    if not found(spark, f"{place}/meta"):
+        return []
+    text = json.dumps(meta, sort_keys=True, default=str)
+    rows = spark.read.parquet(f"{place}/meta").filter(F.col("meta") == text).select("first", "seeds", "events", F.col("_metadata.file_modification_time").alias("at"))
+    return sorted(rows.collect(), key=lambda r: (r.at, r.events))  # a row a run
+
+
+def stored_seeds(spark: SparkSession, place: str, meta: dict) -> set[int]:
+    return {s for r in _meta_rows(spark, place, meta) for s in range(r.first, r.first + r.seeds)}
+
+
+def _spans(seeds: list[int]) -> list[tuple[int, int]]:
+    """(first, number) of the runs of consecutive seeds."""
+    out: list[tuple[int, int]] = []
+    for s in seeds:
+        if out and s == sum(out[-1]):
+            out[-1] = out[-1][0], out[-1][1] + 1
+        else:
+            out.append((s, 1))
+    return out
+
+
+def _realizations(spark: SparkSession, place: str, meta: dict, seeds: int) -> DataFrame:
+    """Each seed from the newest run that has it."""
+    owner = {s: r.events for r in _meta_rows(spark, place, meta) for s in range(r.first, r.first + r.seeds) if s < seeds}
+    out = None
+    for path in dict.fromkeys(owner.values()):
+        own = sorted(s for s, p in owner.items() if p == path)
+        rows = spark.read.parquet(path).filter(F.col("seed").between(own[0], own[-1]) if own == list(range(own[0], own[-1] + 1)) else F.col("seed").isin(own))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def paired(metrics: DataFrame, a: str, b: str, value: str = "n_events") -> DataFrame:
     """(seed, a, b, difference) of the seeds that both methods have."""
-    left = metrics.filter(F.col("method") == a).select("seed", F.col(value).alias("a"))
-    right = metrics.filter(F.col("method") == b).select("seed", F.col(value).alias("b"))
-    return left.join(right, "seed").withColumn("difference", (F.col("a") - F.col("b")).cast("double"))
+    return stats.seed_pairs(metrics, a, b, value)
 
 
 def metrics(rows: DataFrame) -> DataFrame:
@@ -83,71 +174,127 @@ def metrics(rows: DataFrame) -> DataFrame:
     return stats.realization_metrics(key, "key").join(names, "key").drop("key")
 
 
-def html_report(title: str, facts: dict, tables: dict[str, DataFrame], most_rows: int = 200) -> str:
-    """A page of facts and of the first rows of small tables."""
+def html_report(title: str, facts: dict, tables: dict[str, DataFrame], most_rows: int = 200, images: dict[str, bytes] | None = None) -> str:
+    """A page of facts, tables and images; a table longer than ``most_rows`` says how many rows it leaves out."""
+    from base64 import b64encode
+
     part = lambda rows: "".join("<tr>" + "".join(f"<td>{html.escape(str(c))}</td>" for c in r) + "</tr>" for r in rows)
     body = f"<h1>{html.escape(title)}</h1><table>{part(facts.items())}</table>"
     for name, df in tables.items():
-        head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body += f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{part(df.limit(most_rows).collect())}</table>"
+        head, rows = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns), df.limit(most_rows + 1).collect()
+        note = f"<p>the first {most_rows} of {df.count()} rows</p>" if len(rows) > most_rows else ""
+        body += f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{part(rows[:most_rows])}</table>{note}"
+    for name, data in (images or {}).items():
+        body += f"<h2>{html.escape(name)}</h2><img src='data:image/png;base64,{b64encode(data).decode()}'/>"
     return f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body>{body}</body></html>"
 
 
-def operational_forecast(catalog: DataFrame, record: dict, ring: list[tuple[float, float]], start: float, days: float, catalogs: int, seed: int = simulation.SEED, grid: DataFrame | None = None) -> DataFrame:
+def write_metrics(rows: DataFrame, folder: str) -> None:
+    """Metrics of realisations as one CSV with a header."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+
+
+def png(columns: np.ndarray, height: int = 120, bar: int = 6) -> bytes:
+    """A bar chart of numbers as a PNG, black on white, without any drawing library."""
+    import struct
+    import zlib
+
+    values = np.nan_to_num(np.asarray(columns, float))
+    top = max(float(values.max(initial=0.0)), 1e-300)
+    pixels = np.full((height, max(1, len(values)) * bar), 255, np.uint8)
+    for i, v in enumerate(values):
+        pixels[height - int(round(max(0.0, v) / top * (height - 1))) - 1 :, i * bar : (i + 1) * bar - 1] = 0
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + row.tobytes() for row in pixels)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", pixels.shape[1], height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def read_background_grid(spark: SparkSession, path: str, latitude: str = "latitude", longitude: str = "longitude", weight: str = "weight") -> DataFrame:
+    """(id, latitude, longitude, weight, probability) of a CSV grid of background rates; the probability is the share of the largest."""
+    raw = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    rows = raw.select(F.col(latitude).cast("double").alias("latitude"), F.col(longitude).cast("double").alias("longitude"), F.col(weight).cast("double").alias("weight"))
+    return weighted_places(rows)
+
+
+def weighted_places(rows: DataFrame) -> DataFrame:
+    """``rows`` (latitude, longitude, weight) with ``probability``, the weight's share of the largest, and an ``id``."""
+    top = rows.agg(F.max("weight").alias("top"))
+    return rows.join(F.broadcast(top)).withColumn("probability", F.col("weight") / F.col("top")).withColumn("id", F.xxhash64("latitude", "longitude")).drop("top")
+
+
+def operational_forecast(catalog: DataFrame, record: dict, ring: list[tuple[float, float]], start: float, days: float, catalogs: int, seed: int = simulation.SEED, grid: DataFrame | None = None, cell: tuple[float, float] | None = None, m_threshold: float | None = None) -> DataFrame:
     """Forecast events after ``start`` from a stored fit and the latest catalog.
 
-    With ``grid`` (latitude, longitude, weight), background events are placed in its cells
-    by weight instead of uniformly.
+    With ``grid`` (latitude, longitude, weight), background events are placed at its nodes
+    by weight, spread over the grid's ``cell`` (height, width) if one is given, instead of uniformly.
     """
-    t = theta_of(record)
-    process = simulation.Process(t, record["beta"], record["m_ref"], record["delta_m"], seed=seed)
-    out = simulation.forecast(catalog, process, ring, start, days, record["area"], catalogs)
+    process = simulation.Process(theta_of(record), record["beta"], record["m_ref"], record["delta_m"], seed=seed)
+    out = simulation.forecast(catalog, process, ring, start, days, record["area"], catalogs, m_threshold)
     if grid is None:
         return out
-    cells = grid.withColumn("p", F.col("weight") / grid.agg(F.max("weight")).head()[0]).withColumn("id", F.xxhash64("latitude", "longitude"))
-    background = simulation.empirical_places(out.filter("kind = 'background'").drop("latitude", "longitude"), cells, "p", 0.0, seed)
-    return out.filter("kind <> 'background'").unionByName(background.select(*out.columns))
+    ground = out.filter("kind = 'background'")
+    put = simulation.empirical_places(ground.select("id"), weighted_places(grid), "probability", 0.0, seed, cell)
+    return out.filter("kind <> 'background'").unionByName(ground.drop("latitude", "longitude").join(put, "id").select(*out.columns))
+
 
+def gridded_thinning(history: DataFrame, theta: Theta, mc: float, beta: float, lat: tuple[float, float, int], lon: tuple[float, float, int], start: float, end: float, seeds: int = 1) -> DataFrame:
+    """Thinning on a regular grid of nodes ((low, high, nodes) of each axis), by the normalised kernels of ``theta``."""
+    from ..operators.pairs import grid_of
 
-def gridded_thinning(history: DataFrame, process: simulation.Process, lat: tuple[float, float], lon: tuple[float, float], start: float, end: float, seeds: int = 1, most_events: int = 10_000) -> DataFrame:
-    """Thinning in a box of latitudes and longitudes."""
-    ring = [(lat[0], lon[0]), (lat[1], lon[0]), (lat[1], lon[1]), (lat[0], lon[1])]
-    return simulation.thinned(history, process, ring, start, end, seeds, most_events)
+    nodes = grid_of(lat[0], lat[1], lon[0], lon[1], lat[2], lon[2], history.sparkSession)
+    cell = (lat[1] - lat[0]) / max(1, lat[2] - 1) * (lon[1] - lon[0]) / max(1, lon[2] - 1)
+    return simulation.gridded(history, to_rate_params(theta, mc), nodes, start, end, mc, beta, seeds, cell=cell)
 
 
-def grid_in_ring(ring: list[tuple[float, float]], density_km2: float, tolerance: float = 0.05, most: int = 40) -> list[tuple[float, float]]:
-    """Regular nodes inside a ring, about one for each ``density_km2``; the spacing is adjusted until the count fits."""
-    from ..functions.geo import contains
+def grid_in_ring(ring: list[tuple[float, float]], nodes_per_km2: float, tolerance: float = 0.05, most: int = 40, utm: bool = False) -> tuple[list[tuple[float, float]], dict]:
+    """(nodes, facts): a regular grid's nodes inside a ring, about ``nodes_per_km2`` of them for each km2 of its area.
 
-    if density_km2 <= 0:
-        raise ValueError("density must be positive")
-    lats, lons = [p[0] for p in ring], [p[1] for p in ring]
-    if min(lats) == max(lats) or min(lons) == max(lons):
+    Nodes are (lat, lon), or with ``utm`` (easting, northing) in the zone of the ring's centroid. The
+    spacing is adjusted until the count is within ``tolerance`` of what the area asks for, or
+    ``most`` times; ``facts`` has the area, wanted and found counts, spacing in km and nodes of an axis.
+    """
+    if nodes_per_km2 <= 0:
+        raise ValueError("the density must be positive")
+    area = geo.albers_area(ring)
+    middle = geo.centroid(ring)
+    if utm:
+        zone = geo.utm_zone(*middle)
+        x, y = geo.transverse_mercator(np.array([p[0] for p in ring]), np.array([p[1] for p in ring]), zone)
+        plane, scale = list(zip(x.tolist(), y.tolist())), (1000.0, 1000.0)
+    else:
+        per_lat = 2 * math.pi * geo.EARTH_RADIUS / 360
+        lats = [p[0] for p in ring]
+        lat = (min(lats) + max(lats)) / 2
+        per_lon = 2 * geo.EARTH_RADIUS * math.asin(abs(math.cos(math.radians(lat))) * math.sin(math.radians(0.5)))
+        plane, scale = [tuple(map(float, p)) for p in ring], (1 / per_lat, 1 / per_lon)
+    a_lo, a_hi, b_lo, b_hi = geo.box_of(plane)
+    if not (a_lo < a_hi and b_lo < b_hi and math.isfinite(a_lo + a_hi + b_lo + b_hi)):
         raise ValueError("the ring has no area")
-    wanted = geodesic_area(ring) / density_km2
-    step, nodes = math.sqrt(density_km2), []
+    wanted = max(1, round(area * nodes_per_km2))
+    spacing, inside, shape = math.sqrt(area / wanted), (np.zeros(0), np.zeros(0)), (0, 0)
     for _ in range(most):
-        dlat = step / 111.32
-        nodes = []
-        lat = min(lats) + dlat / 2
-        while lat < max(lats):
-            dlon = step / (111.32 * max(0.01, math.cos(math.radians(lat))))
-            lon = min(lons) + dlon / 2
-            while lon < max(lons):
-                if contains(ring, lat, lon):
-                    nodes.append((lat, lon))
-                lon += dlon
-            lat += dlat
-        if abs(len(nodes) - wanted) <= tolerance * wanted:
+        a = np.linspace(a_lo, a_hi, max(2, math.ceil((a_hi - a_lo) / (spacing * scale[0])) + 1))
+        b = np.linspace(b_lo, b_hi, max(2, math.ceil((b_hi - b_lo) / (spacing * scale[1])) + 1))
+        p, q = (g.ravel() for g in np.meshgrid(a, b, indexing="ij"))
+        here = geo.contained(plane, p, q)
+        n = int(here.sum())
+        if not n:
+            spacing /= 2
+            continue
+        inside, shape = (p[here], q[here]), (len(a), len(b))
+        if abs(n - wanted) <= tolerance * wanted:
             break
-        step *= math.sqrt(max(len(nodes), 0.25) / wanted)
-    return nodes
+        spacing *= math.sqrt(n / wanted)
+    if not len(inside[0]):
+        raise RuntimeError(f"no node of a grid lies in the ring (area {area:.4g} km2, {wanted} nodes wanted)")
+    nodes = list(zip(inside[0].tolist(), inside[1].tolist()))
+    return nodes, {"area_km2": area, "wanted": wanted, "found": len(nodes), "spacing_km": spacing, "shape": shape}
 
 
 def area_of_grid(nodes: DataFrame) -> DataFrame:
-    """One row: km2 of a regular grid (lat, lon), from its least distinct spacings."""
-    from pyspark.sql import Window as W
-
-    spacing = lambda c: nodes.select(c).distinct().select((F.col(c) - F.lag(c).over(W.orderBy(c))).alias("d")).filter("d > 1e-9").agg(F.min("d").alias(f"d_{c}"))
-    cells = nodes.agg(F.sum(F.cos(F.radians("lat"))).alias("w")).join(spacing("lat")).join(spacing("lon"))
-    return cells.select((F.col("w") * F.col("d_lat") * F.col("d_lon") * F.lit(111.32**2)).alias("area_km2"))
+    """One row: km2 of a regular grid (lat, lon), from the mean steps of its distinct latitudes and longitudes at its mean latitude."""
+    steps = nodes.agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("middle"), F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"), F.count_distinct("lat").alias("rows"), F.count_distinct("lon").alias("cols"))
+    per_lat, per_lon = geo.km_per_degree(F.col("middle"))
+    regular = (F.col("b") - F.col("a")) / (F.col("rows") - 1) * per_lat * (F.col("d") - F.col("c")) / (F.col("cols") - 1) * per_lon * F.col("n")
+    line = F.greatest((F.col("b") - F.col("a")) * per_lat * (F.col("d") - F.col("c")) * per_lon, F.lit(1e-12))
+    return steps.select(F.when((F.col("rows") > 1) & (F.col("cols") > 1), regular).otherwise(line).alias("area_km2"))

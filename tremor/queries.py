@@ -1,75 +1,22 @@
-"""Registered queries of the engine and the DuckDB SQL that gives the same rows.
-
-``events`` stands for a catalog (see ``sources.catalog.from_events``). Numbers are rounded
-half up at six decimals on both sides, as sums differ in their last bits.
-"""
+"""Registered queries of the engine and the DuckDB SQL that gives the same rows; further ones are in ``more_queries``."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import geo, params, rng
+from . import registered
+from .functions import geo, rng
 from .functions import kernels as K
 from .operators import filters, ordered, pairs, stats
 from .plans import evaluation, inversion, simulation
+from .registered import AREA, AUX, BETA, CALIFORNIA, DM, END, FREE_TAU, KM_LAT_SQL, M_LOW, M_REF, PAIR_MC, START, TEST_END, THETA, events, hav_sql, km_lon_sql, pip_sql, query, r6, r6s, u_sql
+from .registered import no_double_exponent as _no_double_exponent
 from .sources import catalog as cat
 
-#: Days since 1970 of the windows: auxiliary start, start, end, end of the test window.
-AUX, START, END, TEST_END = 19723.0, 19730.0, 19746.0, 19753.0
-#: A polygon around California, [lat, lon].
-CALIFORNIA = [(43.0, -125.2), (43.0, -119.0), (39.4, -119.0), (35.7, -114.0), (34.3, -113.1), (32.9, -113.5), (32.2, -113.6), (31.7, -114.5), (31.5, -117.1), (31.9, -117.9), (32.8, -118.4), (33.7, -121.0), (34.2, -121.6), (37.7, -123.8), (40.2, -125.4), (40.5, -125.4)]
-THETA = K.Theta()
-FREE_TAU = K.Theta(log10_tau=math.inf, omega=0.1)
-BETA, M_REF, DM, AREA = 2.0, 2.5, 0.1, 500000.0
-M_LOW = M_REF - DM / 2
-PAIR_MC = 3.0
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-CAT_SQL = """WITH cat AS (
-  SELECT event_id AS id, epoch_us(ts) / 86400e6 AS days, floor((2.5e0 + value / (50e0 * ln(10e0))) * 10e0 + 0.5e0) / 10e0 AS magnitude,
-    32.5e0 + (user_id % 61) * 0.13e0 + k * 0.001e0 AS latitude, -123e0 + (user_id % 53) * 0.17e0 + k * 0.001e0 AS longitude, event_type, user_id
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)
-)"""
-
-
-def r6(x: Column) -> Column:
-    return F.floor(x * F.lit(1e6) + 0.5) / F.lit(1e6)
-
-
-def r6s(x: str) -> str:
-    return f"floor(({x}) * 1e6 + 0.5e0) / 1e6"
-
-
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
-
-
-def query(sql: str | None = None):
-    """Register a query; ``sql`` follows the catalog's common table expression unless it starts with WITH."""
-
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql if sql.lstrip().startswith("WITH") else CAT_SQL + sql
-        return f
-
-    return add
-
-
-def hav_sql(a: str, b: str) -> str:
-    """Distance in km of rows ``a`` and ``b``."""
-    h = f"pow(sin(radians({a}.latitude - {b}.latitude) / 2e0), 2e0) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin(radians({a}.longitude - {b}.longitude) / 2e0), 2e0)"
-    return f"{2 * geo.EARTH_RADIUS!r}e0 * asin(sqrt(least(1e0, {h})))"
-
-
 # --- filters
 
 
@@ -80,18 +27,7 @@ def catalog_filter(spark, sf_dir):
     return c.select("id", r6(F.col("days")).alias("days"), "magnitude", r6(F.col("latitude")).alias("latitude"), r6(F.col("longitude")).alias("longitude"))
 
 
-def _pip_sql(ring: list) -> str:
-    terms = [f"CASE WHEN ({y1!r}e0 > latitude) != ({y2!r}e0 > latitude) AND longitude < {x1!r}e0 + (latitude - {y1!r}e0) * {(x2 - x1) / (y2 - y1)!r}e0 THEN 1 ELSE 0 END" for (y1, x1), (y2, x2) in zip(ring, [*ring[1:], ring[0]]) if y1 != y2]
-    return f"(({' + '.join(terms)}) % 2 = 1)"
-
-
-def _no_double_exponent(sql: str) -> str:
-    import re
-
-    return re.sub(r"(\de-?\d+)e0", r"\1", sql)
-
-
-@query(_no_double_exponent(f" SELECT id, magnitude FROM cat WHERE {_pip_sql(CALIFORNIA)}"))
+@query(_no_double_exponent(f" SELECT id, magnitude FROM cat WHERE {pip_sql(CALIFORNIA)}"))
 def polygon_filter(spark, sf_dir):
     """Events inside a ring."""
     return filters.in_region(events(spark, sf_dir), CALIFORNIA).select("id", "magnitude")
@@ -118,7 +54,8 @@ def split_labels(spark, sf_dir):
 @query(" SELECT id, magnitude FROM cat WHERE magnitude >= 5e0 OR event_type IN ('click', 'signup')")
 def large_or_typed(spark, sf_dir):
     """Disjunction with a membership test."""
-    return events(spark, sf_dir).filter((F.col("magnitude") >= 5) | F.col("event_type").isin("click", "signup")).select("id", "magnitude")
+    c = events(spark, sf_dir)
+    return c.filter("magnitude >= 5").unionByName(filters.among(c.filter("magnitude < 5"), "event_type", ["click", "signup"])).select("id", "magnitude")
 
 
 @query(" SELECT id, i AS copy FROM (SELECT id, CAST(floor(magnitude) AS BIGINT) - 3 AS n FROM cat WHERE magnitude >= 4e0), generate_series(1, n) AS g(i) WHERE n > 0")
@@ -170,13 +107,17 @@ def pair_table(spark, sf_dir):
     return p.select("source_id", "target_id", r6(F.col("time_distance")).alias("time_distance"), r6(F.col("spatial_distance_squared")).alias("spatial_distance_squared"))
 
 
-@query("""WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)
-SELECT a.id AS source_id, b.id AS target_id FROM p a JOIN p b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.01e0""")
+@query(""", p AS (SELECT id, longitude * 90e0 AS x, latitude * 111e0 AS y, magnitude * 10e0 AS z FROM cat)
+SELECT a.id AS source_id, b.id AS target_id FROM p a JOIN p b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 2.0001e0 * 2.0001e0""")
 def pair_table_3d(spark, sf_dir):
     """Pairs of points within a radius in three dimensions."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    p = e.select(F.col("vec_id").alias("id"), *[F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate("xyz")])
-    return pairs.pair_table_3d(p, 0.1).select("source_id", "target_id")
+    return pairs.pair_table_3d(_in_space(spark, sf_dir), 2.0001).select("source_id", "target_id")
+
+
+def _in_space(spark, sf_dir) -> DataFrame:
+    """The catalog with places in km, and tenths of a magnitude as depth."""
+    c = events(spark, sf_dir)
+    return c.withColumns({"x": F.col("longitude") * 90.0, "y": F.col("latitude") * 111.0, "z": F.col("magnitude") * 10.0})
 
 
 @query(_E_SQL + f" SELECT source_id, target_id, {r6s('p')} AS pij FROM pij")
@@ -218,9 +159,9 @@ def em_free_background(spark, sf_dir):
 
 @query()
 def em_fit(spark, sf_dir):
-    """Two iterations of expectation-maximisation: parameters by name."""
-    fit = inversion.invert(_prepared(spark, sf_dir), THETA, most=2, steps=3)
-    return spark.createDataFrame([(n, None if v is None else float(v)) for n, v in zip(K.NAMES, fit.theta.values())], "name string, value double")
+    """Expectation-maximisation until the parameters move by less than the threshold: parameters by name, and whether they came to rest."""
+    fit = inversion.invert(_prepared(spark, sf_dir), THETA)
+    return spark.createDataFrame([(n, None if v is None else float(v), fit.converged) for n, v in zip(K.NAMES, fit.theta.values())], "name string, value double, converged boolean")
 
 
 # --- magnitudes
@@ -264,8 +205,9 @@ def gr_cdf_fit(spark, sf_dir):
 
 @query(f""", c AS (SELECT CAST(floor((magnitude - 2.5e0) / 0.1e0 + 0.5e0) AS BIGINT) AS k, count(*) AS n FROM cat WHERE magnitude >= 2.45e0 GROUP BY 1),
 b AS (SELECT max(k) AS top, CAST(sum(n) AS BIGINT) AS tot, ln(1e0 + sum(n) / CAST(sum(n * k) AS DOUBLE)) AS rate FROM c),
-q AS (SELECT g.k, tot, rate, coalesce(n, 0) AS n FROM b, generate_series(0, top) AS g(k) LEFT JOIN c ON c.k = g.k)
-SELECT {r6s('max(d)')} AS ks_d, max(tot) AS n FROM (SELECT tot, abs(sum(n) OVER (ORDER BY k) / CAST(tot AS DOUBLE) - (1e0 - exp(-rate * (k + 1)))) AS d FROM q)""")
+e AS (SELECT k, sum(n) OVER (ORDER BY k) / CAST(sum(n) OVER () AS DOUBLE) AS y FROM c),
+q AS (SELECT g.k, tot, rate, (SELECT max(e.k) FROM e WHERE e.k <= g.k) AS k0, (SELECT min(e.k) FROM e WHERE e.k >= g.k) AS k1 FROM b, generate_series(0, top) AS g(k))
+SELECT {r6s('max(d)')} AS ks_d, max(tot) AS n FROM (SELECT tot, abs(CASE WHEN k0 IS NULL THEN f.y WHEN k1 > k0 THEN e.y + (f.y - e.y) * (q.k - k0) / (k1 - k0) ELSE e.y END - (1e0 - exp(-rate * (q.k + 1)))) AS d FROM q LEFT JOIN e ON e.k = k0 LEFT JOIN e f ON f.k = k1)""")
 def ks_distance(spark, sf_dir):
     """KS distance of magnitudes to the fitted law."""
     return stats.ks_gr(events(spark, sf_dir), 2.5, DM).select(r6(F.col("ks_d")).alias("ks_d"), "n")
@@ -273,8 +215,8 @@ def ks_distance(spark, sf_dir):
 
 @query()
 def mc_scan(spark, sf_dir):
-    """Completeness candidates with KS distance and Monte-Carlo p value."""
-    return stats.estimate_mc(events(spark, sf_dir), [2.5, 2.6, 2.7], DM, samples=200)[0]
+    """Completeness candidates with KS distance, Monte-Carlo p value and slope; the first that passes is chosen."""
+    return stats.estimate_mc(events(spark, sf_dir), [round(2.0 + 0.1 * i, 1) for i in range(35)], DM, samples=1000)[0]
 
 
 @query(f" SELECT CASE WHEN magnitude = 7.5e0 THEN 49 ELSE CAST(floor((magnitude - 2.5e0) / 0.1e0 + 1e-9) AS INTEGER) END AS bin, CAST(count(*) AS DOUBLE) AS total FROM cat WHERE magnitude BETWEEN 2.5e0 AND 7.5e0 GROUP BY 1")
@@ -337,13 +279,13 @@ def rupture_scaling(spark, sf_dir):
     return events(spark, sf_dir).select("magnitude").distinct().select("magnitude", *[r6(geo.rupture(m, f)).alias(f) for f in geo.RUPTURE_FIELDS])
 
 
-@query(f", b AS (SELECT * FROM cat WHERE magnitude >= 4e0) SELECT a.id, {r6s(f'min({hav_sql(chr(97), chr(98))})')} AS distance_km FROM b a JOIN b ON a.id <> b.id GROUP BY 1")
+@query(f", p AS (SELECT latitude, longitude, count(*) AS n, min(id) AS id FROM cat GROUP BY 1, 2), q AS (SELECT a.id, min({hav_sql('a', 'b')}) AS d FROM p a JOIN p b ON a.id <> b.id WHERE a.n = 1 GROUP BY 1) SELECT cat.id, {r6s('coalesce(q.d, 0e0)')} AS distance_km FROM cat LEFT JOIN q ON cat.id = q.id")
 def nearest_neighbour(spark, sf_dir):
-    """Distance to the nearest other large event."""
-    return pairs.nearest(events(spark, sf_dir).filter("magnitude >= 4")).select("id", r6(F.col("distance_km")).alias("distance_km"))
+    """Distance to the nearest other event; events at one place are at distance 0."""
+    return pairs.nearest(events(spark, sf_dir)).select("id", r6(F.col("distance_km")).alias("distance_km"))
 
 
-@query(f" SELECT id, {r6s(f'{2 * math.pi * geo.EARTH_RADIUS / 360!r}e0')} AS km_lat, {r6s(f'{2 * geo.EARTH_RADIUS!r}e0 * asin(abs(cos(radians(latitude))) * {math.sin(math.radians(0.5))!r}e0)')} AS km_lon FROM cat")
+@query(f" SELECT id, {r6s(KM_LAT_SQL)} AS km_lat, {r6s(km_lon_sql('latitude'))} AS km_lon FROM cat")
 def km_per_degree(spark, sf_dir):
     """Length of a degree at each event."""
     a, b = geo.km_per_degree(F.col("latitude"))
@@ -367,55 +309,50 @@ def mixture_density(spark, sf_dir):
 RATE = K.RateParams(mu=0.01, alpha=-1.0, m0=2.5, c=0.01, p=1.2, big_d=0.05, q=1.6)
 
 
-@query(_no_double_exponent(f""", h AS (SELECT * FROM cat WHERE days < {END!r}e0 AND magnitude >= 4e0), g AS (SELECT r * 1 + c * 8 AS cell, 32e0 + r * {9 / 7!r}e0 AS glat, -124e0 + c * {10 / 7!r}e0 AS glon FROM range(8) a(r), range(8) b(c))
+@query(_no_double_exponent(f""", h AS (SELECT * FROM cat WHERE days < {END!r}e0), g AS (SELECT r * 1 + c * 8 AS cell, 32e0 + r * {9 / 7!r}e0 AS glat, -124e0 + c * {10 / 7!r}e0 AS glon FROM range(8) a(r), range(8) b(c))
 SELECT cell, {r6s(f"{RATE.mu!r}e0 + sum(exp(magnitude - 2.5e0) * {(RATE.q - 1) / math.pi!r}e0 / ({RATE.big_d**2!r}e0 * exp(magnitude - 2.5e0)) * pow(1e0 + ((glon - longitude) * (glon - longitude) + (glat - latitude) * (glat - latitude)) / ({RATE.big_d**2!r}e0 * exp(magnitude - 2.5e0)), {-RATE.q!r}e0) * {(RATE.p - 1) / RATE.c!r}e0 * pow(1e0 + ({END!r}e0 - days) / {RATE.c!r}e0, {-RATE.p!r}e0))")} AS rate FROM g, h GROUP BY 1"""))
 def rate_on_grid(spark, sf_dir):
     """Rate of the normalised kernels on a grid."""
-    h = events(spark, sf_dir).filter("magnitude >= 4")
-    return evaluation.rate_grid(pairs.grid_of(32.0, 41.0, -124.0, -114.0, 8, 8, spark), h, RATE, END).select("cell", r6(F.col("rate")).alias("rate"))
+    return evaluation.rate_grid(pairs.grid_of(32.0, 41.0, -124.0, -114.0, 8, 8, spark), events(spark, sf_dir), RATE, END).select("cell", r6(F.col("rate")).alias("rate"))
 
 
 # --- likelihood
 
-_LIK_SQL = f", ev AS (SELECT * FROM cat WHERE magnitude >= 3.5e0 AND days <= 19750e0), pp AS (SELECT t.id, t.days, t.days - h.days AS dt, h.days AS hd, h.magnitude AS m, {hav_sql('t', 'h')} AS d FROM ev t JOIN ev h ON t.days >= {END!r}e0 AND (h.days < t.days OR (h.days = t.days AND h.id < t.id)))"
+_LIK_SQL = f", ev AS (SELECT * FROM cat WHERE days <= {TEST_END!r}e0), pp AS (SELECT t.id, t.days, t.days - h.days AS dt, h.days AS hd, h.magnitude AS m, {hav_sql('t', 'h')} AS d FROM ev t JOIN ev h ON t.days >= {END!r}e0 AND (h.days < t.days OR (h.days = t.days AND h.id < t.id)))"
 _F = FREE_TAU
-_NUM = f"{_F.k0!r}e0 * exp({_F.a!r}e0 * (m - {3.45!r}e0))"
-_ZONE = f"{_F.d!r}e0 * exp({_F.gamma!r}e0 * (m - {3.45!r}e0))"
+_NUM = f"{_F.k0!r}e0 * exp({_F.a!r}e0 * (m - {M_LOW!r}e0))"
+_ZONE = f"{_F.d!r}e0 * exp({_F.gamma!r}e0 * (m - {M_LOW!r}e0))"
 _DEC = f"pow(dt + {_F.c!r}e0, {-(1 + _F.omega)!r}e0)"
 _SPC = f"{math.pi / _F.rho!r}e0 * pow({_ZONE}, {-_F.rho!r}e0)"
 _INT = lambda x: f"(pow({_F.c!r}e0, {-_F.omega!r}e0) - pow({x} + {_F.c!r}e0, {-_F.omega!r}e0)) / {_F.omega!r}e0"
 
 
-def _likelihood_events(spark, sf_dir) -> DataFrame:
-    return events(spark, sf_dir).filter("magnitude >= 3.5 AND days <= 19750")
-
-
 @query(_no_double_exponent(_LIK_SQL + f" SELECT id, {r6s(f'{_F.mu!r}e0 + sum({_NUM} * {_DEC} * pow(d * d + {_ZONE}, {-(1 + _F.rho)!r}e0))')} AS lam, {r6s(f'{_F.mu * AREA!r}e0 + sum({_NUM} * {_SPC} * {_DEC})')} AS lam_star FROM pp GROUP BY 1"))
 def conditional_rates(spark, sf_dir):
     """Local and regional rate at each test event."""
-    r = evaluation.rates(_likelihood_events(spark, sf_dir), FREE_TAU, 3.45, AREA, END, 19750.0)
+    r = evaluation.rates(events(spark, sf_dir), FREE_TAU, M_LOW, AREA, END, TEST_END)
     return r.select("id", r6(F.col("lam")).alias("lam"), r6(F.col("lam_star")).alias("lam_star"))
 
 
 @query(_no_double_exponent(_LIK_SQL + f", tt AS (SELECT id, days, sum({_NUM} * {_SPC} * {_INT('dt')}) + {_F.mu * AREA!r}e0 * (days - {AUX!r}e0) AS tot, sum({_NUM} * {_SPC} * {_INT(f'greatest({END!r}e0 - hd, 0e0)')}) + {_F.mu * AREA * (END - AUX)!r}e0 AS fst FROM pp GROUP BY 1, 2) SELECT id, {r6s('coalesce(tot - lag(tot) OVER (ORDER BY days, id), tot - fst)')} AS increment FROM tt"))
 def compensator_increments(spark, sf_dir):
     """Integral of the regional rate between test events."""
-    c = evaluation.compensators(_likelihood_events(spark, sf_dir), FREE_TAU, 3.45, AREA, AUX, END, 19750.0)
+    c = evaluation.compensators(events(spark, sf_dir), FREE_TAU, M_LOW, AREA, AUX, END, TEST_END)
     return c.select("id", r6(F.col("increment")).alias("increment"))
 
 
-@query(_no_double_exponent(f", c AS (SELECT CAST(count(*) FILTER (WHERE days >= {AUX!r}e0 AND days <= {END!r}e0) AS DOUBLE) / {AREA * (END - AUX)!r}e0 AS rate, count(*) FILTER (WHERE days >= {END!r}e0 AND days <= {TEST_END!r}e0) AS nt FROM cat) SELECT {r6s(f'{AREA * (TEST_END - END)!r}e0 * rate / nt - ln(rate)')} AS nll, {r6s(f'ln(rate * {AREA!r}e0) - {AREA * (TEST_END - END)!r}e0 * rate / nt')} AS tll FROM c"))
+@query(_no_double_exponent(f", c AS (SELECT CAST(count(*) FILTER (WHERE days >= {AUX!r}e0 AND days <= {END!r}e0) AS DOUBLE) / {AREA * (END - AUX)!r}e0 AS rate, count(*) FILTER (WHERE days >= {END!r}e0 AND days <= {TEST_END!r}e0) AS nt FROM cat) SELECT {r6s(f'{AREA * (TEST_END - END)!r}e0 * rate / nt - ln(rate)')} AS nll, {r6s(f'ln(rate * {AREA!r}e0) - {AREA * (TEST_END - END)!r}e0 * rate / nt')} AS tll, {r6s(f'ln(rate) - ln(rate * {AREA!r}e0)')} AS sll FROM c"))
 def poisson_baseline(spark, sf_dir):
     """Scores of a constant rate."""
     c = events(spark, sf_dir).agg(F.count_if(F.col("days").between(AUX, END)).alias("a"), F.count_if(F.col("days").between(END, TEST_END)).alias("b"))
     s = stats.poisson_scores(F.col("a"), END - AUX, F.col("b"), TEST_END - END, AREA)
-    return c.select(r6(s["nll"]).alias("nll"), r6(s["tll"]).alias("tll"))
+    return c.select(r6(s["nll"]).alias("nll"), r6(s["tll"]).alias("tll"), r6(s["sll"]).alias("sll"))
 
 
 @query()
 def likelihood_scores(spark, sf_dir):
     """Negative, temporal and spatial log likelihood of test events, tapered."""
-    return evaluation.scores(_likelihood_events(spark, sf_dir), THETA, 3.45, AREA, AUX, END, 19750.0)
+    return evaluation.scores(events(spark, sf_dir), THETA, M_LOW, AREA, AUX, END, TEST_END)
 
 
 # --- time, windows, sets
@@ -441,11 +378,11 @@ def ensemble_band(spark, sf_dir):
     return stats.band(c, "day", "n").select("day", *[r6(F.col(x)).alias(x) for x in ("mean", "std", "q25", "q75")])
 
 
-@query(f", r AS (SELECT user_id AS seed, magnitude AS m, days - {AUX!r}e0 AS dt, CASE WHEN magnitude >= 3e0 THEN 'triggered' ELSE 'background' END AS s FROM cat) SELECT seed, count(*) AS n_events, count(*) FILTER (WHERE s = 'background') AS background, count(*) FILTER (WHERE s = 'triggered') AS triggered, {r6s('median(dt)')} AS median_dt_days, max(m) AS max_magnitude FROM r GROUP BY 1")
+@query(f", r AS (SELECT user_id AS seed, magnitude AS m, days - {AUX!r}e0 AS dt, CASE WHEN magnitude >= 3e0 THEN 'triggered' ELSE 'background' END AS s FROM cat) SELECT seed, count(*) AS n_events, count(*) FILTER (WHERE s = 'background') AS background, count(*) FILTER (WHERE s = 'triggered') AS triggered, {r6s('median(dt)')} AS median_dt_days, max(m) AS max_magnitude, {r6s("count(*) FILTER (WHERE s = 'triggered') / CAST(nullif(count(*) FILTER (WHERE s = 'background'), 0) AS DOUBLE)")} AS ratio FROM r GROUP BY 1")
 def realization_metrics(spark, sf_dir):
     """Metrics of each realisation."""
     r = events(spark, sf_dir).select(F.col("user_id").alias("seed"), F.col("magnitude").alias("m"), (F.col("days") - AUX).alias("dt_days"), F.when(F.col("magnitude") >= 3, "triggered").otherwise("background").alias("event_source"))
-    return stats.realization_metrics(r).withColumn("median_dt_days", r6(F.col("median_dt_days"))).drop("ratio")
+    return stats.realization_metrics(r).withColumns({"median_dt_days": r6(F.col("median_dt_days")), "ratio": r6(F.col("ratio"))})
 
 
 @query(f", r AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS n, max(magnitude) AS top FROM cat GROUP BY 1), l AS (SELECT 'n' AS metric, n AS v FROM r UNION ALL SELECT 'top', top FROM r) SELECT metric, {r6s('avg(v)')} AS mean, {r6s('stddev_samp(v)')} AS std, {r6s('median(v)')} AS median, min(v) AS min, max(v) AS max FROM l GROUP BY 1")
@@ -495,20 +432,19 @@ def cumulative_gain(spark, sf_dir):
 @query(" SELECT user_id, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY days, id) AS r FROM cat WHERE days > 19730e0) WHERE r <= 3")
 def first_after(spark, sf_dir):
     """First three events of each realisation after a time."""
-    w = W.partitionBy("user_id").orderBy("days", "id")
-    return events(spark, sf_dir).filter(F.col("days") > START).withColumn("r", F.row_number().over(w)).filter("r <= 3").select("user_id", "id")
+    return stats.first_after(events(spark, sf_dir), START, 3, "user_id").select("user_id", "id")
 
 
 @query(f" SELECT id, {r6s('exp(magnitude) / sum(exp(magnitude)) OVER (PARTITION BY user_id)')} AS weight FROM cat")
 def group_weights(spark, sf_dir):
     """Weights that sum to one in each group."""
-    return events(spark, sf_dir).select("id", r6(F.exp("magnitude") / F.sum(F.exp("magnitude")).over(W.partitionBy("user_id"))).alias("weight"))
+    return stats.group_shares(events(spark, sf_dir), F.exp("magnitude"), "weight", "user_id").select("id", r6(F.col("weight")).alias("weight"))
 
 
 @query(" SELECT id, magnitude FROM cat ORDER BY magnitude DESC, id LIMIT 20")
 def largest_events(spark, sf_dir):
     """A top-k report."""
-    return events(spark, sf_dir).orderBy(F.desc("magnitude"), "id").limit(20).select("id", "magnitude")
+    return filters.top(events(spark, sf_dir), 20, F.desc("magnitude"), "id").select("id", "magnitude")
 
 
 _KEY_SQL = "concat_ws('|', CAST(floor(days * 86400e0 + 0.5e0) AS BIGINT), CAST(floor(latitude * 1e5 + 0.5e0) AS BIGINT), CAST(floor(longitude * 1e5 + 0.5e0) AS BIGINT), CAST(floor(magnitude * 1e3 + 0.5e0) AS BIGINT))"
@@ -543,39 +479,34 @@ def stacked_schemas(spark, sf_dir):
 @query(" SELECT u.user_id, count(DISTINCT event_type) AS kinds, count(*) AS n FROM cat u GROUP BY 1")
 def distinct_kinds(spark, sf_dir):
     """Distinct values by group."""
-    return events(spark, sf_dir).groupBy("user_id").agg(F.count_distinct("event_type").alias("kinds"), F.count(F.lit(1)).alias("n"))
+    return stats.distinct_values(events(spark, sf_dir), "event_type", "user_id").withColumnRenamed("distinct", "kinds")
 
 
 @query(f" SELECT {r6s('regr_slope(magnitude, days)')} AS slope, {r6s('corr(magnitude, latitude)')} AS r FROM cat")
 def slope_and_correlation(spark, sf_dir):
     """Least-squares slope and correlation."""
-    return events(spark, sf_dir).agg(r6(F.regr_slope("magnitude", "days")).alias("slope"), r6(F.corr("magnitude", "latitude")).alias("r"))
+    c = events(spark, sf_dir)
+    return stats.trend(c, "days", "magnitude").select(r6(F.col("slope")).alias("slope")).join(stats.trend(c, "latitude", "magnitude").select(r6(F.col("r")).alias("r")))
 
 
 # --- joins of catalogs
 
 
-@query(f", q AS (SELECT t.id, s.id AS pid, s.magnitude AS m, t.days - s.days AS dt, {hav_sql('t', 's')} AS d FROM cat t JOIN cat s ON s.days < t.days WHERE t.magnitude >= 4.5e0 AND s.magnitude >= 4e0), w AS (SELECT id, pid, exp(1.8e0 * m) / (pow(dt + 0.01e0, 1.1e0) * pow(d * d + exp(1.3e0 * (m - 2.5e0)), 1.5e0)) AS c FROM q) SELECT id, arg_max(pid, c) AS parent_id FROM w GROUP BY 1")
+PARENT = K.Theta(log10_k0=0.0, a=1.8, log10_c=-2.0, omega=0.1, log10_tau=math.inf, log10_d=0.0, gamma=1.3, rho=0.5)
+
+
+@query(f", q AS (SELECT t.id, s.id AS pid, s.magnitude AS m, t.days - s.days AS dt, {hav_sql('t', 's')} AS d FROM cat t JOIN cat s ON s.days < t.days), w AS (SELECT id, pid, exp(1.8e0 * m) / (pow(dt + 0.01e0, 1.1e0) * pow(d * d + exp(1.3e0 * (m - 2.5e0)), 1.5e0)) AS c FROM q) SELECT id, arg_max(pid, c) AS parent_id FROM w GROUP BY 1")
 def dominant_parent(spark, sf_dir):
-    """The earlier event that contributes most to each large event's rate."""
+    """The earlier event that contributes most to each event's rate."""
     c = events(spark, sf_dir)
-    t = c.filter("magnitude >= 4.5").select("id", F.col("days").alias("t"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
-    s = c.filter("magnitude >= 4").select(F.col("id").alias("pid"), "days", "latitude", "longitude", F.col("magnitude").alias("m"))
-    # Time bins as wide as the span that any parent is sought in would be the whole history here, so bins share it out.
-    bins = 8
-    t = t.withColumn("bin", F.pmod("id", F.lit(bins)))
-    s = s.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    d = geo.haversine(F.col("la"), F.col("lo"), F.col("latitude"), F.col("longitude"))
-    both = t.join(s, (t.bin == s.bin) & (s.days < t.t)).withColumn("d", d)
-    share = F.exp(F.lit(1.8) * F.col("m")) / (F.pow(F.col("t") - F.col("days") + 0.01, F.lit(1.1)) * F.pow(F.col("d") * F.col("d") + F.exp(F.lit(1.3) * (F.col("m") - 2.5)), F.lit(1.5)))
-    return both.groupBy("id").agg(F.max_by("pid", share).alias("parent_id"))
+    return evaluation.dominant_parents(c, c, PARENT, M_REF)
 
 
 @query(" SELECT id, CAST(least(8, ceil((latitude - 32e0) / 1.25e0)) AS INTEGER) AS grid_row, CAST(least(8, ceil((longitude + 124e0) / 1.25e0)) AS INTEGER) AS grid_col FROM cat")
 def next_grid_node(spark, sf_dir):
     """The grid node at or after each event on both axes, clipped to the grid."""
-    at = lambda x, lo: F.least(F.lit(8), F.ceil((x - lo) / F.lit(1.25))).cast("int")
-    return events(spark, sf_dir).select("id", at(F.col("latitude"), 32.0).alias("grid_row"), at(F.col("longitude"), -124.0).alias("grid_col"))
+    at = stats.grid_node_at_or_after
+    return events(spark, sf_dir).select("id", at(F.col("latitude"), 32.0, 1.25, 9).alias("grid_row"), at(F.col("longitude"), -124.0, 1.25, 9).alias("grid_col"))
 
 
 @query(f", k AS (SELECT user_id, avg(magnitude) AS kappa FROM cat WHERE magnitude >= 4e0 GROUP BY 1) SELECT id, {r6s('coalesce(kappa, 0e0)')} AS kappa FROM cat LEFT JOIN k USING (user_id)")
@@ -583,7 +514,7 @@ def left_join_filled(spark, sf_dir):
     """A left join that keeps the row count, missing values as 0."""
     c = events(spark, sf_dir)
     k = c.filter("magnitude >= 4").groupBy("user_id").agg(F.avg("magnitude").alias("kappa"))
-    return c.join(k, "user_id", "left").select("id", r6(F.coalesce("kappa", F.lit(0.0))).alias("kappa"))
+    return pairs.joined_whole(c, k, "user_id").select("id", r6(F.coalesce("kappa", F.lit(0.0))).alias("kappa"))
 
 
 @query(" SELECT id FROM cat WHERE user_id IN (SELECT user_id FROM cat WHERE magnitude >= 5.5e0) AND user_id NOT IN (SELECT user_id FROM cat WHERE magnitude >= 6e0)")
@@ -600,32 +531,33 @@ def local_completeness(spark, sf_dir):
     return out.select("cell", "n", r6(F.col("mc")).alias("mc"), r6(F.col("beta")).alias("beta"))
 
 
-@query(f" SELECT event_type, count(*) AS n, {r6s('avg(magnitude)')} AS mean, {r6s('stddev_samp(magnitude)')} AS std, min(magnitude) AS min, {r6s('quantile_cont(magnitude, 0.5)')} AS median, max(magnitude) AS max FROM cat GROUP BY 1")
+@query(f" SELECT event_type, count(*) AS n, {r6s('avg(magnitude)')} AS mean, {r6s('stddev_samp(magnitude)')} AS std, min(magnitude) AS min, {r6s('quantile_cont(magnitude, 0.25)')} AS q25, {r6s('quantile_cont(magnitude, 0.5)')} AS median, {r6s('quantile_cont(magnitude, 0.75)')} AS q75, max(magnitude) AS max FROM cat GROUP BY 1")
 def describe_catalog(spark, sf_dir):
     """Descriptive numbers of magnitudes by type."""
-    m = F.col("magnitude")
-    return events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(m)).alias("mean"), r6(F.stddev_samp(m)).alias("std"), F.min(m).alias("min"), r6(F.percentile(m, 0.5)).alias("median"), F.max(m).alias("max"))
+    d = stats.described(events(spark, sf_dir), "magnitude", "event_type")
+    return d.select("event_type", "n", *[r6(F.col(c)).alias(c) if c in ("mean", "std", "q25", "median", "q75") else F.col(c) for c in d.columns[2:]])
 
 
 # --- random numbers and simulation
 
-_U = lambda *key: f"CAST(('0x' || substr(md5(concat_ws('|', {', '.join(key)})), 1, 13)) AS BIGINT) / 4503599627370496e0"
+#: Parts of random keys in SQL.
+SEED_ID, SEED_DRAW = ("'1905'", "id"), ("'1905'", "draw", "user_id")
+QUOTED_RADIUS, QUOTED_TIME = "'radius'", "'time'"
 
-
-@query(f" SELECT id, {r6s(f'-ln(1e0 - {_U(chr(39) + str(1905) + chr(39), chr(105) + chr(100))}) / 2e0 + 2.45e0')} AS magnitude FROM cat")
+@query(f" SELECT id, {r6s(f'-ln(1e0 - {u_sql(*SEED_ID)}) / 2e0 + 2.45e0')} AS magnitude FROM cat")
 def gr_sample(spark, sf_dir):
     """Magnitudes from hash-keyed uniform numbers."""
     return events(spark, sf_dir).select("id", r6(K.gr_magnitude_of(rng.uniform(1905, F.col("id")), 2.0, M_LOW)).alias("magnitude"))
 
 
-@query(_no_double_exponent(f" SELECT id, {r6s(f'sqrt({THETA.d!r}e0 * exp({THETA.gamma!r}e0 * (magnitude - {M_LOW!r}e0)) * (pow(1e0 - u, {-1 / THETA.rho!r}e0) - 1e0))')} AS radius_km FROM (SELECT *, {_U(chr(39) + str(1905) + chr(39), 'id', chr(39) + 'radius' + chr(39))} AS u FROM cat)"))
+@query(_no_double_exponent(f" SELECT id, {r6s(f'sqrt({THETA.d!r}e0 * exp({THETA.gamma!r}e0 * (magnitude - {M_LOW!r}e0)) * (pow(1e0 - u, {-1 / THETA.rho!r}e0) - 1e0))')} AS radius_km FROM (SELECT *, {u_sql(*SEED_ID, QUOTED_RADIUS)} AS u FROM cat)"))
 def radius_sample(spark, sf_dir):
     """Offspring distances by inversion."""
     u = rng.uniform(1905, F.col("id"), "radius")
     return events(spark, sf_dir).select("id", r6(K.radius_of(u, F.col("magnitude"), THETA, M_LOW)).alias("radius_km"))
 
 
-@query(_no_double_exponent(f" SELECT id, {r6s(f'pow(1e0 - u, {-1 / FREE_TAU.omega!r}e0) * {FREE_TAU.c!r}e0 - {FREE_TAU.c!r}e0')} AS delay FROM (SELECT *, 0.5e0 * {_U(chr(39) + str(1905) + chr(39), 'id', chr(39) + 'time' + chr(39))} AS u FROM cat)"))
+@query(_no_double_exponent(f" SELECT id, {r6s(f'pow(1e0 - u, {-1 / FREE_TAU.omega!r}e0) * {FREE_TAU.c!r}e0 - {FREE_TAU.c!r}e0')} AS delay FROM (SELECT *, 0.5e0 * {u_sql(*SEED_ID, QUOTED_TIME)} AS u FROM cat)"))
 def untapered_delay(spark, sf_dir):
     """Offspring delays by inversion, without taper."""
     u = F.lit(0.5) * rng.uniform(1905, F.col("id"), "time")
@@ -634,42 +566,42 @@ def untapered_delay(spark, sf_dir):
 
 @query()
 def one_generation(spark, sf_dir):
-    """Offspring of every event within ten days."""
+    """Offspring of every event within ten days, with taper."""
     process = simulation.Process(K.Theta(log10_k0=-2.8), 2.3, 2.5)
     c = events(spark, sf_dir).withColumns({"catalog_id": F.lit(0).cast("long"), "root_id": F.col("id"), "generation": F.lit(0)})
     return simulation.aftershocks(c, process, TEST_END + 10)
 
 
+PROCESS = simulation.Process(K.Theta(log10_mu=-6.5, log10_k0=-3.4), 2.3, 2.5)
+
+
 @query()
 def forecast_realizations(spark, sf_dir):
     """Four realisations of the week after the window."""
-    process = simulation.Process(K.Theta(log10_mu=-6.5, log10_k0=-3.4), 2.3, 3.0)
-    c = filters.complete(events(spark, sf_dir), 3.0, DM)
-    return simulation.forecast(c, process, CALIFORNIA, TEST_END, 7.0, AREA, 4)
+    return simulation.forecast(events(spark, sf_dir), PROCESS, CALIFORNIA, TEST_END, 7.0, AREA, 4)
 
 
 @query()
 def thinning_realizations(spark, sf_dir):
-    """Two thinning realisations of a day, from the large events."""
-    process = simulation.Process(K.Theta(log10_mu=-6.5, log10_k0=-3.4), 2.3, 4.0)
-    return simulation.thinned(events(spark, sf_dir).filter("magnitude >= 5.5"), process, CALIFORNIA, TEST_END, TEST_END + 1, 2, 200)
+    """Two thinning realisations of the day after the window."""
+    return simulation.thinned(events(spark, sf_dir), PROCESS, CALIFORNIA, TEST_END, TEST_END + 1, 2)
 
 
 @query()
 def synthetic_catalog(spark, sf_dir):
     """A catalog from background alone, with burn-in."""
-    process = simulation.Process(K.Theta(log10_mu=-6.5, log10_k0=-3.4), 2.3, 3.0)
+    process = simulation.Process(K.Theta(log10_mu=-4.5, log10_k0=-3.4), 2.3, 3.0)
     return simulation.synthetic_catalog(spark, process, CALIFORNIA, AUX, TEST_END, AREA, 5.0)
 
 
 # --- tests
 
 
-@query(f", s AS (SELECT magnitude AS x, count(*) FILTER (WHERE user_id % 2 = 0) AS a, count(*) FILTER (WHERE user_id % 2 = 1) AS b FROM cat GROUP BY 1) SELECT {r6s('max(d)')} AS ks_d, max(n1) AS n1, max(n2) AS n2 FROM (SELECT abs(sum(a) OVER w / CAST(sum(a) OVER () AS DOUBLE) - sum(b) OVER w / CAST(sum(b) OVER () AS DOUBLE)) AS d, CAST(sum(a) OVER () AS BIGINT) AS n1, CAST(sum(b) OVER () AS BIGINT) AS n2 FROM s WINDOW w AS (ORDER BY x))")
+@query(f", s AS (SELECT magnitude AS x, count(*) FILTER (WHERE user_id % 2 = 0) AS a, count(*) FILTER (WHERE user_id % 2 = 1) AS b FROM cat GROUP BY 1), d AS (SELECT max(d) AS ks_d, max(n1) AS n1, max(n2) AS n2 FROM (SELECT abs(sum(a) OVER w / CAST(sum(a) OVER () AS DOUBLE) - sum(b) OVER w / CAST(sum(b) OVER () AS DOUBLE)) AS d, CAST(sum(a) OVER () AS BIGINT) AS n1, CAST(sum(b) OVER () AS BIGINT) AS n2 FROM s WINDOW w AS (ORDER BY x))), k AS (SELECT *, n1 * CAST(n2 AS DOUBLE) / (n1 + n2) AS n FROM d), v AS (SELECT *, (sqrt(n) + 0.12e0 + 0.11e0 / sqrt(n)) * ks_d AS t FROM k), p AS (SELECT ks_d, n1, n2, t, sum((CASE WHEN i % 2 = 1 THEN 1e0 ELSE -1e0 END) * exp(-2e0 * i * i * t * t)) AS series FROM v, range(1, 101) AS g(i) GROUP BY 1, 2, 3, 4) SELECT {r6s('ks_d')} AS ks_d, n1, n2, {r6s('CASE WHEN t < 0.2e0 THEN 1e0 ELSE greatest(0e0, least(1e0, 2e0 * series)) END')} AS p FROM p")
 def ks_two_sample(spark, sf_dir):
-    """Largest distance of two samples' distributions."""
+    """Largest distance of two samples' distributions, and its asymptotic p value."""
     c = events(spark, sf_dir)
-    return stats.ks_two_samples(c.filter("user_id % 2 = 0"), c.filter("user_id % 2 = 1"), "magnitude").select(r6(F.col("ks_d")).alias("ks_d"), "n1", "n2")
+    return stats.ks_two_samples(c.filter("user_id % 2 = 0"), c.filter("user_id % 2 = 1"), "magnitude").select(r6(F.col("ks_d")).alias("ks_d"), "n1", "n2", r6(F.col("p")).alias("p"))
 
 
 _DIFF_SQL = ", p AS (SELECT user_id, CAST(count(*) FILTER (WHERE days < 19738e0) AS DOUBLE) - count(*) FILTER (WHERE days >= 19738e0) AS d FROM cat GROUP BY 1)"
@@ -679,16 +611,16 @@ def _differences(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).groupBy("user_id").agg((F.count_if(F.col("days") < 19738).cast("double") - F.count_if(F.col("days") >= 19738)).alias("d"))
 
 
-@query(_DIFF_SQL + f" SELECT sum(CASE WHEN d > 0 THEN r ELSE 0e0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0e0 END) AS w_minus, count(*) AS n FROM (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2e0 AS r FROM p WHERE d <> 0)")
+@query(_DIFF_SQL + f", r AS (SELECT d, k, rank() OVER (ORDER BY abs(d)) + (k - 1) / 2e0 AS r FROM (SELECT d, count(*) OVER (PARTITION BY abs(d)) AS k FROM p WHERE d <> 0)), s AS (SELECT sum(CASE WHEN d > 0 THEN r ELSE 0e0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0e0 END) AS w_minus, count(*) AS n, sum((CAST(k AS DOUBLE) * k * k - k) / k) AS tied FROM r) SELECT w_plus, w_minus, n, {r6s('(least(w_plus, w_minus) - CAST(n AS DOUBLE) * (n + 1) / 4) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - tied / 48)')} AS z FROM s")
 def signed_rank(spark, sf_dir):
-    """Signed rank sums of paired differences."""
-    return stats.signed_rank(_differences(spark, sf_dir), "d")
+    """Signed rank sums of paired differences and the normal value of the smaller."""
+    return stats.signed_rank(_differences(spark, sf_dir), "d").withColumn("z", r6(F.col("z")))
 
 
-@query(_DIFF_SQL + f", f AS (SELECT draw, avg(d * CASE WHEN {_U(chr(39) + str(1905) + chr(39), 'draw', 'user_id')} < 0.5e0 THEN -1e0 ELSE 1e0 END) AS m FROM p, range(500) AS g(draw) GROUP BY 1) SELECT {r6s('max(o.mean)')} AS mean, {r6s('avg(CASE WHEN abs(m) >= abs(o.mean) - 1e-12 THEN 1e0 ELSE 0e0 END)')} AS p FROM f, (SELECT avg(d) AS mean FROM p) o")
+@query(_DIFF_SQL + f", f AS (SELECT draw, avg(d * CASE WHEN {u_sql(*SEED_DRAW)} < 0.5e0 THEN -1e0 ELSE 1e0 END) AS m FROM p, range(5000) AS g(draw) GROUP BY 1) SELECT {r6s('max(o.mean)')} AS mean, {r6s('avg(CASE WHEN abs(m) >= abs(o.mean) - 1e-12 THEN 1e0 ELSE 0e0 END)')} AS p FROM f, (SELECT avg(d) AS mean FROM p) o")
 def permutation_test(spark, sf_dir):
     """Sign-flip test of a mean paired difference."""
-    t = stats.sign_flips(_differences(spark, sf_dir), "user_id", "d", 500)
+    t = stats.sign_flips(_differences(spark, sf_dir), "user_id", "d")
     return t.select(r6(F.col("mean")).alias("mean"), r6(F.col("p")).alias("p"))
 
 
@@ -710,28 +642,45 @@ def _realizations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return c.filter("user_id > 0"), c.filter("user_id = 0").drop("catalog_id")
 
 
-@query()
+_M_SQL = """, s AS (SELECT user_id AS c, CAST(floor(magnitude / 0.5e0) AS INTEGER) AS k FROM cat WHERE user_id > 0), o AS (SELECT -1 AS c, CAST(floor(magnitude / 0.5e0) AS INTEGER) AS k FROM cat WHERE user_id = 0),
+u AS (SELECT k, count(*) * CAST((SELECT count(*) FROM o) AS DOUBLE) / (SELECT count(*) FROM s) AS lam FROM s GROUP BY 1), e AS (SELECT * FROM s UNION ALL SELECT * FROM o), z AS (SELECT c, count(*) AS size FROM e GROUP BY 1), n AS (SELECT c, k, count(*) AS n FROM e GROUP BY 1, 2),
+d AS (SELECT z.c, sum(pow(log10(lam + 1e0) - log10(coalesce(n, 0) * CAST((SELECT count(*) FROM o) AS DOUBLE) / size + 1e0), 2e0)) AS d FROM z CROSS JOIN u LEFT JOIN n ON n.c = z.c AND n.k = u.k GROUP BY 1)"""
+
+
+@query(_M_SQL + f" SELECT {r6s('avg(CASE WHEN d <= o.d0 THEN 1e0 ELSE 0e0 END)')} AS quantile, {r6s('max(o.d0)')} AS observed FROM d, (SELECT d AS d0 FROM d WHERE c = -1) o WHERE c <> -1")
 def magnitude_test(spark, sf_dir):
     """CSEP M test."""
-    return stats.magnitude_test(*_realizations(spark, sf_dir))
+    t = stats.magnitude_test(*_realizations(spark, sf_dir))
+    return t.select(r6(F.col("quantile")).alias("quantile"), r6(F.col("observed")).alias("observed"))
 
 
-@query()
+_S_SQL = """, e AS (SELECT CASE WHEN user_id = 0 THEN -1 ELSE user_id END AS c, CAST(floor(latitude / 0.5e0) AS INTEGER) AS y, CAST(floor(longitude / 0.5e0) AS INTEGER) AS x FROM cat),
+g AS (SELECT y, x, count(*) / 149e0 AS rate FROM e WHERE c <> -1 GROUP BY 1, 2), t AS (SELECT sum(rate) AS total FROM g), l AS (SELECT c, {statistic} AS l FROM e LEFT JOIN g USING (y, x) CROSS JOIN t GROUP BY 1)
+SELECT {quantile} AS quantile, {observed} AS observed FROM l, (SELECT l AS l0 FROM l WHERE c = -1) o WHERE c <> -1"""
+_S_OUT = {"quantile": r6s("avg(CASE WHEN l <= l0 THEN 1e0 ELSE 0e0 END)"), "observed": f"CASE WHEN isinf(max(l0)) THEN max(l0) ELSE {r6s('max(l0)')} END"}
+
+
+def _rounded_test(t: DataFrame) -> DataFrame:
+    return t.select(r6(F.col("quantile")).alias("quantile"), F.when(F.abs("observed") == math.inf, F.col("observed")).otherwise(r6(F.col("observed"))).alias("observed"))
+
+
+@query(_S_SQL.format(statistic="avg(coalesce(ln(rate / total), '-infinity'::DOUBLE))", **_S_OUT))
 def spatial_test(spark, sf_dir):
     """CSEP S test."""
-    return stats.spatial_test(*_realizations(spark, sf_dir), 149)
+    return _rounded_test(stats.spatial_test(*_realizations(spark, sf_dir), 149))
 
 
-@query()
+@query(_S_SQL.format(statistic="sum(coalesce(ln(rate), '-infinity'::DOUBLE)) - max(total)", **_S_OUT))
 def pseudo_likelihood_test(spark, sf_dir):
     """CSEP pseudo-likelihood test."""
-    return stats.spatial_test(*_realizations(spark, sf_dir), 149, normalized=False)
+    return _rounded_test(stats.spatial_test(*_realizations(spark, sf_dir), 149, normalized=False))
 
 
-@query()
+@query(f", c AS (SELECT floor(magnitude / 0.02e0 + 0.5e0) AS k, count(*) AS n FROM cat GROUP BY 1) SELECT {r6s('2.5e0 + i * 0.1e0')} AS x, {r6s('sum(n * exp(-pow((2.5e0 + i * 0.1e0 - k * 0.02e0) / 0.2e0, 2e0) / 2e0)) / sum(n) / (0.2e0 * sqrt(2e0 * pi()))')} AS density FROM c, range(46) AS g(i) GROUP BY i")
 def magnitude_density(spark, sf_dir):
     """Kernel density of magnitudes."""
-    return stats.density_on_grid(events(spark, sf_dir), "magnitude", 0.2, 2.5, 7.0, 46)
+    d = stats.density_on_grid(events(spark, sf_dir), "magnitude", 0.2, 2.5, 7.0, 46)
+    return d.select(r6(F.col("x")).alias("x"), r6(F.col("density")).alias("density"))
 
 
 @query(f" SELECT DISTINCT CAST(floor(days * 86400e0) AS BIGINT) AS time, {r6s('latitude')} AS latitude, {r6s('longitude')} AS longitude, magnitude, 10e0 AS depth FROM cat")
@@ -741,9 +690,6 @@ def epoch_catalog(spark, sf_dir):
     return cat.to_epoch_catalog(c)
 
 
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
+from . import more_queries  # noqa: E402, F401  registers its queries
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+queries, oracle_sql = registered.queries, registered.oracle_sql

@@ -8,15 +8,24 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.geo import box_of, convex_hull
+from ..operators.ordered import with_previous, with_rank
+from .config import plain
+from .stage import materialized
+
 SCHEMA = "id long, latitude double, longitude double, time string, magnitude double"
 
 
@@ -52,6 +61,12 @@ def read_csv(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
     return as_catalog(spark.read.schema(schema).option("header", True).csv(path))
 
 
+def found(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of any store that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def from_events(events: DataFrame) -> DataFrame:
     """The driver's ``events`` as a catalog: exponential values as magnitudes, users and props as places."""
     k = F.get_json_object("props", "$.k").cast("double")
@@ -78,33 +93,56 @@ def from_epoch_catalog(df: DataFrame, start_id: int = 0) -> DataFrame:
     missing = {"time", "latitude", "longitude", "magnitude"} - set(df.columns)
     if missing:
         raise ValueError(f"columns are missing: {', '.join(sorted(missing))}")
-    order = W.orderBy("time", "latitude", "longitude", "magnitude")
     text = F.coalesce(F.date_format(F.timestamp_seconds("time"), "yyyy-MM-dd HH:mm:ss"), F.lit("Invalid Time"))
-    return df.select((F.row_number().over(order) - 1 + start_id).cast("long").alias("id"), "latitude", "longitude", text.alias("time"), "magnitude")
+    ranked = with_rank(df.select("time", "latitude", "longitude", "magnitude"), "place", order=("time", "latitude", "longitude", "magnitude"))
+    return ranked.select((F.col("place") - 1 + start_id).cast("long").alias("id"), "latitude", "longitude", text.alias("time"), "magnitude")
 
 
 def problems(df: DataFrame, required: tuple[str, ...] = ("time", "latitude", "longitude", "magnitude", "depth")) -> list[str]:
     """Everything that keeps ``df`` from being an epoch catalog: missing columns, null or unsorted times by ``id``."""
-    found = [f"column {c} is missing" for c in required if c not in df.columns]
+    reasons = [f"column {c} is missing" for c in required if c not in df.columns]
     if "time" in df.columns:
         if nulls := df.filter("time IS NULL").count():
-            found.append(f"{nulls} times are null")
-        if "id" in df.columns and (back := df.withColumn("_b", F.lag("time").over(W.orderBy("id")) > F.col("time")).filter("_b").count()):
-            found.append(f"{back} times are before the row above")
-    return found
+            reasons.append(f"{nulls} times are null")
+        if "id" in df.columns and (back := with_previous(df.select("id", "time"), {"before": F.col("time")}, order=("id",)).filter("before > time").count()):
+            reasons.append(f"{back} times are before the row above")
+    return reasons
+
+
+def checked(df: DataFrame, **how) -> DataFrame:
+    """``df``, or an error with all of its ``problems``."""
+    if reasons := problems(df, **how):
+        raise ValueError("; ".join(reasons))
+    return df
 
 
-def equivalent(a: DataFrame, b: DataFrame, key: str, tolerance: float = 1e-10) -> bool:
-    """Same columns, same keys, numbers within ``tolerance``, other values equal (null equals null)."""
-    if sorted(a.columns) != sorted(b.columns):
-        return False
+def differences(a: DataFrame, b: DataFrame, key: str | None = None, tolerance: float = 1e-10) -> DataFrame:
+    """(place, a, b): rows that differ, as structs, of two catalogs with the same columns.
+
+    Rows are matched by ``key``, of which equal ones are numbered and null equals null, or
+    without one by their places in the order of all columns. Numbers may differ by
+    ``tolerance``; null and NaN equal themselves.
+    """
     kinds = dict(a.dtypes)
-    both = a.alias("a").join(b.alias("b"), F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
-    differ = F.col(f"a.{key}").isNull() | F.col(f"b.{key}").isNull()
-    for c in a.columns:
+    names = list(a.columns)
+    order = [key, *[c for c in names if c != key]] if key else names
+    ranked = [with_rank(df.select(*names), "place", order=tuple(order)) for df in (a, b)]
+    if key:
+        w = W.partitionBy(key).orderBy("place")
+        ranked = [r.withColumn("place", F.concat_ws("#", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.row_number().over(w))) for r in ranked]
+    left, right = (r.select("place", F.struct(*names).alias(n)) for r, n in zip(ranked, "ab"))
+    both = left.join(right, "place", "full_outer")
+    differ = F.col("a").isNull() | F.col("b").isNull()
+    for c in names:
         x, y = F.col(f"a.{c}"), F.col(f"b.{c}")
-        differ = differ | (~x.eqNullSafe(y) & ~F.coalesce(F.abs(x - y) <= tolerance, F.lit(False)) if kinds[c] in ("double", "float") else ~x.eqNullSafe(y))
-    return both.filter(differ).isEmpty()
+        near = F.coalesce(F.abs(x - y) <= tolerance, F.lit(False)) if kinds[c] in ("double", "float") else F.lit(False)
+        differ = differ | ~(x.eqNullSafe(y) | near)
+    return both.filter(differ)
+
+
+def equivalent(a: DataFrame, b: DataFrame, key: str | None = None, tolerance: float = 1e-10) -> bool:
+    """Whether two catalogs have the same columns and no ``differences``."""
+    return sorted(a.dtypes) == sorted(b.dtypes) and differences(a, b, key, tolerance).isEmpty()
 
 
 def find_or_create(catalog: DataFrame, folder: str, name: str, key: str = "id") -> str:
@@ -112,14 +150,10 @@ def find_or_create(catalog: DataFrame, folder: str, name: str, key: str = "id")
     spark, k = catalog.sparkSession, 0
     while True:
         place = f"{folder}/{name}" + (f"_{k}" if k else "")
-        try:
-            stored = spark.read.parquet(place)
-        except Exception as error:  # noqa: BLE001  the engine's error class differs between session kinds
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        if not found(spark, place):
             catalog.write.parquet(place)
             return place
-        if equivalent(stored, catalog, key):
+        if equivalent(spark.read.parquet(place), catalog, key):
             return place
         k += 1
 
@@ -150,40 +184,81 @@ def write_fit(folder: str, spark: SparkSession, result: dict, **tables: DataFram
 
 def read_fit(folder: str, spark: SparkSession, *tables: str) -> tuple[dict, dict[str, DataFrame]]:
     """Parameters and those of ``tables`` that were written."""
-    result, found = json.loads(spark.read.text(f"{folder}/parameters").head()[0]), {}
-    for name in tables:
-        try:
-            found[name] = spark.read.parquet(f"{folder}/{name}")
-        except Exception as error:  # noqa: BLE001  the engine's error class differs between session kinds
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-    return result, found
+    result = json.loads(spark.read.text(f"{folder}/parameters").head()[0])
+    return result, {name: spark.read.parquet(f"{folder}/{name}") for name in tables if found(spark, f"{folder}/{name}")}
 
 
 def append_forecast(catalogs: DataFrame, folder: str, buckets: int = 64) -> DataFrame:
-    """Append realisations that ``folder`` does not have yet (by ``catalog_id``), and return what was new."""
+    """Append realisations that ``folder`` does not have yet (by ``catalog_id``), and return what was new.
+
+    The new rows are those of the stored table whose realisations were not there before.
+    """
     spark = catalogs.sparkSession
     rows = catalogs.withColumn("bucket", F.pmod(F.col("catalog_id"), F.lit(buckets)))
-    try:
-        rows = rows.join(spark.read.parquet(folder).select("catalog_id").distinct(), "catalog_id", "left_anti")
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    done = materialized(spark.read.parquet(folder).select("catalog_id").distinct()) if found(spark, folder) else None
+    if done is not None:
+        rows = rows.join(done, "catalog_id", "left_anti")
     rows.write.mode("append").partitionBy("bucket").parquet(folder)
-    return rows
+    stored = spark.read.schema(rows.schema).parquet(folder).select(*catalogs.columns)
+    return stored if done is None else stored.join(done, "catalog_id", "left_anti")
+
+
+def log_parameters(site: str, parameters: dict | None, path: str | None, **extras) -> None:
+    """Append a line of JSON about a call to a trace file on the driver; without a path, nothing."""
+    if path:
+        line = json.dumps(plain({"site": site, "parameters": parameters, **extras}), default=str)
+        with _TRACES, open(path, "a", encoding="utf-8") as f:
+            f.write(line + "\n")
+
+
+def log_events(site: str, events: DataFrame, folder: str | None) -> None:
+    """Append events (time or days, place, magnitude; null where missing) with ``site`` to a trace table; without a folder or rows, nothing."""
+    time = next((c for c in ("time", "days") if c in events.columns), None)
+    if folder and time and not events.isEmpty():
+        own = [F.col(c).cast("double").alias(c) if c in events.columns else F.lit(None).cast("double").alias(c) for c in ("latitude", "longitude", "magnitude")]
+        events.select(F.lit(site).alias("site"), F.col(time).cast("string").alias("time"), *own).write.mode("append").parquet(folder)
+
+
+_TRACES = threading.Lock()
 
 
 def read_ring(source: str | list) -> list[tuple[float, float]]:
-    """A ring from a list of [lat, lon], or from JSON text of one; text is parsed, never evaluated."""
+    """A ring from a list of [lat, lon], from JSON text of one, or from an ``.npy`` file; text is parsed, never evaluated, and arrays hold no objects."""
+    if isinstance(source, str) and source.rstrip().endswith(".npy"):
+        source = np.load(source, allow_pickle=False).tolist()
     points = json.loads(source) if isinstance(source, str) else source
     return [(float(a), float(b)) for a, b in points]
 
 
+def partial_hulls(df: DataFrame) -> DataFrame:
+    """(lat, lon): the hull's vertices of each partition's places, which are all that the whole hull needs."""
+
+    def run(batches):
+        kept: list[tuple[float, float]] = []
+        for b in batches:
+            places = zip(b.column("latitude").to_pylist(), b.column("longitude").to_pylist())
+            kept = convex_hull([*kept, *[p for p in places if None not in p]])
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in kept], pa.float64()) for i in (0, 1)], ["lat", "lon"])
+
+    return df.select(F.col("latitude").cast("double"), F.col("longitude").cast("double")).mapInArrow(run, "lat double, lon double")
+
+
+def ring_of(df: DataFrame) -> list[tuple[float, float]]:
+    """The convex hull of a catalog's places; their box where they lie on a line."""
+    points = [tuple(r) for r in partial_hulls(df).collect()]  # a hull a partition
+    hull = convex_hull(points)
+    if len(hull) < 3 and points:
+        a, b, c, d = box_of(points)
+        return [(a, c), (a, d), (b, d), (b, c)]
+    return hull
+
+
 class TextServiceSource(DataSource):
     """``spark.read.format("fdsn_text")``: event text of a web service, a partition for each year.
 
-    Options: ``url`` with ``{start}``, ``{end}`` and ``{minmag}`` in it, ``start`` and ``end`` (years),
-    ``minmagnitude``, ``delta_m``; the service is asked for half a bin less.
+    Options: ``url`` with ``{start}``, ``{end}`` and ``{minmag}`` in it, ``start`` and ``end``
+    (dates or years; the end is left out, but a year counts to its end), ``minmagnitude`` and
+    ``delta_m``: the service is asked for half a bin less; without a least magnitude, ``{minmag}`` is -10.
     """
 
     @classmethod
@@ -202,13 +277,25 @@ class _TextServiceReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(y) for y in range(int(self.options["start"]), int(self.options["end"]) + 1)]
+        start, end = self.options["start"], self.options["end"]
+        start = f"{start}-01-01" if len(start) == 4 else start
+        end = f"{int(end) + 1}-01-01" if len(end) == 4 else end
+        cuts = [start, *[f"{y}-01-01" for y in range(int(start[:4]) + 1, int(end[:4]) + 1) if f"{y}-01-01" < end], end]
+        return [InputPartition(span) for span in zip(cuts, cuts[1:]) if span[0] < span[1]]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        year, o = partition.value, self.options
-        least = float(o.get("minmagnitude", 0)) - float(o.get("delta_m", 0.1)) / 2
-        with urllib.request.urlopen(o["url"].format(start=f"{year}-01-01", end=f"{year + 1}-01-01", minmag=least), timeout=60) as page:
-            yield from parse_event_text(page.read().decode())
+        (start, end), o = partition.value, self.options
+        least = float(o["minmagnitude"]) - float(o.get("delta_m", 0.1)) / 2 if "minmagnitude" in o else -10.0
+        with urllib.request.urlopen(o["url"].format(start=start, end=end, minmag=least), timeout=60) as page:
+            if getattr(page, "status", None) != 204:  # no content
+                yield from parse_event_text(page.read().decode())
+
+
+def read_service(spark: SparkSession, **options: str) -> DataFrame:
+    """A web service's events in order of time, as a catalog with ``event_id`` and ``depth``."""
+    spark.dataSource.register(TextServiceSource)
+    rows = spark.read.format("fdsn_text").options(**options).load()
+    return as_catalog(rows).orderBy("time", "event_id")
 
 
 def parse_event_text(text: str) -> Iterator[tuple]:
@@ -242,7 +329,43 @@ def parse_quakeml(text: str) -> Iterator[tuple]:
         yield event.get("publicID"), value(origin, "time", "value"), number(value(origin, "latitude", "value")), number(value(origin, "longitude", "value")), None if depth is None else depth / 1000, number(value(size, "mag", "value"))
 
 
-def quakeml(catalog_rows: list[tuple[str, str, float, float, float]]) -> str:
-    """A QuakeML document of (id, time, latitude, longitude, magnitude) rows."""
-    events = "".join(f'<event publicID="{i}"><origin><time><value>{t}</value></time><latitude><value>{la}</value></latitude><longitude><value>{lo}</value></longitude></origin><magnitude><mag><value>{m}</value></mag></magnitude></event>' for i, t, la, lo, m in catalog_rows)
+def quakeml(rows: list[tuple]) -> str:
+    """A QuakeML document of (id, time, latitude, longitude, magnitude, perhaps depth in km) rows; what is null is left out."""
+
+    def event(name, time, lat, lon, size, depth=None) -> str:
+        value = lambda tag, v: "" if v is None else f"<{tag}><value>{escape(str(v))}</value></{tag}>"
+        origin = value("time", time) + value("latitude", lat) + value("longitude", lon) + value("depth", None if depth is None else depth * 1000)
+        return f"<event publicID={quoteattr(str(name))}><origin>{origin}</origin><magnitude>{value('mag', size)}</magnitude></event>"
+
+    events = "".join(event(*r) for r in rows)
     return f'<?xml version="1.0"?><q:quakeml xmlns:q="http://quakeml.org/xmlns/quakeml/1.2" xmlns="http://quakeml.org/xmlns/bed/1.2"><eventParameters>{events}</eventParameters></q:quakeml>'
+
+
+def read_quakeml(spark: SparkSession, path: str) -> DataFrame:
+    """Events of QuakeML files (a file, folder or pattern) as a catalog with ``event_id`` and ``depth`` in km; a task reads whole files."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+    schema = "event_id string, time string, latitude double, longitude double, depth double, magnitude double"
+
+    def run(batches):
+        for b in batches:
+            for content in b.column("content").to_pylist():
+                rows = list(parse_quakeml(content.decode()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), *[pa.float64()] * 4))], [f.split()[0] for f in schema.split(", ")])
+
+    return as_catalog(files.mapInArrow(run, schema))
+
+
+def write_quakeml(catalog: DataFrame, folder: str) -> None:
+    """A catalog (id or event_id, days, latitude, longitude, magnitude, perhaps depth) as QuakeML, a document for each partition."""
+    known = F.col("event_id") if "event_id" in catalog.columns else F.col("id").cast("string")
+    depth = F.col("depth").cast("double") if "depth" in catalog.columns else F.lit(None).cast("double")
+    time = F.date_format(F.timestamp_micros(F.floor(F.col("days") * 86400e6 + 0.5).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = catalog.select(known.alias("event_id"), time.alias("time"), F.col("latitude").cast("double"), F.col("longitude").cast("double"), F.col("magnitude").cast("double"), depth.alias("depth"))
+
+    def run(batches):
+        events = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        if events:
+            yield pa.RecordBatch.from_arrays([pa.array([quakeml(events)])], ["value"])
+
+    rows.mapInArrow(run, "value string").write.mode("overwrite").text(folder)

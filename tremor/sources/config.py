@@ -47,26 +47,47 @@ def plain(value: object) -> object:
 
 
 def parse_bindings(text: str) -> dict[str, object]:
-    """``name = value`` lines with ``#`` comments and values over several lines; values that are no literals stay text."""
-    found, name, value = {}, None, ""
+    """Bindings of ``name = value`` lines; see ``parse_config``."""
+    return parse_config(text)["bindings"]
 
-    def close() -> None:
-        if name is not None:
-            try:
-                found[name] = ast.literal_eval(value.strip())
-            except (ValueError, SyntaxError):
-                found[name] = value.strip()
 
-    for line in text.splitlines():
+def parse_config(text: str) -> dict[str, object]:
+    """{"includes": files, "bindings": values by name}.
+
+    ``#`` starts a comment. A value goes on over further lines while a bracket is open. A line
+    that ends in a colon opens a scope: the indented lines after it bind ``scope.name``. An
+    ``include`` line names another file. Values that are no literals stay text; other lines are an error.
+    """
+    includes, bindings, scope, name, value = [], {}, None, None, ""
+    for number, line in enumerate(text.splitlines(), 1):
         body = _uncommented(line)
-        m = _LINE.match(body)
-        if m and not (name is not None and _open(value)):
-            close()
-            name, value = m["name"], m["value"]
-        elif name is not None and body.strip():
+        if name is not None:
             value += "\n" + body
-    close()
-    return found
+        elif not body.strip():
+            continue
+        elif found := re.match(r"include\s+(.+)$", body.strip()):
+            includes.append(found[1].strip().strip("'\""))
+            continue
+        elif re.fullmatch(r"[A-Za-z_][\w./@]*\s*:", body.strip()):
+            scope = body.strip()[:-1].rstrip()
+            continue
+        elif found := _LINE.match(body.strip()):
+            scope = scope if body[:1].isspace() else None
+            name, value = f"{scope}.{found['name']}" if scope else found["name"], found["value"]
+        else:
+            raise ValueError(f"line {number} binds nothing: {line!r}")
+        if not _open(value):
+            bindings[name], name = _literal(value), None
+    if name is not None:
+        raise ValueError(f"a bracket of {name} is never closed")
+    return {"includes": includes, "bindings": bindings}
+
+
+def _literal(value: str) -> object:
+    try:
+        return ast.literal_eval(value.strip())
+    except (ValueError, SyntaxError):
+        return value.strip()
 
 
 def _uncommented(line: str) -> str:
@@ -86,22 +107,32 @@ def _open(value: str) -> bool:
 
 
 def update_bindings(text: str, changes: dict[str, object]) -> str:
-    """``text`` with values replaced in place, comments and order kept; new names come last."""
-    lines, left, out, skipping = text.splitlines(), dict(changes), [], ""
-    for line in lines:
+    """``text`` with values replaced in place, comments, scopes and order kept; new names come last.
+
+    A name with a scope is found as ``scope.name`` at the margin or as ``name`` within the
+    scope; a bare name is never replaced within a scope. Values that refer (``@``, ``%``) stay bare.
+    """
+    left, out, scope, open_ = dict(changes), [], None, ""
+    shown = lambda v: v if isinstance(v, str) and v[:1] in ("@", "%") else repr(v)
+    for line in text.splitlines():
         body = _uncommented(line)
-        if skipping:
-            skipping += "\n" + body
-            if not _open(skipping):
-                skipping = ""
+        if open_:
+            open_ += "\n" + body
+            open_ = open_ if _open(open_) else ""
             continue
-        m = _LINE.match(body)
-        if m and m["name"] in left:
-            out.append(f"{m['name']} = {left.pop(m['name'])!r}{line[len(body) :]}")
-            skipping = m["value"] if _open(m["value"]) else ""
-        else:
-            out.append(line)
-    return "\n".join([*out, *(f"{k} = {v!r}" for k, v in left.items())]) + "\n"
+        found = _LINE.match(body.strip())
+        if re.fullmatch(r"[A-Za-z_][\w./@]*\s*:", body.strip()):
+            scope = body.strip()[:-1].rstrip()
+        elif found:
+            indent = body[: len(body) - len(body.lstrip())]
+            scope = scope if indent else None
+            name = f"{scope}.{found['name']}" if scope else found["name"]
+            if name in left:
+                out.append(f"{indent}{found['name']} = {shown(left.pop(name))}{line[len(body) :]}")
+                open_ = found["value"] if _open(found["value"]) else ""
+                continue
+        out.append(line)
+    return "\n".join([*out, *(f"{k} = {shown(v)}" for k, v in left.items())]) + "\n"
 
 
 def year_windows(first: dt.datetime, last: dt.datetime, auxiliary_years: float, test_years: float) -> dict[str, dt.datetime]:
@@ -127,14 +158,3 @@ def short_duration(seconds: float) -> str:
     if seconds >= 86400:
         return f"{seconds / 86400:.2f}d"
     return f"{seconds / 3600:.2f}h" if seconds >= 3600 else f"{seconds:.0f}s"
-
-
-METHODS = ("etas", "etas_thinning", "thinning_magnet")
-
-
-def methods(names: list[str] | str) -> list[str]:
-    """Known continuation methods, each once, in the given order."""
-    found = [n.strip().lower() for n in (names.split(",") if isinstance(names, str) else names)]
-    if unknown := [n for n in found if n not in METHODS]:
-        raise ValueError(f"unknown methods: {', '.join(unknown)}; known are {', '.join(METHODS)}")
-    return list(dict.fromkeys(found))
