@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -21,7 +20,7 @@ def canonical(frame) -> list[tuple]:
 
     def plain(x):
         x = x.item() if hasattr(x, "item") else x
-        return None if x is None or x != x or (isinstance(x, float) and math.isnan(x)) else x
+        return None if x is None or x is pd.NA or x != x else x
 
     rows = [tuple(plain(x) for x in r) for r in frame.itertuples(index=False)]
     return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
