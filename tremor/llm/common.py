@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,30 +11,46 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stage import released, stage_folder  # noqa: F401  released is for the operators
+
 #: Characters of text handled at a time by the Arrow operators; bounds a worker's memory.
 SLICE_CHARS = 1 << 20
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tremor-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared folder of ``spark.checkpoint.dir`` (see ``stage_folder``)."""
+    return f"{stage_folder(spark)}/step-{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    ``released`` removes the table once nothing reads it any more.
+    """
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def fresh(*stems: str) -> list[str]:
+    """Column names that no input has."""
+    tag = uuid.uuid4().hex[:12]
+    return [f"_{s}_{tag}" for s in stems]
+
+
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """``n`` keys that ``repartition(n, key)`` deals to partitions 0 to ``n`` - 1 in turn, so that no two share one."""
+    found: dict[int, int] = {}
+    span, start = 16 * n + 64, 0
+    while len(found) < n:
+        part = F.pmod(F.hash(F.col("id")), F.lit(n))
+        rows = spark.range(start, start + span).groupBy(part.alias("part")).agg(F.min("id").alias("key")).collect()  # ``n`` rows at most
+        for r in rows:
+            found.setdefault(r.part, r.key)
+        start += span
+    return [found[i] for i in range(n)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

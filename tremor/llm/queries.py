@@ -107,9 +107,36 @@ SELECT s.doc_id, len(s.g) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS
 """
 
 
+def _crc_table() -> list[int]:
+    """The table of CRC-32 for each byte."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+def _cell_sql(column: str) -> str:
+    return f"coalesce(CAST('0x' || substr(md5({column}), 1, 8) AS BIGINT) % 32, 0)"
+
+
+#: The curve, the order and the runs of equal counts; checksums byte by byte.
+SHARDS_SQL = f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+b AS (SELECT doc_id, lang, source, strlen(text) + 1 AS size, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM d),
+c AS (SELECT doc_id, lang, source, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, x: xor(a >> 8, ({_crc_table()}::BIGINT[])[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32, length(bin(least(size, 65536))) - 1 AS k FROM b),
+cells AS (SELECT doc_id, size, text_crc32, {_cell_sql('lang')} AS c0, {_cell_sql('source')} AS c1, least(31, 2 * k + CASE WHEN least(size, 65536) * least(size, 65536) >= pow(2e0, 2 * k + 1) THEN 1 ELSE 0 END) AS c2 FROM c),
+{hilbert.curve_sql(["c0", "c1", "c2"])},
+o AS (SELECT *, row_number() OVER (ORDER BY curve, size, text_crc32, doc_id) - 1 AS i, count(*) OVER () AS n FROM curve),
+s AS (SELECT *, i * 8 // n AS s FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(s AS INTEGER) AS shard, CAST(i - (s * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve FROM s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_neardup": NEARDUP_SQL}
+    return {"op4_minhash_neardup": NEARDUP_SQL, "op5_hilbert_shards": SHARDS_SQL}
