@@ -68,6 +68,21 @@ def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 40)) < share)
 
 
+def within_bytes(sample: DataFrame, key: str, most: int, column: str = "text") -> DataFrame:
+    """Rows of a bounded ``sample`` whose texts, in the order of a hash of ``key``, have at most ``most`` bytes together; whole texts only."""
+    spark = sample.sparkSession
+    rows = sample.select(key, F.octet_length(column).alias("n"), F.xxhash64(F.col(key), F.lit("bytes")).alias("h")).collect()  # the sample's rows, not its texts
+    kept, so_far = [], 0
+    for r in sorted(rows, key=lambda r: (r.h, r.n or 0)):
+        if so_far + (r.n or 0) <= most:
+            so_far += r.n or 0
+            kept.append((r[0],))
+    if len(kept) == len(rows):
+        return sample
+    ids = spark.createDataFrame(sorted(set(kept)), f"{key} {dict(sample.dtypes)[key]}")
+    return sample.join(F.broadcast(ids), key, "left_semi")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns that an operator is about to add (names compare as Spark does, caselessly)."""
     taken = {n.lower() for n in names}

@@ -7,8 +7,11 @@ file system that Spark reaches will do:
 * ``blocks``: frames of consecutive documents one after the other (``body``), the
   dictionary's hash, and the block's index: ids, frame offsets and token counts;
   ``part`` and ``block`` order them by ascending ``doc_id`` (nulls first), and
-  ``part_start`` counts the part's ids before the block;
+  ``part_start`` counts the part's ids before the block; ``first_id`` and ``last_id`` let
+  a reader skip files and row groups;
 * nothing else: a document is read from its block's row by offset.
+
+A part is a range of ids with about ``RANGE_BYTES`` of text, and a task of its own.
 """
 
 from __future__ import annotations
@@ -24,14 +27,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_text
+from .common import bounded_sample, even_keys, map_text, within_bytes
 from .wordbpe import word_bpe
 
 #: The dictionary is fitted on at most about so many documents, and has at most so many bytes.
 TRAIN_DOCS, DICTIONARY_BYTES = 2000, 64 << 10
+#: The sample's texts have at most about so many bytes; a document that would go beyond is not in the sample.
+TRAIN_BYTES = 8 << 20
 #: Frames of about so many bytes share a block.
 BLOCK_BYTES = 256 << 10
-BLOCKS = "part int, block int, part_start long, dictionary_sha256 string, doc_ids array<long>, offsets array<long>, tokens array<long>, body binary"
+#: Texts of about so many bytes are a part.
+RANGE_BYTES = 48 << 20
+BLOCKS = "part int, block int, part_start long, first_id long, last_id long, dictionary_sha256 string, doc_ids array<long>, offsets array<long>, tokens array<long>, body binary"
 
 
 def _encoded(path: str, end_id: int):
@@ -59,8 +66,8 @@ def train_dictionary(df: DataFrame, path: str, end_id: int = 2, docs: int = TRAI
         rows = _encoded(path, end_id)()
         return lambda part: pa.RecordBatch.from_arrays([pa.array([b for _, b in rows(part)], pa.binary())], ["ids"])
 
-    sample = bounded_sample(docs_in, "doc_id", docs, docs_in.count())
-    got = sorted(r[0] for r in map_text(sample, "ids binary", make).collect())  # about ``docs`` rows at most
+    sample = within_bytes(bounded_sample(docs_in, "doc_id", docs, docs_in.count()), "doc_id", TRAIN_BYTES)
+    got = sorted(r[0] for r in map_text(sample.select("doc_id", "text"), "ids binary", make).collect())  # about ``docs`` rows and ``TRAIN_BYTES`` at most
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(b) for b in got]).as_bytes() if len(got) >= 20 else b""
     except zstandard.ZstdError:
@@ -68,16 +75,23 @@ def train_dictionary(df: DataFrame, path: str, end_id: int = 2, docs: int = TRAI
 
 
 def write_store(df: DataFrame, folder: str, path: str, end_id: int = 2) -> None:
-    """Write the ids of every document of ``df`` (null text: none but the end id) to ``folder``."""
+    """Write the ids of every document of ``df`` (null text: none but the end id) to ``folder``.
+
+    Null ids come first; rows with one id follow each other in the order of their frames. An
+    empty table writes a store without blocks.
+    """
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long"), "text")
     dictionary = train_dictionary(docs, path, end_id)
     sha = hashlib.sha256(dictionary).hexdigest()
     held = spark.sparkContext.broadcast(dictionary)
     spark.createDataFrame([(sha, bytearray(dictionary))], "dictionary_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    parts = max(1, -(-size // RANGE_BYTES))
     cuts = [i / parts for i in range(1, parts)]
-    bounds = np.array(sorted(set((docs.agg(F.percentile_approx("doc_id", cuts, 100_000)).head()[0] if cuts else None) or [])), np.int64)
+    bounds = np.array(sorted(set((docs.agg(F.percentile_approx("doc_id", cuts, 100 * parts)).head()[0] if cuts else None) or [])), np.int64)
+    ranges = len(bounds) + 2  # one for null ids
+    keys = np.array(even_keys(spark, ranges), np.int64)
 
     def make():
         rows = _encoded(path, end_id)()
@@ -90,7 +104,7 @@ def write_store(df: DataFrame, folder: str, path: str, end_id: int = 2) -> None:
                 n.append(len(raw) // 4)
                 frames.append(packer.compress(raw))
             at = [-1 if d is None else int(np.searchsorted(bounds, d, side="right")) for d in docs_]
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(docs_, pa.int64()), pa.array(n, pa.int64()), pa.array(frames, pa.binary())], ["part", "doc_id", "n", "frame"])
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(keys[np.array(at, np.int64) + 1]), pa.array(docs_, pa.int64()), pa.array(n, pa.int64()), pa.array(frames, pa.binary())], ["part", "deal", "doc_id", "n", "frame"])
 
         return work
 
@@ -101,8 +115,8 @@ def write_store(df: DataFrame, folder: str, path: str, end_id: int = 2) -> None:
             offsets = [0]
             for s in sizes[:-1]:
                 offsets.append(offsets[-1] + s)
-            row = {"part": now, "block": block, "part_start": start, "dictionary_sha256": sha, "doc_ids": ids, "offsets": offsets, "tokens": tokens, "body": b"".join(body)}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("dictionary_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("body", pa.binary())]))
+            row = {"part": now, "block": block, "part_start": start, "first_id": ids[0], "last_id": ids[-1], "dictionary_sha256": sha, "doc_ids": ids, "offsets": offsets, "tokens": tokens, "body": b"".join(body)}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("dictionary_sha256", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("body", pa.binary())]))
 
         size = 0
         for batch in batches:
@@ -120,8 +134,8 @@ def write_store(df: DataFrame, folder: str, path: str, end_id: int = 2) -> None:
         if ids:
             yield full()
 
-    frames = map_text(docs, "part int, doc_id long, n long, frame binary", make)
-    dealt = frames.repartition(2 * parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
+    frames = map_text(docs, "part int, deal long, doc_id long, n long, frame binary", make)
+    dealt = frames.repartition(ranges, "deal").drop("deal").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
     dealt.mapInArrow(blocks, BLOCKS).write.option("parquet.block.size", 16 << 20).option("compression", "none").parquet(f"{folder}/blocks")
 
 
@@ -142,7 +156,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     held = spark.sparkContext.broadcast(raw)
     table = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     ends = table.groupBy("part").agg(F.max(F.col("part_start") + F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    # One row a part; there are as many parts as shuffle partitions, and one for null ids, at most.
+    # One row a part; a part has tens of megabytes.
     before = ends.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     ordered = table.join(F.broadcast(before), "part").select("dictionary_sha256", (F.col("before") + F.col("part_start")).alias("start"), "doc_ids", "offsets", "tokens", "body")
 
@@ -168,8 +182,13 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[int] | None:
-    """The ids of one document through the index; None if the store has no such document."""
-    row = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).head()
+    """The ids of one document through the index; None if the store has no such document.
+
+    Of several documents with the id, the first in the store's order. Files and row groups
+    whose ids end before or start after it are skipped.
+    """
+    near = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").filter((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id))
+    row = near.filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).orderBy("part", "block").head()
     if row is None:
         return None
     i, ends = row.doc_ids.index(doc_id), [*row.offsets[1:], len(row.body)]
