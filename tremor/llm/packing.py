@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, map_text, without
+from .common import cut, fresh, map_text, without
 from .wordbpe import word_bpe
 
-#: Pieces of one length are ranked in so many groups, so that a frequent length is no single task.
-RANK_GROUPS = 64
+#: Pieces of one length are ranked in at least so many groups, and in groups of at most about so many pieces.
+RANK_GROUPS, GROUP_ROWS = 64, 200_000
 
 
 class Plan:
@@ -159,32 +159,39 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; ``length`` is between 1 and ``capacity``.
 
-    Reads ``pieces`` twice, so pass a written table. Equal rows get places of their own.
+    A piece of the whole capacity is a sequence alone, with a negative number, and needs no
+    rank. Reads ``pieces`` three times, so pass a written table. Equal rows get places of
+    their own; columns named ``sequence_id`` and ``offset`` are replaced, others are kept.
     """
     spark = pieces.sparkSession
-    key = [F.col(c) for c in pieces.columns if c in ("doc_id", "piece")] or [F.col("length")]
-    grouped = without(pieces, "sequence_id", "offset", "_group", "_rank", "_before").withColumn("_group", F.pmod(F.xxhash64(*key), F.lit(RANK_GROUPS)))
-    counts = grouped.groupBy("length", "_group").agg(F.count(F.lit(1)).alias("_n"))
-    sums = [tuple(r) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()]  # at most ``capacity`` rows
-    plan = Plan({int(n): int(c) for n, c in sums}, capacity)
-    rows = np.array(sorted(plan.rows), np.int64).reshape(-1, 5)
-    held = spark.sparkContext.broadcast(rows)
-    before = counts.select("length", "_group", (F.sum("_n").over(W.partitionBy("length").orderBy("_group")) - F.col("_n")).alias("_before"))
-    ranked = grouped.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_group").orderBy(*key)) - 1)
-    ranked = ranked.join(before, ["length", "_group"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    names = [c for c in grouped.columns if c != "_group"]
+    group, rank, before, n = fresh("group", "rank", "before", "n")
+    rows = without(pieces, "sequence_id", "offset")
+    key = [F.col(c) for c in rows.columns if c in ("doc_id", "piece")] or [F.col("length")]
+    whole = rows.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rows = rows.filter(F.col("length").isNull() | (F.col("length") != capacity))
+    sums = {int(r.length): int(r.n) for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
+    groups = max(RANK_GROUPS, -(-max(sums.values(), default=0) // GROUP_ROWS))
+    grouped = rows.withColumn(group, F.pmod(F.xxhash64(*key), F.lit(groups)))
+    counts = grouped.groupBy("length", group).agg(F.count(F.lit(1)).alias(n))
+    plan = Plan(sums, capacity)
+    placed = np.array(sorted(plan.rows), np.int64).reshape(-1, 5)
+    held = spark.sparkContext.broadcast(placed)
+    starts = counts.select("length", group, (F.sum(n).over(W.partitionBy("length").orderBy(group)) - F.col(n)).alias(before))
+    ranked = grouped.withColumn(rank, F.row_number().over(W.partitionBy("length", group).orderBy(*key)) - 1)
+    ranked = ranked.join(starts, ["length", group]).withColumn(rank, (F.col(rank) + F.col(before)).cast("long"))
+    names = rows.columns
 
     def place(batches):
         table = held.value
         at = table[:, 0] << 40 | table[:, 1]
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
-            row = table[np.searchsorted(at, length.astype(np.int64) << 40 | rank, side="right") - 1] if len(table) else np.zeros((0, 5), np.int64)
-            cols = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], [*names, "sequence_id", "offset"])
+            length, own = batch.column("length").to_numpy(), batch.column(rank).to_numpy()
+            row = table[np.searchsorted(at, length.astype(np.int64) << 40 | own, side="right") - 1] if len(table) else np.zeros((0, 5), np.int64)
+            cols = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(row[:, 3] + own - row[:, 1]), pa.array(row[:, 4])], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in grouped.select(*names).dtypes)
-    return ranked.select(*names, F.col("_rank").cast("long").alias("_rank")).mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    return ranked.select(*[F.col(f"`{c}`") for c in names], rank).mapInArrow(place, f"{schema}, sequence_id long, offset long").unionByName(whole)
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
