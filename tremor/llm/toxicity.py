@@ -25,11 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, flat_text, map_text, without, words_of
+from .common import bounded_sample, cut, flat_text, map_text, released, within_bytes, without, words_of
 from .neardup import mixed
 
 #: At most about so many labelled rows of each class are learnt from.
 TRAIN_DOCS = 800
+#: Their texts have at most about so many bytes; a document that would go beyond is not learnt from.
+TRAIN_BYTES = 6 << 20
 #: Least likelihood ratio of a feature, and of one that labels tokens; least ratio of its rates.
 FEATURE_LLR, LABEL_LLR, LABEL_RATIO = 10.8, 30.0, 8.0
 #: Steps and tokens of a sequence in training.
@@ -276,6 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> Field:
     """From ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic): about ``rows`` rows of each class at most.
 
     Rows with a null id, label or text teach nothing; an id with several labels is toxic if one is.
+    Equal rows count once.
     """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -284,7 +287,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> Field:
         part = bounded_sample(known.filter(F.col("toxic") == y), "doc_id", rows, counts.get(y, 0))
         sample = part if sample is None else sample.union(part)
     # About 2 * ``rows`` ids, whatever the size of the tables.
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    rows_ = cut(rows_, "labelled")
+    got = within_bytes(rows_, "doc_id", TRAIN_BYTES).select("doc_id", "text", "toxic").collect()  # ``TRAIN_BYTES`` at most
+    released(rows_)
     got = sorted({(r.doc_id, r.text, r.toxic) for r in got})
     drawn = [max(1, sum(r[2] == y for r in got)) for y in (0, 1)]
     return fit([r[1] for r in got], [r[2] for r in got], tuple(counts.get(y, 0) / drawn[y] for y in (0, 1)))
@@ -325,5 +331,5 @@ def score(df: DataFrame, field: Field) -> DataFrame:
 
 
 def keep_clean(df: DataFrame, field: Field) -> DataFrame:
-    """Rows of ``df`` that are not predicted toxic."""
+    """Rows of ``df`` that are not predicted toxic, as they are: null ids and repeated rows too, null and empty texts by the score of length 0."""
     return score(df, field).filter("predicted = 0").select(*[F.col(f"`{c}`") for c in df.columns])
