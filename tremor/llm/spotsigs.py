@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, map_text, text_slices
+from .common import cut, even_keys, map_text, text_slices
 
 #: Common words of English, French, German and Spanish, which open chains and are not content.
 ANCHORS = frozenset(
@@ -34,6 +34,8 @@ ANCHORS = frozenset(
 CHAIN, STEP = 2, 1
 #: Near pairs of documents.
 NEAR = 0.8
+#: Texts of about so many bytes are a range of ids, and a task, of their own.
+RANGE_BYTES = 32 << 20
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -100,11 +102,13 @@ def with_next(df: DataFrame, out: str, step) -> DataFrame:
     """
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [i / (4 * parts) for i in range(1, 4 * parts)]
-    stats = docs.agg(F.percentile_approx("doc_id", cuts, 100_000).alias("at"), F.min("doc_id").alias("lo"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).head()
+    parts = max(1, -(-docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0] // RANGE_BYTES))
+    parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = [i / parts for i in range(1, parts)] or [0.5]
+    stats = docs.agg(F.percentile_approx("doc_id", cuts, 100 * parts).alias("at"), F.min("doc_id").alias("lo"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).head()
     bounds = sorted({b for b in stats.at or [] if b != stats.lo})
     cells, last = np.array(bounds, np.int64), len(bounds)
+    keys = F.array(*[F.lit(k) for k in even_keys(spark, last + 1)])
 
     @F.pandas_udf("long")
     def place(ids: pd.Series) -> pd.Series:
@@ -119,7 +123,7 @@ def with_next(df: DataFrame, out: str, step) -> DataFrame:
     opens = F.col("doc_id").isNull() if stats.nulls else F.col("doc_id") == F.lit(stats.lo)
     spots = F.array(spot(at, 0), F.when(F.col("_at") % 2 == 1, spot(at - 1, 1)), F.when(opens, spot(F.lit(last), 2)))
     dealt = docs.withColumn("_at", place(F.coalesce("doc_id", F.lit(-(1 << 63))))).select("doc_id", "text", F.explode(F.array_compact(spots)).alias("_s")).select("doc_id", "text", "_s.part", "_s.extra")
-    dealt = dealt.repartition(2 * parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    dealt = dealt.withColumn("deal", F.get(keys, F.col("part"))).repartition(last + 1, "deal").drop("deal").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, done, state, rows = None, None, {}, []
@@ -144,7 +148,8 @@ def with_next(df: DataFrame, out: str, step) -> DataFrame:
 def fingerprints(df: DataFrame) -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures) of every row.
 
-    A null text counts as empty; a single row is its own next one.
+    A null text counts as empty; a single row is its own next one. A repeated row is a row
+    of its own: the first of two equal rows has the second as its next one.
     """
 
     def step(doc, text, following, state) -> dict:
