@@ -27,8 +27,8 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ODD = "[^\\x00-\u012f\u0131-\u024f]|<\\|"
 MARK = "([a-z0-9\u00e0-\u00f6\u00f8-\u00ff])([.,]) "
 
-#: Chunks kept by a worker before its store starts anew; bounds its memory.
-KEPT = 400_000
+#: Chunks kept by a worker before its store starts anew, and the longest of them in characters; both bound its memory.
+KEPT, KEPT_CHARS = 400_000, 256
 
 
 class WordBpe:
@@ -73,7 +73,7 @@ class WordBpe:
             by_word[w] = raw[a:b]
             a = b
         out = [by_word[ws[0]] if len(ws) == 1 else b"".join([by_word[w] for w in ws]) for ws in found]
-        self.kept.update(zip(chunks, out))
+        self.kept.update((c, ids) for c, ids in zip(chunks, out) if len(c) <= KEPT_CHARS)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

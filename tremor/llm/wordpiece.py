@@ -25,8 +25,8 @@ from .wordbpe import PRINTABLE
 
 #: Ends a word; vocabulary entries for the end of a word carry it last.
 END = "\0"
-#: Words whose counts a worker keeps.
-KEPT = 400_000
+#: Chunks whose counts a worker keeps, and the longest of them in characters; both bound its memory.
+KEPT, KEPT_CHARS = 400_000, 256
 
 
 class LongestMatch:
@@ -114,13 +114,15 @@ def _counter(path: str) -> Callable[[str], tuple[int, int, int]]:
     kept: dict[str, tuple[int, int, int]] = {}
 
     def of(chunk: str) -> tuple[int, int, int]:
-        if chunk not in kept:
-            if len(kept) > KEPT:
-                kept.clear()
+        if (found := kept.get(chunk)) is None:
             words = cuts.findall(chunk)
             pieces = sum(automaton.count(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(chars) + END) for w in words)
-            kept[chunk] = len(words), pieces, max(map(len, words), default=0)
-        return kept[chunk]
+            found = len(words), pieces, max(map(len, words), default=0)
+            if len(chunk) <= KEPT_CHARS:
+                if len(kept) > KEPT:
+                    kept.clear()
+                kept[chunk] = found
+        return found
 
     return of
 
@@ -129,7 +131,8 @@ def count_tokens(df: DataFrame, path: str) -> DataFrame:
     """Rows (doc_id, n_words, n_tokens, longest_word) of every row of ``df`` (doc_id, text).
 
     Words are runs of letters, single digits, or runs of other marks, in lower case; null
-    and blank texts have none.
+    and blank texts have none. Each row counts for itself, repeated rows and null ids too;
+    the longest match is unique, so there are no ties.
     """
 
     def make():
