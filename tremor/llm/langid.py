@@ -208,6 +208,9 @@ def identify(df: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def keep_known_languages(df: DataFrame, profiles: Profiles) -> DataFrame:
-    """Rows of ``df`` in a learnt language: with letters, and no farther than the reject distance from the nearest profile."""
+    """Rows of ``df`` in a learnt language: with letters, and no farther than the reject distance from the nearest profile.
+
+    Rows are kept as they are, repeated ones and null ids too; null and empty texts have no letters and go.
+    """
     found = identify(df, profiles).filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_distance") <= profiles.foreign))
     return found.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -227,7 +227,11 @@ def _pieces(dealt: DataFrame, model: Model, eighths: int) -> dict[tuple[int, obj
 
 
 def learn(turns: DataFrame, eighths: int = BARE_EIGHTHS) -> Model:
-    """From turns (conv_id, turn, role, text) of all conversations given; others than ``ROLES`` teach nothing."""
+    """From turns (conv_id, turn, role, text) of all conversations given; others than ``ROLES`` teach nothing.
+
+    Null texts count as one empty line, repeated rows as turns of their own, turns of a null
+    conversation as one conversation; without turns, all states are equally likely.
+    """
     k = 2 * len(ROLES)
 
     def count(batches):
