@@ -29,26 +29,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, flat_text, map_text, text_slices, words_of
+from .common import cut, flat_text, fresh, map_text, released, text_slices, words_of
 
 #: Words of a shingle; links have 100 * intersection >= percent * union, with this percent where none is given.
 WIDTH, PERCENT = 5, 85
 #: Values that may differ in a chunk, bits of a value, and most keys of a signature.
 ERRORS, VALUE_BITS, MOST_KEYS = 1, 16, 96
-#: Most probability that two sets that link share no key, or that their lowest bits differ in more than the limit.
-MISS, BIT_MISS = 3e-7, 1e-10
+#: Most probability that two sets that link share no key.
+MISS = 3e-7
 #: Stars around different members before pairs are compared one by one.
 STARS = 2
+#: Documents of one set from which on they are joined apart: a thousand at least, and so many that there are at most ``HOT_SETS`` such sets.
+HOT, HOT_SETS = 1000, 100_000
+#: Sets with one shingle that are compared in a task: more are cut into blocks, and blocks compared in pairs.
+BLOCK = 2000
 
 
 @dataclass(frozen=True)
 class Layout:
-    """The signature and its index for one threshold; ``bit_limit``: lowest bits in which signatures may differ."""
+    """The signature and its index for one threshold."""
 
     percent: int
     chunks: int
     slots: int
-    bit_limit: int
 
     @property
     def size(self) -> int:
@@ -66,12 +69,7 @@ def layout(percent: int = PERCENT) -> Layout:
         chunks = max(1, math.ceil(math.log(MISS) / math.log(miss))) if miss > 0 else 1
         if chunks * slots <= MOST_KEYS:
             found = chunks, slots
-    n, p = found[0] * found[1], (1 - t) / 2
-    tail, limit = 1.0, -1
-    while tail >= BIT_MISS:
-        limit += 1
-        tail = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(limit + 1, n + 1))
-    return Layout(percent, *found, limit)
+    return Layout(percent, *found)
 
 
 def _odd(random: np.random.Generator, n: int) -> np.ndarray:
@@ -136,28 +134,22 @@ def index_keys(values: np.ndarray, lay: Layout = layout()) -> np.ndarray:
 
 
 def _sets_and_keys(docs: DataFrame, lay: Layout) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, set_id, keys) of rows (doc_id, text, text_hash)."""
+
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             sets = shingle_sets(part.column("text"))
             full = [i for i, s in enumerate(sets) if len(s)]
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            keys = np.zeros((0, lay.size), np.uint64)
-            bits = np.zeros((0, 2), np.int64)
-            if full:
-                values = signatures([sets[i] for i in full], lay)
-                keys, low = index_keys(values, lay), np.zeros((len(values), 128), np.uint8)
-                low[:, : values.shape[1]] = values & np.uint64(1)
-                bits = np.packbits(low, axis=1).view(np.int64)
+            keys = index_keys(signatures([sets[i] for i in full], lay), lay) if full else np.zeros((0, lay.size), np.uint64)
             counts = np.zeros(len(sets), np.int64)
             counts[full] = 1
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts * lay.size))), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-            both = np.zeros((len(sets), 2), np.int64)
-            both[full] = bits
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), lists, pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "n_shingles", "set_id", "keys", "bits1", "bits2"])
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), lists], ["doc_id", "text_hash", "n_shingles", "set_id", "keys"])
 
         return work
 
-    return map_text(docs, "doc_id long, n_shingles long, set_id binary, keys array<long>, bits1 long, bits2 long", make)
+    return map_text(docs, "doc_id long, text_hash long, n_shingles long, set_id binary, keys array<long>", make)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +192,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = cut(small.filter("u != v").distinct(), "edges")
+        old, now = now, cut(small.filter("u != v").distinct(), "edges")
+        released(old)
         after = size(now)
         if after == before:
             break
@@ -208,46 +201,78 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
-def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept) of every row of ``df`` (doc_id, text).
+def _linked(df: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component, least) of every row: ``component`` is the number of a group of
+    linked sets (null without words or id), ``least`` the smallest (doc_id, text_hash) in it.
 
-    Documents link whose shingles' intersection has at least ``percent`` hundredths of their union.
-    A document without words is alone. Rows that share an id count as one document. A
-    null id links with nothing: its component is null, and it is kept.
+    Rows with one set are one class, with a number of its own, so rows that share an id are
+    not mixed up.
     """
-    lay, docs = layout(percent), df.select(F.col("doc_id").cast("long"), "text")
+    lay = layout(percent)
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     base = cut(_sets_and_keys(docs, lay), "sets")
-    classes = base.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = base.join(classes.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"]).dropDuplicates(["doc_id", "set_id"])
-    reps = reps.select(F.col("doc_id").alias("id"), "n_shingles", "bits1", "bits2", F.explode("keys").alias("key"))
-    by_key = W.partitionBy("key")
-    # A key's rows are at most one in ``lay.size`` of all, even if all classes share it.
-    shared = reps.select("id", "n_shingles", "bits1", "bits2", "key").withColumns({"first": F.min("id").over(by_key), "last": F.max("id").over(by_key)})
-    shared = cut(shared.filter("first != last").drop("last"), "shared")
-    texts = cut(docs.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumnRenamed("doc_id", "id"), "texts")
+    own = F.struct("doc_id", "text_hash")
+    grouped = base.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("n"))
+    classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    leaders = classes.select(F.col("own.doc_id").alias("doc_id"), F.col("own.text_hash").alias("text_hash"), "id")
+    reps = base.filter("set_id IS NOT NULL").join(leaders, ["doc_id", "text_hash"]).dropDuplicates(["id"])
+    reps = reps.select("id", F.explode("keys").alias("key"))
+    # Partial sums come before the shuffle by key, and a frequent key's rows are split by the join.
+    common = reps.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first != last").drop("last")
+    shared = cut(reps.join(common, "key"), "shared")
+    names = cut(shared.select("id").distinct().join(leaders, "id"), "names")
+    texts = docs.join(names, ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"])
+    sizes = base.select("doc_id", "text_hash", "n_shingles").join(names, ["doc_id", "text_hash"]).select("id", "n_shingles").dropDuplicates(["id"])
+    texts = cut(texts.join(sizes, "id"), "texts")
     tested = cut(shared.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     edges = cut(_confirmed(tested, texts, percent), "links")
-    comps = components(edges)
-    open_keys = lambda comps: _open(shared, comps)
-    left = cut(open_keys(comps), "open")
+    comps, gone = components(edges), []
+    left = cut(_open(shared, comps), "open")
     for turn in range(1, STARS):
         if left.isEmpty():
             break
         middle = F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn)))
         stars = left.join(left.groupBy("key").agg(middle.alias("m")), "key").filter("m.component != component").select(F.least("m.id", "id").alias("a"), F.greatest("m.id", "id").alias("b")).distinct()
-        fresh = cut(stars.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested, edges = tested.union(fresh), edges.union(cut(_confirmed(fresh, texts, percent), "links"))
+        fresh_pairs = cut(stars.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested, edges, gone = tested.union(fresh_pairs), edges.union(cut(_confirmed(fresh_pairs, texts, percent), "links")), [*gone, comps, left]
         comps = components(edges)
-        left = cut(open_keys(comps), "open")
-    left = _linkable(left, texts, percent)
+        left = cut(_open(shared, comps), "open")
+    open_rows = left
+    left = _linkable(left.join(texts.select("id", "n_shingles"), "id"), texts, percent)
     if not left.isEmpty():
-        fresh = cut(_close_pairs(left, texts, lay).join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges = edges.union(cut(_confirmed(fresh, texts, percent), "links"))
+        fresh_pairs = cut(_close_pairs(left, texts, lay).join(tested, ["a", "b"], "left_anti"), "pairs")
+        edges, gone = edges.union(cut(_confirmed(fresh_pairs, texts, percent), "links")), [*gone, comps]
         comps = components(edges)
-    found = base.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
-    found = found.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    groups = classes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = groups.groupBy("component").agg(F.min("own").alias("least"))
+    groups = cut(groups.join(least, "component").select("set_id", "n", "component", "least"), "groups")
+    released(shared, names, texts, tested, edges, comps, left, open_rows, *gone)
+    return _per_document(base.drop("keys"), groups)
+
+
+def _per_document(base: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each row of ``base`` with its set's group.
+
+    Sets of many documents, of which there are few, are broadcast, so their rows stay where they are.
+    """
+    hot = max(HOT, -(-base.count() // HOT_SETS))
+    often = F.broadcast(groups.filter(F.col("n") >= hot).drop("n"))
+    rare = groups.filter(F.col("n") < hot).drop("n")
+    placed = base.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
+    rest = base.filter("set_id IS NULL OR doc_id IS NULL").withColumns({"component": F.lit(None).cast("long"), "least": F.lit(None).cast(groups.schema["least"].dataType)})
+    found = placed.join(often, "set_id").unionByName(placed.join(often, "set_id", "left_anti").join(rare, "set_id"))
+    return found.unionByName(rest).select("doc_id", "text_hash", "n_shingles", "component", "least")
+
+
+def near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept) of every row of ``df`` (doc_id, text).
+
+    Documents link whose shingles' intersection has at least ``percent`` hundredths of their union.
+    ``component_id`` is the smallest id that a row's text reaches. A document without words is
+    alone. A null id links with nothing: its component is null, and it is kept. Repeated rows have equal results.
+    """
+    component = F.coalesce(F.col("least.doc_id"), F.col("doc_id"))
+    return _linked(df, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _shingles_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
@@ -264,16 +289,17 @@ def _shingles_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _close_pairs(left: DataFrame, texts: DataFrame, lay: Layout) -> DataFrame:
-    """Pairs (a, b) of ids under open keys, of different components, that sizes, bits and rarest shingles allow to link.
+    """Pairs (a, b) of ids under open keys, of different components, that sizes and rarest shingles allow to link.
 
     In the order of how many sets have a shingle, two sets that link share one of the
     first n - o + 1 of each, where o is the least intersection that links them. With the
     larger set's size at least the smaller's, o is 2t/(1+t) of the smaller set and t of
     the larger at least (t: the threshold). Of two equal sizes, the set with the rarer
-    shingles counts as the smaller.
+    shingles counts as the smaller. Sets of a frequent shingle are cut into blocks, and each
+    pair of blocks meets apart.
     """
     percent = lay.percent
-    ids = left.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n_shingles", "bits1", "bits2", "component", "alone")])
+    ids = left.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n_shingles", "component", "alone")])
     each = _shingles_of(ids, texts)
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     rows = each.join(often, "shingle").join(ids, "id")
@@ -281,16 +307,19 @@ def _close_pairs(left: DataFrame, texts: DataFrame, lay: Layout) -> DataFrame:
     rows = rows.withColumn("place", F.col("alone") + F.row_number().over(W.partitionBy("id").orderBy("often", "shingle")))
     rows = rows.withColumn("long", n - F.expr(f"({percent} * n_shingles + 99) div 100") + 1).filter(F.col("place") <= F.col("long"))
     rows = rows.withColumn("short", n - F.expr(f"({2 * percent} * n_shingles + {99 + percent}) div {100 + percent}") + 1)
-    rows = cut(rows.withColumn("weight", F.sum(F.when(F.col("place") <= F.col("short"), F.col("often"))).over(W.partitionBy("id"))).drop("often", "long"), "rarest")
-    a, b = rows.filter("place <= short").alias("a"), rows.alias("b")
+    rows = rows.withColumn("weight", F.sum(F.when(F.col("place") <= F.col("short"), F.col("often"))).over(W.partitionBy("id"))).drop("long")
+    blocks = F.ceil(F.col("often") / F.lit(BLOCK)).cast("int")
+    rows = cut(rows.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")}).drop("often"), "rarest")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = rows.filter("place <= short").withColumnRenamed("own", "i").withColumn("j", every).alias("a")
+    b = rows.withColumnRenamed("own", "j").withColumn("i", every).alias("b")
     order = lambda x: F.struct(f"{x}.n_shingles", f"{x}.weight", f"{x}.id")
-    differ = F.bit_count(F.col("a.bits1").bitwiseXOR(F.col("b.bits1"))) + F.bit_count(F.col("a.bits2").bitwiseXOR(F.col("b.bits2")))
     # The intersection has none of the shingles that one of the sets has alone.
     common = F.least(F.col("a.n_shingles") - F.col("a.alone"), F.col("b.n_shingles") - F.col("b.alone"))
     near = (F.col("a.component") != F.col("b.component")) & (order("a") < order("b")) & (100 * F.col("a.n_shingles") >= percent * F.col("b.n_shingles"))
-    near = near & (differ <= lay.bit_limit) & (100 * common >= percent * (F.col("a.n_shingles") + F.col("b.n_shingles") - common))
-    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & near)
-    return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    near = near & (100 * common >= percent * (F.col("a.n_shingles") + F.col("b.n_shingles") - common))
+    same = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    return a.join(b, same & near).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def _linkable(left: DataFrame, texts: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
@@ -326,9 +355,19 @@ def _open(shared: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(df: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row of each group of near duplicates: the one with the smallest id (of repeated rows, one)."""
-    kept = near_duplicates(df, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rows = df.join(kept, "doc_id", "left_semi")
-    order = W.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in df.columns if c == "text"] or [F.col("doc_id")])
-    rows = rows.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
-    return rows.unionByName(df.filter("doc_id IS NULL"))
+    """One row of each group of near duplicates: the one with the smallest id, with the columns of ``df``.
+
+    Rows that share an id but not their text are documents of their own; of rows with equal id
+    and text that link, one stays. Rows without an id stay, and so do rows without words,
+    which link with nothing.
+    """
+    h, d = fresh("hash", "doc")
+    found = cut(_linked(df, percent).filter("doc_id IS NOT NULL"), "groups")
+    first = found.filter("component IS NOT NULL AND doc_id = least.doc_id AND text_hash = least.text_hash").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    plain = found.filter("component IS NULL").select("doc_id", "text_hash", F.lit(1).cast("long").alias("n")).distinct()
+    kept = cut(first.unionByName(plain).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), "n"), "kept")
+    same = (F.col("doc_id").cast("long") == F.col(d)) & (F.xxhash64("text") == F.col(h))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    once = df.join(kept.filter("n = 1").drop("n"), same, "left_semi")
+    again = df.join(kept.filter("n > 1").drop("n"), same).dropDuplicates([d, h]).select(*columns)
+    return once.unionByName(again).unionByName(df.filter("doc_id IS NULL"))
