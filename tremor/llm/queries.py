@@ -67,7 +67,7 @@ def op8_zstd_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_seed_align_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of benchmark items in documents."""
     docs = table(spark, sf_dir, "documents")
-    return decontam.copies(docs, decontam.benchmark_blocks(docs, table(spark, sf_dir, "benchmark")))
+    return decontam.copies(docs, decontam.benchmark_items(table(spark, sf_dir, "benchmark")))
 
 
 def op10_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
