@@ -92,6 +92,28 @@ def test_neardup(spark, odd, empty):
     assert ids == [1, 3, 4, 5, 6, 7, 8, 9, None]
 
 
+def test_neardup_keeps_documents_that_share_an_id(spark):
+    """Two texts under one id are two documents; repeats and copies under other ids go; any column names do."""
+    words = [f"w{i} x{i * 7 % 13}" for i in range(60)]
+    one, two = " ".join(words[:30]), " ".join(words[30:])
+    rows = [(5, one, "a"), (5, two, "b"), (5, two, "b"), (7, one, "c"), (8, two.upper(), "d"), (9, "other words here", "e"), (None, one, "f"), (None, one, "f"), (6, None, "g"), (6, None, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string").withColumns({n: F.lit("own") for n in ("component", "n", "least", "Id")})
+    kept = neardup.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text, r._row) for r in kept.collect()), key=str)
+    want = [(5, one, "a"), (5, two, "b"), (9, "other words here", "e"), (None, one, "f"), (None, one, "f"), (6, None, "g"), (6, None, "g")]
+    assert got == sorted(want, key=str)
+
+
+def test_stages_keep_odd_rows(spark, odd):
+    """Each filtering stage returns rows of its input as they are, the clean ones all of them."""
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nothing of this is anywhere in any of these texts at all")], "item_id long, text string")
+    more = clash(odd, "_row", "component", "n", "text_hash", "_contaminated")
+    for out in (toxicity.keep_clean(more, toxicity.learn(more, labels)), decontam.drop_contaminated(more, decontam.benchmark_items(bench))):
+        assert out.columns == more.columns and out.exceptAll(more).isEmpty() and more.exceptAll(out).isEmpty()
+
+
 def test_hilbert(spark, odd, empty):
     got = hilbert.shard_documents(clash(odd, "shard", "curve"), 8).collect()
     sizes = {}
@@ -100,9 +122,22 @@ def test_hilbert(spark, odd, empty):
     assert sum(map(len, sizes.values())) == len(ODD) and all(sorted(s) == list(range(len(s))) for s in sizes.values())
     assert {r.size for r in got if r.doc_id in (3, 4)} == {1} and {r.text_crc32 for r in got if r.doc_id in (3, 4)} == {0}
     assert hilbert.shard_documents(empty).count() == 0
-    folder = new_folder(spark, "shards")
-    hilbert.write_shards(odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), folder, 4)
-    assert spark.read.parquet(folder).count() == 9
+    for df in (odd, clash(odd, "Shard", "_x", "_at"), empty):
+        folder = new_folder(spark, "shards")
+        name = hilbert.write_shards(df, folder, 4)
+        back = spark.read.parquet(folder) if df is not empty else df.withColumn(name, F.lit(0))
+        assert name == ("shard_1" if "Shard" in df.columns else "shard")
+        plain = back.select(*df.columns)
+        assert plain.exceptAll(df).isEmpty() and df.exceptAll(plain).isEmpty()
+
+
+def test_cells():
+    """Cells of sizes change at the powers of the root of 2."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    got = [r[0] for r in spark.createDataFrame([(None,), (0,), (1,), (2,), (3,), (4,), (5,), (6,), (8,), (1 << 40,)], "v long").select(hilbert.by_log(F.col("v"))).collect()]
+    assert got == [0, 0, 0, 2, 3, 4, 4, 5, 6, 31]
 
 
 def test_packing(spark, odd, empty):
@@ -118,6 +153,9 @@ def test_packing(spark, odd, empty):
         assert end <= 2048
     assert {r.length for r in got if r.doc_id in (3, 4, 5)} == {1} and len([r for r in got if r.doc_id == 1]) == 2
     assert packing.pack_documents(empty, PATH).count() == 0
+    full = spark.createDataFrame([(1, 2048)] * 5 + [(2, 100)] * 3 + [(3, 1948)] * 3, "_rank long, length long").withColumn("_group", F.lit("own"))
+    placed = packing.pack(full).collect()
+    assert {r._group for r in placed} == {"own"} and len({r.sequence_id for r in placed if r.length == 2048}) == 5 and len({r.sequence_id for r in placed}) == 8
 
 
 def test_wordpiece(spark, odd, empty):
@@ -149,13 +187,13 @@ def test_idstore(spark, odd, empty):
 
 def test_decontam(spark, odd, empty):
     bench = spark.createDataFrame([(1, "the cat sat on the mat and the dog ran away"), (2, None), (3, ""), (4, "two words"), (None, "many words in one very long text of some thousand words"), (1, "the cat sat on the mat and the dog ran away")], "item_id long, text string")
-    blocks = decontam.benchmark_blocks(odd, bench)
+    blocks = decontam.benchmark_items(bench)
     got = decontam.copies(clash(odd, "item_id", "score"), blocks).collect()
     assert {r.doc_id for r in got} == {1, 2, 6} and all(r.begin == 0 for r in got if r.doc_id != 6)
     kept = decontam.drop_contaminated(odd, blocks)
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 4
-    assert decontam.copies(odd, decontam.benchmark_blocks(odd, bench.limit(0))).count() == 0
-    assert decontam.copies(empty, decontam.benchmark_blocks(empty, bench)).count() == 0
+    assert decontam.copies(odd, decontam.benchmark_items(bench.limit(0))).count() == 0
+    assert decontam.copies(empty, decontam.benchmark_items(bench)).count() == 0
 
 
 def test_toxicity(spark, odd, empty):

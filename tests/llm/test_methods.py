@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import MIDDLE
 from tests.helpers import canonical, duck
-from tremor.llm import decontam, hilbert, langid, neardup, packing, queries, spotsigs, toxicity, transcripts, wordbpe, wordpiece
-from tremor.llm.common import text_slices, words_of
+from tremor.llm import common, decontam, hilbert, idstore, langid, neardup, packing, queries, spotsigs, toxicity, transcripts, wordbpe, wordpiece
+from tremor.llm.common import new_folder, text_slices, words_of
 
 PATH = public_tokenizers.path(queries.VOCABULARY)
 
@@ -236,6 +236,28 @@ def test_curve_steps_to_neighbours(spark):
             assert sum(abs(a[i] - b[i]) for i in range(n)) == 1
 
 
+def test_shards_are_the_sql(spark):
+    from tests.conftest import SMALL
+    from tests.helpers import canonical, duck
+    from tremor.llm import queries as text
+
+    got = text.op5_hilbert_shards(spark, SMALL).toPandas()
+    assert canonical(got) == canonical(duck(SMALL).sql(text.SHARDS_SQL).df())
+
+
+def test_keys_are_dealt_evenly(spark):
+    keys = common.even_keys(spark, 37)
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(37, "k").select(F.spark_partition_id().alias("p"), "k")
+    assert {r.k: r.p for r in df.collect()} == {k: i for i, k in enumerate(keys)}
+
+
+def test_store_reads_few_blocks(spark, documents):
+    folder = new_folder(spark, "ids")
+    idstore.write_store(documents, folder, PATH, 2)
+    plan = spark.read.schema(idstore.BLOCKS).parquet(f"{folder}/blocks").filter("first_id <= 7 AND last_id >= 7")._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(first_id,7)" in plan and "GreaterThanOrEqual(last_id,7)" in plan
+
+
 def test_shards_are_even_runs(spark, rows):
     got = queries.op5_hilbert_shards(spark, MIDDLE).toPandas()
     counts = got.groupby("shard").size()
@@ -386,20 +408,62 @@ def test_edited_copies_are_found_and_clean_text_is_not(spark):
             body[at:at] = [w.capitalize() + ("," if k % 9 == 8 else "") for k, w in enumerate(passage)]
         docs.append((i, " ".join(body)))
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.copies(d, decontam.benchmark_blocks(d, b)).collect()
+    got = decontam.copies(d, decontam.benchmark_items(b)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i % 30) for i in range(90)}
     for r in got:
         if r.doc_id < 60:
             assert re.sub(r"\W+", " ", docs[r.doc_id][1][r.begin : r.end].lower()).split() == items[r.item_id][1].split()
 
 
+def test_every_copy_of_the_small_tables_is_found(spark, rows):
+    """All documents against all items, aligned whole: the join misses none, and finds no more."""
+    from tests.conftest import SMALL
+
+    docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id) for r in decontam.copies(docs, decontam.benchmark_items(bench)).collect()}
+    texts, items = docs.select("doc_id", "text").collect(), bench.select("item_id", "text").collect()
+    numbers: dict[str, int] = {}
+    words = lambda t: np.array([numbers.setdefault(c, len(numbers)) for c in (decontam.core(m) for m in (t or "").split()) if c], np.int64)
+    own = [(r.item_id, words(r.text)) for r in items]
+    want = set()
+    for d in texts:
+        ids = words(d.text)
+        for name, item in own:
+            if len(item) >= decontam.SEED and len(np.intersect1d(item, ids)) >= 0.4 * len(set(item.tolist())):
+                _, matches, columns, _, _ = decontam.align(item, ids)
+                if matches >= decontam.IDENTITY * columns and (matches >= decontam.COVERAGE * len(item) or matches >= decontam.MATCHED):
+                    want.add((d.doc_id, name))
+    assert got == want and want
+
+
+def test_common_runs_are_no_seeds(spark):
+    """A phrase with many neighbours is no seed where its item has others; a leaked run is, however often it occurs."""
+    rows = [("t", 1, 0, i) for i in range(50)] + [("t", 2, 0, 7)] * 1000 + [("t", 2, 0, i) for i in range(30)] + [("t", 3, 0, i) for i in range(50)]
+    seen = spark.createDataFrame(rows, "text_hash string, run long, at int, around long")
+    items = spark.createDataFrame([(1, 0, 0, 0), (2, 0, 0, 1), (3, 1, 0, 0)], "run long, item long, segment int, place int")
+    assert {(r.run, r.item) for r in decontam.rare_runs(seen, items).collect()} == {(2, 0), (3, 1)}
+
+
+def test_long_and_short_items(spark):
+    """An item of several segments is one copy; segments in unrelated places are none; short items need an equal text."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(4000)]
+    long = [rng.choice(words) for _ in range(700)]
+    other = [rng.choice(words) for _ in range(400)]
+    docs = [(1, " ".join(other[:200] + long + other[200:])), (2, " ".join(long[:20] + other + long[300:309])), (3, "two words"), (4, "two words more"), (5, " ".join(long[100:500]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(10, " ".join(long)), (11, "Two, words!")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.copies(d, decontam.benchmark_items(b)).collect()}
+    assert set(got) == {(1, 10), (3, 11), (5, 10)} and got[1, 10].matched == 700
+    assert docs[0][1][got[1, 10].begin : got[1, 10].end].split() == long
+
+
 def test_passage_in_a_third_of_all_documents(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
     passage = " ".join(rng.choice(words) for _ in range(30))
     docs = [(i, " ".join([rng.choice(words) for _ in range(80)] + ([passage] if i % 3 == 0 else []))) for i in range(300)]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, text string")
-    assert sorted(r.doc_id for r in decontam.copies(d, decontam.benchmark_blocks(d, b)).collect()) == list(range(0, 300, 3))
+    assert sorted(r.doc_id for r in decontam.copies(d, decontam.benchmark_items(b)).collect()) == list(range(0, 300, 3))
 
 
 def test_forward_backward_by_enumeration():
