@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,3 +135,43 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     filled = pc.not_equal(pc.binary_length(seen), 0).to_numpy(zero_copy_only=False)[index] if len(index) else np.zeros(0, bool)
     kept = np.concatenate(([0], np.cumsum(filled)))
     return index[filled], seen, kept[starts]
+
+
+#: Bits of a filter of hashes, and bytes of one of its blocks.
+FILTER_BITS, FILTER_BLOCK = 1 << 27, 1 << 16
+
+
+def hash_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of the low bits of a column of 64-bit hashes: ``bits`` / 8 bytes, however many hashes there are.
+
+    Each partition makes blocks of its own, which are put together by block. With more
+    hashes the bitmap lets more others pass, so an exact join has to follow.
+    """
+    name, block = hashes.columns[0], min(FILTER_BLOCK, bits // 8)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = np.unique(batch.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1))
+            np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        parts = held.reshape(-1, block)
+        for i in np.flatnonzero(parts.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary())], ["block", "bytes"])
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(block, np.uint8)
+        for raw in frame["bytes"]:
+            out |= np.frombuffer(zlib.decompress(raw), np.uint8)
+        return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "bytes": [zlib.compress(out.tobytes(), 1)]})
+
+    made = hashes.select(name).filter(F.col(name).isNotNull()).mapInArrow(partial, "block int, bytes binary").groupBy("block").applyInPandas(whole, "block int, bytes binary")
+    out = np.zeros((bits // 8 // block, block), np.uint8)
+    for r in made.collect():  # ``bits`` / 8 bytes in all
+        out[r.block] = np.frombuffer(zlib.decompress(r.bytes), np.uint8)
+    return out.ravel()
+
+
+def passing(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the (unsigned) hashes that the bitmap lets pass."""
+    at = hashes & np.uint64(len(filter_) * 8 - 1)
+    return np.flatnonzero(filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)

@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, flat_text, fresh, map_text, released, text_slices, words_of
+from .common import cut, flat_text, fresh, hash_filter, map_text, passing, released, text_slices, words_of
 from .neardup import mixed
 
 #: Words of a seed, and the most neighbours (distinct pairs of the words around it) of a rare one.
@@ -39,6 +39,8 @@ COVERAGE, MATCHED, IDENTITY = 0.5, 30, 0.6
 SEGMENT = 256
 #: Bits of the filter of the items' runs: 4 MB, whatever the items. With more runs it lets more pass, and the join decides.
 FILTER_BITS = 1 << 25
+#: So many hashes of texts at most (a number each) are broadcast to find the texts; with more, texts are shuffled by hash.
+HELD_HASHES = 1_000_000
 
 _BY_PLACE = np.random.default_rng(971).integers(0, 1 << 63, SEED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TOKEN = re.compile("[^ \t-\r]+")
@@ -167,30 +169,6 @@ def _runs_of(segments: DataFrame) -> DataFrame:
     return segments.mapInArrow(run, schema)
 
 
-def run_filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bit for the low bits of each run; made of partial bitmaps of the partitions, whose size is bounded."""
-
-    def partial(batches):
-        held = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            at = batch.column("run").to_numpy().view(np.uint64) & np.uint64(bits - 1)
-            np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        chunk = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(held[chunk].astype(np.int16))], ["at", "byte"])
-
-    # A row for each byte that has a bit at most, however many runs there are.
-    rows = seeds.select("run").mapInArrow(partial, "at long, byte short").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()
-    out = np.zeros(bits // 8, np.uint8)
-    out[rows.column("at").to_numpy()] = rows.column("byte").to_numpy().astype(np.uint8)
-    return out
-
-
-def _passing(filter_: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Places of runs that the filter lets pass."""
-    at = found & np.uint64(len(filter_) * 8 - 1)
-    return np.flatnonzero(filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-
-
 def benchmark_items(benchmark: DataFrame) -> Items:
     """The items (item_id, text), in segments, and their runs.
 
@@ -213,13 +191,13 @@ def _occurrences(docs: DataFrame, filter_) -> DataFrame:
         def work(part: pa.RecordBatch) -> pa.RecordBatch | None:
             words, first = numbered(part.column("text"))
             found = runs(words)
-            at = _passing(held, found)
+            at = passing(held, found)
             owner, inside = owners(first, at) if len(at) else (at, np.zeros(0, bool))
             at, owner = at[inside], owner[inside]
             before = np.where(at > first[owner], words[at - 1], np.uint64(2))
             after = np.where(at + SEED < first[owner + 1], words[np.minimum(at + SEED, len(words) - 1)], np.uint64(4)) if len(at) else before
             short, whole = short_runs(words, first)
-            kept = _passing(held, whole)
+            kept = passing(held, whole)
             short, whole = short[kept], whole[kept]
             if not len(at) + len(short):
                 return None
@@ -304,7 +282,7 @@ def _chained(parts: DataFrame) -> DataFrame:
 
 def _found(docs: DataFrame, items: Items) -> DataFrame:
     """(text_hash, item, score, matches, columns, first, end, n_words) of the copies in the distinct texts of ``docs`` (text_hash, text), written."""
-    held = docs.sparkSession.sparkContext.broadcast(run_filter(items.runs))
+    held = docs.sparkSession.sparkContext.broadcast(hash_filter(items.runs.select("run"), FILTER_BITS))
     seen = cut(_occurrences(docs, held), "occurrences")
     seeds = cut(rare_runs(seen, items.runs), "seeds")
     joined = seen.join(seeds, "run").select("text_hash", "item", "segment", (F.col("at") - F.col("place")).alias("start"))
@@ -312,13 +290,31 @@ def _found(docs: DataFrame, items: Items) -> DataFrame:
     starts = starts.join(items.words, ["item", "segment"]).groupBy("text_hash").agg(F.collect_list(F.struct("item", "segment", "first", "n_words", "words", "starts")).alias("seeds"))
     starts = cut(starts, "starts")
     # Of a text, one row; the texts that have a seed are few, and come once each however many documents share them.
-    texts = docs.join(starts.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.max("text").alias("text"))
+    texts = _among(docs, starts.select("text_hash")).groupBy("text_hash").agg(F.max("text").alias("text"))
     parts = cut(_aligned(texts.join(starts, "text_hash").select("text_hash", "text", "seeds")), "aligned")
     out = cut(_chained(parts), "copies")
     released(seen, seeds, starts, parts)
     return out
 
 
+def _number(text_hash) -> Column:
+    return F.conv(F.substring(text_hash, 1, 15), 16, 10).cast("long")
+
+
+def _among(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (with text_hash) whose hash is in ``hashes`` (text_hash).
+
+    A broadcast of numbers, if they are few enough, leaves all other texts where they are; a join by the whole hash decides.
+    """
+    own = cut(hashes.select("text_hash").distinct(), "hashes")
+    if own.count() <= HELD_HASHES:
+        (name,) = fresh("number")
+        numbers = F.broadcast(own.select(_number(F.col("text_hash")).alias(name)).distinct())
+        docs = docs.join(numbers, _number(F.col("text_hash")) == F.col(name), "left_semi")
+        return docs.join(own, "text_hash", "left_semi")
+    return docs.join(own, "text_hash", "left_semi")
+
+
 def _hashed(docs: DataFrame, *columns) -> DataFrame:
     """Rows with ``text_hash``; null texts have none and no copy."""
     return docs.select(*columns, "text", F.md5(F.col("text").cast("binary")).alias("text_hash")).filter("text IS NOT NULL")
@@ -345,12 +341,14 @@ def copies(docs: DataFrame, items: Items) -> DataFrame:
                         out.append((doc, c["item"], c["score"], c["matches"], c["n_words"], c["matches"] / c["columns"], spots[c["first"]][0], spots[c["end"] - 1][1]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [f.split()[0] for f in schema.split(", ")])
 
-    placed = rows.join(per_text, "text_hash").select("doc_id", "text", "found").mapInArrow(run, schema)
+    placed = _among(rows, found).join(per_text, "text_hash").select("doc_id", "text", "found").mapInArrow(run, schema)
     return placed.join(items.names, "item").select("doc_id", F.col("item_id").cast("long").alias("item_id"), "score", "matched", "item_words", "identity", "begin", "end")
 
 
 def drop_contaminated(docs: DataFrame, items: Items) -> DataFrame:
     """Rows of ``docs`` without a copy of an item, as they are: null texts, null ids and repeated rows stay."""
-    (name,) = fresh("copied")
-    found = _found(_hashed(docs).select("text_hash", "text"), items).select(F.col("text_hash").alias(name)).distinct()
-    return docs.join(found, F.md5(F.col("text").cast("binary")) == F.col(name), "left_anti")
+    own = fresh("hash")[0]
+    found = _found(_hashed(docs).select("text_hash", "text"), items).select(F.col("text_hash").alias(own)).distinct()
+    if found.count() <= HELD_HASHES:
+        found = F.broadcast(found)
+    return docs.join(found, F.md5(F.col("text").cast("binary")) == F.col(own), "left_anti")
