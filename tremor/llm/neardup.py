@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, flat_text, fresh, map_text, released, text_slices, words_of
+from .common import cut, flat_text, fresh, hash_filter, map_text, passing, released, text_slices, words_of
 
 #: Words of a shingle; links have 100 * intersection >= percent * union, with this percent where none is given.
 WIDTH, PERCENT = 5, 85
@@ -216,10 +216,11 @@ def _linked(df: DataFrame, percent: int) -> DataFrame:
     classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
     leaders = classes.select(F.col("own.doc_id").alias("doc_id"), F.col("own.text_hash").alias("text_hash"), "id")
     reps = base.filter("set_id IS NOT NULL").join(leaders, ["doc_id", "text_hash"]).dropDuplicates(["id"])
-    reps = reps.select("id", F.explode("keys").alias("key"))
-    # Partial sums come before the shuffle by key, and a frequent key's rows are split by the join.
-    common = reps.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first != last").drop("last")
-    shared = cut(reps.join(common, "key"), "shared")
+    reps = cut(reps.select("id", "keys"), "reps")
+    # Keys are summed with partial sums, so a frequent one is no single task's; the rows of common keys, which are few, are then joined.
+    common = reps.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    common = cut(common.filter("first != last").drop("last"), "common")
+    shared = cut(_rows_of(reps, common).join(common, "key"), "shared")
     names = cut(shared.select("id").distinct().join(leaders, "id"), "names")
     texts = docs.join(names, ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"])
     sizes = base.select("doc_id", "text_hash", "n_shingles").join(names, ["doc_id", "text_hash"]).select("id", "n_shingles").dropDuplicates(["id"])
@@ -246,10 +247,25 @@ def _linked(df: DataFrame, percent: int) -> DataFrame:
     groups = classes.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = groups.groupBy("component").agg(F.min("own").alias("least"))
     groups = cut(groups.join(least, "component").select("set_id", "n", "component", "least"), "groups")
-    released(shared, names, texts, tested, edges, comps, left, open_rows, *gone)
+    released(reps, common, shared, names, texts, tested, edges, comps, left, open_rows, *gone)
     return _per_document(base.drop("keys"), groups)
 
 
+def _rows_of(reps: DataFrame, common: DataFrame) -> DataFrame:
+    """(id, key) of ``reps`` (id, keys) under keys that a filter of ``common`` (key) lets pass: all of these, and few others."""
+    held = reps.sparkSession.sparkContext.broadcast(hash_filter(common.select("key")))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy().view(np.uint64)
+            at = passing(held.value, keys)
+            owner = np.searchsorted(lists.offsets.to_numpy() - lists.offsets[0].as_py(), at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(keys[at].view(np.int64))], ["id", "key"])
+
+    return reps.mapInArrow(run, "id long, key long")
+
+
 def _per_document(base: DataFrame, groups: DataFrame) -> DataFrame:
     """Each row of ``base`` with its set's group.
 
