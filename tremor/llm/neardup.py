@@ -41,6 +41,8 @@ MISS = 3e-7
 STARS = 2
 #: Documents of one set from which on they are joined apart: a thousand at least, and so many that there are at most ``HOT_SETS`` such sets.
 HOT, HOT_SETS = 1000, 100_000
+#: So many numbers at most are broadcast to find the few rows that a join is about; with more, all rows are shuffled for it.
+HELD_NUMBERS = 1_000_000
 #: Sets with one shingle that are compared in a task: more are cut into blocks, and blocks compared in pairs.
 BLOCK = 2000
 
@@ -210,21 +212,18 @@ def _linked(df: DataFrame, percent: int) -> DataFrame:
     """
     lay = layout(percent)
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    base = cut(_sets_and_keys(docs, lay), "sets")
+    # A row's number is written with it, so that it stays.
+    base = cut(_sets_and_keys(docs, lay).withColumn("row", F.monotonically_increasing_id()), "sets")
     own = F.struct("doc_id", "text_hash")
-    grouped = base.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("n"))
-    classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
-    leaders = classes.select(F.col("own.doc_id").alias("doc_id"), F.col("own.text_hash").alias("text_hash"), "id")
-    reps = base.filter("set_id IS NOT NULL").join(leaders, ["doc_id", "text_hash"]).dropDuplicates(["id"])
-    reps = cut(reps.select("id", "keys"), "reps")
+    full = base.filter("set_id IS NOT NULL AND doc_id IS NOT NULL")
+    classes = cut(full.groupBy("set_id").agg(F.min(own).alias("own"), F.min_by("row", F.struct("doc_id", "text_hash", "row")).alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    reps = cut(_first_of_sets(full.select("set_id", "row", "keys"), classes), "reps")
     # Keys are summed with partial sums, so a frequent one is no single task's; the rows of common keys, which are few, are then joined.
     common = reps.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     common = cut(common.filter("first != last").drop("last"), "common")
     shared = cut(_rows_of(reps, common).join(common, "key"), "shared")
-    names = cut(shared.select("id").distinct().join(leaders, "id"), "names")
-    texts = docs.join(names, ["doc_id", "text_hash"]).select("id", "text").dropDuplicates(["id"])
-    sizes = base.select("doc_id", "text_hash", "n_shingles").join(names, ["doc_id", "text_hash"]).select("id", "n_shingles").dropDuplicates(["id"])
-    texts = cut(texts.join(sizes, "id"), "texts")
+    names = cut(base.select(F.col("row").alias("id"), "doc_id", "text_hash", "n_shingles").join(shared.select("id").distinct(), "id"), "names")
+    texts = cut(_texts_of(docs, names), "texts")
     tested = cut(shared.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     edges = cut(_confirmed(tested, texts, percent), "links")
     comps, gone = components(edges), []
@@ -248,7 +247,34 @@ def _linked(df: DataFrame, percent: int) -> DataFrame:
     least = groups.groupBy("component").agg(F.min("own").alias("least"))
     groups = cut(groups.join(least, "component").select("set_id", "n", "component", "least"), "groups")
     released(reps, common, shared, names, texts, tested, edges, comps, left, open_rows, *gone)
-    return _per_document(base.drop("keys"), groups)
+    return _per_document(base.drop("keys", "row"), groups)
+
+
+def _first_of_sets(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, keys): the row of ``rows`` (set_id, row, keys) that stands for each class.
+
+    Sets that one document has, most of them, are their own; only others are joined.
+    """
+    several = cut(classes.filter("n > 1").select("set_id", "id"), "several")
+    number = F.xxhash64("set_id")
+    if several.count() <= HELD_NUMBERS:
+        held = F.broadcast(several.select(number.alias("_number")).distinct())
+        alone = rows.join(held, number == F.col("_number"), "left_anti")
+        rest = rows.join(held, number == F.col("_number"), "left_semi").join(several, "set_id", "left").filter("id IS NULL OR id = row").drop("id")
+        rows = alone.unionByName(rest)
+    else:
+        rows = rows.join(several, "set_id", "left").filter("id IS NULL OR id = row")
+    return rows.select(F.col("row").alias("id"), "keys")
+
+
+def _texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, n_shingles, text) of the documents in ``names`` (id, doc_id, text_hash, n_shingles); other texts stay where they are."""
+    own = ["doc_id", "text_hash"]
+    number = F.xxhash64(*own)
+    if names.count() <= HELD_NUMBERS:
+        held = F.broadcast(names.select(number.alias("_number")).distinct())
+        docs = docs.join(held, number == F.col("_number"), "left_semi")
+    return docs.join(names, own).select("id", "n_shingles", "text").dropDuplicates(["id"])
 
 
 def _rows_of(reps: DataFrame, common: DataFrame) -> DataFrame:
