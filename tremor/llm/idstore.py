@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, even_keys, map_text, within_bytes
+from .common import bounded_sample, cut, even_keys, map_text, released, within_bytes
 from .wordbpe import word_bpe
 
 #: The dictionary is fitted on at most about so many documents, and has at most so many bytes.
@@ -58,16 +58,21 @@ def _encoded(path: str, end_id: int):
     return start
 
 
-def train_dictionary(df: DataFrame, path: str, end_id: int = 2, docs: int = TRAIN_DOCS) -> bytes:
-    """A zstandard dictionary of serialized ids of a bounded sample; empty where there is too little to learn from."""
+def train_dictionary(df: DataFrame, path: str, end_id: int = 2, docs: int = TRAIN_DOCS, total: int | None = None) -> bytes:
+    """A zstandard dictionary of serialized ids of a bounded sample; empty where there is too little to learn from.
+
+    ``total`` is the number of texts, where it is known.
+    """
     docs_in = df.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").isNotNull())
 
     def make():
         rows = _encoded(path, end_id)()
         return lambda part: pa.RecordBatch.from_arrays([pa.array([b for _, b in rows(part)], pa.binary())], ["ids"])
 
-    sample = within_bytes(bounded_sample(docs_in, "doc_id", docs, docs_in.count()), "doc_id", TRAIN_BYTES)
+    drawn = cut(bounded_sample(docs_in, "doc_id", docs, docs_in.count() if total is None else total), "sample")
+    sample = within_bytes(drawn, "doc_id", TRAIN_BYTES)
     got = sorted(r[0] for r in map_text(sample.select("doc_id", "text"), "ids binary", make).collect())  # about ``docs`` rows and ``TRAIN_BYTES`` at most
+    released(drawn)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(b) for b in got]).as_bytes() if len(got) >= 20 else b""
     except zstandard.ZstdError:
@@ -82,11 +87,11 @@ def write_store(df: DataFrame, folder: str, path: str, end_id: int = 2) -> None:
     """
     spark = df.sparkSession
     docs = df.select(F.col("doc_id").cast("long"), "text")
-    dictionary = train_dictionary(docs, path, end_id)
+    size, total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("text")).head()
+    dictionary = train_dictionary(docs, path, end_id, total=total)
     sha = hashlib.sha256(dictionary).hexdigest()
     held = spark.sparkContext.broadcast(dictionary)
     spark.createDataFrame([(sha, bytearray(dictionary))], "dictionary_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     parts = max(1, -(-size // RANGE_BYTES))
     cuts = [i / parts for i in range(1, parts)]
     bounds = np.array(sorted(set((docs.agg(F.percentile_approx("doc_id", cuts, 100 * parts)).head()[0] if cuts else None) or [])), np.int64)

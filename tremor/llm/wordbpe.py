@@ -73,7 +73,10 @@ class WordBpe:
             by_word[w] = raw[a:b]
             a = b
         out = [by_word[ws[0]] if len(ws) == 1 else b"".join([by_word[w] for w in ws]) for ws in found]
-        self.kept.update((c, ids) for c, ids in zip(chunks, out) if len(c) <= KEPT_CHARS)
+        if max(map(len, chunks), default=0) <= KEPT_CHARS:
+            self.kept.update(zip(chunks, out))
+        else:
+            self.kept.update((c, ids) for c, ids in zip(chunks, out) if len(c) <= KEPT_CHARS)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
