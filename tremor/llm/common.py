@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -102,17 +103,38 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         start = stop
 
 
-def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], column: str = "text") -> DataFrame:
-    """``mapInArrow`` over slices of bounded size; ``make`` runs once a task and returns the slice's function."""
+def hand_back() -> None:
+    """Return a worker's freed memory to the system; its allocators keep it otherwise, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def handing_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which the worker hands its freed memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        hand_back()
+
+    return whole
+
+
+def map_text(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], column: str = "text", limit: int = SLICE_CHARS) -> DataFrame:
+    """``mapInArrow`` over slices of bounded size; ``make`` runs once a task and returns the slice's function.
+
+    A worker hands its freed memory back at the end of each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in text_slices(batch, column):
+            for part in text_slices(batch, column, limit):
                 if (out := work(part)) is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(handing_back(run), schema)
 
 
 def flat_text(texts: pa.Array) -> pa.Array:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, flat_text, fresh, hash_filter, map_text, passing, released, text_slices, words_of
+from .common import cut, flat_text, fresh, handing_back, hash_filter, map_text, passing, released, text_slices, words_of
 from .neardup import mixed
 
 #: Words of a seed, and the most neighbours (distinct pairs of the words around it) of a rare one.
@@ -166,7 +166,7 @@ def _runs_of(segments: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in schema.split(", ")])
 
-    return segments.mapInArrow(run, schema)
+    return segments.mapInArrow(handing_back(run), schema)
 
 
 def benchmark_items(benchmark: DataFrame) -> Items:
@@ -246,7 +246,7 @@ def _aligned(rows: DataFrame) -> DataFrame:
                     types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [c.split()[0] for c in schema.split(", ")])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(handing_back(run), schema)
 
 
 def _groups(starts: list[int], size: int) -> list[tuple[int, int]]:
@@ -341,7 +341,7 @@ def copies(docs: DataFrame, items: Items) -> DataFrame:
                         out.append((doc, c["item"], c["score"], c["matches"], c["n_words"], c["matches"] / c["columns"], spots[c["first"]][0], spots[c["end"] - 1][1]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [f.split()[0] for f in schema.split(", ")])
 
-    placed = _among(rows, found).join(per_text, "text_hash").select("doc_id", "text", "found").mapInArrow(run, schema)
+    placed = _among(rows, found).join(per_text, "text_hash").select("doc_id", "text", "found").mapInArrow(handing_back(run), schema)
     return placed.join(items.names, "item").select("doc_id", F.col("item_id").cast("long").alias("item_id"), "score", "matched", "item_words", "identity", "begin", "end")
 
 

@@ -28,6 +28,9 @@ QUANTILE, MARGIN = 0.99, 0.2
 #: Of a text without letters.
 UNKNOWN = "und"
 
+#: Bytes of text at a time: sorting its n-grams takes about a hundred times as much memory.
+SLICE = 1 << 19
+
 _WIDE = 13  # bits of a character in an n-gram's code
 _letters: np.ndarray | None = None
 
@@ -141,7 +144,7 @@ def learn(labelled: DataFrame, rows: int = TRAIN_ROWS, entries: int = PROFILE, l
 
         return work
 
-    counts = map_text(sample.select("text", "lang", "half"), "lang string, half int, gram long, n long", make)
+    counts = map_text(sample.select("text", "lang", "half"), "lang string, half int, gram long, n long", make, limit=SLICE)
     by = {f"n{k}": F.sum(F.when(F.col("half") == k, F.col("n"))) for k in (0, 1)}
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), *[v.alias(k) for k, v in by.items()])
     columns = ["n", "n0", "n1"] if reject else ["n"]
@@ -181,7 +184,7 @@ def _reject_distance(sample: DataFrame, halves: list[Profiles]) -> float:
 
         return work
 
-    rows = map_text(sample.select("text", "half"), "d double", make).filter("d < 1")
+    rows = map_text(sample.select("text", "half"), "d double", make, limit=SLICE).filter("d < 1")
     at = rows.agg(F.percentile("d", F.lit(QUANTILE)).alias("q")).head().q
     return FOREIGN if at is None else min(FOREIGN, at + MARGIN)
 
@@ -204,7 +207,7 @@ def identify(df: DataFrame, profiles: Profiles) -> DataFrame:
         return work
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return map_text(rows, f"{schema}, lang_pred string, score double, lang_distance double", make)
+    return map_text(rows, f"{schema}, lang_pred string, score double, lang_distance double", make, limit=SLICE)
 
 
 def keep_known_languages(df: DataFrame, profiles: Profiles) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, flat_text, fresh, hash_filter, map_text, passing, released, text_slices, words_of
+from .common import cut, flat_text, fresh, handing_back, hash_filter, map_text, passing, released, text_slices, words_of
 
 #: Words of a shingle; links have 100 * intersection >= percent * union, with this percent where none is given.
 WIDTH, PERCENT = 5, 85
@@ -176,7 +176,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(handing_back(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,7 +289,7 @@ def _rows_of(reps: DataFrame, common: DataFrame) -> DataFrame:
             owner = np.searchsorted(lists.offsets.to_numpy() - lists.offsets[0].as_py(), at, side="right") - 1
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(keys[at].view(np.int64))], ["id", "key"])
 
-    return reps.mapInArrow(run, "id long, key long")
+    return reps.mapInArrow(handing_back(run), "id long, key long")
 
 
 def _per_document(base: DataFrame, groups: DataFrame) -> DataFrame:
@@ -327,7 +327,7 @@ def _shingles_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(owner)), pa.array(np.concatenate(sets).view(np.int64))], ["id", "shingle"])
 
-    return texts.join(ids.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingle long")
+    return texts.join(ids.select("id"), "id", "left_semi").select("id", "text").mapInArrow(handing_back(run), "id long, shingle long")
 
 
 def _close_pairs(left: DataFrame, texts: DataFrame, lay: Layout) -> DataFrame:
