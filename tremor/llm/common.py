@@ -143,6 +143,11 @@ def flat_text(texts: pa.Array) -> pa.Array:
     return filled.take(pa.array(np.arange(len(filled))))
 
 
+def values_of(texts: pa.Array) -> list[str] | list[bytes]:
+    """``to_pylist`` of strings or bytes without an Arrow scalar for each."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Chunks between blanks and line ends, empty ones left out.
 

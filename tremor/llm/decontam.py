@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, flat_text, fresh, handing_back, hash_filter, map_text, passing, released, text_slices, words_of
+from .common import cut, flat_text, fresh, handing_back, hash_filter, map_text, passing, released, text_slices, values_of, words_of
 from .neardup import mixed
 
 #: Words of a seed, and the most neighbours (distinct pairs of the words around it) of a rare one.
@@ -60,7 +60,7 @@ def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     index, seen, first = words_of(pc.replace_substring_regex(flat_text(texts), "[\t-\r]", " "))
     if not len(index):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    cores = [core(c) for c in seen.to_pylist()]
+    cores = [core(c) for c in values_of(seen)]
     own = np.fromiter((xxhash.xxh3_64_intdigest(c) | 1 if c else 0 for c in cores), np.uint64, len(cores))[index]
     filled = own != _NO_WORD
     return own[filled], np.concatenate(([0], np.cumsum(filled)))[first]

@@ -155,8 +155,13 @@ def _dictionary(spark: SparkSession, folder: str) -> tuple[str, bytes]:
     return sha, bytes(raw)
 
 
-def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids_crc32, ids as little-endian bytes) of every document of a store."""
+def read_store(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids_crc32, ids as little-endian bytes) of every document of a store.
+
+    Without ``ids`` every frame is read and decoded as well, but its ids stay in the worker.
+    """
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + ids]
     sha, raw = _dictionary(spark, folder)
     held = spark.sparkContext.broadcast(raw)
     table = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
@@ -173,7 +178,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                 if row.column("dictionary_sha256")[0].as_py() != sha:
                     raise ValueError("a block was written with another dictionary")
                 body, start = row.column("body")[0].as_buffer(), row.column("start")[0].as_py()
-                ids, offsets, tokens = (row.column(c)[0].as_py() for c in ("doc_ids", "offsets", "tokens"))
+                docs, offsets, tokens = (row.column(c)[0].as_py() for c in ("doc_ids", "offsets", "tokens"))
                 view, starts, raw = memoryview(body), [], []
                 for a, b, n in zip(offsets, [*offsets[1:], len(view)], tokens):
                     raw.append(opener.decompress(view[a:b]))
@@ -181,9 +186,10 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                         raise ValueError("a frame does not match the index")
                     starts.append(start)
                     start += n
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(tokens, pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                numbers = [pa.array(c, pa.int64()) for c in (docs, starts, tokens, [zlib.crc32(x) for x in raw])]
+                yield pa.RecordBatch.from_arrays([*numbers, *([pa.array(raw, pa.binary())] if ids else [])], names)
 
-    return ordered.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return ordered.mapInArrow(decode, schema)
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[int] | None:

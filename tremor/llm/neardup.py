@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, flat_text, fresh, handing_back, hash_filter, map_text, passing, released, text_slices, words_of
+from .common import cut, flat_text, fresh, handing_back, hash_filter, map_text, passing, released, text_slices, values_of, words_of
 
 #: Words of a shingle; links have 100 * intersection >= percent * union, with this percent where none is given.
 WIDTH, PERCENT = 5, 85
@@ -107,7 +107,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     index, seen, first = words_of(flat)
     if not len(index):
         return [np.zeros(0, np.uint64)] * len(texts)
-    words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in seen.cast(pa.large_binary()).to_pylist()), np.uint64, len(seen))[index]
+    words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in values_of(seen.cast(pa.large_binary()))), np.uint64, len(seen))[index]
     rolled = sum((words[k : len(words) - WIDTH + 1 + k] * _BY_PLACE[k] for k in range(WIDTH)), np.uint64(0)) if len(words) >= WIDTH else np.zeros(0, np.uint64)
     rolled, out = mixed(rolled), []
     for a, b in zip(first.tolist(), first[1:].tolist()):

@@ -61,7 +61,7 @@ def op8_zstd_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' ids written to a store with a shared dictionary and read back."""
     folder = new_folder(spark, "ids")
     idstore.write_store(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(VOCABULARY), 2)
-    return idstore.read_store(spark, folder).drop("ids")
+    return idstore.read_store(spark, folder, ids=False)
 
 
 def op9_seed_align_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, flat_text, map_text, released, within_bytes, without, words_of
+from .common import bounded_sample, cut, flat_text, map_text, released, values_of, within_bytes, without, words_of
 from .neardup import mixed
 
 #: At most about so many labelled rows of each class are learnt from.
@@ -114,7 +114,7 @@ class Field:
     def tagged(self, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
         """Tokens of each text, and its (token, marginal) where features are known."""
         index, seen, first = tokens_of(texts)
-        logs = [self.emission(t) for t in seen.to_pylist()]
+        logs = [self.emission(t) for t in values_of(seen)]
         known = np.fromiter((x is not None for x in logs), bool, len(logs))
         at = np.flatnonzero(known[index]) if len(index) else np.zeros(0, np.int64)
         owner = np.searchsorted(first, at, side="right") - 1

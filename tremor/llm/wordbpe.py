@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import flat_text, words_of
+from .common import flat_text, values_of, words_of
 
 #: The split pattern of the layout, and the bytes that byte-level BPE writes as themselves.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -64,9 +64,10 @@ class WordBpe:
         """The ids of lower-case chunks without white space; they are kept for later slices."""
         if len(self.kept) + len(chunks) > KEPT:
             self.kept = {"": b""}
-        found = [self.words.findall(c) for c in chunks]
+        # Letters alone are one word, and ASCII letters stand for themselves.
+        found = [[c] if c.isalpha() else self.words.findall(c) for c in chunks]
         new = list({w for ws in found for w in ws})
-        mapped = " ".join([w.encode().decode("latin-1").translate(self.byte_chars) for w in new])
+        mapped = " ".join([w if w.isascii() and w.isalpha() else w.encode().decode("latin-1").translate(self.byte_chars) for w in new])
         ids = np.array(self.bare.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, "<u4")
         raw, a, by_word = ids.tobytes(), 0, {}
         for w, b in zip(new, ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist(), strict=True):
@@ -86,7 +87,7 @@ class WordBpe:
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         plain = pc.utf8_lower(pc.replace_substring(plain, "\n", " "))
         index, seen, first = words_of(pc.replace_substring_regex(plain, MARK, r"\1 \2 "))
-        chunks = seen.to_pylist()
+        chunks = values_of(seen)
         parts = list(map(self.kept.get, chunks))
         if None in parts:
             missing = [i for i, p in enumerate(parts) if p is None]

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, map_text, words_of
+from .common import flat_text, map_text, values_of, words_of
 from .wordbpe import PRINTABLE
 
 #: Ends a word; vocabulary entries for the end of a word carry it last.
@@ -141,7 +141,7 @@ def count_tokens(df: DataFrame, path: str) -> DataFrame:
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             flat = pc.replace_substring_regex(pc.utf8_lower(flat_text(part.column("text"))), "[\t-\r]", " ")
             index, seen, first = words_of(flat)
-            each = np.array([of(c) for c in seen.to_pylist()] or [(0, 0, 0)], np.int64)
+            each = np.array([of(c) for c in values_of(seen)] or [(0, 0, 0)], np.int64)
             own = each[index] if len(index) else np.zeros((0, 3), np.int64)
             sums = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(own[:, :2], axis=0)))
             longest = [int(own[a:b, 2].max()) if b > a else 0 for a, b in zip(first, first[1:])]
