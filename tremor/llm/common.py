@@ -148,6 +148,46 @@ def values_of(texts: pa.Array) -> list[str] | list[bytes]:
     return texts.to_numpy(zero_copy_only=False).tolist()
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all ``texts`` (null: empty), and each text's first with one more entry for the end."""
+    flat = flat_text(texts)
+    if not len(flat):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(flat.buffers()[1], np.int64)[: len(flat) + 1]
+    held = flat.buffers()[2]
+    return np.frombuffer(held, np.uint8)[: offsets[-1]] if held is not None else np.zeros(0, np.uint8), offsets
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of ``inside`` bytes; a text's end ends a run."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    inner = np.unique(offsets[(offsets > 0) & (offsets < len(inside))])
+    inner = inner[inside[inner] & inside[inner - 1]]
+    if len(inner):
+        starts, ends = np.sort(np.concatenate((starts, inner))), np.sort(np.concatenate((ends, inner)))
+    return starts, ends
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes from each start to its end; the ranges ascend and do not overlap."""
+    if not len(starts):
+        return pa.array([], pa.large_binary())
+    bounds = np.stack((starts, ends), axis=1).ravel().astype(np.int64)
+    all_ = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+    return all_.take(pa.array(np.arange(0, len(bounds) - 1, 2)))
+
+
+def blanks(data: np.ndarray) -> np.ndarray:
+    """Which bytes are blanks or controls 9 to 13, which words stand between."""
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def counts_in(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of the ascending ``places`` lie in each text."""
+    return np.diff(np.searchsorted(places, offsets))
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Chunks between blanks and line ends, empty ones left out.
 
