@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import pickle
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -86,6 +87,18 @@ def within_bytes(sample: DataFrame, key: str, most: int, column: str = "text") -
     return sample.join(F.broadcast(ids), key, "left_semi")
 
 
+def fitted_in_task(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
+    """What ``fit`` makes of the distinct rows, in order, of a bounded ``sample``; it runs in one task, so its memory is no driver's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: set[tuple] = set()
+        for batch in batches:
+            rows.update(zip(*[c.to_pylist() for c in batch.columns]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(rows)))], pa.binary())], ["model"])
+
+    return pickle.loads(sample.coalesce(1).mapInArrow(handing_back(run), "model binary").head().model)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns that an operator is about to add (names compare as Spark does, caselessly)."""
     taken = {n.lower() for n in names}

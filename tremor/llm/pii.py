@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blanks, bounded_sample, bytes_of, cut, map_text, released, runs, within_bytes, without
+from .common import blanks, bounded_sample, bytes_of, cut, fitted_in_task, map_text, released, runs, within_bytes, without
 
 KINDS = ("email", "ip", "card", "phone")
 #: States: outside; one word each of email and address; begin and rest of a card and of a phone.
@@ -339,9 +339,9 @@ def learn(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field:
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text RLIKE '[0-9@]'")
     total = held.count()
     sample = cut(bounded_sample(held, "doc_id", rows, total), "sample")
-    got = within_bytes(sample, "doc_id", TRAIN_BYTES).select("doc_id", "text").collect()  # ``TRAIN_BYTES`` at most
+    field = fitted_in_task(within_bytes(sample, "doc_id", TRAIN_BYTES).select("doc_id", "text"), lambda got: fit([t.encode() for _, t in got]))  # ``TRAIN_BYTES`` at most
     released(sample)
-    return fit([t.encode() for _, t in sorted({(r.doc_id, r.text) for r in got})])
+    return field
 
 
 def _core(kind: int, text: bytes) -> tuple[int, int] | None:

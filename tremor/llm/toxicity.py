@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, flat_text, map_text, released, values_of, within_bytes, without, words_of
+from .common import bounded_sample, cut, fitted_in_task, flat_text, map_text, released, values_of, within_bytes, without, words_of
 from .neardup import mixed
 
 #: At most about so many labelled rows of each class are learnt from.
@@ -289,11 +289,14 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> Field:
     # About 2 * ``rows`` ids, whatever the size of the tables.
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
     rows_ = cut(rows_, "labelled")
-    got = within_bytes(rows_, "doc_id", TRAIN_BYTES).select("doc_id", "text", "toxic").collect()  # ``TRAIN_BYTES`` at most
+
+    def fit_rows(got: list[tuple]) -> Field:
+        drawn = [max(1, sum(r[2] == y for r in got)) for y in (0, 1)]
+        return fit([r[1] for r in got], [r[2] for r in got], tuple(counts.get(y, 0) / drawn[y] for y in (0, 1)))
+
+    field = fitted_in_task(within_bytes(rows_, "doc_id", TRAIN_BYTES).select("doc_id", "text", "toxic"), fit_rows)  # ``TRAIN_BYTES`` at most
     released(rows_)
-    got = sorted({(r.doc_id, r.text, r.toxic) for r in got})
-    drawn = [max(1, sum(r[2] == y for r in got)) for y in (0, 1)]
-    return fit([r[1] for r in got], [r[2] for r in got], tuple(counts.get(y, 0) / drawn[y] for y in (0, 1)))
+    return field
 
 
 def score(df: DataFrame, field: Field) -> DataFrame:
