@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tests.conftest import MIDDLE
 from tests.helpers import canonical, duck
 from tremor.llm import filter_audit, queries
+from tremor.llm.common import text_slices
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,6 +82,14 @@ def test_orders_by_applying_filters(spark):
         assert (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost) == want[k][:6] and r.shapley == shapley[k[0], want[k][6]]
 
 
+def test_slices_of_a_batch(spark, monkeypatch):
+    """Rows that reach a task in one batch but are handled in several slices."""
+    monkeypatch.setattr(filter_audit, "text_slices", lambda batch: text_slices(batch, limit=50))
+    rows = [(i, f"text {i % 30} of some length", "en", "a", 1) for i in range(300)]
+    got = filter_audit.failure_masks(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.doc_id for r in got if not r["mask"] & 16) == list(range(30)) and len(got) == 300
+
+
 def test_empty(spark):
     docs, labels = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert filter_audit.audit(docs, labels).count() == 0

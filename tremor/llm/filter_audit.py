@@ -95,8 +95,8 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mask = text_failures(part.column("text")) | fails.astype(np.int64) << 4
             n, lengths = part.num_rows, pc.binary_length(part.column("text")).cast(pa.int64())
             length = lengths[n - 1].as_py()
-            none = pa.array(~doubt)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, range_), pa.int32()), part.column("part"), part.column("doc_id"), pa.array(mask, pa.int32()), pc.if_else(none, None, part.column("print")), pc.if_else(none, None, lengths), pa.nulls(n, pa.bool_())], names)
+            told = pa.array(np.arange(n), mask=~doubt)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, range_), pa.int32()), part.column("part"), part.column("doc_id"), pa.array(mask, pa.int32()), part.column("print").take(told), lengths.take(told), pa.nulls(n, pa.bool_())], names)
     if state.print is not None:  # the range's last row, for the range after it
         yield pa.RecordBatch.from_arrays([pa.array([range_], pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([state.print], pa.binary()), pa.array([length], pa.int64()), pa.array([state.least != _NONE])], names)
 
