@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 import re
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from tests.conftest import MIDDLE
 from tests.helpers import canonical, duck
 from tremor.llm import filter_audit, queries
-from tremor.llm.common import text_slices
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,12 +82,17 @@ def test_orders_by_applying_filters(spark):
         assert (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost) == want[k][:6] and r.shapley == shapley[k[0], want[k][6]]
 
 
-def test_slices_of_a_batch(spark, monkeypatch):
-    """Rows that reach a task in one batch but are handled in several slices."""
-    monkeypatch.setattr(filter_audit, "text_slices", lambda batch: text_slices(batch, limit=50))
-    rows = [(i, f"text {i % 30} of some length", "en", "a", 1) for i in range(300)]
-    got = filter_audit.failure_masks(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(r.doc_id for r in got if not r["mask"] & 16) == list(range(30)) and len(got) == 300
+@pytest.mark.parametrize("limit", [1, 60, 1 << 20])
+def test_slices_of_a_batch(limit):
+    """Rows that reach a task in one batch but are handled in several slices, groups across them."""
+    rows = sorted((hashlib.sha256(t.encode()).digest(), t, i) for i in range(200) for t in [f"text {i % 7} of some length"])
+    batch = pa.RecordBatch.from_arrays([pa.array([i for _, _, i in rows], pa.int64()), pa.array(["a"] * 200), pa.array([t for _, t, _ in rows]), pa.array([p for p, _, _ in rows], pa.binary())], ["doc_id", "part", "text", "print"])
+    out = pa.Table.from_batches(list(filter_audit.judged(3, iter([batch.slice(0, 50), batch.slice(50)]), limit))).to_pylist()
+    body, last = out[:-1], out[-1]
+    assert [r["doc_id"] for r in body] == [i for _, _, i in rows]
+    heads = [r for r in body if not r["mask"] & 16]
+    assert sorted(r["doc_id"] for r in heads) == list(range(7)) and [r["print"] is not None for r in heads] == [True] + [False] * 6
+    assert last["ided"] and last["print"] == rows[-1][0] and last["length"] == len(rows[-1][1]) and last["range"] == 3
 
 
 def test_empty(spark):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blanks, bytes_of, counts_in, cut, handing_back, pieces, runs, text_slices
+from .common import SLICE_CHARS, blanks, bytes_of, counts_in, cut, handing_back, pieces, runs, text_slices
 
 #: The filters in the order of their bits: few words, few distinct words, capitals, symbols, duplicates.
 FILTERS = "ABCDE"
@@ -86,11 +86,16 @@ class _Sorted:
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    range_, state, length = TaskContext.get().partitionId(), _Sorted(), 0
+    yield from judged(TaskContext.get().partitionId(), batches)
+
+
+def judged(range_: int, batches: Iterator[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Masks of the sorted rows (doc_id, part, text, print) of a range, and one row that tells of its last."""
+    state, length = _Sorted(), 0
     names = ["range", "part", "doc_id", "mask", "print", "length", "ided"]
 
     for batch in batches:
-        for part in text_slices(batch):
+        for part in text_slices(batch, limit=limit):
             fails, doubt = state.repeats(part)
             mask = text_failures(part.column("text")) | fails.astype(np.int64) << 4
             n, lengths = part.num_rows, pc.binary_length(part.column("text")).cast(pa.int64())
