@@ -213,3 +213,28 @@ def test_boundary_distance(spark):
     d = spark.range(1).select(geo.boundary_distance(F.lit(0.5), F.lit(0.5), [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)])).head()[0]
     assert d == pytest.approx(0.5 * 111.3, rel=1e-2)
     assert geo.expanded_ring([(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)], 50.0)[0][0] < 0
+
+
+@pytest.mark.parametrize("a", [0.02, 0.0, 1e-9, -1e-6, -0.1, -0.5, -0.7, -0.99, 0.9, -1.3])
+def test_gamma_columns(spark, a):
+    """The expressions against the array forms, and the inverse against the function."""
+    x = np.concatenate((np.exp(np.linspace(-18, 4, 200)), [2.999999, 3.0, 3.000001]))
+    y = special.upper_gamma(a, x)
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double").coalesce(1)
+    got = np.array([r.g for r in df.select(special.upper_gamma_of(a, F.col("x")).alias("g")).collect()])
+    assert np.abs(got / y - 1).max() < (1e-11 if a > -1 and (a == 0 or abs(a) > 1e-5 or abs(a) < 1e-8) else 2e-10)
+    if a > -1:
+        back = np.array([r.x for r in df.select(special.inverse_upper_gamma_of(a, F.col("y")).alias("x")).collect()])
+        assert np.abs(back / x - 1).max() < 2e-9
+    else:
+        with pytest.raises(ValueError):
+            special.inverse_upper_gamma_of(a, F.col("y"))
+
+
+def test_tapered_columns_have_no_python(spark):
+    t = Theta()
+    df = spark.range(5).select((F.col("id") / 5).alias("u"))
+    plan = df.select(special.delay_of(F.col("u"), t.c, t.omega, t.tau), special.time_integral(F.lit(0.0), F.col("u"), t.c, t.omega, t.tau))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = [r[0] for r in df.select(special.delay_of(F.col("u"), t.c, t.omega, t.tau)).collect()]
+    assert got == pytest.approx(special.tapered_delay_of(np.arange(5) / 5, t.c, t.omega, t.tau).tolist(), rel=1e-8, abs=1e-12)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import itertools
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -363,3 +364,74 @@ def test_service_through_spark(spark, tmp_path):
     (tmp_path / "1990-01-01.txt").write_text("#EventID|Time|Latitude|Longitude|Depth/km|Magnitude\nb|1990-03-01T00:00:00|46.1|7.2|5.0|2.5\na|1990-02-01T00:00:00|46.1|7.2||3.5\n")
     rows = cat.read_service(spark, url=f"file://{tmp_path}/{{start}}.txt", start="1990", end="1990").collect()
     assert [r.event_id for r in rows] == ["a", "b"] and rows[0].days == 7336.0
+
+
+def _exchanged(plan: str) -> list[str]:
+    """What stands right below each exchange of rows that are not sums yet."""
+    lines = plan.splitlines()
+    return [lines[i + 1] for i, line in enumerate(lines[:-1]) if " Exchange hashpartitioning" in line and "partial_" not in lines[i + 1]]
+
+
+def test_pairs_are_not_exchanged(spark):
+    """An expectation step reads pairs in buckets of targets: a window and two sums, and no exchange of pairs."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        p = inversion.prepared(registry.events(spark, SMALL), registry._setup(buckets=6))
+        e = inversion.expectation(p, registry.THETA)
+        for frame in (e.pairs, e.pairs.groupBy("target_id").sum("p")):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Window" in plan
+        for frame in (e.targets, e.sources):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert not [x for x in _exchanged(plan) if "time_distance" in x]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_an_iteration_passes_over_the_pairs_once(spark, monkeypatch):
+    """What targets and sources are summed from is written, so the window over the pairs is worked out once an iteration; tables go with their iteration."""
+    p = inversion.prepared(registry.events(spark, SMALL), registry._setup())
+    made, kept = [], []
+    whole = inversion.probabilities
+    monkeypatch.setattr(inversion, "probabilities", lambda *a: made.append(1) or whole(*a))
+    gathered = inversion.gathered
+    monkeypatch.setattr(inversion, "gathered", lambda p, pij, t, mu=None: kept.append("Window" in pij._jdf.queryExecution().executedPlan().toString()) or gathered(p, pij, t, mu))
+    before = {t.name for t in spark.catalog.listTables()}
+    fit = inversion.invert(p, registry.THETA, most=2, steps=3)
+    assert len(made) == len(kept) == 3 and not any(kept)
+    assert len({t.name for t in spark.catalog.listTables()} - before) == 1 and fit.expected.pairs.count() > 0
+
+
+def test_curvature(spark):
+    """Value and gradient are the objective's; the information is the mean curvature of a simulated fit, and so are its errors."""
+    p = inversion.prepared(registry.events(spark, SMALL), registry._setup())
+    e = inversion.expectation(p, registry.THETA)
+    e = inversion.Expected(e.pairs.withColumn("weight", F.col("p") * F.col("zeta")), e.targets, e.sources)
+    found = inversion.curvature(e, registry.THETA, p.setup.m_low)
+    value, gradient = inversion.Objective(e, p.setup.m_low)(np.array([getattr(registry.THETA, n) for n in inversion.FREE]))
+    assert found.value == pytest.approx(value) and found.gradient == pytest.approx(gradient, rel=1e-9)
+    assert found.information == pytest.approx(found.information.T) and np.linalg.eigvalsh(found.information).min() > -1e-6
+    assert {"omega", "rho"} <= set(found.standard_errors(p.setup)) and "omega" not in found.standard_errors(replace(p.setup, fixed=("omega",)))
+
+    rng, t, n = np.random.default_rng(7), Theta(log10_tau=math.inf, omega=0.4, log10_k0=-1.0), 60_000
+    m = 3.0 + np.round(rng.exponential(0.4, n), 1)
+    dt = t.c * ((1 - rng.uniform(size=n)) ** (-1 / t.omega) - 1)
+    zone = t.d * np.exp(t.gamma * (m - 3.0))
+    r2 = zone * ((1 - rng.uniform(size=n)) ** (-1 / t.rho) - 1)
+    at = np.array([getattr(t, k) for k in inversion.FREE])
+    info = inversion.pair_information(at, m, dt, r2, np.ones(n), 3.0)[9:].reshape(8, 8)
+    free = [2, 3, 5, 6, 7]
+    errors = np.sqrt(np.diag(np.linalg.inv(info[np.ix_(free, free)])))
+    for i, k in enumerate(free):  # the observed curvature, by differences of the gradient
+        up, down = at.copy(), at.copy()
+        up[k] += 1e-4
+        down[k] -= 1e-4
+        bend = -(inversion.pair_terms(up, m, dt, r2, np.ones(n), 3.0) - inversion.pair_terms(down, m, dt, r2, np.ones(n), 3.0))[1:] / 2e-4
+        assert bend[free] == pytest.approx(info[k, free], rel=0.05, abs=0.02 * info[k, k])
+    values = at.copy()
+    for _ in range(8):  # the fit lies within a few of its errors of the truth
+        g = inversion.pair_information(values, m, dt, r2, np.ones(n), 3.0)
+        values[free] += np.linalg.solve(g[9:].reshape(8, 8)[np.ix_(free, free)], g[1:9][free])
+    assert (np.abs(values - at)[free] < 4 * errors).all() and (np.abs(values - at)[free] > 0).all()

@@ -5,13 +5,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Lanczos coefficients (g = 7, n = 9).
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 
+#: Euler's constant, a fixed value.
+EULER = 0.5772156649015329
+
 
 def gammaln(x: np.ndarray | float) -> np.ndarray:
     """Logarithm of the gamma function of positive numbers."""
@@ -66,9 +68,8 @@ def _by_series(a: float, x: np.ndarray) -> np.ndarray:
     """(Gamma(a+1) - x^a) / a minus the series of the lower function beyond its first term."""
     log_x = np.log(x)
     if abs(a) < 1e-5:
-        # Series in a of (Gamma(a+1) - x^a) / a: fixed values Euler's constant and zeta(2).
-        euler, z2 = 0.5772156649015329, math.pi**2 / 6
-        lead = -euler - log_x + a * ((z2 + euler**2) / 2 - log_x**2 / 2)
+        # Series in a of (Gamma(a+1) - x^a) / a, with Euler's constant and zeta(2).
+        lead = -EULER - log_x + a * ((math.pi**2 / 6 + EULER**2) / 2 - log_x**2 / 2)
     else:
         lead = (math.gamma(a + 1) - 1 - np.expm1(a * log_x)) / a
     term, total = np.ones_like(x), np.zeros_like(x)
@@ -109,25 +110,73 @@ def tapered_delay_of(u: np.ndarray, c: float, omega: float, tau: float) -> np.nd
     return inverse_upper_gamma(-omega, (1 - np.asarray(u, float)) * upper_gamma(-omega, np.array(c / tau))) * tau - c
 
 
-def time_integral(start: Column, end: Column | None, c: float, omega: float, tau: float) -> Column:
-    """Column form of ``tapered_time_integral``."""
-    forever = end is None
+#: Where the column form of the incomplete gamma function passes from its series to its fraction, and their terms.
+SPLIT, SERIES_TERMS, FRACTION_TERMS = 3.0, 40, 28
 
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(tapered_time_integral(a.to_numpy(float), None if forever else b.to_numpy(float), c, omega, tau))
 
-    return run(start, start if forever else end)
+def upper_gamma_of(a: float, x: Column) -> Column:
+    """Column form of ``upper_gamma`` for positive ``x``: a polynomial, or a continued fraction of fixed length, from its end.
+
+    ``a`` is a number, so the polynomial's coefficients are too. Relative error below 1e-11 for ``a`` above -1.
+    """
+    if a < -0.5:
+        return (upper_gamma_of(a + 1, x) - F.exp(a * F.log(x) - x)) / a
+    series = F.lit(0.0)
+    for k in range(SERIES_TERMS, 0, -1):
+        series = (series + F.lit((-1.0) ** k / (math.factorial(k) * (a + k)))) * x
+    log_x = F.log(x)
+    if abs(a) < 1e-5:
+        lead = F.lit(-EULER + a * (math.pi**2 / 6 + EULER**2) / 2) - log_x - F.lit(a / 2) * log_x * log_x
+    else:
+        lead = (F.lit(math.gamma(a + 1) - 1) - F.expm1(a * log_x)) / a
+    below = lead - F.exp(a * F.log(x)) * series
+    fraction = F.lit(0.0)
+    for k in range(FRACTION_TERMS, 0, -1):
+        fraction = F.lit(float(k * (k - a))) / (x + (2 * k + 1 - a) - fraction)
+    above = F.exp(a * F.log(x) - x) / (x + (1 - a) - fraction)
+    return F.when(x < SPLIT, below).otherwise(above)
+
+
+#: Steps of the column form of the inverse; each squares the error once it is small.
+INVERSE_STEPS = 12
+
+
+def inverse_upper_gamma_of(a: float, y: Column) -> Column:
+    """Column form of ``inverse_upper_gamma`` for ``a`` above -1: Newton's steps on the logarithm of the function.
+
+    The start leaves the series out, which makes the function too small, so it lies below the
+    root (for ``a`` about 0 it is as near); the logarithm is convex, so the steps rise to the root and never pass it.
+    """
+    if a <= -1:
+        raise ValueError("the column form of the inverse needs an exponent above -1")
+    start = F.exp(F.lit(-EULER) - y) if abs(a) < 1e-5 else F.pow(F.greatest(F.lit(math.gamma(a + 1)) - a * y, F.lit(1e-300)), F.lit(1 / a))
+
+    def step(s: Column, _: Column) -> Column:
+        value = upper_gamma_of(a, s.x)
+        return F.struct((s.x + value * F.log(value / s.y) * F.exp(s.x - (a - 1) * F.log(s.x))).alias("x"), s.y.alias("y"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(INVERSE_STEPS)), F.struct(start.alias("x"), y.alias("y")), step, lambda s: s.x)
+
+
+def time_integral(start: Column, end: Column | None, c: float, omega: float, tau: float) -> Column:
+    """Column form of ``tapered_time_integral``."""
+    if tau == math.inf:
+        at = lambda t: F.pow(t + c, F.lit(-omega)) / omega if omega else -F.log(t + c)
+        return at(start) if end is None else at(start) - at(end)
+    total = upper_gamma_of(-omega, (start + c) / tau)
+    if end is not None:
+        total = total - upper_gamma_of(-omega, (end + c) / tau)
+    return F.lit(math.exp(c / tau) * tau**-omega) * total
 
 
 def delay_of(u: Column, c: float, omega: float, tau: float) -> Column:
     """Column form of ``tapered_delay_of``."""
+    return inverse_upper_gamma_of(-omega, (1 - u) * F.lit(float(upper_gamma(-omega, np.array(c / tau))))) * tau - c
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(tapered_delay_of(x.to_numpy(float), c, omega, tau))
 
-    return run(u)
+def delay_cdf(days: Column, c: float, omega: float, tau: float) -> Column:
+    """Share of direct offspring that have come by a delay, tapered."""
+    return time_integral(F.lit(0.0), days, c, omega, tau) / F.lit(float(tapered_time_integral(np.array([0.0]), None, c, omega, tau)[0]))
 
 
 def kolmogorov_p(statistic: float, n1: int, n2: int | None = None) -> float:

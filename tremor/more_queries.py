@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from .functions import geo, params, rng
+from .functions import geo, params, rng, special
 from .functions import kernels as K
 from .operators import filters, pairs, stats
 from .plans import evaluation, inversion, runs, simulation
-from .registered import AREA, AUX, BETA, CALIFORNIA, DM, END, FREE_TAU, KM_LAT_SQL, M_LOW, PAIR_MC, START, TEST_END, THETA, events, hav_sql, id_sql, km_lon_sql, no_double_exponent, pip_sql, query, r6, r6s, u_sql
+from .registered import AREA, AUX, BETA, CALIFORNIA, DM, END, FREE_TAU, KM_LAT_SQL, M_LOW, PAIR_MC, START, TEST_END, THETA, events, hav_sql, id_sql, km_lon_sql, no_double_exponent, pip_sql, query, r6, r6s, u_sql, upper_gamma_sql
 from .sources import catalog as cat
 from .sources.stage import stage_folder
 
@@ -277,6 +278,48 @@ def log_likelihood(spark, sf_dir):
     return spark.createDataFrame([(math.floor(value * 1e3 + 0.5) / 1e3,)], "value double")
 
 
+def _gradient_sql() -> str:
+    """Value, gradient and information over the parameters, each for each source."""
+    names, ln10 = [n for n in inversion.FREE if n != "log10_tau"], f"{math.log(10)!r}e0"
+    c, w, rho = (f"{x!r}e0" for x in (_T.c, _T.omega, _T.rho))
+    pull = f"({rho} - {1 + _T.rho!r}e0 * zone / (d * d + zone))"
+    of_pairs = ["0e0", "0e0", f"{_T.omega * math.log(10)!r}e0 - {(1 + _T.omega) * math.log(10) * _T.c!r}e0 / (dt + {c})", f"{math.log(_T.c) + 1 / _T.omega!r}e0 - ln(dt + {c})", f"{ln10} * {pull}", f"big * {pull}", f"1e0 / {rho} + ln(zone) - ln(d * d + zone)"]
+    steep = lambda x: f"-pow({x} + {c}, -{w}) / {w} * (ln({x} + {c}) + 1e0 / {w})"
+    of_sources = [ln10, "big", f"(pow(z + {c}, {-(1 + _T.omega)!r}e0) - pow(s + {c}, {-(1 + _T.omega)!r}e0)) / i * {ln10} * {c}", f"({steep('s')} - ({steep('z')})) / i", f"-{rho} * {ln10}", f"-{rho} * big", f"-1e0 / {rho} - ln(zone)"]
+    density = f"{math.log(_T.rho / math.pi)!r}e0 + {rho} * ln(zone) - {1 + _T.rho!r}e0 * ln(d * d + zone) - {1 + _T.omega!r}e0 * ln(dt + {c}) - {math.log(_T.c**-_T.omega / _T.omega)!r}e0"
+    n = len(names)
+    both = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def sums(value: str, pull_: str, mass: str) -> str:
+        parts = [f"sum({value}) AS v", *[f"sum({pull_} * s{i}) AS g{i}" for i in range(n)], *[f"sum({mass} * s{i} * s{j}) AS h{i}_{j}" for i, j in both]]
+        return ", ".join(parts)
+
+    slopes = lambda xs: ", ".join(f"{x} AS s{i}" for i, x in enumerate(xs))
+    cells = ["v", *[f"g{i}" for i in range(n)], *[f"h{i}_{j}" for i, j in both]]
+    firsts, seconds = ["", *names, *[names[i] for i, _ in both]], ["", *[""] * n, *[names[j] for _, j in both]]
+    value = ", ".join(r6s(f"(a.{x} + b.{x}) / (SELECT count(*) FROM ev)") for x in cells)
+    return no_double_exponent(
+        _flow_sql(more=_SOURCES)
+        + f""", pz AS (SELECT *, m - {_LOW!r}e0 AS big, {_ZONE} AS zone FROM pij), ps AS (SELECT p, {density} AS f, {slopes(of_pairs)} FROM pz), a AS (SELECT {sums("p * f", "p", "p")} FROM ps),
+sz AS (SELECT *, m - {_LOW!r}e0 AS big, {_ZONE} AS zone, greatest({START!r}e0 - days, 0e0) AS s, {END!r}e0 - days AS z, {_EXPECTED} AS gg FROM src), si AS (SELECT *, (pow(s + {c}, -{w}) - pow(z + {c}, -{w})) / {w} AS i FROM sz),
+ss AS (SELECT l, gg, -lgamma(l + 1e0) - gg + l * ln(gg) AS f, {slopes(of_sources)} FROM si), b AS (SELECT {sums("f", "(l - gg)", "gg")} FROM ss)
+SELECT unnest({firsts}) AS a, unnest({seconds}) AS b, unnest([{value}]) AS value FROM a, b"""
+    )
+
+
+@query(_gradient_sql())
+def em_gradient(spark, sf_dir):
+    """Log likelihood, gradient and information of a maximisation step in one pass, for each source; the first two names are empty for these."""
+    p = _free(spark, sf_dir)
+    e = inversion.expectation(p, _T)
+    e = inversion.Expected(e.pairs.withColumn("weight", F.col("p") * F.col("zeta")), e.targets, e.sources)
+    found, n = inversion.curvature(e, _T, _LOW), p.sources.count()
+    kept = [i for i, name in enumerate(inversion.FREE) if name != "log10_tau"]
+    names = inversion.FREE
+    rows = [("", "", found.value), *[(names[i], "", found.gradient[i]) for i in kept], *[(names[i], names[j], found.information[i, j]) for i in kept for j in kept if i <= j]]
+    return spark.createDataFrame([(a, b, math.floor(float(x) / n * 1e6 + 0.5) / 1e6) for a, b, x in rows], "a string, b string, value double")
+
+
 @query(no_double_exponent(_flow_sql(more=_SOURCES) + f" SELECT source_id, {r6s('-lgamma(l + 1e0) - gg + l * ln(gg)')} AS term FROM (SELECT *, {_EXPECTED} AS gg FROM src)"))
 def poisson_terms(spark, sf_dir):
     """Poisson log term of each source's aftershocks."""
@@ -638,17 +681,26 @@ _P = K.Theta(log10_mu=-4.0, log10_k0=-2.2, omega=0.1, log10_tau=math.inf)
 _PROCESS = simulation.Process(_P, 2.3, 2.5)
 
 
-def _generation_sql(inflate: str, after: float, end: float) -> str:
+def _generation_sql(inflate: str, after: float, end: float, t: K.Theta = _P) -> str:
     """Offspring of the whole catalog, as ``simulation.aftershocks`` makes them."""
-    zone = f"{_P.d!r}e0 * exp({_P.gamma!r}e0 * (magnitude - {M_LOW!r}e0))"
-    whole = f"{_P.k0 * math.pi / _P.rho * _P.c**-_P.omega / _P.omega!r}e0 * exp({_P.a!r}e0 * (magnitude - {M_LOW!r}e0)) * pow({zone}, {-_P.rho!r}e0) * {inflate}"
+    zone = f"{t.d!r}e0 * exp({t.gamma!r}e0 * (magnitude - {M_LOW!r}e0))"
+    integral = float(special.tapered_time_integral(np.zeros(1), None, t.c, t.omega, t.tau)[0])
+    whole = f"{t.k0 * math.pi / t.rho * integral!r}e0 * exp({t.a!r}e0 * (magnitude - {M_LOW!r}e0)) * pow({zone}, {-t.rho!r}e0) * {inflate}"
     own = lambda use: u_sql(_SEED, "eid", f"'{use}'")
+    if t.tau == math.inf:
+        delays = f"t AS (SELECT *, pow(1e0 - {own('time')}, {-1 / t.omega!r}e0) * {t.c!r}e0 - {t.c!r}e0 AS delay FROM q)"
+    else:  # Newton's steps on the logarithm of the incomplete gamma function, from below
+        a = -t.omega
+        low = f"pow({math.gamma(a + 1)!r}e0 - ({a!r}e0) * y, {1 / a!r}e0)"
+        steps = [f"x0 AS (SELECT *, {low} AS x FROM (SELECT *, (1e0 - {own('time')}) * {float(special.upper_gamma(a, np.array(t.c / t.tau)))!r}e0 AS y FROM q))"]
+        steps += [f"x{i + 1} AS (SELECT * EXCLUDE (x, v), x + v * ln(v / y) * exp(x - ({a - 1!r}e0) * ln(x)) AS x FROM (SELECT *, {upper_gamma_sql(a, 'x')} AS v FROM x{i}))" for i in range(14)]
+        delays = ", ".join(steps) + f", t AS (SELECT *, x * {t.tau!r}e0 - {t.c!r}e0 AS delay FROM x14)"
     return no_double_exponent(f""", s AS (SELECT *, {whole} AS mean, {zone} AS zone FROM cat WHERE days <= {TEST_END!r}e0), p AS (SELECT *, unnest(range(greatest(1, CAST(ceil(mean / 50e0) AS BIGINT)))) AS part, mean / greatest(1, ceil(mean / 50e0)) AS each FROM s),
 d AS (SELECT each, k, sum(exp(-each + k * ln(each) - lgamma(k + 1e0))) OVER (PARTITION BY each ORDER BY k) AS cdf FROM (SELECT DISTINCT each FROM p), range(0, 170) AS g(k)),
 n AS (SELECT u.id, u.part, count(d.k) AS n FROM (SELECT id, part, each, {u_sql(_SEED, "'0'", 'id', "'n'", 'part')} AS u FROM p) u JOIN d ON d.each = u.each AND u.u >= d.cdf GROUP BY 1, 2),
-o AS (SELECT p.*, unnest(range(1, n + 1)) AS k FROM p JOIN n USING (id, part)), q AS (SELECT *, {id_sql(_SEED, "'0'", 'id', 'part', 'k')} AS eid FROM o),
-t AS (SELECT *, days + pow(1e0 - {own('time')}, {-1 / _P.omega!r}e0) * {_P.c!r}e0 - {_P.c!r}e0 AS t, sqrt(zone * (pow(1e0 - {own('radius')}, {-1 / _P.rho!r}e0) - 1e0)) AS r, {2 * math.pi!r}e0 * {own('angle')} AS angle, -ln(1e0 - {own('mag')}) / 2.3e0 + {M_LOW!r}e0 AS m FROM q)
-SELECT eid AS id, id AS parent_id, {r6s('t')} AS days, {r6s(f'latitude + r * cos(angle) / {KM_LAT_SQL}')} AS latitude, {r6s(f'longitude + r * sin(angle) / greatest({km_lon_sql("latitude")}, 1e-6)')} AS longitude, {r6s('m')} AS magnitude FROM t WHERE t <= {end!r}e0 AND t > {after!r}e0 AND abs(latitude + r * cos(angle) / {KM_LAT_SQL}) <= 90e0""")
+o AS (SELECT p.*, unnest(range(1, n + 1)) AS k FROM p JOIN n USING (id, part)), q AS (SELECT *, {id_sql(_SEED, "'0'", 'id', 'part', 'k')} AS eid FROM o), {delays},
+w AS (SELECT *, days + delay AS t, sqrt(zone * (pow(1e0 - {own('radius')}, {-1 / t.rho!r}e0) - 1e0)) AS r, {2 * math.pi!r}e0 * {own('angle')} AS angle, -ln(1e0 - {own('mag')}) / 2.3e0 + {M_LOW!r}e0 AS m FROM t)
+SELECT eid AS id, id AS parent_id, {r6s('t')} AS days, {r6s(f'latitude + r * cos(angle) / {KM_LAT_SQL}')} AS latitude, {r6s(f'longitude + r * sin(angle) / greatest({km_lon_sql("latitude")}, 1e-6)')} AS longitude, {r6s('m')} AS magnitude FROM w WHERE t <= {end!r}e0 AND t > {after!r}e0 AND abs(latitude + r * cos(angle) / {KM_LAT_SQL}) <= 90e0""")
 
 
 def _offspring(df):
@@ -662,6 +714,16 @@ def offspring_untapered(spark, sf_dir):
     return _offspring(simulation.aftershocks(c, _PROCESS, TEST_END + 10))
 
 
+_TAPERED_PROCESS = simulation.Process(K.Theta(log10_k0=-2.8), 2.3, 2.5)
+
+
+@query(_generation_sql("1e0", AUX - 1, TEST_END + 10, _TAPERED_PROCESS.theta))
+def one_generation(spark, sf_dir):
+    """Offspring of every event within ten days, with taper."""
+    c = events(spark, sf_dir).withColumns({"catalog_id": F.lit(0).cast("long"), "root_id": F.col("id"), "generation": F.lit(0)})
+    return _offspring(simulation.aftershocks(c, _TAPERED_PROCESS, TEST_END + 10))
+
+
 @query(_generation_sql("CASE WHEN latitude < 37e0 THEN 1e0 ELSE 1.5e0 END", TEST_END, TEST_END + 10))
 def history_offspring(spark, sf_dir):
     """Offspring of the past in a forecast's window, its productivity inflated where completeness hides events."""

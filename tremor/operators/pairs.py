@@ -37,14 +37,17 @@ def within_radius(sources: DataFrame, targets: DataFrame, radius_km: Column) ->
     """Pairs of ``sources`` and ``targets`` (each with ``latitude``, ``longitude``) at most ``radius_km`` apart.
 
     Columns are those of both frames with the prefixes ``source_`` and ``target_``, and
-    ``distance_km``. ``radius_km`` is an expression of ``sources``. Rows without a place or
+    ``distance_km``. ``radius_km`` is an expression of ``sources``. Targets are dealt only to classes that have sources. Rows without a place or
     radius have no pairs.
     """
     size = lambda k: F.lit(SMALLEST_KM / KM_PER_DEGREE * 1.001) * F.pow(F.lit(FACTOR), k)
     kind = F.greatest(F.lit(0), F.least(F.lit(LARGEST_CLASS), F.ceil(F.log(F.greatest(radius_km, F.lit(1e-9)) / SMALLEST_KM) / math.log(FACTOR)))).cast("int")
-    s = sources.select(*[F.col(c).alias(f"source_{c}") for c in sources.columns], radius_km.alias("_radius"), kind.alias("_kind"))
+    # Dealt evenly, as a few tasks would otherwise make all pairs where the targets are broadcast.
+    s = sources.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    s = s.select(*[F.col(c).alias(f"source_{c}") for c in sources.columns], radius_km.alias("_radius"), kind.alias("_kind"))
     s = s.filter("_radius IS NOT NULL AND source_latitude IS NOT NULL AND source_longitude IS NOT NULL")
     h = size(F.col("_kind"))
+    kinds = sources.select(kind.alias("_kind")).filter("_kind IS NOT NULL")
     lat, lon = F.col("source_latitude"), F.col("source_longitude")
     row = F.floor((lat + 90) / h).cast("int")
     s = s.withColumn("_row", F.explode(F.sequence(F.greatest(F.lit(0), row - 1), F.least(_rows(h), row + 1))))
@@ -57,12 +60,24 @@ def within_radius(sources: DataFrame, targets: DataFrame, radius_km: Column) ->
     cells = F.array_distinct(F.transform(F.sequence(cell - span, cell + span), lambda c: F.pmod(c, n)))
     s = s.withColumn("_cell", F.explode(cells))
     t = targets.select(*[F.col(c).alias(f"target_{c}") for c in targets.columns]).filter("target_latitude IS NOT NULL AND target_longitude IS NOT NULL")
-    t = t.withColumn("_kind", F.explode(F.sequence(F.lit(0), F.lit(LARGEST_CLASS))))
+    used = sorted(r[0] for r in kinds.distinct().collect())  # ``LARGEST_CLASS`` + 1 at most
+    t = t.withColumn("_kind", F.explode(F.array(*[F.lit(k) for k in used]) if used else F.array().cast("array<int>")))
     h = size(F.col("_kind"))
     t = t.withColumn("_row", F.floor((F.col("target_latitude") + 90) / h).cast("int"))
     t = t.withColumn("_cell", F.floor(F.pmod(F.col("target_longitude"), F.lit(360.0)) / 360 * _width(F.col("_row"), h)).cast("int"))
+    s, t = _on_sphere(s, "source"), _on_sphere(t, "target")
+    s = s.withColumn("_chord2", 4 * F.pow(F.sin(F.least(F.col("_radius") / (2 * EARTH_RADIUS), F.lit(math.pi / 2))), F.lit(2.0)) * (1 + 1e-9) + 1e-12)
+    # Chords first: the exact distance is worked out for pairs that can be near only.
+    chord2 = sum(((F.col(f"_source_{c}") - F.col(f"_target_{c}")) * (F.col(f"_source_{c}") - F.col(f"_target_{c}")) for c in "xyz"), F.lit(0.0))
     distance = haversine(lat, lon, F.col("target_latitude"), F.col("target_longitude"))
-    return s.join(t, ["_kind", "_row", "_cell"]).withColumn("distance_km", distance).filter("distance_km <= _radius").drop("_kind", "_row", "_cell", "_radius")
+    near = s.join(t, ["_kind", "_row", "_cell"]).filter(chord2 <= F.col("_chord2")).withColumn("distance_km", distance).filter("distance_km <= _radius")
+    return near.drop("_kind", "_row", "_cell", "_radius", "_chord2", *[f"_{side}_{c}" for side in ("source", "target") for c in "xyz"])
+
+
+def _on_sphere(df: DataFrame, side: str) -> DataFrame:
+    """``df`` with the unit vector of its place."""
+    lat, lon = F.radians(f"{side}_latitude"), F.radians(f"{side}_longitude")
+    return df.withColumns({f"_{side}_x": F.cos(lat) * F.cos(lon), f"_{side}_y": F.cos(lat) * F.sin(lon), f"_{side}_z": F.sin(lat)})
 
 
 def pair_table(catalog: DataFrame, start: float, multiplier: float = 100.0, fault: str = "oblique", units_per_km: float | None = None) -> DataFrame:

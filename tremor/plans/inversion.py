@@ -1,9 +1,10 @@
 """Expectation-maximisation of the parameters over the pair table.
 
-The pair table is written once, dealt by target, and read by every step. An expectation
-step is one window over targets and two sums; a maximisation step reduces pairs and
-sources to one value and gradient per evaluation, which has a closed form in all
-parameters but omega, so the driver holds a dozen numbers.
+The pair table is written once, in buckets of targets, and read by every step without an
+exchange. An expectation step is one window over targets, whose rows an iteration writes once,
+and two sums of them. A maximisation step reduces pairs and sources to one value and gradient
+per evaluation, which has a closed form in all parameters but omega, so the driver
+holds a dozen numbers; ``information`` adds the curvature, and standard errors from it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from ..functions.special import gammaln, tapered_time_integral
 from ..operators.filters import complete, in_hull, in_region, lowered_reference
 from ..operators.pairs import pair_table
 from ..operators.stats import estimate_beta, estimate_beta_positive
-from ..sources.stage import materialized, released
+from ..sources.stage import dealt, materialized, released
 
 
 @dataclass
@@ -54,6 +55,8 @@ class Setup:
     facets: tuple | None = None
     #: Called with the parameters by name after each trial step; returns those that it replaces.
     constraint: Callable[[dict[str, float]], dict[str, float]] | None = None
+    #: Buckets of the pair table; the session's shuffle partitions if None.
+    buckets: int | None = None
 
     @property
     def m_low(self) -> float:
@@ -111,14 +114,23 @@ def prepared(catalog: DataFrame, setup: Setup) -> Prepared:
     if setup.inner_ring is not None:
         pairs = pairs.join(in_region(rows, setup.inner_ring).select(F.col("id").alias("target_id")), "target_id", "left_semi")
     pairs = pairs.withColumns({"source_mc_above": F.col("source_mc") - low, "target_mc_above": F.col("target_mc") - low})
-    return Prepared(materialized(pairs.repartition("target_id")), materialized(targets), materialized(sources), beta, setup)
+    return Prepared(dealt(pairs, "target_id", setup.buckets), dealt(targets, "id", setup.buckets), materialized(sources), beta, setup)
+
+
+#: A number for each source is sent to all tasks up to so many sources (16 bytes each); beyond, pairs are joined with it by a shuffle.
+SENT_ROWS = 1_000_000
+
+
+def _by_source(pairs: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
+    """``pairs`` with ``numbers`` (source_id, ...)."""
+    return pairs.join(F.broadcast(numbers) if numbers.count() <= SENT_ROWS else numbers, "source_id", how)
 
 
 def pair_rates(p: Prepared, t: Theta, kappa: DataFrame | None = None) -> DataFrame:
     """Pairs with ``g`` (kernel), ``xi`` and ``zeta``; ``kappa`` (source_id, kappa) replaces the productivity law."""
     pairs, number = p.pairs, None
     if kappa is not None:
-        pairs = pairs.join(kappa, "source_id", "left")
+        pairs = _by_source(pairs, kappa, "left")
         number = F.coalesce("kappa", F.lit(0.0))
     g = K.triggering(F.col("time_distance"), F.col("spatial_distance_squared"), F.col("source_magnitude"), t, p.setup.m_low, number)
     return pairs.withColumns({"g": g, "xi": K.xi_plus_1(F.col("source_mc_above"), t, p.beta), "zeta": K.zeta_plus_1(F.col("target_mc_above"), p.beta)})
@@ -127,7 +139,7 @@ def pair_rates(p: Prepared, t: Theta, kappa: DataFrame | None = None) -> DataFra
 def smoothed_background(p: Prepared, p_background: DataFrame) -> DataFrame:
     """(target_id, mu): Gaussian smoothing of the sources' background probabilities over pairs, and the event's own."""
     w = F.exp(-F.col("spatial_distance_squared") / (2 * p.setup.bandwidth2)) / (2 * math.pi * p.setup.bandwidth2)
-    near = p.pairs.join(p_background.select(F.col("target_id").alias("source_id"), "p_background"), "source_id").groupBy("target_id").agg(F.sum(w * F.col("p_background")).alias("s"))
+    near = _by_source(p.pairs, p_background.select(F.col("target_id").alias("source_id"), "p_background"), "inner").groupBy("target_id").agg(F.sum(w * F.col("p_background")).alias("s"))
     own = F.col("p_background") / (2 * math.pi * p.setup.bandwidth2)
     return p_background.join(near, "target_id", "left").select("target_id", ((F.coalesce("s", F.lit(0.0)) + own) / p.setup.days).alias("mu"))
 
@@ -139,23 +151,25 @@ class Expected:
     sources: DataFrame
 
 
-def expectation(p: Prepared, t: Theta, kappa: DataFrame | None = None, mu: DataFrame | None = None) -> Expected:
-    """Triggering and background probabilities and expected aftershocks of sources.
-
-    Targets of the pair stage include the start of the window, those of the totals do
-    not. Targets without a pair are background; a missing sum is 0.
-    """
-    rates = pair_rates(p, t, kappa)
-    base = F.lit(t.mu)
+def _targets(p: Prepared, t: Theta, mu: DataFrame | None) -> DataFrame:
+    """Targets with their background rate ``mu`` and ``induced`` rate."""
     targets = p.targets.withColumnRenamed("id", "target_id")
-    targets = targets.withColumn("mu", base) if mu is None else targets.join(mu, "target_id", "left").withColumn("mu", F.coalesce("mu", F.lit(0.0)))
-    targets = targets.withColumn("induced", F.lit(t.iota) * F.col("bg_term") if p.setup.bg_term else F.lit(0.0))
-    rates = rates.join(targets.select("target_id", "mu", "induced"), "target_id")
+    targets = targets.withColumn("mu", F.lit(t.mu)) if mu is None else targets.join(mu, "target_id", "left").withColumn("mu", F.coalesce("mu", F.lit(0.0)))
+    return targets.withColumn("induced", F.lit(t.iota) * F.col("bg_term") if p.setup.bg_term else F.lit(0.0))
+
+
+def probabilities(p: Prepared, t: Theta, kappa: DataFrame | None = None, mu: DataFrame | None = None) -> DataFrame:
+    """``pair_rates`` of the totals' targets with ``total``, the target's whole rate, and ``p``, the source's share of it."""
+    rates = pair_rates(p, t, kappa).join(_targets(p, t, mu).select("target_id", "mu", "induced"), "target_id")
     total = F.sum(F.col("g") * F.col("xi")).over(W.partitionBy("target_id")) + F.col("mu") + F.col("induced")
-    pij = rates.withColumn("total", total).withColumn("p", F.col("g") / F.col("total"))
+    return rates.withColumn("total", total).withColumn("p", F.col("g") / F.col("total"))
+
+
+def gathered(p: Prepared, pij: DataFrame, t: Theta, mu: DataFrame | None = None) -> Expected:
+    """Targets' and sources' sums of ``probabilities``, which may have been written."""
     by_target = pij.groupBy("target_id").agg(F.sum("p").alias("p_triggered"), F.max("total").alias("total"))
     zeta = K.zeta_plus_1(F.col("mc_above"), p.beta)
-    out = targets.join(by_target, "target_id", "left").withColumns(
+    out = _targets(p, t, mu).join(by_target, "target_id", "left").withColumns(
         {"p_triggered": F.coalesce("p_triggered", F.lit(0.0)), "p_background": F.coalesce(F.col("mu") / F.col("total"), F.lit(1.0)), "p_induced": F.coalesce(F.col("induced") / F.col("total"), F.lit(0.0)), "zeta": zeta}
     )
     l_hat = pij.groupBy("source_id").agg(F.sum(F.col("p") * F.col("zeta")).alias("l_hat"))
@@ -163,6 +177,15 @@ def expectation(p: Prepared, t: Theta, kappa: DataFrame | None = None, mu: DataF
     return Expected(pij, out, sources)
 
 
+def expectation(p: Prepared, t: Theta, kappa: DataFrame | None = None, mu: DataFrame | None = None) -> Expected:
+    """Triggering and background probabilities and expected aftershocks of sources.
+
+    Targets of the pair stage include the start of the window, those of the totals do
+    not. Targets without a pair are background; a missing sum is 0.
+    """
+    return gathered(p, probabilities(p, t, kappa, mu), t, mu)
+
+
 def totals(e: Expected) -> DataFrame:
     """One row: expected background and induced events."""
     return e.targets.agg(F.sum(F.col("p_background") * F.col("zeta")).alias("n_hat"), F.sum(F.col("p_induced") * F.col("zeta")).alias("i_hat"))
@@ -178,7 +201,7 @@ def _time_parts(start: np.ndarray, end: np.ndarray | None, t: Theta) -> tuple[np
     """The decay's integral between two delays and its derivatives by c, omega and tau.
 
     With f = exp(-t/tau) (t+c)^-(1+omega), parts give dI/dc = [f] + I/tau and
-    dI/dtau = -([f (t+c)] + omega I + c I / tau) / tau; dI/domega is a central difference.
+    dI/dtau = -([f (t+c)] + omega I + c I / tau) / tau; dI/domega is closed without a taper, else a central difference.
     """
     whole = tapered_time_integral(start, end, t.c, t.omega, t.tau)
 
@@ -190,6 +213,16 @@ def _time_parts(start: np.ndarray, end: np.ndarray | None, t: Theta) -> tuple[np
         return taper * (x + t.c) ** -power
 
     by_c = f(end, 1 + t.omega) - f(start, 1 + t.omega) + (0.0 if t.tau == math.inf else whole / t.tau)
+    if t.tau == math.inf and t.omega:
+
+        def slope(x: np.ndarray | None) -> np.ndarray | float:
+            """By omega, of (x + c)^-omega / omega."""
+            if x is None:
+                return 0.0
+            x = np.asarray(x, float)
+            return -((x + t.c) ** -t.omega) / t.omega * (np.log(x + t.c) + 1 / t.omega)
+
+        return whole, by_c, slope(start) - slope(end), np.zeros_like(whole)
     by_tau = np.zeros_like(whole) if t.tau == math.inf else -(f(end, t.omega) - f(start, t.omega) + t.omega * whole + t.c * whole / t.tau) / t.tau
     h = 1e-6
     by_omega = (tapered_time_integral(start, end, t.c, t.omega + h, t.tau) - tapered_time_integral(start, end, t.c, t.omega - h, t.tau)) / (2 * h)
@@ -202,8 +235,8 @@ def _by_time(parts: tuple, t: Theta, over: np.ndarray) -> list[np.ndarray]:
     return [by_c / over * LN10 * t.c, by_omega / over, np.zeros_like(over) if t.tau == math.inf else by_tau / over * LN10 * t.tau]
 
 
-def source_terms(values: np.ndarray, m: np.ndarray, start: np.ndarray, end: np.ndarray, l_hat: np.ndarray, m_low: float) -> np.ndarray:
-    """Sum of the Poisson log terms of the sources' aftershock numbers, and its gradient."""
+def _source_parts(values: np.ndarray, m: np.ndarray, start: np.ndarray, end: np.ndarray, l_hat: np.ndarray, m_low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Poisson log terms of the sources' aftershock numbers, the expected numbers, l_hat less these, and the slopes of their logarithm over ``FREE``."""
     t = Theta(0.0, None, *values.tolist())
     big = m - m_low
     parts = _time_parts(start, end, t)
@@ -211,15 +244,13 @@ def source_terms(values: np.ndarray, m: np.ndarray, start: np.ndarray, end: np.n
     g = t.k0 * np.exp(t.a * big) * math.pi / t.rho * zone**-t.rho * np.maximum(parts[0], 0.0)
     some = g > 0
     log_g = np.where(some, np.log(np.where(some, g, 1.0)), -300.0)
-    value = (-gammaln(l_hat + 1) - g + l_hat * log_g).sum()
-    pull = np.where(some, l_hat - g, 0.0)
     over = np.where(parts[0] > 0, parts[0], 1.0)
     slopes = [np.full_like(m, LN10), big, *_by_time(parts, t, over), np.full_like(m, -t.rho * LN10), -t.rho * big, -1 / t.rho - np.log(zone)]
-    return np.array([value, *[(pull * s).sum() for s in slopes]])
+    return -gammaln(l_hat + 1) - g + l_hat * log_g, g, np.where(some, l_hat - g, 0.0), slopes
 
 
-def pair_terms(values: np.ndarray, m: np.ndarray, dt: np.ndarray, r2: np.ndarray, weight: np.ndarray, m_low: float) -> np.ndarray:
-    """Weighted sum of the log densities of the pairs' delays and squared distances, and its gradient."""
+def _pair_parts(values: np.ndarray, m: np.ndarray, dt: np.ndarray, r2: np.ndarray, m_low: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Log densities of the pairs' delays and squared distances, and their slopes over ``FREE`` from log10_c on."""
     t = Theta(0.0, None, *values.tolist())
     big = m - m_low
     zone = t.d * np.exp(t.gamma * big)
@@ -232,10 +263,35 @@ def pair_terms(values: np.ndarray, m: np.ndarray, dt: np.ndarray, r2: np.ndarray
     by_c, by_omega, by_tau = (float(x[0]) for x in _by_time(whole, t, whole[0]))
     pull = t.rho - (1 + t.rho) * zone / near
     of_tau = np.zeros_like(dt) if t.tau == math.inf else LN10 * dt / t.tau - by_tau
-    slopes = [-(1 + t.omega) * LN10 * t.c / (dt + t.c) - by_c, -log_time - by_omega, of_tau, LN10 * pull, big * pull, 1 / t.rho + log_zone - log_near]
+    return density, [-(1 + t.omega) * LN10 * t.c / (dt + t.c) - by_c, -log_time - by_omega, of_tau, LN10 * pull, big * pull, 1 / t.rho + log_zone - log_near]
+
+
+def source_terms(values: np.ndarray, m: np.ndarray, start: np.ndarray, end: np.ndarray, l_hat: np.ndarray, m_low: float) -> np.ndarray:
+    """Sum of the Poisson log terms of the sources' aftershock numbers, and its gradient."""
+    value, _, pull, slopes = _source_parts(values, m, start, end, l_hat, m_low)
+    return np.array([value.sum(), *[(pull * s).sum() for s in slopes]])
+
+
+def pair_terms(values: np.ndarray, m: np.ndarray, dt: np.ndarray, r2: np.ndarray, weight: np.ndarray, m_low: float) -> np.ndarray:
+    """Weighted sum of the log densities of the pairs' delays and squared distances, and its gradient."""
+    density, slopes = _pair_parts(values, m, dt, r2, m_low)
     return np.array([(weight * density).sum(), 0.0, 0.0, *[(weight * s).sum() for s in slopes]])
 
 
+def source_information(values: np.ndarray, m: np.ndarray, start: np.ndarray, end: np.ndarray, l_hat: np.ndarray, m_low: float) -> np.ndarray:
+    """``source_terms``, and row by row the expected information of the Poisson numbers: their means times products of slopes."""
+    value, g, pull, slopes = _source_parts(values, m, start, end, l_hat, m_low)
+    s = np.stack(slopes)
+    return np.concatenate(([value.sum()], s @ pull, ((s * g) @ s.T).ravel()))
+
+
+def pair_information(values: np.ndarray, m: np.ndarray, dt: np.ndarray, r2: np.ndarray, weight: np.ndarray, m_low: float) -> np.ndarray:
+    """``pair_terms``, and row by row the information of the densities: weighted products of slopes."""
+    density, slopes = _pair_parts(values, m, dt, r2, m_low)
+    s = np.stack([np.zeros_like(m), np.zeros_like(m), *slopes])
+    return np.concatenate(([(weight * density).sum()], s @ weight, ((s * weight) @ s.T).ravel()))
+
+
 PAIR_COLUMNS, SOURCE_COLUMNS = ("source_magnitude", "time_distance", "spatial_distance_squared", "weight"), ("source_magnitude", "to_start", "to_end", "l_hat")
 
 
@@ -267,25 +323,58 @@ class Objective:
         return float(got[0]), got[1:]
 
     def _summed(self, values: np.ndarray) -> np.ndarray:
-        m_low, size = self.m_low, len(FREE) + 1
+        return _summed(self.e, values, self.m_low, pair_terms, None if self.pairs_only else source_terms, len(FREE) + 1)
+
+
+def _summed(e: Expected, values: np.ndarray, m_low: float, of_pairs: Callable, of_sources: Callable | None, size: int) -> np.ndarray:
+    """``size`` sums over pairs and sources in one pass of each."""
+
+    def over(terms, names):
+        def run(batches):
+            sums = np.zeros(size)
+            for b in batches:
+                with np.errstate(all="ignore"):
+                    sums = sums + terms(values, *[b.column(c).to_numpy(zero_copy_only=False) for c in names], m_low)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(sums)], ["i", "v"])
+
+        return run
+
+    parts = e.pairs.select(*PAIR_COLUMNS).mapInArrow(over(of_pairs, PAIR_COLUMNS), "i long, v double")
+    if of_sources is not None:
+        parts = parts.union(e.sources.select(*SOURCE_COLUMNS).mapInArrow(over(of_sources, SOURCE_COLUMNS), "i long, v double"))
+    got = np.zeros(size)
+    for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():  # ``size`` rows
+        got[r.i] = r.v
+    return got
+
+
+@dataclass
+class Curvature:
+    """Log likelihood, gradient and information over ``FREE`` of an expectation's pairs and sources, at ``theta``.
+
+    The information is that of the complete data: of the parameters if each event's parent were
+    known with the given probabilities. What is not known of the parents can only add to the errors.
+    """
+
+    theta: Theta
+    value: float
+    gradient: np.ndarray
+    information: np.ndarray
 
-        def over(terms, names):
-            def run(batches):
-                sums = np.zeros(size)
-                for b in batches:
-                    with np.errstate(all="ignore"):
-                        sums = sums + terms(values, *[b.column(c).to_numpy(zero_copy_only=False) for c in names], m_low)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(sums)], ["i", "v"])
+    def standard_errors(self, setup: Setup) -> dict[str, float]:
+        """Of the parameters that are free in ``setup`` and not at a bound; roots of the inverse's diagonal."""
+        now = np.array([getattr(self.theta, n) for n in FREE], float)
+        still = {*setup.fixed, *(("a",) if setup.alpha_is_beta else ()), *(("log10_k0", "a") if setup.free_productivity else ())}
+        free = [i for i, n in enumerate(FREE) if n not in still and RANGES[2 + i][0] < now[i] < RANGES[2 + i][1]]
+        spread = np.linalg.pinv(self.information[np.ix_(free, free)])
+        return {FREE[i]: math.sqrt(max(0.0, float(spread[k, k]))) for k, i in enumerate(free)}
 
-            return run
 
-        parts = self.e.pairs.select(*PAIR_COLUMNS).mapInArrow(over(pair_terms, PAIR_COLUMNS), "i long, v double")
-        if not self.pairs_only:
-            parts = parts.union(self.e.sources.select(*SOURCE_COLUMNS).mapInArrow(over(source_terms, SOURCE_COLUMNS), "i long, v double"))
-        got = np.zeros(size)
-        for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():  # ``size`` rows
-            got[r.i] = r.v
-        return got
+def curvature(e: Expected, t: Theta, m_low: float, pairs_only: bool = False) -> Curvature:
+    """Value, gradient and information in one pass over pairs and sources; ``e.pairs`` has ``weight``."""
+    n = len(FREE)
+    got = _summed(e, np.array([getattr(t, k) for k in FREE], float), m_low, pair_information, None if pairs_only else source_information, 1 + n + n * n)
+    return Curvature(t, float(got[0]), got[1 : 1 + n], got[1 + n :].reshape(n, n))
 
 
 def log_likelihood(e: Expected, t: Theta, m_low: float) -> float:
@@ -435,9 +524,10 @@ def invert(p: Prepared, t: Theta, tolerance: float = 0.001, most: int = 1000, st
     if setup.free_productivity:
         kappa = materialized(p.sources.select("source_id", K.aftershock_number(F.col("source_magnitude"), t, setup.m_low).alias("kappa")))
     for k in range(most + 1):
-        e = expectation(p, t, kappa, mu)
-        weighted = e.pairs.select("source_id", "target_id", "source_magnitude", "time_distance", "spatial_distance_squared", "p", (F.col("p") * F.col("zeta")).alias("weight"))
-        e = Expected(materialized(weighted), materialized(e.targets), materialized(e.sources))
+        pij = probabilities(p, t, kappa, mu)
+        pij = dealt(pij.select("source_id", "target_id", "source_magnitude", "time_distance", "spatial_distance_squared", "total", "p", "zeta", (F.col("p") * F.col("zeta")).alias("weight")), "target_id", setup.buckets)
+        e = gathered(p, pij, t, mu)
+        e = Expected(pij, materialized(e.targets), materialized(e.sources))
         n_hat, i_hat = totals(e).head()
         if history and history[-1] < tolerance:
             converged = ended

@@ -13,7 +13,7 @@ from .functions import geo, rng
 from .functions import kernels as K
 from .operators import filters, ordered, pairs, stats
 from .plans import evaluation, inversion, simulation
-from .registered import AREA, AUX, BETA, CALIFORNIA, DM, END, FREE_TAU, KM_LAT_SQL, M_LOW, M_REF, PAIR_MC, START, TEST_END, THETA, events, hav_sql, km_lon_sql, pip_sql, query, r6, r6s, u_sql
+from .registered import AREA, AUX, BETA, CALIFORNIA, DM, END, FREE_TAU, KM_LAT_SQL, M_LOW, M_REF, PAIR_MC, START, TEST_END, THETA, events, hav_sql, km_lon_sql, pip_sql, query, r6, r6s, u_sql, upper_gamma_sql
 from .registered import no_double_exponent as _no_double_exponent
 from .sources import catalog as cat
 
@@ -254,7 +254,16 @@ def expected_aftershocks(spark, sf_dir):
     return c.select("id", r6(x).alias("expected"))
 
 
-@query()
+_TAPER = math.exp(THETA.c / THETA.tau) * THETA.tau**-THETA.omega
+
+
+def _tapered_sql(low: str, high: str) -> str:
+    """Aftershocks expected of a column ``m`` with taper; the columns ``low`` and ``high`` are delays plus c, over tau."""
+    number = f"{THETA.k0!r}e0 * exp({THETA.a!r}e0 * (m - {M_LOW!r}e0)) * {math.pi / THETA.rho!r}e0 * pow({THETA.d!r}e0 * exp({THETA.gamma!r}e0 * (m - {M_LOW!r}e0)), {-THETA.rho!r}e0)"
+    return f"{number} * {_TAPER!r}e0 * (({upper_gamma_sql(-THETA.omega, low)}) - ({upper_gamma_sql(-THETA.omega, high)}))"
+
+
+@query(_no_double_exponent(f", x AS (SELECT id, magnitude AS m, (greatest({START!r}e0 - days, 0e0) + {THETA.c!r}e0) / {THETA.tau!r}e0 AS low, ({END!r}e0 - days + {THETA.c!r}e0) / {THETA.tau!r}e0 AS high FROM cat WHERE days < {END!r}e0) SELECT id, {r6s(_tapered_sql('low', 'high'))} AS expected FROM x"))
 def expected_tapered(spark, sf_dir):
     """Aftershocks expected in the window, with taper."""
     from .functions.special import time_integral
@@ -262,7 +271,7 @@ def expected_tapered(spark, sf_dir):
     c = events(spark, sf_dir).filter(F.col("days") < END)
     m = F.col("magnitude")
     x = time_integral(F.greatest(F.lit(START) - F.col("days"), F.lit(0.0)), F.lit(END) - F.col("days"), THETA.c, THETA.omega, THETA.tau)
-    return c.select("id", (K.aftershock_number(m, THETA, M_LOW) * K.space_integral(m, THETA, M_LOW) * x).alias("expected"))
+    return c.select("id", r6(K.aftershock_number(m, THETA, M_LOW) * K.space_integral(m, THETA, M_LOW) * x).alias("expected"))
 
 
 @query(_no_double_exponent(f" SELECT id, {r6s(f'exp({-(THETA.a - BETA - THETA.gamma * THETA.rho)!r}e0 * dmc)')} AS xi_plus_1, {r6s(f'exp({BETA!r}e0 * dmc)')} AS zeta_plus_1 FROM (SELECT id, CASE WHEN latitude < 37e0 THEN 0e0 ELSE 0.1e0 END AS dmc FROM cat)"))
@@ -349,10 +358,30 @@ def poisson_baseline(spark, sf_dir):
     return c.select(r6(s["nll"]).alias("nll"), r6(s["tll"]).alias("tll"), r6(s["sll"]).alias("sll"))
 
 
-@query()
+def _scores_sql() -> str:
+    """Rates and compensators of test events with taper, over all pairs, and their means."""
+    t = THETA
+    number = f"{t.k0!r}e0 * exp({t.a!r}e0 * (m - {M_LOW!r}e0))"
+    zone = f"{t.d!r}e0 * exp({t.gamma!r}e0 * (m - {M_LOW!r}e0))"
+    wide = f"{number} * {math.pi / t.rho!r}e0 * pow({zone}, {-t.rho!r}e0)"
+    decay = f"exp(-dt / {t.tau!r}e0) * pow(dt + {t.c!r}e0, {-(1 + t.omega)!r}e0)"
+    over = lambda x: f"({x} + {t.c!r}e0) / {t.tau!r}e0"
+    return _no_double_exponent(
+        _LIK_SQL
+        + f""", py AS (SELECT *, {wide} AS w, {over('dt')} AS y, {over('0e0')} AS o FROM pp),
+g AS (SELECT id, days, sum({number} * {decay} * pow(d * d + {zone}, {-(1 + t.rho)!r}e0)) AS local, sum(w * {decay}) AS wide, sum(w * {_TAPER!r}e0 * (({upper_gamma_sql(-t.omega, 'o')}) - ({upper_gamma_sql(-t.omega, 'y')}))) AS so_far FROM py GROUP BY 1, 2),
+f AS (SELECT sum(w * {_TAPER!r}e0 * (({upper_gamma_sql(-t.omega, 'o')}) - ({upper_gamma_sql(-t.omega, 'y')}))) AS before FROM (SELECT {wide} AS w, {over(f'{END!r}e0 - days')} AS y, {over('0e0')} AS o FROM (SELECT magnitude AS m, days FROM ev WHERE days < {END!r}e0))),
+r AS (SELECT e.id, e.days, coalesce(local, 0e0) + {t.mu!r}e0 AS lam, coalesce(wide, 0e0) + {t.mu * AREA!r}e0 AS star, coalesce(so_far, 0e0) + {t.mu * AREA!r}e0 * (e.days - {AUX!r}e0) AS total FROM ev e LEFT JOIN g ON e.id = g.id WHERE e.days >= {END!r}e0),
+i AS (SELECT *, total - coalesce(lag(total) OVER (ORDER BY days, id), (SELECT coalesce(before, 0e0) FROM f) + {t.mu * AREA * (END - AUX)!r}e0) AS inc FROM r)
+SELECT {r6s('-avg(ln(lam) - inc)')} AS nll, {r6s('avg(ln(star) - inc)')} AS tll, {r6s('avg(ln(lam) - ln(star))')} AS sll, count(*) AS n FROM i"""
+    )
+
+
+@query(_scores_sql())
 def likelihood_scores(spark, sf_dir):
     """Negative, temporal and spatial log likelihood of test events, tapered."""
-    return evaluation.scores(events(spark, sf_dir), THETA, M_LOW, AREA, AUX, END, TEST_END)
+    s = evaluation.scores(events(spark, sf_dir), THETA, M_LOW, AREA, AUX, END, TEST_END)
+    return s.select(*[r6(F.col(c)).alias(c) for c in ("nll", "tll", "sll")], "n")
 
 
 # --- time, windows, sets
@@ -564,14 +593,6 @@ def untapered_delay(spark, sf_dir):
     return events(spark, sf_dir).select("id", r6(K.untapered_delay_of(u, FREE_TAU)).alias("delay"))
 
 
-@query()
-def one_generation(spark, sf_dir):
-    """Offspring of every event within ten days, with taper."""
-    process = simulation.Process(K.Theta(log10_k0=-2.8), 2.3, 2.5)
-    c = events(spark, sf_dir).withColumns({"catalog_id": F.lit(0).cast("long"), "root_id": F.col("id"), "generation": F.lit(0)})
-    return simulation.aftershocks(c, process, TEST_END + 10)
-
-
 PROCESS = simulation.Process(K.Theta(log10_mu=-6.5, log10_k0=-3.4), 2.3, 2.5)
 
 

@@ -88,6 +88,20 @@ def km_lon_sql(lat: str) -> str:
     return f"{2 * geo.EARTH_RADIUS!r}e0 * asin(abs(cos(radians({lat}))) * {math.sin(math.radians(0.5))!r}e0)"
 
 
+def upper_gamma_sql(a: float, x: str) -> str:
+    """The upper incomplete gamma function of ``x``, a column: its series below 1.5, a continued fraction of 60 terms above."""
+    n = lambda v: f"({v!r}e0)"
+    if a < -0.5:
+        return no_double_exponent(f"(({upper_gamma_sql(a + 1, x)} - pow({x}, {n(a)}) * exp(-{x})) / {n(a)})")
+    series, fraction = "0e0", "0e0"
+    for k in range(30, 0, -1):
+        series = f"({series} + {n((-1.0) ** k / (math.factorial(k) * (a + k)))}) * {x}"
+    for k in range(60, 0, -1):
+        fraction = f"{n(k * (k - a))} / ({x} + {n(2 * k + 1 - a)} - {fraction})"
+    power = f"pow({x}, {n(a)})"
+    return no_double_exponent(f"CASE WHEN {x} < 1.5e0 THEN ({n(math.gamma(a + 1))} - {power}) / {n(a)} - {power} * ({series}) ELSE {power} * exp(-{x}) / ({x} + {n(1 - a)} - {fraction}) END")
+
+
 KM_LAT_SQL = f"{2 * math.pi * geo.EARTH_RADIUS / 360!r}e0"
 
 

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of sessions on one machine, by application.
+_own: dict[str, str] = {}
+
+
 def stage_folder(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
@@ -20,8 +24,9 @@ def stage_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tremor-"))
-    return context.getCheckpointDir().rstrip("/")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='tremor-')}"
+    return _own[context.applicationId]
 
 
 def materialized(df: DataFrame) -> DataFrame:
@@ -32,8 +37,21 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written in sorted buckets of ``key`` and read back, as ``materialized``.
+
+    Groups and windows of the key, and joins on it with another table of as many buckets,
+    need no exchange however often the table is read. ``buckets`` are the session's shuffle
+    partitions if not given.
+    """
+    spark = df.sparkSession
+    n, name = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{stage_folder(spark)}/step-{name}").saveAsTable(f"step_{name}")
+    return spark.table(f"step_{name}")
+
+
 def released(*frames: DataFrame | None) -> None:
-    """Remove the tables behind frames of ``materialized`` that are needed no more; other frames are left alone."""
+    """Remove the tables behind frames of ``materialized`` and ``dealt`` that are needed no more; other frames are left alone."""
     for df in frames:
         if df is None:
             continue
@@ -43,5 +61,6 @@ def released(*frames: DataFrame | None) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             place, _, name = folder.rpartition("/")
             if name.startswith("step-") and place.split(":", 1)[-1].lstrip("/") == bare.lstrip("/"):
+                spark.sql(f"DROP TABLE IF EXISTS {name.replace('-', '_', 1)}")
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
