@@ -143,7 +143,29 @@ def test_sources_round_trip(spark, tmp_path):
     assert cat.append_forecast(f, str(tmp_path / "f")).count() == 2
     new = cat.append_forecast(f.union(spark.createDataFrame([(2, 3.0)], f.schema)), str(tmp_path / "f"))
     assert [tuple(r) for r in new.collect()] == [(2, 3.0)]
-    assert spark.read.parquet(str(tmp_path / "f")).count() == 3
+    assert cat.read_forecast(spark, str(tmp_path / "f")).count() == 3 and cat.read_forecast(spark, str(tmp_path / "f")).columns == f.columns
+
+
+def test_forecast_that_was_killed(spark, tmp_path, monkeypatch):
+    """An append that ends between its rows and its manifest is not there, and is made again."""
+    folder = str(tmp_path / "f")
+    f = spark.createDataFrame([(0, 1.0), (1, 2.0), (1, 2.5)], "catalog_id long, magnitude double")
+    with pytest.raises(ValueError):
+        cat.read_forecast(spark, folder)
+    cat.append_forecast(f.filter("catalog_id = 0"), folder)
+    with monkeypatch.context() as m:
+        written = []
+        plain = type(f.write).parquet
+        m.setattr(type(f.write), "parquet", lambda self, path, *a, **b: (_ for _ in ()).throw(KeyboardInterrupt()) if path.endswith("_manifest") else written.append(path) or plain(self, path, *a, **b))
+        with pytest.raises(KeyboardInterrupt):
+            cat.append_forecast(f, folder)
+        assert len(written) == 1
+    assert spark.read.parquet(folder).count() == 3 and cat.read_forecast(spark, folder).count() == 1
+    assert cat.append_forecast(f, folder).count() == 2 and cat.read_forecast(spark, folder).count() == 3
+    part = next(p for p in (tmp_path / "f").glob("part=*/bucket=*/*.parquet") if spark.read.parquet(str(p)).filter("catalog_id = 0").count())
+    part.unlink()
+    with pytest.raises(ValueError, match="manifest"):
+        cat.read_forecast(spark, folder)
 
 
 def test_epoch_catalogs(spark):
@@ -404,6 +426,15 @@ def test_an_iteration_passes_over_the_pairs_once(spark, monkeypatch):
     assert len({t.name for t in spark.catalog.listTables()} - before) == 1 and fit.expected.pairs.count() > 0
 
 
+def test_sign_flips_are_spread(spark, monkeypatch):
+    """Draws are dealt to many tasks, and both ways give the same mean and p."""
+    df = spark.createDataFrame([(i, float((i * 7) % 11 - 4)) for i in range(60)] + [(99, None)], "k long, d double")
+    few = stats.sign_flips(df, "k", "d", 400)
+    assert "Range (0, 400" in few._jdf.queryExecution().toString()
+    monkeypatch.setattr(stats, "HELD_DIFFERENCES", 10)
+    assert few.head() == stats.sign_flips(df, "k", "d", 400).head() and 0 < few.head().p < 1
+
+
 def test_curvature(spark):
     """Value and gradient are the objective's; the information is the mean curvature of a simulated fit, and so are its errors."""
     p = inversion.prepared(registry.events(spark, SMALL), registry._setup())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -89,10 +90,11 @@ def lowered_reference(spark, sf_dir):
     return filters.lowered_reference(_varying(spark, sf_dir), 3.0)
 
 
-@query(f"WITH r AS (SELECT {geo.EARTH_RADIUS!r}e0 AS r) SELECT {r6s('4e0 * pi() * r * r')} AS area_km2 FROM r")
+@query(f" SELECT event_type, {r6s(f'count(*) * 1e6 / (4e0 * pi() * {geo.EARTH_RADIUS**2!r}e0)')} AS per_million_km2 FROM cat GROUP BY 1")
 def globe_area(spark, sf_dir):
-    """Area of the region where there is no ring."""
-    return spark.range(1).select(r6(F.lit(geo.globe_area())).alias("area_km2"))
+    """Events of each type for a million km2 of the region where there is no ring, the globe."""
+    n = events(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("event_type", r6(F.col("n") * 1e6 / F.lit(geo.globe_area())).alias("per_million_km2"))
 
 
 #: An octahedron about the middle of the catalog in (longitude, latitude, magnitude).
@@ -384,55 +386,66 @@ def fit_in_space(spark, sf_dir):
 
 # --- parameter maps
 
-_STEPS = [round(0.1 * i, 1) for i in range(-5, 11)]
 _BETA = 2.3
+#: For each user, the least magnitude above the reference.
+_USERS_SQL = ", d AS (SELECT user_id, min(magnitude) - 2.5e0 AS delta FROM cat GROUP BY 1)"
 
 
-@query(f"WITH d AS (SELECT i / 10e0 AS delta FROM range(-5, 11) AS g(i)), q AS (SELECT delta, (exp(ab * (5e0 - delta)) - 1e0) / (exp(ab * 5e0) - 1e0) AS ratio FROM d, (SELECT {THETA.alpha - _BETA!r}e0 AS ab)) SELECT delta, {r6s(f'{THETA.log10_mu!r}e0 - delta * {_BETA!r}e0 / ln(10e0)')} AS log10_mu, {r6s(f'{THETA.log10_d!r}e0 + delta * {THETA.gamma!r}e0 / ln(10e0)')} AS log10_d, {r6s(f'{THETA.log10_k0!r}e0 + delta * {THETA.gamma * THETA.rho!r}e0 / ln(10e0)')} AS log10_k0, {r6s(f'{THETA.log10_k0!r}e0 + delta * {THETA.gamma * THETA.rho!r}e0 / ln(10e0) - log10(ratio)')} AS log10_k0_bounded FROM q")
+def _users(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("user_id").agg((F.min("magnitude") - 2.5).alias("delta"), F.avg("magnitude").alias("mean"), F.max("magnitude").alias("top"))
+
+
+@query(_USERS_SQL + f", q AS (SELECT user_id, delta, (exp(ab * (5e0 - delta)) - 1e0) / (exp(ab * 5e0) - 1e0) AS ratio FROM d, (SELECT {THETA.alpha - _BETA!r}e0 AS ab)) SELECT user_id, {r6s(f'{THETA.log10_mu!r}e0 - delta * {_BETA!r}e0 / ln(10e0)')} AS log10_mu, {r6s(f'{THETA.log10_d!r}e0 + delta * {THETA.gamma!r}e0 / ln(10e0)')} AS log10_d, {r6s(f'{THETA.log10_k0!r}e0 + delta * {THETA.gamma * THETA.rho!r}e0 / ln(10e0)')} AS log10_k0, {r6s(f'{THETA.log10_k0!r}e0 + delta * {THETA.gamma * THETA.rho!r}e0 / ln(10e0) - log10(ratio)')} AS log10_k0_bounded FROM q")
 def reference_change(spark, sf_dir):
-    """Parameters at other reference magnitudes, with magnitudes without end and with one."""
-    rows = []
-    for d in _STEPS:
+    """Parameters at each user's least magnitude as the reference, with magnitudes without end and with one."""
+
+    def at(d: float) -> dict:
         t, b = params.at_reference(THETA, _BETA, d), params.at_reference(THETA, _BETA, d, 5.0)
-        rows.append((float(d), t.log10_mu, t.log10_d, t.log10_k0, b.log10_k0))
-    df = spark.createDataFrame(rows, "delta double, log10_mu double, log10_d double, log10_k0 double, log10_k0_bounded double")
-    return df.select("delta", *[r6(F.col(c)).alias(c) for c in df.columns[1:]])
+        return {"log10_mu": t.log10_mu, "log10_d": t.log10_d, "log10_k0": t.log10_k0, "log10_k0_bounded": b.log10_k0}
 
+    names = ["log10_mu", "log10_d", "log10_k0", "log10_k0_bounded"]
+    return _by_row(_users(spark, sf_dir), at, ["user_id"], ["delta"], names).select("user_id", *[r6(F.col(c)).alias(c) for c in names])
 
-@query(f"WITH t AS (SELECT i / 2e0 - 4e0 AS k, j / 2e0 + 0.5e0 AS a FROM range(5) AS g(i), range(4) AS h(j)) SELECT k AS log10_k0, a, -a AS alpha, {r6s('2.45e0 - k * ln(10e0) / a')} AS m0, {r6s(f'sqrt({THETA.d!r}e0 / pow(10e0, k))')} AS big_d, {1 + THETA.omega!r}e0 AS p, {1 + THETA.rho!r}e0 AS q FROM t")
+
+@query(f", t AS (SELECT user_id, max(magnitude) / 4e0 - 4e0 AS k, avg(magnitude) - 2e0 AS a FROM cat GROUP BY 1) SELECT user_id, {r6s('-a')} AS alpha, {r6s('2.45e0 - k * ln(10e0) / a')} AS m0, {r6s(f'sqrt({THETA.d!r}e0 / pow(10e0, k))')} AS big_d, {r6s(f'{1 + THETA.omega!r}e0')} AS p, {r6s(f'{1 + THETA.rho!r}e0')} AS q FROM t")
 def rate_parameters(spark, sf_dir):
-    """Parameters of the normalised rate kernels."""
-    rows = []
-    for i in range(5):
-        for j in range(4):
-            t = K.Theta(*[{"log10_k0": i / 2 - 4, "a": j / 2 + 0.5}.get(n, getattr(THETA, n)) for n in K.NAMES])
-            r = params.to_rate_params(t, M_LOW)
-            rows.append((t.log10_k0, t.a, r.alpha, r.m0, r.big_d, r.p, r.q))
-    df = spark.createDataFrame(rows, "log10_k0 double, a double, alpha double, m0 double, big_d double, p double, q double")
-    return df.withColumns({"m0": r6(F.col("m0")), "big_d": r6(F.col("big_d"))})
+    """Parameters of the normalised rate kernels, from productivities of each user's magnitudes."""
+
+    def of(k: float, a: float) -> dict:
+        r = params.to_rate_params(K.Theta(*[{"log10_k0": k, "a": a}.get(n, getattr(THETA, n)) for n in K.NAMES]), M_LOW)
+        return {n: getattr(r, n) for n in names}
+
+    names = ["alpha", "m0", "big_d", "p", "q"]
+    users = _users(spark, sf_dir).select("user_id", (F.col("top") / 4 - 4).alias("k"), (F.col("mean") - 2).alias("a"))
+    return _by_row(users, of, ["user_id"], ["k", "a"], names).select("user_id", *[r6(F.col(c)).alias(c) for c in names])
 
 
 _STANDARD = params.Standard(a=-2.0, alpha=0.8, log10_c=-2.0, p=1.1)
 _LOG_A = f"0.8e0 * ln(10e0) + {THETA.rho * THETA.gamma!r}e0"
 
 
-@query(f"WITH d AS (SELECT i / 10e0 AS delta FROM range(-5, 11) AS g(i)), s AS (SELECT delta, {THETA.log10_d!r}e0 - delta * {THETA.gamma!r}e0 / ln(10e0) AS low_d FROM d) SELECT delta, {r6s(_LOG_A)} AS a, {r6s(f'-2e0 - log10(pi() / {THETA.rho!r}e0) + {THETA.rho!r}e0 * low_d + delta * {THETA.gamma * THETA.rho!r}e0 / ln(10e0)')} AS log10_k0, {r6s(f'low_d + delta * {THETA.gamma!r}e0 / ln(10e0)')} AS log10_d, {r6s(f'-2e0 - log10(pi() / {THETA.rho!r}e0) + {THETA.rho * THETA.log10_d!r}e0 + 0.8e0 * delta')} AS log10_k0_time_only FROM s")
+@query(_USERS_SQL + f", s AS (SELECT user_id, delta, {THETA.log10_d!r}e0 - delta * {THETA.gamma!r}e0 / ln(10e0) AS low_d FROM d) SELECT user_id, {r6s(_LOG_A)} AS a, {r6s(f'-2e0 - log10(pi() / {THETA.rho!r}e0) + {THETA.rho!r}e0 * low_d + delta * {THETA.gamma * THETA.rho!r}e0 / ln(10e0)')} AS log10_k0, {r6s(f'low_d + delta * {THETA.gamma!r}e0 / ln(10e0)')} AS log10_d, {r6s(f'-2e0 - log10(pi() / {THETA.rho!r}e0) + {THETA.rho * THETA.log10_d!r}e0 + 0.8e0 * delta')} AS log10_k0_time_only FROM s")
 def standard_formulations(spark, sf_dir):
-    """Parameters from formulations without a spatial kernel, at a distance of reference magnitudes."""
-    rows = []
-    for d in _STEPS:
+    """Parameters from formulations without a spatial kernel, at the distance of each user's least magnitude."""
+
+    def at(d: float) -> dict:
         s, e = params.from_standard(_STANDARD, THETA, d, _BETA), params.from_time_only(_STANDARD, THETA, d)
-        rows.append((float(d), s.a, s.log10_k0, s.log10_d, e.log10_k0))
-    df = spark.createDataFrame(rows, "delta double, a double, log10_k0 double, log10_d double, log10_k0_time_only double")
-    return df.select("delta", *[r6(F.col(c)).alias(c) for c in df.columns[1:]])
+        return {"a": s.a, "log10_k0": s.log10_k0, "log10_d": s.log10_d, "log10_k0_time_only": e.log10_k0}
 
+    names = ["a", "log10_k0", "log10_d", "log10_k0_time_only"]
+    return _by_row(_users(spark, sf_dir), at, ["user_id"], ["delta"], names).select("user_id", *[r6(F.col(c)).alias(c) for c in names])
 
-@query(no_double_exponent(f"WITH b AS (SELECT i / 10e0 + 1.5e0 AS beta FROM range(20) AS g(i)), s AS (SELECT beta, beta * {_T.k0 * math.pi / _T.rho * _T.d**-_T.rho * _T.c**-_T.omega / _T.omega!r}e0 AS f, {_T.alpha!r}e0 - beta AS ab FROM b) SELECT beta, {r6s('-f / ab')} AS unbounded, {r6s('f * (exp(ab * 4e0) - 1e0) / ab')} AS bounded FROM s"))
+
+@query(no_double_exponent(f", b AS (SELECT user_id, ln(1e0 + 0.1e0 / (avg(magnitude) - 2.5e0)) / 0.1e0 AS beta FROM cat GROUP BY 1 HAVING avg(magnitude) > 2.51e0), s AS (SELECT user_id, beta, beta * {_T.k0 * math.pi / _T.rho * _T.d**-_T.rho * _T.c**-_T.omega / _T.omega!r}e0 AS f, {_T.alpha!r}e0 - beta AS ab FROM b) SELECT user_id, {r6s('CASE WHEN ab < 0e0 THEN -f / ab END')} AS unbounded, {r6s('f * (exp(ab * 4e0) - 1e0) / ab')} AS bounded FROM s"))
 def branching_ratios(spark, sf_dir):
-    """Expected direct offspring of a random event, with magnitudes without end and with one."""
-    rows = [(i / 10 + 1.5, params.branching_ratio(_T, i / 10 + 1.5), params.branching_ratio(_T, i / 10 + 1.5, 4.0)) for i in range(20)]
-    df = spark.createDataFrame(rows, "beta double, unbounded double, bounded double")
-    return df.select("beta", r6(F.col("unbounded")).alias("unbounded"), r6(F.col("bounded")).alias("bounded"))
+    """Expected direct offspring of a random event of each user, whose slope is its magnitudes', with magnitudes without end (where that is finite) and with one."""
+
+    def of(mean: float) -> dict:
+        beta = math.log1p(0.1 / (mean - 2.5)) / 0.1
+        return {"unbounded": params.branching_ratio(_T, beta) if beta > _T.alpha else math.nan, "bounded": params.branching_ratio(_T, beta, 4.0)}
+
+    found = _by_row(_users(spark, sf_dir).filter("mean > 2.51"), of, ["user_id"], ["mean"], ["unbounded", "bounded"])
+    return found.select("user_id", r6(F.nanvl("unbounded", F.lit(None).cast("double"))).alias("unbounded"), r6(F.col("bounded")).alias("bounded"))
 
 
 # --- kernels and geometry
@@ -509,31 +522,46 @@ def grid_spacing(spark, sf_dir):
     return g.select(r6(F.col("latitude")).alias("latitude"), r6(F.col("longitude")).alias("longitude"))
 
 
-@query(f"WITH g AS (SELECT 33e0 + i * 0.25e0 AS lat, -120e0 + j * 0.5e0 AS lon FROM range(9) AS a(i), range(7) AS b(j)), s AS (SELECT count(*) AS n, avg(lat) AS latitude FROM g) SELECT {r6s(f'n * 0.25e0 * {KM_LAT_SQL} * 0.5e0 * {km_lon_sql("latitude")}')} AS area_km2 FROM s")
+@query(f", g AS (SELECT event_type, floor(latitude * 4e0) / 4e0 AS lat, floor(longitude * 2e0) / 2e0 AS lon FROM cat GROUP BY 1, 2, 3), s AS (SELECT count(*) AS n, avg(lat) AS latitude, max(lat) - min(lat) AS h, max(lon) - min(lon) AS w, count(DISTINCT lat) - 1 AS rows, count(DISTINCT lon) - 1 AS cols FROM (SELECT DISTINCT lat, lon FROM g)) SELECT {r6s(f'h / rows * {KM_LAT_SQL} * w / cols * {km_lon_sql("latitude")} * n')} AS area_km2 FROM s")
 def grid_area(spark, sf_dir):
-    """Area that a regular grid stands for."""
-    nodes = pairs.grid_of(33.0, 35.0, -120.0, -117.0, 9, 7, spark).select(F.col("glat").alias("lat"), F.col("glon").alias("lon"))
+    """Area that the grid cells with events stand for."""
+    nodes = events(spark, sf_dir).select((F.floor(F.col("latitude") * 4) / 4).alias("lat"), (F.floor(F.col("longitude") * 2) / 2).alias("lon")).distinct()
     return runs.area_of_grid(nodes).select(r6(F.col("area_km2")).alias("area_km2"))
 
 
 def _albers_sql() -> str:
-    """Snyder's equal-area map of the ring's vertices, and the area of the polygon there."""
+    """Snyder's equal-area map of the corners of each type's box, and the area of the polygon there."""
     e2 = geo.WGS84_F * (2 - geo.WGS84_F)
     e = math.sqrt(e2)
-    lats = [p[0] for p in CALIFORNIA]
     q = lambda s: f"({1 - e2!r}e0 * ({s} / (1e0 - {e2!r}e0 * {s} * {s}) - ln((1e0 - {e!r}e0 * {s}) / (1e0 + {e!r}e0 * {s})) / {2 * e!r}e0))"
     m = lambda p: f"(cos({p}) / sqrt(1e0 - {e2!r}e0 * sin({p}) * sin({p})))"
-    lo, hi = f"radians({min(lats)!r}e0)", f"radians({max(lats)!r}e0)"
-    ring = [(i, float(y), float(x)) for i, (y, x) in enumerate(CALIFORNIA)]
-    return f"""WITH k AS (SELECT (pow({m(lo)}, 2e0) - pow({m(hi)}, 2e0)) / ({q(f'sin({hi})')} - {q(f'sin({lo})')}) AS n), c AS (SELECT n, pow({m(lo)}, 2e0) + n * {q(f'sin({lo})')} AS c FROM k),
-v AS (SELECT i, {geo.WGS84_A!r}e0 * sqrt(greatest(0e0, c - n * {q('sin(radians(y))')})) / n AS rho, n * radians(x) AS t FROM c, (VALUES {_values(ring)}) AS r(i, y, x)), p AS (SELECT i, rho * sin(t) AS x, -rho * cos(t) AS y FROM v),
-s AS (SELECT sum(a.x * b.y - b.x * a.y) AS s FROM p a JOIN p b ON b.i = (a.i + 1) % {len(ring)})"""
+    lo, hi = "radians(a)", "radians(b)"
+    return f""", k AS (SELECT event_type, min(latitude) AS a, max(latitude) AS b, min(longitude) AS l, max(longitude) AS r FROM cat GROUP BY 1),
+c AS (SELECT *, (pow({m(lo)}, 2e0) - pow({m(hi)}, 2e0)) / ({q(f'sin({hi})')} - {q(f'sin({lo})')}) AS n FROM k), d AS (SELECT *, pow({m(lo)}, 2e0) + n * {q(f'sin({lo})')} AS c FROM c),
+w AS (SELECT event_type, n, c, i, CASE WHEN i < 2 THEN a ELSE b END AS y, CASE WHEN i IN (0, 3) THEN l ELSE r END AS x FROM d, range(4) AS g(i)),
+v AS (SELECT event_type, i, {geo.WGS84_A!r}e0 * sqrt(greatest(0e0, c - n * {q('sin(radians(y))')})) / n AS rho, n * radians(x) AS t FROM w), p AS (SELECT event_type, i, rho * sin(t) AS x, -rho * cos(t) AS y FROM v),
+s AS (SELECT a.event_type, sum(a.x * b.y - b.x * a.y) AS s FROM p a JOIN p b ON a.event_type = b.event_type AND b.i = (a.i + 1) % 4 GROUP BY 1)"""
 
 
-@query(no_double_exponent(_albers_sql() + f" SELECT {_R3.format('abs(s) / 2e6')} AS area_km2 FROM s"))
+@query(no_double_exponent(_albers_sql() + f" SELECT event_type, {_R3.format('abs(s) / 2e6')} AS area_km2 FROM s"))
 def ring_area(spark, sf_dir):
-    """Area of a ring whose vertices are joined by straight lines in Albers' map."""
-    return spark.createDataFrame([(math.floor(geo.albers_area(CALIFORNIA) * 1e3 + 0.5) / 1e3,)], "area_km2 double")
+    """Area of the box of each type's events, whose corners are joined by straight lines in Albers' map."""
+    c = events(spark, sf_dir)
+    box = c.groupBy("event_type").agg(*[f(x).alias(n) for n, f, x in (("a", F.min, "latitude"), ("b", F.max, "latitude"), ("l", F.min, "longitude"), ("r", F.max, "longitude"))])
+    area = _by_row(box, lambda a, b, l, r: {"area": geo.albers_area([(a, l), (a, r), (b, r), (b, l)])}, ["event_type"], ["a", "b", "l", "r"], ["area"])
+    return area.select("event_type", (F.floor(F.col("area") * 1e3 + 0.5) / 1e3).alias("area_km2"))
+
+
+def _by_row(df, function, keys, inputs, outputs):
+    """``keys`` of each row and the numbers that a function of its ``inputs`` makes."""
+    kinds = dict(df.dtypes)
+
+    def run(frames):
+        for frame in frames:
+            found = [function(*row) for row in zip(*[frame[c] for c in inputs])]
+            yield frame[keys].assign(**{c: [float(x[c]) for x in found] for c in outputs})
+
+    return df.mapInPandas(run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], *[f"{c} double" for c in outputs]]))
 
 
 _SHARE_STEPS = 16
@@ -735,16 +763,25 @@ _MEAN = _P.mu * AREA * 7.0
 _SLICES = max(1, math.ceil(_MEAN / rng.PART))
 
 
-@query(no_double_exponent(f"""WITH s AS (SELECT CAST(i // {_SLICES} AS BIGINT) AS c, CAST(i % {_SLICES} AS BIGINT) AS slice FROM range({3 * _SLICES}) AS g(i)), d AS (SELECT k, sum(exp(-{_MEAN / _SLICES!r}e0 + k * {math.log(_MEAN / _SLICES)!r}e0 - lgamma(k + 1e0))) OVER (ORDER BY k) AS cdf FROM range(0, 170) AS g(k)),
-n AS (SELECT c, slice, (SELECT count(*) FROM d WHERE {u_sql(_SEED, 'c', 'slice', "'n_background'")} >= cdf) AS n FROM s), e AS (SELECT c, slice, unnest(range(1, n + 1)) AS k FROM n WHERE n > 0), q AS (SELECT *, {id_sql("'background'", _SEED, 'c', 'slice', 'k')} AS id FROM e),
-t AS (SELECT * FROM (VALUES {_TRIANGLES}) AS t(lo, hi, ay, ax, cby, cbx, ccy, ccx)), p AS (SELECT c, slice, id, {u_sql(_SEED, 'id', "'where'")} AS u, {u_sql(_SEED, 'id', "'lat'")} AS v, {u_sql(_SEED, 'id', "'lon'")} AS w FROM q)
-SELECT c AS catalog_id, id, {r6s(f"{TEST_END!r}e0 + (slice + {u_sql(_SEED, 'id', QT)}) * {7.0 / _SLICES!r}e0")} AS days, {r6s(_IN_TRIANGLE.format(c='y').replace('by', 'cby').replace('* cy', '* ccy'))} AS latitude, {r6s(f"-ln(1e0 - {u_sql(_SEED, 'id', QM)}) / 2.3e0 + {M_LOW!r}e0")} AS magnitude FROM p JOIN t ON u >= lo AND u < hi"""))
+@query(no_double_exponent(f""", r AS (SELECT max(days) AS last, count(*) * 7e0 / (max(days) - min(days)) / 10e0 AS mean FROM cat), z AS (SELECT *, CAST(greatest(1e0, ceil(mean / 50e0)) AS BIGINT) AS slices FROM r),
+s AS (SELECT c, slice, last, mean / slices AS each, 7e0 / slices AS width FROM z, range(3) AS g(c), LATERAL (SELECT unnest(range(slices)) AS slice)), d AS (SELECT k, sum(exp(-each + k * ln(each) - lgamma(k + 1e0))) OVER (ORDER BY k) AS cdf FROM (SELECT mean / slices AS each FROM z), range(0, 170) AS g(k)),
+n AS (SELECT *, (SELECT count(*) FROM d WHERE {u_sql(_SEED, 'c', 'slice', "'n_background'")} >= cdf) AS n FROM s), e AS (SELECT *, unnest(range(1, n + 1)) AS k FROM n WHERE n > 0), q AS (SELECT *, {id_sql("'background'", _SEED, 'c', 'slice', 'k')} AS id FROM e),
+t AS (SELECT * FROM (VALUES {_TRIANGLES}) AS t(lo, hi, ay, ax, cby, cbx, ccy, ccx)), p AS (SELECT *, {u_sql(_SEED, 'id', "'where'")} AS u, {u_sql(_SEED, 'id', "'lat'")} AS v, {u_sql(_SEED, 'id', "'lon'")} AS w FROM q)
+SELECT CAST(c AS BIGINT) AS catalog_id, id, {r6s(f"last + (slice + {u_sql(_SEED, 'id', QT)}) * width")} AS days, {r6s(_IN_TRIANGLE.format(c='y').replace('by', 'cby').replace('* cy', '* ccy'))} AS latitude, {r6s(f"-ln(1e0 - {u_sql(_SEED, 'id', QM)}) / 2.3e0 + {M_LOW!r}e0")} AS magnitude FROM p JOIN t ON u >= lo AND u < hi"""))
 def background_events(spark, sf_dir):
-    """Background events of three realisations of a week."""
-    b = simulation.background(spark, _PROCESS, CALIFORNIA, TEST_END, TEST_END + 7.0, AREA, 3)
+    """Background events of three realisations of the week after the catalog, at a tenth of its rate."""
+    process, last = _tenth(spark, sf_dir)
+    b = simulation.background(spark, process, CALIFORNIA, last, last + 7.0, AREA, 3)
     return b.select("catalog_id", "id", *[r6(F.col(c)).alias(c) for c in ("days", "latitude", "magnitude")])
 
 
+def _tenth(spark, sf_dir):
+    """A process whose background is a tenth of the catalog's rate, and the catalog's last time."""
+    r = events(spark, sf_dir).agg(F.max("days").alias("last"), F.min("days").alias("first"), F.count(F.lit(1)).alias("n")).head()
+    mean = r.n * 7.0 / (r.last - r.first) / 10.0
+    return simulation.Process(replace(_P, log10_mu=math.log10(mean / (AREA * 7.0))), 2.3, 2.5), r.last
+
+
 @query()
 def rate_forecast(spark, sf_dir):
     """Realisations by the normalised rate kernels."""
@@ -762,8 +799,10 @@ def gridded_realizations(spark, sf_dir):
 
 @query()
 def stepped_realizations(spark, sf_dir):
-    """Two realisations of the simulator in time steps."""
-    return simulation.stepped(spark, simulation.Plane(0.02, 0.3, 1.0, 0.1, 1.3, 0.5, 1.8, 3.0, 2.3), 20.0, (0.0, 10.0), (0.0, 10.0), 0.1, 2)
+    """Two realisations of the simulator in time steps over the catalog's box, at about a hundredth of its rate: a demonstration, seed by seed."""
+    b = events(spark, sf_dir).agg(F.min("latitude").alias("a"), F.max("latitude").alias("b"), F.min("longitude").alias("c"), F.max("longitude").alias("d"), F.count(F.lit(1)).alias("n")).head()
+    rate = b.n / (b.b - b.a) / (b.d - b.c) / 60 / 100  # a hundredth of the catalog's, about
+    return simulation.stepped(spark, simulation.Plane(min(0.05, rate), 0.3, 1.0, 0.1, 1.3, 0.5, 1.8, 3.0, 2.3), 20.0, (b.a, b.b), (b.c, b.d), 0.1, 2)
 
 
 @query()
@@ -794,14 +833,14 @@ def prediction_sidecar(spark, sf_dir):
     return spark.read.parquet(folder).select("event_index", "time", "magnitude", F.element_at("model_prediction", 1).alias("first"))
 
 
-@query(" SELECT user_id AS catalog_id, count(*) AS n FROM cat WHERE user_id < 20 GROUP BY 1")
+@query(" SELECT user_id AS catalog_id, count(*) AS n FROM cat GROUP BY 1")
 def forecast_sink(spark, sf_dir):
     """Realisations appended in two steps, of which the second holds the first as well."""
     folder = _folder(spark, "forecast")
     c = events(spark, sf_dir).select(F.col("user_id").alias("catalog_id"), "id", "magnitude")
-    cat.append_forecast(c.filter("catalog_id < 10"), folder)
-    cat.append_forecast(c.filter("catalog_id < 20"), folder)
-    return spark.read.parquet(folder).groupBy("catalog_id").agg(F.count(F.lit(1)).alias("n"))
+    cat.append_forecast(c.filter("catalog_id % 2 = 0"), folder)
+    cat.append_forecast(c, folder)
+    return cat.read_forecast(spark, folder).groupBy("catalog_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(" SELECT id FROM cat WHERE id % 500 = 0")
@@ -828,30 +867,52 @@ def parsed_times(spark, sf_dir):
     return c.select("id", F.unix_timestamp(cat.parsed_time(text)).alias("seconds"))
 
 
-@query("WITH m AS (SELECT unnest(['branching', 'thinning']) AS method), s AS (SELECT CAST(unnest(range(3)) AS BIGINT) AS seed) SELECT method, seed, CASE WHEN seed < 2 THEN 2 ELSE 1 END AS asked, 1 AS made FROM m, s")
+@query("WITH o AS (SELECT unnest(['', 'zone a', 'zone b', 'law']) AS option), s AS (SELECT CAST(unnest(range(3)) AS BIGINT) AS seed) SELECT option, seed, CASE WHEN seed < 2 THEN 2 ELSE 1 END AS asked, 1 AS made FROM o, s")
 def cached_realizations(spark, sf_dir):
-    """How often each realisation was asked for, and made: runs with the same meta data are read, others made."""
-    folder = _folder(spark, "runs")
-    h = events(spark, sf_dir).filter("magnitude >= 4")
-    process = simulation.Process(K.Theta(log10_mu=-5.5, log10_k0=-3.4), 2.3, 4.0)
-    for seeds in (2, 3):
-        runs.ensemble(h, process, CALIFORNIA, TEST_END, 0.5, seeds, ["branching", "thinning"], folder, 100)
+    """How often each realisation was asked for, and made: runs of the same content are read, those with other zones or another law made."""
+    folder, c = _folder(spark, "runs"), events(spark, sf_dir)
+    process = simulation.Process(K.Theta(log10_mu=-5.5, log10_k0=-6.0), 2.3, 2.5)
+    zone_of = runs.versioned(lambda lat, lon: F.lit(0), "one zone")
+    size = c.agg(F.count(F.lit(1)).alias("all")).select(F.lit(0).alias("zone"), F.explode(F.array(F.lit(3.0), F.lit(4.0))).alias("magnitude"), "all")
+    zones = {k: size.select("zone", "magnitude", F.when(F.col("magnitude") == 4, 1.0).otherwise(F.lit(share)).alias("cdf")) for k, share in (("zone a", 0.5), ("zone b", 0.6))}
+    options = {"": {}, **{k: {"zones": (zone_of, table)} for k, table in zones.items()}, "law": {"generator": runs.versioned(lambda u, p: u + 3, "uniform")}}
     rows = []
-    for method in ("branching", "thinning"):
-        meta = runs.realization_meta(h, process, CALIFORNIA, TEST_END, 0.5, method, 100, {})
-        from .sources.catalog import fingerprint
+    for option, how in options.items():
+        for seeds in (2, 3):
+            runs.ensemble(c, process, CALIFORNIA, TEST_END, 0.5, seeds, "branching", folder, 100, **how)
+        meta = runs.realization_meta(c, process, CALIFORNIA, TEST_END, 0.5, "branching", 100, how)
+        made = [s for r in runs.stored_runs(spark, f"{folder}/branching/{cat.fingerprint(meta)}", meta) for s in range(r.first, r.first + r.seeds)]
+        rows += [(option, s, sum(s < n for n in (2, 3)), made.count(s)) for s in range(3)]
+    return spark.createDataFrame(rows, "option string, seed long, asked int, made int")
+
+
+_WEEK = K.Theta(log10_mu=-4.5, log10_k0=-4.0, omega=0.1, log10_tau=math.inf)
+_WEEK_MEAN = _WEEK.mu * AREA * 7.0
+_WEEK_SLICES = max(1, math.ceil(_WEEK_MEAN / 50.0))
 
-        stored = runs._meta_rows(spark, f"{folder}/{method}/{fingerprint(meta)}", meta)
-        made = [s for r in stored for s in range(r.first, r.first + r.seeds)]
-        rows += [(method, s, sum(s < n for n in (2, 3)), made.count(s)) for s in range(3)]
-    return spark.createDataFrame(rows, "method string, seed long, asked int, made int")
+
+@query(no_double_exponent(f""", gr AS (SELECT floor(latitude * 2e0) / 2e0 + 0.25e0 AS latitude, floor(longitude * 2e0) / 2e0 + 0.25e0 AS longitude, count(*) AS weight FROM cat GROUP BY 1, 2),
+pl AS (SELECT *, weight / CAST(max(weight) OVER () AS DOUBLE) AS probability, {id_sql("'place'", 'CAST(floor(latitude * 1e6 + 0.5e0) AS BIGINT)', 'CAST(floor(longitude * 1e6 + 0.5e0) AS BIGINT)')} AS id FROM gr),
+kp AS (SELECT latitude, longitude, row_number() OVER (ORDER BY {u_sql(_SEED, 'id', QO)}, id) AS pick FROM pl WHERE {u_sql(_SEED, 'id', QK)} <= probability),
+s AS (SELECT CAST(i // {_WEEK_SLICES} AS BIGINT) AS c, CAST(i % {_WEEK_SLICES} AS BIGINT) AS slice FROM range({3 * _WEEK_SLICES}) AS g(i)), d AS (SELECT k, sum(exp(-{_WEEK_MEAN / _WEEK_SLICES!r}e0 + k * {math.log(_WEEK_MEAN / _WEEK_SLICES)!r}e0 - lgamma(k + 1e0))) OVER (ORDER BY k) AS cdf FROM range(0, 170) AS g(k)),
+n AS (SELECT c, slice, (SELECT count(*) FROM d WHERE {u_sql(_SEED, 'c', 'slice', "'n_background'")} >= cdf) AS n FROM s), e AS (SELECT c, slice, unnest(range(1, n + 1)) AS k FROM n WHERE n > 0), q AS (SELECT *, {id_sql("'background'", _SEED, 'c', 'slice', 'k')} AS id FROM e),
+pk AS (SELECT *, floor({u_sql(_SEED, 'id', QP)} * (SELECT count(*) FROM kp)) + 1 AS pick FROM q)
+SELECT c AS catalog_id, id, {r6s(f"{TEST_END!r}e0 + (slice + {u_sql(_SEED, 'id', QT)}) * {7.0 / _WEEK_SLICES!r}e0")} AS days, latitude, longitude FROM pk JOIN kp USING (pick) WHERE {pip_sql(CALIFORNIA)}"""))
+def placed_forecast(spark, sf_dir):
+    """Background of an operational forecast whose grid is the catalog's own counts by half degree."""
+    c = events(spark, sf_dir)
+    cell = lambda x: (F.floor(F.col(x) * 2) / 2 + 0.25).alias(x)
+    grid = c.groupBy(cell("latitude"), cell("longitude")).agg(F.count(F.lit(1)).alias("weight"))
+    record = {"final_parameters": dict(zip(K.NAMES, _WEEK.values())), "beta": 2.3, "m_ref": 2.5, "delta_m": DM, "area": AREA}
+    out = runs.operational_forecast(c, record, CALIFORNIA, TEST_END, 7.0, 3, grid=grid)
+    return out.filter("kind = 'background'").select("catalog_id", "id", r6(F.col("days")).alias("days"), "latitude", "longitude")
 
 
-@query(f" SELECT id, {r6s('days')} AS days, magnitude FROM cat WHERE magnitude >= 5e0")
+@query(f" SELECT id, {r6s('days')} AS days, magnitude FROM cat")
 def quakeml_round_trip(spark, sf_dir):
-    """Large events written as QuakeML and read back."""
+    """Events written as QuakeML and read back."""
     folder = _folder(spark, "quakeml")
-    cat.write_quakeml(events(spark, sf_dir).filter("magnitude >= 5"), folder)
+    cat.write_quakeml(events(spark, sf_dir), folder)
     got = cat.read_quakeml(spark, f"{folder}/part-*")
     return got.select(F.col("event_id").cast("long").alias("id"), r6(F.col("days")).alias("days"), "magnitude")
 

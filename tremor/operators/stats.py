@@ -282,13 +282,27 @@ def signed_rank(df: DataFrame, difference: str) -> DataFrame:
     return sums.select("w_plus", "w_minus", "n", F.try_divide(F.least("w_plus", "w_minus") - n * (n + 1) / 4, spread).alias("z"))
 
 
+#: Differences that all tasks of a sign-flip test may hold (16 bytes each).
+HELD_DIFFERENCES = 20_000
+
+
 def sign_flips(df: DataFrame, key: str, difference: str, draws: int = 5000, seed: int = 1905) -> DataFrame:
-    """One row: mean paired difference and the share of ``draws`` random sign patterns with a mean at least as far from 0."""
-    flips = df.select(key, difference).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    sign = F.when(uniform(seed, F.col("draw"), F.col(key)) < 0.5, -1.0).otherwise(1.0)
-    means = flips.groupBy("draw").agg(F.avg(F.col(difference) * sign).alias("m"))
-    own = df.agg(F.avg(difference).alias("mean"))
-    return means.join(F.broadcast(own)).agg(F.max("mean").alias("mean"), F.avg((F.abs("m") >= F.abs("mean") - 1e-12).cast("double")).alias("p"))
+    """One row: mean paired difference and the share of ``draws`` random sign patterns with a mean at least as far from 0.
+
+    Draws are spread over tasks, each of which holds the differences if there are at most ``HELD_DIFFERENCES``; more are
+    spread themselves, and summed by draw.
+    """
+    spark = df.sparkSession
+    own = df.select(F.col(key).alias("k"), F.col(difference).cast("double").alias("d")).filter("d IS NOT NULL")
+    sign = lambda draw, k: F.when(uniform(seed, draw, k) < 0.5, -1.0).otherwise(1.0)
+    if own.count() <= HELD_DIFFERENCES:
+        held = own.agg(F.collect_list(F.struct("k", "d")).alias("held"), F.avg("d").alias("mean")).filter("mean IS NOT NULL")
+        spread = spark.range(0, draws, 1, max(1, min(draws, 4 * spark.sparkContext.defaultParallelism))).withColumnRenamed("id", "draw")
+        means = spread.join(F.broadcast(held)).withColumn("m", F.aggregate("held", F.lit(0.0), lambda a, x: a + x.d * sign(F.col("draw"), x.k)) / F.size("held"))
+    else:
+        flips = own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        means = flips.groupBy("draw").agg(F.avg(F.col("d") * sign(F.col("draw"), F.col("k"))).alias("m")).join(F.broadcast(own.agg(F.avg("d").alias("mean"))))
+    return means.agg(F.max("mean").alias("mean"), F.avg((F.abs("m") >= F.abs("mean") - 1e-12).cast("double")).alias("p"))
 
 
 def expected_rates(df: DataFrame, catalogs: int, cell_deg: float = 0.5, width: float = 0.5) -> DataFrame:

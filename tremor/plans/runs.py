@@ -16,6 +16,7 @@ from ..functions import geo
 from ..functions.geo import geodesic_area
 from ..functions.kernels import NAMES, Theta
 from ..functions.params import to_rate_params
+from ..functions.rng import key_id
 from ..operators import stats
 from ..sources.catalog import fingerprint, found, read_fit, write_fit
 from . import inversion, simulation
@@ -55,11 +56,12 @@ def theta_of(record: dict) -> Theta:
 
 
 def as_realization(events: DataFrame, start: float, key: str = "catalog_id") -> DataFrame:
-    """Forecast events as (seed, m, x, y, t, dt_days, event_source)."""
-    return events.select(F.col(key).alias("seed"), F.col("magnitude").alias("m"), F.col("longitude").alias("x"), F.col("latitude").alias("y"), F.col("days").alias("t"), (F.col("days") - start).alias("dt_days"), F.when(F.col("kind") == "background", "background").otherwise("triggered").alias("event_source"))
+    """Forecast events as ``REALIZATION``; such realisations are never cut."""
+    return events.select(F.col(key).alias("seed"), F.col("magnitude").alias("m"), F.col("longitude").alias("x"), F.col("latitude").alias("y"), F.col("days").alias("t"), (F.col("days") - start).alias("dt_days"), F.when(F.col("kind") == "background", "background").otherwise("triggered").alias("event_source"), F.lit(True).alias("complete"))
 
 
-REALIZATION = ["seed", "m", "x", "y", "t", "dt_days", "event_source"]
+#: Columns of stored realisations; ``complete`` is false where a realisation was cut at its event cap.
+REALIZATION = ["seed", "m", "x", "y", "t", "dt_days", "event_source", "complete"]
 
 
 def _branching(history, process, ring, start, days, first, seeds, cap, how):
@@ -80,9 +82,26 @@ def _rates(history, process, ring, start, days, first, seeds, cap, how):
 METHODS: dict[str, Callable[..., DataFrame]] = {"branching": _branching, "thinning": _thinning, "rates": _rates}
 
 
-def register_method(name: str, method: Callable[..., DataFrame]) -> None:
-    """Add a continuation method (history, process, ring, start, days, first, seeds, cap, how) -> realisations."""
-    METHODS[name] = method
+#: Versions of registered methods, which are part of what a stored realisation depends on.
+VERSIONS: dict[str, str] = {}
+
+
+def register_method(name: str, method: Callable[..., DataFrame], version: str) -> None:
+    """Add a continuation method (history, process, ring, start, days, first, seeds, cap, how) -> realisations.
+
+    ``version`` names what the function does: realisations of another version are made anew.
+    """
+    METHODS[name], VERSIONS[name] = method, version
+
+
+def versioned(function: Callable, version: str) -> Callable:
+    """``function`` as an option of stored realisations: ``version`` stands for what it does, and has to change with that."""
+
+    def call(*args, **more):
+        return function(*args, **more)
+
+    call.version = version
+    return call
 
 
 def methods(names: list[str] | str) -> list[str]:
@@ -93,12 +112,30 @@ def methods(names: list[str] | str) -> list[str]:
     return list(dict.fromkeys(wanted))
 
 
+def option_key(value: object) -> object:
+    """What stands for an option in a key: tables by content, functions by version, containers by their items; other things as they are.
+
+    A function without a version (see ``versioned``), and anything else that JSON cannot hold, is an error: its
+    results cannot be told from those of another.
+    """
+    if isinstance(value, DataFrame):
+        return {"table": content_hash(value)}
+    if isinstance(value, dict):
+        return {str(k): option_key(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [option_key(v) for v in value]
+    if (version := getattr(value, "version", None)) is not None:
+        return {"function": str(version)}
+    if value is None or isinstance(value, (bool, int, float, str)):
+        return value
+    raise ValueError(f"{value!r} has no version, so results that depend on it cannot be stored; see versioned")
+
+
 def realization_meta(history: DataFrame, process: simulation.Process, ring: list[tuple[float, float]], start: float, days: float, method: str, cap: int, how: dict) -> dict:
-    """All that a realisation depends on but its seed: history, process, window, region, method, cap, options."""
+    """All that a realisation depends on but its seed: history, process, window, region, method and its version, cap, options (see ``option_key``)."""
     theta = dict(zip(NAMES, process.theta.values()))
     process_ = {**{k: v for k, v in vars(process).items() if k != "theta"}, "theta": theta}
-    options = {k: (content_hash(v) if isinstance(v, DataFrame) else getattr(v, "__qualname__", v)) for k, v in how.items()}
-    return {"history": content_hash(history.filter(F.col("days") <= start)), "process": process_, "ring": [list(map(float, p)) for p in ring], "start": start, "days": days, "method": method, "cap": cap, "options": options}
+    return {"history": content_hash(history.filter(F.col("days") <= start)), "process": process_, "ring": [list(map(float, p)) for p in ring], "start": start, "days": days, "method": [method, VERSIONS.get(method)], "cap": cap, "options": option_key(how), "columns": REALIZATION}
 
 
 def ensemble(history: DataFrame, process: simulation.Process, ring: list[tuple[float, float]], start: float, days: float, seeds: int, names: list[str] | str, folder: str, most_events: int | None = None, force: bool = False, **how) -> DataFrame:
@@ -106,7 +143,7 @@ def ensemble(history: DataFrame, process: simulation.Process, ring: list[tuple[f
 
     Realisations are stored under the fingerprint of their meta data, with these beside
     them; a run with any other history, process, window, region, cap or option is another
-    one, and a run whose meta data are missing or differ is made anew.
+    one, as is one with functions of other versions; a run whose meta data are missing or differ is made anew.
     """
     spark = history.sparkSession
     cap = most_events if most_events is not None else simulation.event_cap(days)
@@ -117,6 +154,7 @@ def ensemble(history: DataFrame, process: simulation.Process, ring: list[tuple[f
         done = set() if force else stored_seeds(spark, place, meta)
         for first, n in _spans([s for s in range(seeds) if s not in done]):
             rows = METHODS[method](history, process, ring, start, days, first, n, cap, how)
+            rows = (rows if "complete" in rows.columns else rows.withColumn("complete", F.lit(True))).select(*REALIZATION)
             part = f"{place}/run-{first}-{uuid.uuid4().hex[:8]}"
             rows.write.parquet(f"{part}/events")
             # The meta row comes last: a run without one is not there.
@@ -127,7 +165,7 @@ def ensemble(history: DataFrame, process: simulation.Process, ring: list[tuple[f
     return out
 
 
-def _meta_rows(spark: SparkSession, place: str, meta: dict) -> list:
+def stored_runs(spark: SparkSession, place: str, meta: dict) -> list:
     """Runs stored under exactly this meta data, the newest of each first seed last."""
     if not found(spark, f"{place}/meta"):
         return []
@@ -137,7 +175,7 @@ def _meta_rows(spark: SparkSession, place: str, meta: dict) -> list:
 
 
 def stored_seeds(spark: SparkSession, place: str, meta: dict) -> set[int]:
-    return {s for r in _meta_rows(spark, place, meta) for s in range(r.first, r.first + r.seeds)}
+    return {s for r in stored_runs(spark, place, meta) for s in range(r.first, r.first + r.seeds)}
 
 
 def _spans(seeds: list[int]) -> list[tuple[int, int]]:
@@ -153,7 +191,7 @@ def _spans(seeds: list[int]) -> list[tuple[int, int]]:
 
 def _realizations(spark: SparkSession, place: str, meta: dict, seeds: int) -> DataFrame:
     """Each seed from the newest run that has it."""
-    owner = {s: r.events for r in _meta_rows(spark, place, meta) for s in range(r.first, r.first + r.seeds) if s < seeds}
+    owner = {s: r.events for r in stored_runs(spark, place, meta) for s in range(r.first, r.first + r.seeds) if s < seeds}
     out = None
     for path in dict.fromkeys(owner.values()):
         own = sorted(s for s, p in owner.items() if p == path)
@@ -163,14 +201,19 @@ def _realizations(spark: SparkSession, place: str, meta: dict, seeds: int) -> Da
 
 
 def paired(metrics: DataFrame, a: str, b: str, value: str = "n_events") -> DataFrame:
-    """(seed, a, b, difference) of the seeds that both methods have."""
-    return stats.seed_pairs(metrics, a, b, value)
+    """(seed, a, b, difference) of the seeds that both methods have, cut realisations (``complete`` false) left out: see ``cut_seeds``."""
+    return stats.seed_pairs(metrics.filter("complete") if "complete" in metrics.columns else metrics, a, b, value)
+
+
+def cut_seeds(metrics: DataFrame) -> DataFrame:
+    """(method, seeds, cut): realisations with events, and those cut at their event cap, of each method."""
+    return metrics.groupBy("method").agg(F.count(F.lit(1)).alias("seeds"), F.count_if(~F.col("complete")).alias("cut"))
 
 
 def metrics(rows: DataFrame) -> DataFrame:
-    """``realization_metrics`` of each method and seed."""
+    """``realization_metrics`` of each method and seed, and ``complete``: whether it was made to the end of its window."""
     key = rows.withColumn("key", F.concat_ws("|", "method", "seed"))
-    names = key.select("key", "method", "seed").distinct()
+    names = key.groupBy("key", "method", "seed").agg(F.min("complete").alias("complete"))
     return stats.realization_metrics(key, "key").join(names, "key").drop("key")
 
 
@@ -219,22 +262,30 @@ def read_background_grid(spark: SparkSession, path: str, latitude: str = "latitu
 def weighted_places(rows: DataFrame) -> DataFrame:
     """``rows`` (latitude, longitude, weight) with ``probability``, the weight's share of the largest, and an ``id``."""
     top = rows.agg(F.max("weight").alias("top"))
-    return rows.join(F.broadcast(top)).withColumn("probability", F.col("weight") / F.col("top")).withColumn("id", F.xxhash64("latitude", "longitude")).drop("top")
+    return rows.join(F.broadcast(top)).withColumn("probability", F.col("weight") / F.col("top")).withColumn("id", key_id("place", *[F.floor(F.col(c) * 1e6 + 0.5).cast("long") for c in ("latitude", "longitude")])).drop("top")
 
 
-def operational_forecast(catalog: DataFrame, record: dict, ring: list[tuple[float, float]], start: float, days: float, catalogs: int, seed: int = simulation.SEED, grid: DataFrame | None = None, cell: tuple[float, float] | None = None, m_threshold: float | None = None) -> DataFrame:
+def operational_forecast(
+    catalog: DataFrame, record: dict, ring: list[tuple[float, float]], start: float, days: float, catalogs: int, seed: int = simulation.SEED, grid: DataFrame | None = None, cell: tuple[float, float] | None = None,
+    m_threshold: float | None = None, sources: DataFrame | None = None, zones: simulation.Zones | None = None,
+) -> DataFrame:
     """Forecast events after ``start`` from a stored fit and the latest catalog.
 
-    With ``grid`` (latitude, longitude, weight), background events are placed at its nodes
-    by weight, spread over the grid's ``cell`` (height, width) if one is given, instead of uniformly.
+    With ``grid`` (latitude, longitude, weight), background events happen at its nodes
+    by weight, spread over the grid's ``cell`` (height, width) if one is given, instead of uniformly; offspring and
+    the region's filter start from there. With a fit's stored ``sources`` (source_id, and perhaps
+    xi_plus_1), the history is these events of the catalog, with their productivity inflated for what
+    completeness hides (see ``prepared_history``), and events since the fit.
     """
     process = simulation.Process(theta_of(record), record["beta"], record["m_ref"], record["delta_m"], seed=seed)
-    out = simulation.forecast(catalog, process, ring, start, days, record["area"], catalogs, m_threshold)
-    if grid is None:
-        return out
-    ground = out.filter("kind = 'background'")
-    put = simulation.empirical_places(ground.select("id"), weighted_places(grid), "probability", 0.0, seed, cell)
-    return out.filter("kind <> 'background'").unionByName(ground.drop("latitude", "longitude").join(put, "id").select(*out.columns))
+    history, xi = catalog, None
+    if sources is not None:
+        known = simulation.prepared_history(sources, catalog, record["m_ref"])
+        later = catalog.filter((F.col("days") >= record["setup"]["end"]) & (F.col("magnitude") >= record["m_ref"] - record["delta_m"] / 2)) if record.get("setup") else None
+        if later is not None:
+            later = later.join(known.select("id"), "id", "left_anti").select(*[F.col(c) for c in known.columns if c != "xi_plus_1"]).withColumn("xi_plus_1", F.lit(1.0))
+        history, xi = known if later is None else known.unionByName(later), "xi_plus_1"
+    return simulation.forecast(history, process, ring, start, days, record["area"], catalogs, m_threshold, xi=xi, places=None if grid is None else weighted_places(grid), place_scale=0.0, place_cell=cell, zones=zones)
 
 
 def gridded_thinning(history: DataFrame, theta: Theta, mc: float, beta: float, lat: tuple[float, float, int], lon: tuple[float, float, int], start: float, end: float, seeds: int = 1) -> DataFrame:

@@ -52,6 +52,8 @@ def gutenberg_richter(u: Column, process: Process) -> Column:
     return K.gr_magnitude_of(u, process.beta, process.m_low, process.m_max)
 
 
+gutenberg_richter.version = "gutenberg_richter 1"  # so that stored realisations can name it
+
 #: Magnitude generators by name: (uniform column, process) to magnitudes.
 GENERATORS: dict[str, Generator] = {"gutenberg_richter": gutenberg_richter}
 
@@ -279,12 +281,13 @@ def background_weights(targets: DataFrame) -> DataFrame:
 
 def forecast(
     history: DataFrame, process: Process, ring: list[tuple[float, float]], start: float, days: float, area_km2: float, catalogs: int, m_threshold: float | None = None, filter_ring: bool = True,
-    xi: str | None = None, induced_events: DataFrame | None = None, places: DataFrame | None = None, place_scale: float = 0.1, generator: Generator = gutenberg_richter, zones: Zones | None = None, approximate: bool = False, first: int = 0,
+    xi: str | None = None, induced_events: DataFrame | None = None, places: DataFrame | None = None, place_scale: float = 0.1, place_cell: tuple[float, float] | None = None, generator: Generator = gutenberg_richter, zones: Zones | None = None, approximate: bool = False, first: int = 0,
 ) -> DataFrame:
     """Realisations ``first`` and on of the ``days`` after ``start``: new background, induced events, offspring of the history, and theirs.
 
     ``xi`` inflates the history, ``induced_events`` (see ``induced``) join the background,
-    ``places`` (id, latitude, longitude, probability) are where background happened before.
+    ``places`` (id, latitude, longitude, probability) are where background happened before; ``place_cell`` spreads it over
+    cells around them (see ``empirical_places``).
     Returned are events of the window with magnitudes from half a bin below the
     threshold on, binned, and in the ring if asked for.
     """
@@ -292,7 +295,7 @@ def forecast(
     how = {"generator": generator, "zones": zones, "kernels": Branching(process, approximate)}
     new = background(spark, process, ring, start, end, area_km2, catalogs, generator, zones, first)
     if places is not None:
-        put = empirical_places(new.select("id"), places, "probability", place_scale, process.seed)
+        put = empirical_places(new.select("id"), places, "probability", place_scale, process.seed, place_cell)
         new = new.drop("latitude", "longitude").join(put, "id").select(*EVENT)
     new = new.unionByName(history_offspring(history, process, start, end, catalogs, xi, first, **how))
     if induced_events is not None:
@@ -449,23 +452,33 @@ def gridded(history: DataFrame, rates: RateParams, nodes: DataFrame, start: floa
     past = history.filter(F.col("days") < start).select("id", "days", "latitude", "longitude", "magnitude")
     m = F.col("magnitude")
     own = past.withColumns({"kappa": K.rate_productivity(m, r), "area": F.lit(r.big_d**2) * K.rate_productivity(m, r)})
-    near = own.join(F.broadcast(nodes))  # the grid is small: its nodes are counted below
     if nodes.count() > MOST_NODES:
         raise ValueError(f"a grid of more than {MOST_NODES} nodes")
-    square = (F.col("glat") - F.col("latitude")) * (F.col("glat") - F.col("latitude")) + (F.col("glon") - F.col("longitude")) * (F.col("glon") - F.col("longitude"))
-    spread = F.lit((r.q - 1) / math.pi) / F.col("area") * F.pow(1 + square / F.col("area"), F.lit(-r.q)) * F.lit(cell)
+    held = [tuple(x) for x in nodes.select("cell", "glat", "glon").orderBy("cell").collect()]  # ``MOST_NODES`` at most
+    grid = F.lit([lat for _, lat, _ in held]), F.lit([lon for _, _, lon in held])
+
+    def spread(i: Column) -> Column:
+        """Density of a source's offspring at a node, by its place in the grid, times the node's area."""
+        north, east = (F.element_at(g, i) - F.col(c) for g, c in zip(grid, ("latitude", "longitude")))
+        return F.lit((r.q - 1) / math.pi * cell) / F.col("area") * F.pow(1 + (north * north + east * east) / F.col("area"), F.lit(-r.q))
+
     early, late = (F.pow(1 + (F.lit(x) - F.col("days")) / r.c, F.lit(1 - r.p)) for x in (start, end))
-    near = near.withColumns({"early": early, "mean": F.col("kappa") * spread * (early - late), "late": late})
+    near = own.withColumns({"early": early, "late": late, "share": F.aggregate(F.sequence(F.lit(1), F.lit(len(held))), F.lit(0.0), lambda a, i: a + spread(i))})
+    near = near.withColumn("mean", F.col("kappa") * F.col("share") * (F.col("early") - F.col("late")))
     near = near.withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(seeds - 1).cast("long"))))
-    made = near.withColumn("n", poisson(F.col("mean"), seed, F.col("seed"), F.col("cell"), F.col("id"))).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    made = made.withColumn("eid", key_id("node", seed, F.col("seed"), F.col("cell"), F.col("id"), F.col("k")))
+    # A source's number first, then the node of each of its events: rows are events, not nodes.
+    made = near.withColumn("n", poisson(F.col("mean"), seed, F.col("seed"), F.col("id"))).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    made = made.withColumn("eid", key_id("node", seed, F.col("seed"), F.col("id"), F.col("k")))
+    made = made.withColumn("reach", uniform(seed, F.col("eid"), "node") * F.col("share"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(held))), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at")), lambda a, i: F.struct((a["sum"] + spread(i)).alias("sum"), F.when((a["at"] == 0) & (a["sum"] + spread(i) > F.col("reach")), i).otherwise(a["at"]).alias("at")), lambda a: F.when(a["at"] == 0, len(held)).otherwise(a["at"]))
+    made = made.withColumn("node", found)
     left = F.col("early") - uniform(seed, F.col("eid"), "time") * (F.col("early") - F.col("late"))
-    made = made.select("seed", "cell", (F.col("days") + r.c * (F.pow(left, F.lit(1 / (1 - r.p))) - 1)).alias("days"), F.col("glat").alias("latitude"), F.col("glon").alias("longitude"), "eid")
+    node = lambda values: F.element_at(F.lit(values), F.col("node"))
+    made = made.select("seed", node([c for c, _, _ in held]).cast("long").alias("cell"), (F.col("days") + r.c * (F.pow(left, F.lit(1 / (1 - r.p))) - 1)).alias("days"), node([x for _, x, _ in held]).alias("latitude"), node([x for _, _, x in held]).alias("longitude"), "eid")
     ground = nodes.withColumn("seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(seeds - 1).cast("long"))))
     ground = ground.withColumn("n", poisson(F.lit(r.mu * cell * (end - start)), seed, F.col("seed"), F.col("cell"), "ground")).filter("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
     ground = ground.withColumn("eid", key_id("ground", seed, F.col("seed"), F.col("cell"), F.col("k")))
     made = made.unionByName(ground.select("seed", "cell", (F.lit(start) + (end - start) * uniform(seed, F.col("eid"), "time")).alias("days"), F.col("glat").alias("latitude"), F.col("glon").alias("longitude"), "eid"))
-    held = [tuple(x) for x in nodes.select("cell", "glat", "glon").orderBy("cell").collect()]  # ``MOST_NODES`` at most
     every = spark.range(seeds).select(F.col("id").alias("seed"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:

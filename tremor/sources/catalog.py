@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import threading
+import uuid
 import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -191,16 +192,42 @@ def read_fit(folder: str, spark: SparkSession, *tables: str) -> tuple[dict, dict
 def append_forecast(catalogs: DataFrame, folder: str, buckets: int = 64) -> DataFrame:
     """Append realisations that ``folder`` does not have yet (by ``catalog_id``), and return what was new.
 
-    The new rows are those of the stored table whose realisations were not there before.
+    Each append is a part of its own. Its manifest (part, catalog_id, rows) comes last, from the
+    rows as they were written, so a part without one was never finished: its realisations are not there,
+    and the next append makes them again.
     """
     spark = catalogs.sparkSession
     rows = catalogs.withColumn("bucket", F.pmod(F.col("catalog_id"), F.lit(buckets)))
-    done = materialized(spark.read.parquet(folder).select("catalog_id").distinct()) if found(spark, folder) else None
-    if done is not None:
-        rows = rows.join(done, "catalog_id", "left_anti")
-    rows.write.mode("append").partitionBy("bucket").parquet(folder)
-    stored = spark.read.schema(rows.schema).parquet(folder).select(*catalogs.columns)
-    return stored if done is None else stored.join(done, "catalog_id", "left_anti")
+    if (done := forecast_manifest(spark, folder)) is not None:
+        rows = rows.join(done.select("catalog_id"), "catalog_id", "left_anti")
+    name = f"part={uuid.uuid4().hex}"
+    rows.write.partitionBy("bucket").parquet(f"{folder}/{name}")
+    stored = spark.read.schema(rows.schema).parquet(f"{folder}/{name}").select(*catalogs.columns)
+    counts = stored.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("rows"))
+    counts.select(F.lit(name).alias("name"), "catalog_id", "rows").write.mode("append").parquet(f"{folder}/_manifest")
+    return stored
+
+
+def forecast_manifest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(name of the part, catalog_id, rows) of the whole realisations of a stored forecast; None where there is none."""
+    return spark.read.parquet(f"{folder}/_manifest") if found(spark, f"{folder}/_manifest") else None
+
+
+def read_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole realisations of a stored forecast; rows of parts that were never finished are left out.
+
+    A realisation with fewer or more rows than its manifest tells is an error.
+    """
+    manifest = forecast_manifest(spark, folder)
+    if manifest is None:
+        raise ValueError(f"no realisation was finished in {folder}")
+    names = [r.name for r in manifest.select("name").distinct().collect()]  # a row an append
+    rows = spark.read.option("basePath", folder).parquet(*[f"{folder}/{n}" for n in names])
+    kept = rows.drop("part", "bucket")
+    counts = kept.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("n")).join(manifest, "catalog_id", "full").filter(~F.col("n").eqNullSafe(F.col("rows")))
+    if (wrong := counts.count()) > 0:
+        raise ValueError(f"{wrong} realisations differ from the manifest")
+    return kept
 
 
 def log_parameters(site: str, parameters: dict | None, path: str | None, **extras) -> None:

@@ -61,6 +61,6 @@ def released(*frames: DataFrame | None) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             place, _, name = folder.rpartition("/")
             if name.startswith("step-") and place.split(":", 1)[-1].lstrip("/") == bare.lstrip("/"):
-                spark.sql(f"DROP TABLE IF EXISTS {name.replace('-', '_', 1)}")
+                spark.sql(f"DROP TABLE IF EXISTS `{name.replace('-', '_', 1)}`")
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
