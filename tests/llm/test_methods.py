@@ -6,6 +6,8 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -14,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import MIDDLE
+from tests.conftest import MIDDLE, ROOT
 from tests.helpers import canonical, duck
 from tremor.llm import common, decontam, hilbert, idstore, langid, neardup, packing, queries, spotsigs, toxicity, transcripts, wordbpe, wordpiece
 from tremor.llm.common import new_folder, text_slices, words_of
@@ -496,3 +498,44 @@ def test_toxicity_held_out(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").toPandas().set_index("doc_id").text
     spans = [docs[r.doc_id][s["begin"] : s["end"]].lower() for r in got.itertuples() for s in r.spans]
     assert any("idiot" in s for s in spans)
+
+
+def test_grams_of_long_texts_in_pieces(monkeypatch):
+    """Pieces of any length give the counts of the whole, also where they cut words, blanks and texts."""
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("abÉ .,\n", k=draw.randint(0, 300))) for _ in range(20)] + [None, "", "   ", "x" * 50]
+    whole = langid.ranked_grams(pa.array(texts))
+    grouped = langid.ranked_grams(pa.array(texts), np.arange(len(texts)) % 3)
+    for piece in (1, 2, 3, 7, 64, 1000):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert all((a == b).all() for a, b in zip(whole, langid.ranked_grams(pa.array(texts))))
+        assert all((a == b).all() for a, b in zip(grouped, langid.ranked_grams(pa.array(texts), np.arange(len(texts)) % 3)))
+
+
+def test_memory_of_a_very_long_text():
+    """The n-grams of thirty million characters in a process that may grow by 700 MB; all at once took 90 bytes a character."""
+    code = """
+import resource, pyarrow as pa
+from tremor.llm import langid
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = pa.array(["the quick brown fox, jumps over a lazy dog in 12 days. " * 550_000])
+langid.ranked_grams(text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 700
+
+
+def test_transcripts_without_markers(spark):
+    """Held-out conversations: of the turns without a marker, the roles and the starts that the model recovers, apart from those that a marker tells."""
+    turns = spark.read.parquet(f"{MIDDLE}/conversations.parquet")
+    got = queries.op3_hmm_transcripts(spark, MIDDLE).collect()
+    held = [r for r in got if zlib.crc32(str(r.conv_id).encode()) % 4 == 2]
+    marked = [r for r in held if r.marked]
+    bare = [r for r in held if not r.marked]
+    truth = {(r.conv_id, r.turn): r.role for r in turns.collect()}
+    role = lambda rows: np.mean([r.role_pred == truth[r.conv_id, r.turn] for r in rows])
+    assert len(got) == len(truth) and len(bare) > 30
+    print(f"held out: {len(bare)} turns without a marker, role {role(bare):.2f}, start {np.mean([r.starts for r in bare]):.2f}")
+    assert role(marked) > 0.99 and role(bare) > 0.55 and np.mean([r.starts for r in bare]) > 0.4

@@ -31,6 +31,9 @@ UNKNOWN = "und"
 #: Bytes of text at a time: sorting its n-grams takes about a hundred times as much memory.
 SLICE = 1 << 19
 
+#: Characters of texts whose n-grams are counted at a time.
+PIECE = 1 << 20
+
 _WIDE = 13  # bits of a character in an n-gram's code
 _letters: np.ndarray | None = None
 
@@ -51,16 +54,31 @@ def ranked_grams(texts: pa.Array, groups: np.ndarray | None = None, longest: int
     """(owner, n-gram, count), by owner and n-gram; the owner is the text's place, or its entry in ``groups``.
 
     Letters in lower case count; all else is a blank, runs of blanks are one, and words
-    stand between blanks. Characters beyond U+0FFF are folded into 4,096 codes.
+    stand between blanks. Characters beyond U+0FFF are folded into 4,096 codes. Long texts are counted in
+    pieces of ``PIECE`` characters, each with the last codes of the one before, and the counts added.
     """
     plain = pc.replace_substring(flat_text(texts), "\0", " ")
     joined = " " + " \0 ".join(plain.to_pylist()) + " "
-    codes = _letter_table()[np.frombuffer(joined.lower().encode("utf-32-le", "replace"), np.uint32)]
-    blank = codes == 32
-    codes = codes[~(blank & np.concatenate(([False], blank[:-1])))]
-    owner = np.cumsum(codes == 0)
-    if groups is not None:
-        owner = groups[owner]
+    packed, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tail, tail_owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for start in range(0, len(joined), PIECE):
+        codes = _letter_table()[np.frombuffer(joined[start : start + PIECE].lower().encode("utf-32-le", "replace"), np.uint32)]
+        blank, last = codes == 32, len(tail) > 0 and tail[-1] == 32
+        codes = codes[~(blank & np.concatenate(([last], blank[:-1])))]
+        owner = (tail_owner[-1] if len(tail) else 0) + np.cumsum(codes == 0)
+        codes, owner = np.concatenate((tail, codes)), np.concatenate((tail_owner, owner))
+        found = _packed_grams(codes, owner if groups is None else groups[owner], len(tail), longest)
+        if len(counts):  # what came before, and this piece
+            packed, place = np.unique(np.concatenate((packed, found[0])), return_inverse=True)
+            counts = np.bincount(place, np.concatenate((counts, found[1])), len(packed)).astype(np.int64)
+        else:
+            packed, counts = found
+        tail, tail_owner = codes[max(0, len(codes) - longest + 1) :], owner[max(0, len(codes) - longest + 1) :]
+    return packed >> (_WIDE * longest), packed & ((1 << (_WIDE * longest)) - 1), counts
+
+
+def _packed_grams(codes: np.ndarray, owner: np.ndarray, old: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and n-grams in one number, ascending, and the counts of those that end beyond the first ``old`` codes."""
     found = []
     gram = np.zeros(len(codes), np.int64)
     usable = np.ones(len(codes), bool)
@@ -68,14 +86,14 @@ def ranked_grams(texts: pa.Array, groups: np.ndarray | None = None, longest: int
         ends = codes[n:]
         gram = gram[: len(ends)] << _WIDE | ends
         usable = usable[: len(ends)] & (ends != 0)
-        keep = usable & (ends != 32) if n == 0 else usable
+        keep = usable & (ends != 32) if n == 0 else usable.copy()
+        keep[: max(0, old - n)] = False
         found.append(owner[: len(ends)][keep] << (_WIDE * longest) | gram[keep])
     packed = np.sort(np.concatenate(found))
     if not len(packed):
-        return packed, packed, packed
+        return packed, packed
     first = np.flatnonzero(np.concatenate(([True], packed[1:] != packed[:-1])))
-    counts = np.diff(np.concatenate((first, [len(packed)])))
-    return packed[first] >> (_WIDE * longest), packed[first] & ((1 << (_WIDE * longest)) - 1), counts
+    return packed[first], np.diff(np.concatenate((first, [len(packed)])))
 
 
 @dataclass
