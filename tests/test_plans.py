@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tremor import queries as registry
+from tremor.functions import geo
 from tremor.functions.kernels import Theta
 from tremor.operators import filters, ordered, pairs, stats
-from tremor.plans import evaluation, inversion, simulation
+from tremor.plans import evaluation, inversion, runs, simulation
 from tremor.sources import catalog as cat
 from tremor.streaming import rates
 
@@ -466,3 +467,47 @@ def test_curvature(spark):
         g = inversion.pair_information(values, m, dt, r2, np.ones(n), 3.0)
         values[free] += np.linalg.solve(g[9:].reshape(8, 8)[np.ix_(free, free)], g[1:9][free])
     assert (np.abs(values - at)[free] < 4 * errors).all() and (np.abs(values - at)[free] > 0).all()
+
+
+def test_hull_in_space(spark, monkeypatch):
+    """Partial hulls merged as a tree give the facets' volume and membership of all points at once."""
+    rng = np.random.default_rng(9)
+    for points in (rng.normal(size=(500, 3)), rng.integers(0, 4, size=(500, 3)).astype(float), np.concatenate((rng.normal(size=(300, 3)) * 1e-3, np.eye(3), -np.eye(3)))):
+        kept = geo.extreme_points(points)
+        facets, volume = geo.hull_facets(kept)
+        assert volume == pytest.approx(geo.hull_facets(points)[1], rel=1e-9)
+        assert max((points @ np.array(n)).max() - o for n, o in facets) < 1e-8 and len(kept) < len(points)
+    square = np.array([(x, y, 2.0) for x in range(6) for y in range(6)])
+    assert {tuple(p) for p in geo.extreme_points(square)} == {(0, 0, 2), (5, 0, 2), (0, 5, 2), (5, 5, 2)}
+    assert len(geo.extreme_points(np.array([(i, 2.0 * i, 0.0) for i in range(50)]))) < 12 and len(geo.extreme_points(np.ones((9, 3)))) == 1
+    points = rng.normal(size=(3000, 3))
+    df = spark.createDataFrame([(*map(float, p),) for p in points] + [(None, 1.0, 1.0)], "a double, b double, c double").repartition(9)
+    monkeypatch.setattr(filters, "FAN", 3)
+    facets, volume = filters.hull_of(df, ["a", "b", "c"])
+    want = geo.hull_facets(geo.extreme_points(points))
+    assert volume == pytest.approx(want[1], rel=1e-9) and filters.in_hull(df, facets, ["a", "b", "c"]).count() == 3000
+    with pytest.raises(ValueError):
+        filters.hull_of(df.limit(0), ["a", "b", "c"])
+
+
+def test_grids_as_tables(spark):
+    ring = [(33.0, -120.0), (35.0, -120.0), (34.5, -118.0), (33.0, -118.5)]
+    nodes, facts = runs.grid_at_density(spark, ring, 0.02)
+    held, same = runs.grid_in_ring(ring, 0.02)
+    assert facts["found"] == nodes.count() == len(held) == same["found"] and facts["shape"] == same["shape"]
+    assert {(round(r.latitude, 9), round(r.longitude, 9)) for r in nodes.collect()} == {(round(a, 9), round(b, 9)) for a, b in held}
+    assert "LocalTableScan" not in nodes._jdf.queryExecution().executedPlan().toString()
+    rng = np.random.default_rng(10)
+    places = [(float(a), float(b)) for a, b in zip(rng.uniform(32.5, 35.5, 2000), rng.uniform(-120.5, -117.5, 2000))]
+    events = spark.createDataFrame([*places, (None, 1.0)], "latitude double, longitude double")
+    got = {(r.i, r.j): r.n for r in runs.node_counts(events, ring, (9, 11)).collect()}
+    known = {(r.i, r.j): (r.latitude, r.longitude) for r in runs.grid_table(spark, ring, (9, 11)).collect()}
+    want: dict = {}
+    for a, b in places:
+        at = round((a - 33.0) / 0.25), round((b + 120.0) / 0.2)
+        if at in known:
+            want[at] = want.get(at, 0) + 1
+    assert got == want
+    for bad in (lambda: runs.grid_at_density(spark, ring, 0.0), lambda: runs.grid_table(spark, ring, (1, 5))):
+        with pytest.raises(ValueError):
+            bad()

@@ -382,6 +382,52 @@ def hull_facets(points: np.ndarray) -> tuple[list[tuple[list[float], float]], fl
     return [(n.tolist(), o) for _, n, o in facets], volume
 
 
+def extreme_points(points: np.ndarray, directions: int = 200) -> np.ndarray:
+    """Those of points in space that can be vertices of their convex hull: rows whose hull is the same, and few.
+
+    Starts with the farthest points in ``directions`` spread over the sphere; then the farthest point beyond
+    each facet joins, until none is outside. Points in a plane or on a line are reduced there.
+    """
+    points = np.unique(np.asarray(points, float).reshape(-1, 3), axis=0)
+    if len(points) <= 4:
+        return points
+    scale = float(np.abs(points - points.mean(axis=0)).max())
+    eps = 1e-9 * max(scale, 1e-30)
+    k = np.arange(directions) + 0.5
+    up, around = 1 - 2 * k / directions, math.pi * (1 + math.sqrt(5)) * k
+    ways = np.stack((np.sqrt(1 - up * up) * np.cos(around), np.sqrt(1 - up * up) * np.sin(around), up), axis=1)
+    kept = np.unique(points[(points @ ways.T).argmax(axis=0)], axis=0)
+    while True:
+        try:
+            facets, _ = hull_facets(kept)
+        except ValueError:  # perhaps a flat set, perhaps only its farthest points are
+            try:
+                kept = np.unique(np.concatenate((kept, points[_corner(points, eps)])), axis=0)
+                continue
+            except ValueError:
+                return _extreme_in_plane(points)
+        normals, offsets = np.array([n for n, _ in facets]), np.array([o for _, o in facets])
+        beyond = points @ normals.T - offsets
+        out = beyond.max(axis=0) > eps
+        if not out.any():
+            return kept
+        more = np.unique(np.concatenate((kept, points[beyond[:, out].argmax(axis=0)])), axis=0)
+        if len(more) == len(kept):
+            return kept
+        kept = more
+
+
+def _extreme_in_plane(points: np.ndarray) -> np.ndarray:
+    """The vertices of the hull of points that lie in a plane."""
+    middle = points.mean(axis=0)
+    axes = np.linalg.svd(points - middle, full_matrices=False)[2][:2]
+    flat = (points - middle) @ axes.T
+    at = {tuple(p): i for i, p in enumerate(flat.tolist())}
+    hull = convex_hull([tuple(p) for p in flat.tolist()])
+    ends = [int(flat[:, 0].argmin()), int(flat[:, 0].argmax())]
+    return points[sorted({*(at[tuple(p)] for p in hull), *ends})]
+
+
 def _corner(points: np.ndarray, eps: float) -> list[int]:
     """Four points that span a volume."""
     if len(points) >= 4:

@@ -529,6 +529,33 @@ def grid_area(spark, sf_dir):
     return runs.area_of_grid(nodes).select(r6(F.col("area_km2")).alias("area_km2"))
 
 
+_GRID = (1001, 1001)
+_LOW_LAT, _STEP_LAT, _LOW_LON, _STEP_LON = runs.box_steps(CALIFORNIA, _GRID)
+
+
+@query(no_double_exponent(f""", nd AS (SELECT i, j, {_LOW_LAT!r}e0 + i * {_STEP_LAT!r}e0 AS latitude, {_LOW_LON!r}e0 + j * {_STEP_LON!r}e0 AS longitude FROM range({_GRID[0]}) AS g(i), range({_GRID[1]}) AS h(j)),
+c AS (SELECT CAST(floor((latitude - {_LOW_LAT!r}e0) / {_STEP_LAT!r}e0 + 0.5e0) AS BIGINT) AS i, CAST(floor((longitude - ({_LOW_LON!r}e0)) / {_STEP_LON!r}e0 + 0.5e0) AS BIGINT) AS j, count(*) AS n FROM cat GROUP BY 1, 2)
+SELECT nd.i, CAST(count(*) AS BIGINT) AS nodes, CAST(coalesce(sum(n), 0) AS BIGINT) AS events FROM nd LEFT JOIN c ON nd.i = c.i AND nd.j = c.j WHERE {pip_sql(CALIFORNIA)} GROUP BY 1"""))
+def grid_counts(spark, sf_dir):
+    """Nodes of a million-node grid over a ring, and the events nearest to them, by the grid's rows."""
+    nodes = runs.grid_table(spark, CALIFORNIA, _GRID).groupBy("i").agg(F.count(F.lit(1)).alias("nodes"))
+    counts = runs.node_counts(events(spark, sf_dir), CALIFORNIA, _GRID).groupBy("i").agg(F.sum("n").alias("events"))
+    return nodes.join(counts, "i", "left").select("i", "nodes", F.coalesce("events", F.lit(0).cast("long")).alias("events"))
+
+
+_WAYS = [(k, round(math.sin(1.7 * k) * 0.9, 3), round(math.cos(2.3 * k) * 0.8, 3), round(math.sin(0.9 * k + 1), 3)) for k in range(64)]
+
+
+@query(f", w AS (SELECT * FROM (VALUES {_values([(float(k), *v) for k, *v in _WAYS])}) AS v(k, a, b, c)) SELECT CAST(k AS INTEGER) AS k, {r6s('max(a * (longitude * 90e0) + b * (latitude * 111e0) + c * (magnitude * 10e0))')} AS reach FROM cat, w GROUP BY 1")
+def spatial_hull(spark, sf_dir):
+    """How far the convex hull of all events in three dimensions reaches in many directions, from its vertices alone."""
+    c = events(spark, sf_dir).withColumns({"x": F.col("longitude") * 90.0, "y": F.col("latitude") * 111.0, "z": F.col("magnitude") * 10.0})
+    ways = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(d).alias("c")) for k, a, b, d in _WAYS]))
+    rows = filters.hull_vertices(c, ["x", "y", "z"]).withColumn("w", ways)
+    reach = F.col("w.a") * F.col("x") + F.col("w.b") * F.col("y") + F.col("w.c") * F.col("z")
+    return rows.groupBy("w.k").agg(F.max(reach).alias("reach")).select("k", r6(F.col("reach")).alias("reach"))
+
+
 def _albers_sql() -> str:
     """Snyder's equal-area map of the corners of each type's box, and the area of the polygon there."""
     e2 = geo.WGS84_F * (2 - geo.WGS84_F)

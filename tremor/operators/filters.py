@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.geo import in_box, in_polygon
 from ..functions.kernels import binned
+from ..sources.stage import materialized
 from .ordered import with_previous, with_rank
 
 
@@ -40,6 +44,37 @@ def first_in_region(df: DataFrame, ring: list[tuple[float, float]], n: int, *key
     return sampled(in_region(df, ring), n, *key)
 
 
+#: Tasks whose partial hulls are gathered at a time.
+FAN = 16
+
+
+def hull_vertices(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (x, y, z) that can be vertices of the convex hull of three ``columns``; rows with a null are left out.
+
+    Each task keeps the extreme points of its rows, batch by batch; partial hulls are merged as a tree, ``FAN`` tasks
+    into one, so no task and not the driver sees more than some hulls.
+    """
+
+    def run(batches):
+        kept = np.zeros((0, 3))
+        for b in batches:
+            if b.num_rows:
+                kept = geo.extreme_points(np.concatenate((kept, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1))))
+        yield pa.RecordBatch.from_arrays([pa.array(kept[:, i]) for i in range(3)], ["x", "y", "z"])
+
+    schema, spark = "x double, y double, z double", df.sparkSession
+    found = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, "xyz")]).dropna()
+    found = materialized(found.mapInArrow(run, schema))
+    while (parts := len(found.inputFiles())) > 1:  # a file a task
+        found = materialized(found.repartition(-(-parts // FAN)).mapInArrow(run, schema))
+    return spark.createDataFrame([], schema) if found.isEmpty() else found
+
+
+def hull_of(df: DataFrame, columns: list[str]) -> tuple[list[tuple[list[float], float]], float]:
+    """(facets, volume) of the convex hull of three ``columns`` of any number of rows: see ``geo.hull_facets``."""
+    return geo.hull_facets(np.array([tuple(r) for r in hull_vertices(df, columns).collect()], float).reshape(-1, 3))  # the vertices of one hull
+
+
 def in_hull(df: DataFrame, facets: list[tuple[list[float], float]], columns: list[str], tolerance: float = 1e-9) -> DataFrame:
     """Rows of a convex body, its surface included: for each facet (normal, offset), normal . x <= offset.
 

@@ -342,6 +342,52 @@ def grid_in_ring(ring: list[tuple[float, float]], nodes_per_km2: float, toleranc
     return nodes, {"area_km2": area, "wanted": wanted, "found": len(nodes), "spacing_km": spacing, "shape": shape}
 
 
+def box_steps(ring: list[tuple[float, float]], shape: tuple[int, int]) -> tuple[float, float, float, float]:
+    """(lowest latitude and its step, lowest longitude and its step) of ``shape`` nodes over a ring's box."""
+    a, b, c, d = geo.box_of(ring)
+    if min(shape) < 2 or not (a < b and c < d):
+        raise ValueError("a grid needs two nodes on each axis and a ring with an area")
+    return a, (b - a) / (shape[0] - 1), c, (d - c) / (shape[1] - 1)
+
+
+def grid_table(spark: SparkSession, ring: list[tuple[float, float]], shape: tuple[int, int]) -> DataFrame:
+    """(i, j, latitude, longitude): nodes of a regular grid of ``shape`` (rows, columns) over a ring's box that lie in the ring, made by the tasks."""
+    low, step, west, across = box_steps(ring, shape)
+    nodes = spark.range(shape[0] * shape[1]).select(F.expr(f"id div {shape[1]}").alias("i"), (F.col("id") % shape[1]).alias("j"))
+    nodes = nodes.select("i", "j", (F.lit(low) + F.col("i") * step).alias("latitude"), (F.lit(west) + F.col("j") * across).alias("longitude"))
+    return nodes.filter(geo.in_polygon(F.col("latitude"), F.col("longitude"), ring))
+
+
+def grid_at_density(spark: SparkSession, ring: list[tuple[float, float]], nodes_per_km2: float, tolerance: float = 0.05, most: int = 40) -> tuple[DataFrame, dict]:
+    """``grid_in_ring`` as a table: nodes are made and counted by tasks, so a grid may have any number of them."""
+    if nodes_per_km2 <= 0:
+        raise ValueError("the density must be positive")
+    area = geo.albers_area(ring)
+    wanted, (a, b, c, d) = max(1, round(area * nodes_per_km2)), geo.box_of(ring)
+    per_lat = 2 * math.pi * geo.EARTH_RADIUS / 360
+    per_lon = 2 * geo.EARTH_RADIUS * math.asin(abs(math.cos(math.radians((a + b) / 2))) * math.sin(math.radians(0.5)))
+    spacing = math.sqrt(area / wanted)
+    for _ in range(most):
+        shape = (max(2, math.ceil((b - a) * per_lat / spacing) + 1), max(2, math.ceil((d - c) * per_lon / spacing) + 1))
+        nodes = grid_table(spark, ring, shape)
+        n = nodes.count()
+        if n and abs(n - wanted) <= tolerance * wanted:
+            break
+        spacing *= math.sqrt(n / wanted) if n else 0.5
+    if not n:
+        raise RuntimeError(f"no node of a grid lies in the ring (area {area:.4g} km2, {wanted} nodes wanted)")
+    return nodes, {"area_km2": area, "wanted": wanted, "found": n, "spacing_km": spacing, "shape": shape}
+
+
+def node_counts(events: DataFrame, ring: list[tuple[float, float]], shape: tuple[int, int]) -> DataFrame:
+    """(i, j, n): events whose nearest node of ``grid_table`` is (i, j), for nodes in the ring. The node follows from the place, so nothing is joined."""
+    low, step, west, across = box_steps(ring, shape)
+    i, j = F.floor((F.col("latitude") - low) / step + 0.5), F.floor((F.col("longitude") - west) / across + 0.5)
+    counts = events.filter("latitude IS NOT NULL AND longitude IS NOT NULL").groupBy(i.alias("i"), j.alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    inside = F.col("i").between(0, shape[0] - 1) & F.col("j").between(0, shape[1] - 1)
+    return counts.filter(inside & geo.in_polygon(F.lit(low) + F.col("i") * step, F.lit(west) + F.col("j") * across, ring))
+
+
 def area_of_grid(nodes: DataFrame) -> DataFrame:
     """One row: km2 of a regular grid (lat, lon), from the mean steps of its distinct latitudes and longitudes at its mean latitude."""
     steps = nodes.agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("middle"), F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"), F.count_distinct("lat").alias("rows"), F.count_distinct("lon").alias("cols"))
