@@ -511,3 +511,64 @@ def test_grids_as_tables(spark):
     for bad in (lambda: runs.grid_at_density(spark, ring, 0.0), lambda: runs.grid_table(spark, ring, (1, 5))):
         with pytest.raises(ValueError):
             bad()
+
+
+@pytest.fixture
+def service():
+    """A web service with an event an hour of January 2020 and none in 2021, which notes what it is asked."""
+    import http.server
+    import threading
+    from urllib.parse import parse_qs, urlparse
+
+    events = [(dt.datetime(2020, 1, 1) + dt.timedelta(hours=h), 2 + h % 30 / 10) for h in range(31 * 24)]
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            url = urlparse(self.path)
+            q = {k: v[0] for k, v in parse_qs(url.query).items()}
+            a, b = (dt.datetime.fromisoformat(q[k]) for k in ("start", "end"))
+            rows = [(t, m) for t, m in events if a <= t < b and m >= float(q["min"])]
+            asked.append((url.path, q["start"], q["end"], float(q["min"]), len(rows)))
+            text = str(len(rows)) if url.path == "/count" else "#EventID|Time|Latitude|Longitude|Depth/km|Magnitude\n" + "".join(f"e{t:%d%H}|{t.isoformat()}|34.0|-118.0|5|{m:.1f}\n" for t, m in rows)
+            self.send_response(200 if rows or url.path == "/count" else 204)
+            self.end_headers()
+            self.wfile.write(text.encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    query = "?start={start}&end={end}&min={minmag}"
+    yield {"url": f"{base}/query{query}", "count_url": f"{base}/count{query}", "start": "2020", "end": "2021"}, asked
+    server.shutdown()
+
+
+def test_full_years_are_many_tasks(spark, service):
+    options, asked = service
+    rows = cat.read_service(spark, **options, most="100").collect()
+    queries = [x for x in asked if x[0] == "/query"]
+    assert len(rows) == 31 * 24 and len({r.event_id for r in rows}) == 31 * 24
+    assert len({x[1:3] for x in queries}) > 7 and max(x[4] for x in queries) <= 100
+    whole = {k: v for k, v in options.items() if k != "count_url"}
+    asked.clear()
+    assert cat.read_service(spark, **whole).count() == 31 * 24 and {x[0] for x in asked} == {"/query"} and len({x[1:3] for x in asked}) == 2
+
+
+def test_filters_reach_the_service(spark, service):
+    options, asked = service
+    spark.dataSource.register(cat.TextServiceSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        load = lambda: spark.read.format("fdsn_text").options(**options, pushdown="true").load()
+        got = load().filter("magnitude >= 4.0 AND time >= '2020-01-10' AND time < '2020-01-20T12:00:00' AND event_id <> 'e1010'").collect()
+        queries = [x for x in asked if x[0] == "/query"]
+        assert {x[1:4] for x in queries} == {("2020-01-10", "2020-01-20T12:00:00", 4.0)}
+        assert got and all(r.magnitude >= 4 and "2020-01-10" <= r.time < "2020-01-20T12" and r.event_id != "e1010" for r in got)
+        assert len(got) in (max(x[4] for x in queries) - 1, max(x[4] for x in queries))
+        asked.clear()
+        assert load().filter("time < 'soon' OR magnitude > 4.5").count() == 31 * 24 and {x[3] for x in asked} == {-10.0}
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")

@@ -6,11 +6,13 @@ A catalog has ``id`` LONG, ``time`` TIMESTAMP (UTC), ``days`` DOUBLE (since 1970
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
+import re
 import threading
-import uuid
 import urllib.request
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
@@ -286,6 +288,10 @@ class TextServiceSource(DataSource):
     Options: ``url`` with ``{start}``, ``{end}`` and ``{minmag}`` in it, ``start`` and ``end``
     (dates or years; the end is left out, but a year counts to its end), ``minmagnitude`` and
     ``delta_m``: the service is asked for half a bin less; without a least magnitude, ``{minmag}`` is -10.
+    With ``count_url`` (the same names in it; its text is a number), a span of more than ``most`` events (20,000) is
+    halved until it has no more, so that full years are many tasks. With ``pushdown`` set to true, and Spark's
+    ``spark.sql.python.filterPushdown.enabled``, filters on ``magnitude`` (from below) and ``time`` (text like the
+    service's) narrow what is asked for; Spark applies them again to the rows.
     """
 
     @classmethod
@@ -296,26 +302,64 @@ class TextServiceSource(DataSource):
         return "event_id string, time string, latitude double, longitude double, depth double, magnitude double"
 
     def reader(self, schema) -> DataSourceReader:
-        return _TextServiceReader(dict(self.options))
+        options = dict(self.options)
+        return _PushingReader(options) if options.get("pushdown", "").lower() == "true" else _TextServiceReader(options)
 
 
 class _TextServiceReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
+        self.least = float(options["minmagnitude"]) - float(options.get("delta_m", 0.1)) / 2 if "minmagnitude" in options else -10.0
+        self.first, self.last = "", "~"  # of times, by filters
 
     def partitions(self) -> list[InputPartition]:
         start, end = self.options["start"], self.options["end"]
         start = f"{start}-01-01" if len(start) == 4 else start
         end = f"{int(end) + 1}-01-01" if len(end) == 4 else end
         cuts = [start, *[f"{y}-01-01" for y in range(int(start[:4]) + 1, int(end[:4]) + 1) if f"{y}-01-01" < end], end]
-        return [InputPartition(span) for span in zip(cuts, cuts[1:]) if span[0] < span[1]]
+        spans = [(max(a, self.first), min(b, self.last)) for a, b in zip(cuts, cuts[1:])]
+        return [InputPartition(part) for span in spans if span[0] < span[1] for part in self._parts(*span)]
+
+    def _parts(self, start: str, end: str) -> list[tuple[str, str]]:
+        """The span, or its halves as often as it takes until none has more events than are asked for at a time."""
+        if "count_url" not in self.options or int(self._asked("count_url", start, end) or 0) <= int(self.options.get("most", 20_000)):
+            return [(start, end)]
+        a, b = (dt.datetime.fromisoformat(x) for x in (start, end))
+        middle = (a + (b - a) / 2).replace(microsecond=0)
+        if not a < middle < b:  # a second is not divided
+            return [(start, end)]
+        return self._parts(start, middle.isoformat()) + self._parts(middle.isoformat(), end)
+
+    def _asked(self, url: str, start: str, end: str) -> str:
+        with urllib.request.urlopen(self.options[url].format(start=start, end=end, minmag=self.least), timeout=60) as page:
+            return "" if getattr(page, "status", None) == 204 else page.read().decode()  # 204: no content
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        (start, end), o = partition.value, self.options
-        least = float(o["minmagnitude"]) - float(o.get("delta_m", 0.1)) / 2 if "minmagnitude" in o else -10.0
-        with urllib.request.urlopen(o["url"].format(start=start, end=end, minmag=least), timeout=60) as page:
-            if getattr(page, "status", None) != 204:  # no content
-                yield from parse_event_text(page.read().decode())
+        yield from parse_event_text(self._asked("url", *partition.value))
+
+
+class _PushingReader(_TextServiceReader):
+    """A reader that asks for no more than filters on magnitude and time let through; all filters are left to Spark as well."""
+
+    def pushFilters(self, filters):  # noqa: N802  Spark's name
+        for f in filters:
+            kind, value = type(f).__name__, getattr(f, "value", None)
+            if getattr(f, "attribute", None) == ("magnitude",) and kind in ("GreaterThan", "GreaterThanOrEqual", "EqualTo"):
+                self.least = max(self.least, float(value))
+            elif getattr(f, "attribute", None) == ("time",) and _is_time(value):
+                if kind in ("GreaterThan", "GreaterThanOrEqual"):
+                    self.first = max(self.first, value)
+                elif kind == "LessThan":
+                    self.last = min(self.last, value)
+            yield f
+
+
+def _is_time(text: object) -> bool:
+    """Whether text can stand for a service's start or end: then the order of texts is that of times."""
+    try:
+        return isinstance(text, str) and bool(dt.datetime.fromisoformat(text)) and re.match(r"\d{4}-\d{2}-\d{2}", text) is not None
+    except ValueError:
+        return False
 
 
 def read_service(spark: SparkSession, **options: str) -> DataFrame:
