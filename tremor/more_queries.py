@@ -529,8 +529,8 @@ def grid_area(spark, sf_dir):
     return runs.area_of_grid(nodes).select(r6(F.col("area_km2")).alias("area_km2"))
 
 
-_GRID = (1001, 1001)
-_LOW_LAT, _STEP_LAT, _LOW_LON, _STEP_LON = runs.box_steps(CALIFORNIA, _GRID)
+_GRID = (1000, 1000)
+_LOW_LAT, _STEP_LAT, _LOW_LON, _STEP_LON = runs.box_steps(CALIFORNIA, _GRID, 0.5)
 
 
 @query(no_double_exponent(f""", nd AS (SELECT i, j, {_LOW_LAT!r}e0 + i * {_STEP_LAT!r}e0 AS latitude, {_LOW_LON!r}e0 + j * {_STEP_LON!r}e0 AS longitude FROM range({_GRID[0]}) AS g(i), range({_GRID[1]}) AS h(j)),
@@ -538,8 +538,8 @@ c AS (SELECT CAST(floor((latitude - {_LOW_LAT!r}e0) / {_STEP_LAT!r}e0 + 0.5e0) A
 SELECT nd.i, CAST(count(*) AS BIGINT) AS nodes, CAST(coalesce(sum(n), 0) AS BIGINT) AS events FROM nd LEFT JOIN c ON nd.i = c.i AND nd.j = c.j WHERE {pip_sql(CALIFORNIA)} GROUP BY 1"""))
 def grid_counts(spark, sf_dir):
     """Nodes of a million-node grid over a ring, and the events nearest to them, by the grid's rows."""
-    nodes = runs.grid_table(spark, CALIFORNIA, _GRID).groupBy("i").agg(F.count(F.lit(1)).alias("nodes"))
-    counts = runs.node_counts(events(spark, sf_dir), CALIFORNIA, _GRID).groupBy("i").agg(F.sum("n").alias("events"))
+    nodes = runs.grid_table(spark, CALIFORNIA, _GRID, 0.5).groupBy("i").agg(F.count(F.lit(1)).alias("nodes"))
+    counts = runs.node_counts(events(spark, sf_dir), CALIFORNIA, _GRID, 0.5).groupBy("i").agg(F.sum("n").alias("events"))
     return nodes.join(counts, "i", "left").select("i", "nodes", F.coalesce("events", F.lit(0).cast("long")).alias("events"))
 
 

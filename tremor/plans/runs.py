@@ -342,17 +342,18 @@ def grid_in_ring(ring: list[tuple[float, float]], nodes_per_km2: float, toleranc
     return nodes, {"area_km2": area, "wanted": wanted, "found": len(nodes), "spacing_km": spacing, "shape": shape}
 
 
-def box_steps(ring: list[tuple[float, float]], shape: tuple[int, int]) -> tuple[float, float, float, float]:
-    """(lowest latitude and its step, lowest longitude and its step) of ``shape`` nodes over a ring's box."""
+def box_steps(ring: list[tuple[float, float]], shape: tuple[int, int], inset: float = 0.0) -> tuple[float, float, float, float]:
+    """(lowest latitude and its step, lowest longitude and its step) of ``shape`` nodes over a ring's box, ``inset`` steps from its edges: with 0.5, the middles of cells."""
     a, b, c, d = geo.box_of(ring)
     if min(shape) < 2 or not (a < b and c < d):
         raise ValueError("a grid needs two nodes on each axis and a ring with an area")
-    return a, (b - a) / (shape[0] - 1), c, (d - c) / (shape[1] - 1)
+    step, across = (b - a) / (shape[0] - 1 + 2 * inset), (d - c) / (shape[1] - 1 + 2 * inset)
+    return a + inset * step, step, c + inset * across, across
 
 
-def grid_table(spark: SparkSession, ring: list[tuple[float, float]], shape: tuple[int, int]) -> DataFrame:
+def grid_table(spark: SparkSession, ring: list[tuple[float, float]], shape: tuple[int, int], inset: float = 0.0) -> DataFrame:
     """(i, j, latitude, longitude): nodes of a regular grid of ``shape`` (rows, columns) over a ring's box that lie in the ring, made by the tasks."""
-    low, step, west, across = box_steps(ring, shape)
+    low, step, west, across = box_steps(ring, shape, inset)
     nodes = spark.range(shape[0] * shape[1]).select(F.expr(f"id div {shape[1]}").alias("i"), (F.col("id") % shape[1]).alias("j"))
     nodes = nodes.select("i", "j", (F.lit(low) + F.col("i") * step).alias("latitude"), (F.lit(west) + F.col("j") * across).alias("longitude"))
     return nodes.filter(geo.in_polygon(F.col("latitude"), F.col("longitude"), ring))
@@ -379,9 +380,9 @@ def grid_at_density(spark: SparkSession, ring: list[tuple[float, float]], nodes_
     return nodes, {"area_km2": area, "wanted": wanted, "found": n, "spacing_km": spacing, "shape": shape}
 
 
-def node_counts(events: DataFrame, ring: list[tuple[float, float]], shape: tuple[int, int]) -> DataFrame:
+def node_counts(events: DataFrame, ring: list[tuple[float, float]], shape: tuple[int, int], inset: float = 0.0) -> DataFrame:
     """(i, j, n): events whose nearest node of ``grid_table`` is (i, j), for nodes in the ring. The node follows from the place, so nothing is joined."""
-    low, step, west, across = box_steps(ring, shape)
+    low, step, west, across = box_steps(ring, shape, inset)
     i, j = F.floor((F.col("latitude") - low) / step + 0.5), F.floor((F.col("longitude") - west) / across + 0.5)
     counts = events.filter("latitude IS NOT NULL AND longitude IS NOT NULL").groupBy(i.alias("i"), j.alias("j")).agg(F.count(F.lit(1)).alias("n"))
     inside = F.col("i").between(0, shape[0] - 1) & F.col("j").between(0, shape[1] - 1)
