@@ -610,9 +610,10 @@ def thinning_realizations(spark, sf_dir):
 
 @query()
 def synthetic_catalog(spark, sf_dir):
-    """A catalog from background alone, with burn-in."""
-    process = simulation.Process(K.Theta(log10_mu=-4.5, log10_k0=-3.4), 2.3, 3.0)
-    return simulation.synthetic_catalog(spark, process, CALIFORNIA, AUX, TEST_END, AREA, 5.0)
+    """A catalog of the events' span from background alone, at a twentieth of their rate, with burn-in."""
+    c = events(spark, sf_dir).agg(F.min("days").alias("first"), F.max("days").alias("last"), F.count(F.lit(1)).alias("n")).head()
+    process = simulation.Process(K.Theta(log10_mu=math.log10(0.05 * c.n / (c.last - c.first) / AREA), log10_k0=-3.4), 2.3, 3.0)
+    return simulation.synthetic_catalog(spark, process, CALIFORNIA, c.first, c.last, AREA, 5.0)
 
 
 # --- tests
