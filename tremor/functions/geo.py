@@ -64,8 +64,8 @@ def in_box(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column:
     return lat.between(min(lats), max(lats)) & lon.between(min(lons), max(lons))
 
 
-def in_polygon(lat: Column, lon: Column, ring: list[tuple[float, float]], boundary: bool = True) -> Column:
-    """Whether a point is in a ring, by crossings; points on the boundary count if ``boundary``.
+def in_polygon(lat: Column, lon: Column, ring: list[tuple[float, float]], boundary: bool | None = True) -> Column:
+    """Whether a point is in a ring, by crossings; points on the boundary count if ``boundary``, and with None as their crossings say.
 
     A fold over the ring's edges, so the plan does not grow with the ring and the point is
     computed once. Null where a coordinate is.
@@ -79,7 +79,7 @@ def in_polygon(lat: Column, lon: Column, ring: list[tuple[float, float]], bounda
             return F.struct((s.odd != over).alias("odd"), (s.on | on).alias("on"))
 
         start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("on"))
-        found = F.aggregate(_held_edges(ring), start, step, lambda s: (s.odd | s.on) if boundary else (s.odd & ~s.on))
+        found = F.aggregate(_held_edges(ring), start, step, lambda s: s.odd if boundary is None else (s.odd | s.on) if boundary else (s.odd & ~s.on))
         return F.when(in_box(y, x, ring), found).when(y.isNotNull() & x.isNotNull(), F.lit(False))
 
     return at_point(lat, lon, inside)

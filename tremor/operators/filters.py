@@ -26,8 +26,8 @@ def split_label(days: Column, start: float, train_end: float, validation_end: fl
     return F.when((days >= start) & (days < train_end), "train").when((days >= train_end) & (days < validation_end), "validation").when((days >= validation_end) & (days < test_end), "test").otherwise("outside")
 
 
-def in_region(df: DataFrame, ring: list[tuple[float, float]] | None, boundary: bool = True, stored: bool = False) -> DataFrame:
-    """Rows in a ring; without one, all.
+def in_region(df: DataFrame, ring: list[tuple[float, float]] | None, boundary: bool | None = True, stored: bool = False) -> DataFrame:
+    """Rows in a ring (``boundary``: see ``geo.in_polygon``); without one, all.
 
     Where the places are ``stored`` columns, a filter by the ring's box comes first, which
     scans prune by; on computed places it would compute them again.
@@ -39,9 +39,9 @@ def in_region(df: DataFrame, ring: list[tuple[float, float]] | None, boundary: b
     return df.filter(in_polygon(lat, lon, ring, boundary))
 
 
-def first_in_region(df: DataFrame, ring: list[tuple[float, float]], n: int, *key: str) -> DataFrame:
+def first_in_region(df: DataFrame, ring: list[tuple[float, float]], n: int, *key: str, boundary: bool | None = True) -> DataFrame:
     """``n`` of the rows in a ring, in the order of a hash of ``key``."""
-    return sampled(in_region(df, ring), n, *key)
+    return sampled(in_region(df, ring, boundary), n, *key)
 
 
 #: Tasks whose partial hulls are gathered at a time.
@@ -91,10 +91,10 @@ def offspring_window(df: DataFrame, longest: float, end: float, after: float) ->
     return df.filter((F.col("delay") <= longest) & (F.col("days") <= end) & (F.col("days") > after))
 
 
-def forecast_rows(df: DataFrame, start: float, end: float, least: float, delta_m: float = 0.1, ring: list[tuple[float, float]] | None = None) -> DataFrame:
+def forecast_rows(df: DataFrame, start: float, end: float, least: float, delta_m: float = 0.1, ring: list[tuple[float, float]] | None = None, boundary: bool | None = True) -> DataFrame:
     """Events of a closed window from half a bin below ``least`` on, then binned, then in the ring."""
     kept = df.filter((F.col("days") >= start) & (F.col("days") <= end) & (F.col("magnitude") >= least - delta_m / 2))
-    return in_region(kept.withColumn("magnitude", binned(F.col("magnitude"), delta_m)), ring)
+    return in_region(kept.withColumn("magnitude", binned(F.col("magnitude"), delta_m)), ring, boundary)
 
 
 def train_test(df: DataFrame, start: float, end: float, test_end: float) -> tuple[DataFrame, DataFrame]:
