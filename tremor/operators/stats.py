@@ -158,9 +158,13 @@ def ks_gr_p(df: DataFrame, mc: float, delta_m: float = 0.1, samples: int = 10_00
     return estimate_mc(df, [mc], delta_m, samples=samples, seed=seed)[0].select("ks_d", "p", "n")
 
 
-def histogram(df: DataFrame, value: Column, lo: float, step: float, bins: int, weight: Column | None = None) -> DataFrame:
-    """(bin, total, density): ``bins`` bins from ``lo``; the last one is closed, values outside are left out."""
-    k = F.when(value == lo + step * bins, bins - 1).otherwise(F.floor((value - lo) / step)).cast("int")
+def histogram(df: DataFrame, value: Column, lo: float, step: float, bins: int, weight: Column | None = None, slack: float = 0.0) -> DataFrame:
+    """(bin, total, density): ``bins`` bins from ``lo``; the last one is closed, values outside are left out.
+
+    Values less than ``slack`` bins below a bin's edge are in that bin: for values that lie on edges but for rounding.
+    """
+    end = lo + step * bins
+    k = F.when(F.abs(value - end) <= slack * step, bins - 1).otherwise(F.floor((value - lo) / step + slack)).cast("int")
     sums = df.select(k.alias("bin"), (F.lit(1.0) if weight is None else weight).alias("w")).filter(F.col("bin").between(0, bins - 1)).groupBy("bin").agg(F.sum("w").alias("total"))
     return sums.withColumn("density", F.col("total") / (F.sum("total").over(W.partitionBy()) * step))
 
