@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import math
 import re
 import threading
 import urllib.request
@@ -419,20 +420,28 @@ def read_quakeml(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for content in b.column("content").to_pylist():
-                rows = list(parse_quakeml(content.decode()))
+            for content in b.column("content"):
+                rows = list(parse_quakeml(content.as_py().decode()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), *[pa.float64()] * 4))], [f.split()[0] for f in schema.split(", ")])
 
     return as_catalog(files.mapInArrow(run, schema))
 
 
+#: Events of a document that ``write_quakeml`` makes.
+DOCUMENT_ROWS = 20_000
+
+
 def write_quakeml(catalog: DataFrame, folder: str) -> None:
-    """A catalog (id or event_id, days, latitude, longitude, magnitude, perhaps depth) as QuakeML, a document for each partition."""
+    """A catalog (id or event_id, days, latitude, longitude, magnitude, perhaps depth) as QuakeML: files of a document of at most about ``DOCUMENT_ROWS`` events.
+
+    The events are dealt evenly over as many tasks, each of which writes one file.
+    """
     known = F.col("event_id") if "event_id" in catalog.columns else F.col("id").cast("string")
     depth = F.col("depth").cast("double") if "depth" in catalog.columns else F.lit(None).cast("double")
     time = F.date_format(F.timestamp_micros(F.floor(F.col("days") * 86400e6 + 0.5).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     rows = catalog.select(known.alias("event_id"), time.alias("time"), F.col("latitude").cast("double"), F.col("longitude").cast("double"), F.col("magnitude").cast("double"), depth.alias("depth"))
+    rows = rows.repartition(max(1, math.ceil(catalog.count() / DOCUMENT_ROWS)))
 
     def run(batches):
         events = [tuple(r.values()) for b in batches for r in b.to_pylist()]
